@@ -110,20 +110,20 @@ def spot(prices: DataFrame, points: DataFrame, max_age: int | None = None) -> Da
 
 
 def valued(balances: DataFrame, prices: DataFrame, snapshots: dict[int, date]) -> DataFrame:
-    """snapshot, address, token, balance, value of positive balances; a token without a price has a null value.
+    """snapshot, address, token, balance, value (exact, in millionths) of positive balances; a token without a price has a null value.
 
     Prices are found once for each token and snapshot, a table of tokens times snapshots, then joined.
     """
     grid = prices.select("token").distinct().select("token", F.explode(F.array(*[F.struct(F.lit(b).alias("snapshot"), F.lit(d).alias("day")) for b, d in snapshots.items()])).alias("s")).select("token", "s.snapshot", "s.day")
     at = spot(prices, grid).select("token", "snapshot", "close")
     rows = balances.filter("balance > 0").join(at, ["token", "snapshot"], "left")
-    return rows.select("snapshot", "address", "token", F.col("balance").cast("double").alias("balance"), F.round(F.col("balance").cast("double") * F.col("close"), 4).alias("value"))
+    return rows.select("snapshot", "address", "token", F.col("balance").cast("double").alias("balance"), (F.col("balance").cast("decimal(18,0)") * F.col("close").cast("decimal(18,6)")).alias("value"))
 
 
 def holdings(positions: DataFrame) -> DataFrame:
     """snapshot, address, total_value, num_tokens, holdings: one row per account with its positions as an ordered array."""
-    item = F.struct("token", "balance", "value")
-    return positions.groupBy("snapshot", "address").agg(F.round(F.sum("value"), 2).alias("total_value"), F.count("*").alias("num_tokens"), F.sort_array(F.collect_list(item)).alias("holdings"))
+    item = F.struct("token", "balance", F.col("value").cast("double").alias("value"))
+    return positions.groupBy("snapshot", "address").agg(F.round(F.sum("value"), 2).cast("double").alias("total_value"), F.count("*").alias("num_tokens"), F.sort_array(F.collect_list(item)).alias("holdings"))
 
 
 def universe(flows: DataFrame, native: str, zero: str = "") -> DataFrame:

@@ -91,19 +91,32 @@ def naive_weights(df: DataFrame, key: list[str], kind: str) -> DataFrame:
     return df.withColumn("weight", F.when(whole, F.col("cap") / F.sum("cap").over(by)))
 
 
-def forward_return(weights: DataFrame, prices: DataFrame, snapshots: dict[int, date], days: int = 20, max_age: int = 3, keys: tuple[str, ...] = ("snapshot", "address")) -> DataFrame:
-    """keys, ret: the value change over so many days of a portfolio bought at weight; null if a price is missing.
+def horizon_prices(grid: DataFrame, prices: DataFrame, snapshots: dict[int, date], days: int = 20, max_age: int = 3) -> DataFrame:
+    """snapshot, token, p0, p1: closes the day before each snapshot and so many days later, at most max_age days old.
 
-    Prices at both ends are found once for each token and snapshot, at most max_age days old.
+    grid has the distinct (snapshot, token) in question: prices are found once for each, not for each position.
     """
-    grid = weights.select("snapshot", "token").distinct()
     days_of = F.create_map(*[F.lit(x) for b, d in snapshots.items() for x in (b, d)])
-    ends = grid.withColumn("d0", F.date_sub(F.element_at(days_of, F.col("snapshot")), 1)).withColumn("d1", F.date_add("d0", days))
+    ends = grid.select("snapshot", "token").withColumn("d0", F.date_sub(F.element_at(days_of, F.col("snapshot")), 1)).withColumn("d1", F.date_add("d0", days))
     renamed = prices.select("token", F.col("day").alias("price_day"), "close")
     a = asof_join(ends, renamed, ["token"], "d0", "price_day", max_age).select("token", "snapshot", "d1", F.col("close").alias("p0"))
-    b = asof_join(a, renamed, ["token"], "d1", "price_day", max_age).select("token", "snapshot", "p0", F.col("close").alias("p1"))
-    rows = weights.join(b, ["token", "snapshot"])
-    return rows.groupBy(*keys).agg(F.when(F.count_if(F.col("p0").isNull() | F.col("p1").isNull()) == 0, F.sum(F.col("weight") * (F.col("p1") / F.col("p0"))) - 1).alias("ret"))
+    return asof_join(a, renamed, ["token"], "d1", "price_day", max_age).select("snapshot", "token", "p0", F.col("close").alias("p1"))
+
+
+def forward_return(weights: DataFrame, horizon: DataFrame, keys: tuple[str, ...] = ("snapshot", "address")) -> DataFrame:
+    """keys, ret: the value change of a portfolio bought at weight; null if a price is missing."""
+    rows = weights.join(horizon, ["token", "snapshot"])
+    return rows.groupBy(*keys).agg(held_return(F.col("weight")).alias("ret"))
+
+
+def held_return(weight: Column) -> Column:
+    """Aggregate: sum of weight * p1 / p0, less one; null if a price is missing."""
+    whole = F.count_if(F.col("p0").isNull() | F.col("p1").isNull() | weight.isNull()) == 0
+    return F.when(whole, F.sum(weight * (F.col("p1") / F.col("p0"))) - 1)
+
+
+def units(weight: Column, value: Column, price: Column) -> Column:
+    return weight * value / price
 
 
 def market_daily(panel_rets: DataFrame, benchmarks: tuple[str, ...]) -> DataFrame:

@@ -105,7 +105,7 @@ def growth(series: DataFrame, day: str, value: str) -> DataFrame:
 
 def monthly(df: DataFrame, keys: list[str], day: str, col: str) -> DataFrame:
     """keys, month, mean, median and number of values."""
-    return df.groupBy(*keys, F.date_format(day, "yyyy-MM").alias("month")).agg(F.avg(col).alias("mean"), F.median(col).alias("median"), F.count(col).alias("n"))
+    return df.groupBy(*keys, F.date_format(day, "yyyy-MM").alias("month")).agg((F.sum(col).cast("double") / F.count(col)).alias("mean"), F.median(F.col(col).cast("double")).alias("median"), F.count(col).alias("n"))
 
 
 def daily_close(ticks: DataFrame, order: list[str]) -> DataFrame:

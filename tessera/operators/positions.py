@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def fold_assets(positions: DataFrame, alias: dict[str, str], keys: tuple[str, ...] = ("snapshot", "address")) -> DataFrame:
     """Positions with alias tokens counted as the token they stand for; what is not positive goes. units and value are summed."""
     name = reduce(lambda c, a: F.when(F.col("token") == a[0], a[1]).otherwise(c), alias.items(), F.col("token"))
-    rows = positions.withColumn("token", name).groupBy(*keys, "token").agg(F.sum("balance").alias("units"), F.round(F.sum("value"), 2).alias("value"))
+    rows = positions.withColumn("token", name).groupBy(*keys, "token").agg(F.sum("balance").alias("units"), F.sum("value").cast("double").alias("value"))
     return rows.filter("units > 0")
 
 
@@ -53,21 +53,21 @@ def concentration(positions: DataFrame, min_usd: float = 0.0, keys: tuple[str, .
 def token_totals(positions: DataFrame) -> DataFrame:
     """snapshot, token, value, units, n_positions, and the implied price: value over units."""
     unit = "units" if "units" in positions.columns else "balance"
-    rows = positions.groupBy("snapshot", "token").agg(F.round(F.sum("value"), 2).alias("value"), F.sum(unit).alias("units"), F.count("*").alias("n_positions"))
+    rows = positions.groupBy("snapshot", "token").agg(F.sum("value").cast("double").alias("value"), F.sum(unit).alias("units"), F.count("*").alias("n_positions"))
     return rows.withColumn("implied_price", F.try_divide("value", "units"))
 
 
 def token_profile(positions: DataFrame, supply: DataFrame) -> DataFrame:
     """snapshot, token: holders, holders with value, value, supply, and the largest holder with its share of the supply."""
-    rows = positions.groupBy("snapshot", "token").agg(F.count("*").alias("holders"), F.count_if(F.col("value") > 0).alias("valued_holders"), F.round(F.sum("value"), 2).alias("value"), F.max_by("address", F.struct("balance", "address")).alias("largest"), F.max("balance").alias("largest_balance"))
+    rows = positions.groupBy("snapshot", "token").agg(F.count("*").alias("holders"), F.count_if(F.col("value") > 0).alias("valued_holders"), F.sum("value").cast("double").alias("value"), F.max_by("address", F.struct("balance", "address")).alias("largest"), F.max("balance").alias("largest_balance"))
     joined = rows.join(supply.select("snapshot", "token", F.col("supply").cast("double").alias("supply")), ["snapshot", "token"], "left")
     return joined.withColumn("largest_share", F.try_divide("largest_balance", "supply")).withColumn("exceeds_supply", F.col("largest_balance") > F.col("supply"))
 
 
 def account_profile(positions: DataFrame, k: int = 3) -> DataFrame:
     """snapshot, address: the dominant token, its share, and the k largest as text."""
-    item = F.struct((-F.coalesce("value", F.lit(0.0))).alias("v"), "token")
-    rows = positions.groupBy("snapshot", "address").agg(F.sort_array(F.collect_list(item)).alias("h"), F.sum("value").alias("total"))
+    item = F.struct((-F.coalesce(F.col("value").cast("double"), F.lit(0.0))).alias("v"), "token")
+    rows = positions.groupBy("snapshot", "address").agg(F.sort_array(F.collect_list(item)).alias("h"), F.sum("value").cast("double").alias("total"))
     first = F.col("h")[0]
     return rows.select("snapshot", "address", first["token"].alias("dominant"), F.try_divide(-first["v"], F.col("total")).alias("share"), F.array_join(F.transform(F.slice("h", 1, k), lambda x: x["token"]), "|").alias("top_tokens"))
 
@@ -130,5 +130,5 @@ def eligible(holdings: DataFrame, alias: tuple[str, str]) -> DataFrame:
 
 def weights(positions: DataFrame, keys: tuple[str, ...] = ("snapshot", "address")) -> DataFrame:
     """Positions with weight, their share of the account's value."""
-    rows = positions.filter("value > 0")
+    rows = positions.filter("value > 0").withColumn("value", F.col("value").cast("double"))
     return rows.withColumn("weight", F.col("value") / F.sum("value").over(W.partitionBy(*keys)))

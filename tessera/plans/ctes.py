@@ -25,10 +25,10 @@ CTES = {
       FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL""",
     "contracts": "SELECT 'C' || c_custkey AS address FROM customer WHERE c_mktsegment = 'MACHINERY'",
     "spot": "SELECT s.snapshot, t.token, (SELECT arg_max(close, day) FROM prices p WHERE p.token = t.token AND p.day <= DATE '1995-01-01' + s.snapshot::INTEGER) AS price FROM snaps s, (SELECT DISTINCT token FROM prices) t",
-    "positions": "SELECT b.snapshot, b.address, b.token, b.balance::DOUBLE AS balance, round(b.balance::DOUBLE * s.price, 4) AS value FROM balances b LEFT JOIN spot s ON s.snapshot = b.snapshot AND s.token = b.token WHERE b.balance > 0",
+    "positions": "SELECT b.snapshot, b.address, b.token, b.balance::DOUBLE AS balance, b.balance::DECIMAL(18,0) * s.price::DECIMAL(18,6) AS value FROM balances b LEFT JOIN spot s ON s.snapshot = b.snapshot AND s.token = b.token WHERE b.balance > 0",
     "latepos": "SELECT p.* FROM positions p WHERE snapshot IN (SELECT snapshot FROM late)",
-    "accounts": "SELECT snapshot, address, round(sum(value), 2) AS total_value, count(*) AS num_tokens FROM latepos GROUP BY ALL",
-    "folded": f"SELECT snapshot, address, CASE WHEN token = '{WRAPPED}' THEN '{NATIVE}' ELSE token END AS token, sum(balance) AS units, round(sum(value), 2) AS value FROM latepos GROUP BY ALL",
+    "accounts": "SELECT snapshot, address, round(sum(value), 2)::DOUBLE AS total_value, count(*) AS num_tokens FROM latepos GROUP BY ALL",
+    "folded": f"SELECT snapshot, address, CASE WHEN token = '{WRAPPED}' THEN '{NATIVE}' ELSE token END AS token, sum(balance) AS units, sum(value)::DOUBLE AS value FROM latepos GROUP BY ALL",
     "typed": "SELECT a.*, CASE WHEN c.address IS NULL THEN 'EOA' ELSE 'CA' END AS type FROM accounts a LEFT JOIN contracts c USING (address)",
     "daily": "SELECT event_type AS token, ts::DATE AS day, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY ALL",
     "cash": f"SELECT unnest([{names(CASH)}]) AS token",
