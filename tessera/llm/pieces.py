@@ -11,7 +11,9 @@ Null text counts as empty; an empty text has no ids. Very long parts are merged
 from __future__ import annotations
 
 import re
+from array import array
 from heapq import heapify, heappop, heappush
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Parts held in a worker's cache, and the longest part that is held.
-CACHE_PARTS, CACHE_CHARS = 400_000, 48
+CACHE_PARTS, CACHE_CHARS = 700_000, 48
 
 SCHEMA = "struct<ids: array<int>, decoded: string, n_differ: int>"
 
@@ -41,18 +43,30 @@ class PieceCoder:
         longer = [p for p in self.ids if len(p) > 1]
         joined = {c for p in longer for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
-        inside = rf"[^{MARK}{alone}]"
+        # Stops: ASCII signs that no piece holds right after a letter or digit; a part ends before one, unless a sign precedes it.
+        ahead: dict[str, set[str]] = {}
+        for p in longer:
+            for x, y in zip(p, p[1:], strict=False):
+                ahead.setdefault(y, set()).add(x)
+        stops = [c for c in map(chr, range(33, 127)) if c in joined and not c.isalnum() and not any(x.isalpha() or x.isdecimal() for x in ahead.get(c, ()))]
+        signs = "".join(sorted({re.escape(x) for c in stops for x in ahead.get(c, ()) if x != MARK}))
+        stop = "".join(map(re.escape, stops))
+        plain = f"[^{MARK}{alone}{stop}]+"
+        inside = f"(?:{plain}|(?<=[{MARK}{signs}])[{stop}])*" if stops else f"(?:{plain})?"
         #: None if some piece crosses the place before a mark: then a text is one part.
-        self.parts = None if any(re.search(f"[^{MARK}]{MARK}", p) for p in longer) else re.compile(f"{MARK}+{inside}*|{inside}+|[{alone}]" if alone else f"{MARK}+{inside}*|{inside}+")
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.parts = None if any(re.search(f"[^{MARK}]{MARK}", p) for p in longer) else re.compile(f"(?:{MARK}+|[^{MARK}{alone}]){inside}" + (f"|[{alone}]" if alone else ""))
+        self.cache: dict[str, bytes] = {}
+        #: Cached parts that decode to another text than their own.
+        self.odd: dict[str, str] = {}
 
     def merge(self, part: str) -> list[int]:
         """Ids of a part: the pair of highest score merges first, of equal ones the leftmost."""
         cost, symbols = self.cost, list(part)
         n = len(symbols)
+        agenda = [(cost[pair], i, pair) for i, pair in enumerate(map(add, symbols, symbols[1:])) if pair in cost]
+        if len(agenda) > 1:
+            heapify(agenda)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(cost[pair], i, pair) for i in range(n - 1) if (pair := symbols[i] + symbols[i + 1]) in cost]
-        heapify(agenda)
         while agenda:
             _, i, pair = heappop(agenda)
             left, j = symbols[i], after[i]
@@ -78,25 +92,26 @@ class PieceCoder:
                 out.append(self.unknown)
         return out
 
-    def learn(self, parts: list[str]) -> tuple[dict[str, tuple[bytes, str]], int]:
-        """Ids and decoded text of new parts, and how many of them the library encodes in another way."""
+    def learn(self, parts: list[str]) -> tuple[dict[str, bytes], dict[str, str], int]:
+        """Ids of new parts, decoded texts that are not their own, and how many the library encodes in another way."""
         # The library puts a mark before every text: it stands for a part's own first mark, or a line feed keeps it apart.
         asked = [p[1:].replace(MARK, " ") if p[0] == MARK else "\n" + p for p in parts]
         told = self.library.encode(asked, num_threads=1)
         texts = self.library.decode(told, num_threads=1)
-        lead = len(self.library.encode("\n"))
-        found, differ = {}, 0
-        for part, theirs, text in zip(parts, told, texts, strict=True):
-            if part[0] == MARK:
-                text = " " + text
-            else:
-                theirs, text = theirs[lead:], text[1:]
+        lead, merge = len(self.library.encode("\n")), self.merge
+        found, odd, differ = {}, {}, 0
+        for part, theirs, asked_text, text in zip(parts, told, asked, texts, strict=True):
             if part == MARK:  # a lone mark: the library encodes an empty text as nothing
-                theirs, text = self.merge(part), " "
-            elif self.merge(part) != theirs:
-                differ += 1
-            found[part] = (np.array(theirs, np.int32).tobytes(), text)
-        return found, differ
+                theirs = merge(part)
+            else:
+                if text != asked_text:
+                    odd[part] = " " + text if part[0] == MARK else text[1:]
+                if part[0] != MARK:
+                    theirs = theirs[lead:]
+                if merge(part) != theirs:
+                    differ += 1
+            found[part] = array("i", theirs).tobytes()
+        return found, odd, differ
 
     def encode(self, text: str) -> tuple[bytes, str, int]:
         """(ids as int32 bytes, decoded text, parts that differ) of a whole text."""
@@ -105,22 +120,27 @@ class PieceCoder:
         text = MARK + text.replace(" ", MARK)
         if self.parts is None:
             ids = self.library.encode(text[1:])
-            return np.array(ids, np.int32).tobytes(), self.library.decode(ids), int(self.merge(text) != ids)
+            return array("i", ids).tobytes(), self.library.decode(ids), int(self.merge(text) != ids)
         cache, differ = self.cache, 0
         parts = self.parts.findall(text)
         if new := {p for p in parts if p not in cache}:
             if len(cache) + len(new) > CACHE_PARTS:
                 cache.clear()
+                self.odd.clear()
                 new = set(parts)
-            found, differ = self.learn(list(new))
+            found, odd, differ = self.learn(list(new))
             cache.update(found)
-            rows = [cache[p] for p in parts]
-            for p in new:
-                if len(p) > CACHE_CHARS:
-                    del cache[p]
+            self.odd.update(odd)
+        ids = b"".join([cache[p] for p in parts])
+        if self.odd and not self.odd.keys().isdisjoint(parts):
+            decoded = "".join([self.odd.get(p) or p.replace(MARK, " ") for p in parts])
         else:
-            rows = [cache[p] for p in parts]
-        return b"".join([r[0] for r in rows]), "".join([r[1] for r in rows])[1:], differ
+            decoded = text.replace(MARK, " ")
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del cache[p]
+                self.odd.pop(p, None)
+        return ids, decoded[1:], differ
 
 
 _CODERS: dict[int, PieceCoder] = {}
