@@ -1 +1 @@
-
+"""Operators that take and return DataFrames."""

@@ -132,11 +132,12 @@ def forest(df: DataFrame, y: str, xs: list[str], seed: int = 7, trees: int = 20,
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    rows = VectorAssembler(inputCols=xs, outputCol="features").transform(df.select(*xs, F.col(y).cast("double").alias("label")).na.drop())
+    rows = VectorAssembler(inputCols=xs, outputCol="features").transform(df.select(*xs, F.col(y).cast("double").alias("label")).na.drop()).persist()
     held = F.pmod(F.xxhash64(*xs, "label"), F.lit(5)) == 0
     model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(rows.filter(~held))
     scored = model.transform(rows.filter(held))
     r2, mae = (RegressionEvaluator(metricName=m).evaluate(scored) for m in ("r2", "mae"))
+    rows.unpersist()
     out = [(x, float(v), float(r2), float(mae)) for x, v in zip(xs, model.featureImportances.toArray(), strict=True)]
     return model, df.sparkSession.createDataFrame(out, "feature string, importance double, r2 double, mae double")
 
@@ -146,7 +147,7 @@ def permutation_importance(model, df: DataFrame, y: str, xs: list[str], seed: in
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    rows = df.select(*xs, F.col(y).cast("double").alias("label")).na.drop()
+    rows = df.select(*xs, F.col(y).cast("double").alias("label")).na.drop().persist()
     score = lambda d: RegressionEvaluator(metricName="r2").evaluate(model.transform(VectorAssembler(inputCols=xs, outputCol="features").transform(d)))
     numbered = rows.withColumn("_n", F.row_number().over(W.orderBy(F.xxhash64(*xs, "label", F.lit(seed)), *xs, "label"))).persist()
     n, whole = numbered.count(), score(rows)
@@ -155,6 +156,7 @@ def permutation_importance(model, df: DataFrame, y: str, xs: list[str], seed: in
         moved = numbered.select(F.col(x).alias("_x"), (F.pmod(F.col("_n") + F.lit(1 + (i + 1) * (n // 3 + 1)), F.lit(n)) + 1).cast("int").alias("_n"))
         out.append((x, float(whole - score(numbered.join(moved, "_n").withColumn(x, F.col("_x"))))))
     numbered.unpersist()
+    rows.unpersist()
     return df.sparkSession.createDataFrame(out, "feature string, drop double")
 
 
@@ -168,30 +170,35 @@ def _fit_score(train: DataFrame, test: DataFrame, y: str, xs: list[str]) -> tupl
 
 
 def grouped_cv(df: DataFrame, y: str, xs: list[str], group: str, folds: int = 5) -> DataFrame:
-    """fold, n, r2: whole groups (months) fall into one fold, by hash."""
-    rows = df.withColumn("_f", F.pmod(F.crc32(F.col(group).cast("string").cast("binary")), F.lit(folds)))
+    """fold, n, r2: whole groups (months) fall into one fold, dealt in the order of their hash; one row per group is ranked."""
+    order = W.orderBy(F.crc32(F.col(group).cast("string").cast("binary")), group)
+    dealt = df.select(group).distinct().withColumn("_f", F.row_number().over(order) % folds)
+    rows = df.select(group, y, *xs).join(dealt, group).persist()  # each fold reads it several times
     out = []
     for f in range(folds):
         r2, n = _fit_score(rows.filter(F.col("_f") != f), rows.filter(F.col("_f") == f), y, xs)
         out.append((f, n, r2))
+    rows.unpersist()
     return df.sparkSession.createDataFrame(out, "fold int, n long, r2 double")
 
 
 def forward_chain(df: DataFrame, y: str, xs: list[str], year: str) -> DataFrame:
     """year, n, r2: trained on all years before, tested on the year."""
-    years = sorted(r[0] for r in df.select(year).distinct().collect())
+    rows = df.select(year, y, *xs).persist()
+    years = sorted(r[0] for r in rows.select(year).distinct().collect())
     out = []
     for t in years[1:]:
-        r2, n = _fit_score(df.filter(F.col(year) < t), df.filter(F.col(year) == t), y, xs)
+        r2, n = _fit_score(rows.filter(F.col(year) < t), rows.filter(F.col(year) == t), y, xs)
         out.append((t, n, r2))
+    rows.unpersist()
     return df.sparkSession.createDataFrame(out, f"{year} int, n long, r2 double")
 
 
 def variance_shares(df: DataFrame, key: str, y: str) -> DataFrame:
     """One row: shares of y's variance between and within groups, weighted by rows and by groups."""
-    groups = df.filter(F.col(y).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))
-    total = groups.agg(F.sum("n").alias("N"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("M"), F.avg("m").alias("G"))
-    rows = groups.crossJoin(F.broadcast(total)).agg((F.sum(F.col("n") * F.pow(F.col("m") - F.col("M"), 2)) / F.max("N")).alias("between"), (F.sum(F.col("n") * F.col("v")) / F.max("N")).alias("within"), F.avg(F.pow(F.col("m") - F.col("G"), 2)).alias("between_g"), F.avg("v").alias("within_g"))
+    groups = df.filter(F.col(y).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"))
+    total = groups.agg(F.sum("n").alias("whole"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean_rows"), F.avg("m").alias("mean_groups"))
+    rows = groups.crossJoin(F.broadcast(total)).agg((F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean_rows"), 2)) / F.max("whole")).alias("between"), (F.sum(F.col("n") * F.col("v")) / F.max("whole")).alias("within"), F.avg(F.pow(F.col("m") - F.col("mean_groups"), 2)).alias("between_g"), F.avg("v").alias("within_g"))
     b, w, bg, wg = (F.col(c) for c in ("between", "within", "between_g", "within_g"))
     return rows.select(F.try_divide(b, b + w).alias("between_rows"), F.try_divide(w, b + w).alias("within_rows"), F.try_divide(bg, bg + wg).alias("between_groups"), F.try_divide(wg, bg + wg).alias("within_groups"))
 

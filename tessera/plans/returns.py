@@ -85,10 +85,10 @@ def w13(spark, sf):
     return ranks.rolling_mean(d.daily(spark, sf), ["token"], "day", "close", 7).withColumn("mean_7", F.round("mean_7", 9))
 
 
-@query("w14_market_state", sql("prices", """SELECT token, day, round(close / lag(close, 30) OVER o - 1, 6) AS mom_30, round(close / lag(close, 90) OVER o - 1, 6) AS mom_90, CASE WHEN count(ret) OVER m = 30 THEN round(stddev(ret) OVER m * sqrt(365.0), 8) END AS vol_30, round(close / max(close) OVER y - 1, 6) AS dd_365
+@query("w14_market_state", sql("prices", """SELECT token, day, round(close / lag(close, 30) OVER o - 1, 6) AS mom_30, round(close / lag(close, 90) OVER o - 1, 6) AS mom_90, CASE WHEN count(ret) OVER m = 30 THEN round(stddev(ret) OVER m * sqrt(365.0), 4) END AS vol_30, round(close / max(close) OVER y - 1, 6) AS dd_365
   FROM (SELECT *, ln(close / lag(close) OVER (PARTITION BY token ORDER BY day)) AS ret FROM filled) WINDOW o AS (PARTITION BY token ORDER BY day), m AS (PARTITION BY token ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), y AS (PARTITION BY token ORDER BY day ROWS BETWEEN 364 PRECEDING AND CURRENT ROW)""", FILLED))
 def w14(spark, sf):
-    return r(ranks.market_state(ranks.fill_forward(d.prices(spark, sf))).drop("close"), 6)
+    return r(r(ranks.market_state(ranks.fill_forward(d.prices(spark, sf))).drop("close"), 6), 4, "vol_30")
 
 
 @query("w10_running", sql("daily", "SELECT token, day, round(sum(close) OVER w, 6) AS cum_close, round(sum(close) OVER w * 100.0 / sum(close) OVER (PARTITION BY token), 6) AS cum_pct FROM daily WINDOW w AS (PARTITION BY token ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
@@ -230,12 +230,12 @@ def p20(spark, sf):
     return r(wallets(spark, sf).groupBy("snapshot").agg(F.avg(f.alpha(F.col("ret_base"), one, F.col("market"))).alias("alpha_base"), F.avg(f.alpha(F.col("ret_equal"), one, F.col("market"))).alias("alpha_equal"), F.avg(F.col("ret_equal") - F.col("ret_base")).alias("diff")), 8)
 
 
-@query("p21_summary", over_wallets("""SELECT snapshot, strategy, size, n, round(mean, 8) AS mean, round(median, 8) AS median, round(hit_rate, 8) AS hit_rate, round(dm, 6) AS diff_mean_pp, round(dd, 6) AS diff_median_pp, CASE WHEN dm > 0 AND dd > 0 THEN 'BETTER' WHEN dm < 0 AND dd < 0 THEN 'WORSE' ELSE 'MIXED' END AS status,
+@query("p21_summary", over_wallets("""SELECT snapshot, strategy, size, n, round(mean, 7) AS mean, round(median, 9) AS median, round(hit_rate, 8) AS hit_rate, round(dm, 6) AS diff_mean_pp, round(dd, 6) AS diff_median_pp, CASE WHEN dm > 0 AND dd > 0 THEN 'BETTER' WHEN dm < 0 AND dd < 0 THEN 'WORSE' ELSE 'MIXED' END AS status,
   round(0.5 * dm + 0.3 * dd + 0.2 * (hit_rate - 0.5) * 100, 6) AS score FROM (SELECT snapshot, strategy, coalesce(size, 'ALL') AS size, count(*) AS n, avg(ret) AS mean, median(ret) AS median, avg(CASE WHEN ret > b THEN 1 ELSE 0 END) AS hit_rate, (avg(ret) - avg(b)) * 100 AS dm, (median(ret) - median(b)) * 100 AS dd
   FROM (SELECT snapshot, size, 'base' AS strategy, ret_base AS ret, ret_base AS b FROM outcomes UNION ALL SELECT snapshot, size, 'equal', ret_equal, ret_base FROM outcomes) WHERE ret IS NOT NULL AND b IS NOT NULL GROUP BY GROUPING SETS ((snapshot, strategy, size), (snapshot, strategy)))"""))
 def p21(spark, sf):
     rows = f.summary(wallets(spark, sf), ["base", "equal"], "base", ["size"])
-    return r(rows.withColumns({c: F.round(c, 8) for c in ("mean", "median", "hit_rate")}), 6, "diff_mean_pp", "diff_median_pp", "score")
+    return r(rows.withColumns({c: F.round(c, k) for c, k in (("mean", 7), ("median", 9), ("hit_rate", 8))}), 6, "diff_mean_pp", "diff_median_pp", "score")
 
 
 @query("p23_zero_distance", over_wallets("SELECT count(*) AS n, count(*) FILTER (l1 = 0) AS zero_l1, count(*) FILTER (hhi = 0) AS zero_hhi, count(*) FILTER (l1 <= 1e-6) AS near_l1, count(*) FILTER (hhi <= 1e-6) AS near_hhi, count(*) FILTER (l1 = 0 AND hhi = 0) AS all_zero FROM outcomes"))
@@ -293,10 +293,10 @@ def a20(spark, sf):
     return rows.withColumn("cagr", F.round("cagr", 4)).withColumn("per_year", F.round("per_year", 6))
 
 
-@query("a21_monthly", sql("prices", "SELECT token, strftime(day, '%Y-%m') AS month, round(sum(close::DECIMAL(18,6))::DOUBLE / count(*), 9) AS mean, median(close) AS median, count(*) AS n FROM prices GROUP BY token, month"))
+@query("a21_monthly", sql("prices", "SELECT token, strftime(day, '%Y-%m') AS month, round(sum(close::DECIMAL(18,6))::DOUBLE / count(*), 3) AS mean, median(close) AS median, count(*) AS n FROM prices GROUP BY token, month"))
 def a21(spark, sf):
     exact = d.prices(spark, sf).withColumn("close", F.col("close").cast("decimal(18,6)"))
-    return panels.monthly(exact, ["token"], "day", "close").withColumn("mean", F.round("mean", 9))
+    return panels.monthly(exact, ["token"], "day", "close").withColumn("mean", F.round("mean", 3))
 
 
 @query("a22_daily_close", sql("daily", "SELECT * FROM daily"))

@@ -1 +1 @@
-
+"""Sources, sinks and the domain views."""

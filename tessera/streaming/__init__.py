@@ -1 +1 @@
-
+"""Nothing here streams: the pipelines this library covers are batch jobs without watermarks, triggers or state."""
