@@ -88,7 +88,7 @@ def w13(spark, sf):
 @query("w14_market_state", sql("prices", """SELECT token, day, round(close / lag(close, 30) OVER o - 1, 6) AS mom_30, round(close / lag(close, 90) OVER o - 1, 6) AS mom_90, CASE WHEN count(ret) OVER m = 30 THEN round(stddev(ret) OVER m * sqrt(365.0), 4) END AS vol_30, round(close / max(close) OVER y - 1, 6) AS dd_365
   FROM (SELECT *, ln(close / lag(close) OVER (PARTITION BY token ORDER BY day)) AS ret FROM filled) WINDOW o AS (PARTITION BY token ORDER BY day), m AS (PARTITION BY token ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), y AS (PARTITION BY token ORDER BY day ROWS BETWEEN 364 PRECEDING AND CURRENT ROW)""", FILLED))
 def w14(spark, sf):
-    return r(r(ranks.market_state(ranks.fill_forward(d.prices(spark, sf))).drop("close"), 6), 4, "vol_30")
+    return r(r(ranks.market_state(ranks.fill_forward(d.prices(spark, sf))).drop("close"), 6, "mom_30", "mom_90", "dd_365"), 4, "vol_30")
 
 
 @query("w10_running", sql("daily", "SELECT token, day, round(sum(close) OVER w, 6) AS cum_close, round(sum(close) OVER w * 100.0 / sum(close) OVER (PARTITION BY token), 6) AS cum_pct FROM daily WINDOW w AS (PARTITION BY token ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
