@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import collected
+
 SLOTS = 1 << 18
 #: Labelled rows of each class that the fit uses at most.
 SAMPLE = 1500
@@ -153,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "t
     """Weights, bias and calibration, fitted on a bounded sample of labelled rows."""
     none = {"weights": np.zeros(SLOTS, np.float32), "bias": 9.0, "slope": 1.0, "shift": 0.0}
     featured = F.arrow_udf(features, "struct<at: array<int>, value: array<float>>")
-    rows = labelled(docs, labels, "quality", sample, text, key).select("y", "h", featured("text").alias("f")).select("y", "h", "f.at", "f.value").toArrow().sort_by([("h", "ascending")])
+    rows = labelled(docs, labels, "quality", sample, text, key).select("y", "h", featured("text").alias("f")).select("y", "h", "f.at", "f.value")
+    rows = collected(rows).sort_by([("h", "ascending")])
     y = rows["y"].to_numpy().astype(np.float64)
     if len(set(y.tolist())) < 2:
         return none
@@ -174,6 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "t
         w, bias = w - 0.7 * g / np.sqrt(seen), bias - 0.3 * error.sum() / np.sqrt(seen_bias)
     raw = bias + np.bincount(row, w[at] * value, n)
     slope, shift = calibrate(raw[held], y[held]) if held.any() else (1.0, 0.0)
+    del rows, at, value, row
+    pa.default_memory_pool().release_unused()
     return {"weights": w.astype(np.float32), "bias": float(bias), "slope": slope, "shift": shift}
 
 
