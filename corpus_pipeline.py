@@ -9,7 +9,6 @@ mix takes them, and the last stage adds each text's ids, decoded text and counts
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, pieces, pii, quality, queries, simhash
@@ -23,14 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies; of repeated rows of that id, one."""
-    groups = simhash.near_duplicates(docs)
-    # One key for ids and for no id, so that the window and the join share one shuffle of the texts; the ids are
-    # merged, not broadcast, as their number grows with the input.
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component"))).select(key.alias("_key")).distinct()
-    once = docs.withColumn("_key", key).withColumn("_n", F.row_number().over(W.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))))
-    return once.filter("_n = 1").join(kept.hint("merge"), "_key", "left_semi").select(*docs.columns)
+    """One row of each group of near copies: the one with the least id, whatever ids the rows share or lack."""
+    return simhash.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import saved
@@ -153,6 +154,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return marked.join(rooted.join(named, "root").select("fp", "component"), "fp").select(key, "fp", "component")
 
 
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = 4, seed: int = 42, block: int = BLOCK) -> DataFrame:
+    """docs with one row of each group of near copies: the one with the least id, null last, then the least hash.
+
+    Groups are of fingerprints, so rows that share an id, or have none, stay apart if their texts do. A row is known
+    by 128 bits of hash over its values and its nulls; of rows that are equal throughout, one stays.
+    """
+    values = [*map(F.col, docs.columns), *[F.col(c).isNull() for c in docs.columns]]
+    hashes = [F.xxhash64(F.lit(i), *values).alias(name) for i, name in enumerate(("_a", "_b"))]
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), *hashes)
+    marked = saved(docs.select(row.alias("row"), fingerprint(docs[text], width, seed).alias("fp")), "fingerprints")
+    distinct = marked.groupBy("fp").agg(F.min("row").alias("row"))
+    roots = components(links(distinct.select("fp"), radius, block)).withColumnRenamed("node", "fp")
+    kept = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row")).select("row._a", "row._b")
+    # The window and the join share one shuffle of the texts; the hashes are merged, not broadcast, as their number
+    # grows with the input.
+    once = docs.select("*", *hashes).withColumn("_n", F.row_number().over(W.partitionBy("_a", "_b").orderBy(F.lit(0)))).filter("_n = 1")
+    return once.join(kept.hint("merge"), ["_a", "_b"], "left_semi").select(*docs.columns)
+
+
 def as_hex(fp: Column) -> Column:
     """16 lower-case hexadecimal digits of a fingerprint."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -291,6 +291,15 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     assert all(abs(times.get(i, 0) - x) <= 0.5 for i, x in taken.items()) and mixed.columns == docs.columns
 
 
+def test_near_dedup_keeps_groups_that_share_or_lack_an_id(spark):
+    rng = np.random.default_rng(11)
+    a, b, c, d, e = (" ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(5))
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "y"), (None, c, "x"), (4, c, "x"), (7, d, "x"), (7, e, "x"), (8, d, "x"), (7, e, "x"), (9, None, "w"), (9, "w", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=repr) == sorted([(None, a), (None, b), (4, c), (7, d), (7, e), (9, None), (9, "w")], key=repr)
+
+
 def test_pipeline_of_odd_and_empty_tables(spark, odd, nothing, labels, tmp_path):
     folder = str(tmp_path)
     labels.write.parquet(f"{folder}/labels.parquet")
