@@ -3,8 +3,9 @@
 High-recall generators propose spans that may overlap: the fixed patterns (their checked matches are base spans,
 which always stay), and wider ones for numbers in telephone form and for addresses with a disguised "at" or
 "dot". Boosted trees score the wider candidates by format (digits, separators, brackets, length, checksum) and
-context (neighbouring characters, cue words). Spark counts all candidates by combination of features and by
-whether a checked span of their kind meets them; the trees are fitted on that table, whose size the number of
+context (neighbouring characters, cue words); a disguised "at" or "dot" counts as its sign. Spark counts all
+candidates by combination of features and by whether a checked span of their kind meets them, save
+addresses in disguise, which no check can confirm: they are scored like plain ones of their shape. The trees are fitted on that table, whose size the number of
 feature values bounds (``COMBOS`` at most), calibrated on a fifth of the documents, and become SQL expressions.
 Candidates at or above the threshold join the spans unless they overlap a base span.
 
@@ -33,6 +34,8 @@ WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++){0,8}",
     "phone": r"(?<![0-9])\+?\(?[0-9](?:[\x20().-]{0,3}[0-9]){6,24}+",
 }
+#: Disguised signs, with the spaces about them, and what they stand for.
+DISGUISES = {r"\x20?[(\[]at[)\]]\x20?": "@", r"\x20?[(\[]dot[)\]]\x20?": "."}
 #: What a text must hold for any pattern to match.
 ANY = r"[0-9@]|[\[(]at[\])]"
 CONTEXT = 12
@@ -42,7 +45,7 @@ COMBOS = 4096
 ROUNDS, DEPTH, RATE = 16, 3, 0.4
 #: Calibrated probability from which a candidate is redacted.
 REDACT_AT = 0.9
-FEATURES = ["kind", "digits", "length", "dashes", "dots", "spaces", "brackets", "disguise", "checksum", "before", "after", "cue"]
+FEATURES = ["kind", "digits", "length", "dashes", "dots", "spaces", "brackets", "checksum", "before", "after", "cue"]
 
 _ITEM = "struct<start: int, end: int, match: string, before: string, after: string>"
 
@@ -124,8 +127,8 @@ def _few(count: Column, most: int) -> Column:
 
 
 def described(kind: str, x: Column) -> Column:
-    """A candidate with its features, all small whole numbers."""
-    m = x["match"]
+    """A candidate with its features, all small whole numbers, and whether it is in disguise what its kind's pattern takes."""
+    m = x["plain"]
     number = digits(m)
 
     def times(pattern: str, most: int) -> Column:
@@ -139,18 +142,28 @@ def described(kind: str, x: Column) -> Column:
         "dots": times(r"\.", 4),
         "spaces": times(" ", 4),
         "brackets": times(r"[()]", 2),
-        "disguise": F.when(m.rlike(r"[(\[](at|dot)[)\]]"), 1).otherwise(0),
         "checksum": F.when(F.length(number).between(12, 19), F.when(luhn(number), 2).otherwise(1)).otherwise(0),
         "before": _side(x["before"], r"(?s).$"),
         "after": _side(x["after"], r"(?s)^."),
         "cue": F.when(x["before"].rlike(r"(?i)(tel|phone|call|fax|mobile|mail|contact)[^a-z0-9]*$"), 1).otherwise(0),
     }
-    return F.struct(F.lit(kind).alias("name"), x["start"].alias("start"), x["end"].alias("end"), *[values[f].cast("int").alias(f) for f in FEATURES])
+    return F.struct(F.lit(kind).alias("name"), x["start"].alias("start"), x["end"].alias("end"), ((m != x["match"]) & m.rlike(PATTERNS[kind])).alias("disguised"), *[values[f].cast("int").alias(f) for f in FEATURES])
 
 
 def candidates(text: Column) -> Column:
     """All proposals of the wider generators, with their features."""
-    return F.concat(*[F.transform(located(text, p), _describer(kind)) for kind, p in WIDE.items()])
+    return F.concat(*[F.transform(F.transform(located(text, p), _plain(kind)), _describer(kind)) for kind, p in WIDE.items()])
+
+
+def undisguised(match: Column) -> Column:
+    """A match with its disguised signs as plain ones."""
+    for pattern, sign in DISGUISES.items():
+        match = F.regexp_replace(match, pattern, sign)
+    return match
+
+
+def _plain(kind: str):
+    return lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "match", "before", "after")], (undisguised(x["match"]) if kind == "email" else x["match"]).alias("plain"))
 
 
 def _describer(kind: str):
@@ -246,10 +259,10 @@ def platt(scores: list[float], n: list[float], y: list[float]) -> tuple[float, f
 
 
 def fit(docs: DataFrame, text: str = "text") -> dict | None:
-    """Trees and calibration from all candidates of docs; None if none of them is positive."""
+    """Trees and calibration from all candidates of docs that a check can judge; None if none of them is positive."""
     fold = F.pmod(F.xxhash64(F.col(text), F.lit(3)), F.lit(5)) == 0
     some = prepared(docs.select(text), text).filter("_wide IS NOT NULL").select(fold.alias("held"), F.transform("_wide", _marked(F.col("_base"))).alias("c"))
-    rows = some.select("held", F.explode("c").alias("c")).select("held", "c.y", "c.c.*")
+    rows = some.select("held", F.explode("c").alias("c")).select("held", "c.y", "c.c.*").filter("NOT disguised")
     counted = rows.groupBy("held", *FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
     table = [((*(r[f] for f in FEATURES),), r.held, float(r.n), float(r.y)) for r in counted.orderBy(F.desc("n"), "held", *FEATURES).limit(COMBOS).collect()]
     learn = [(x, n, y) for x, held, n, y in table if not held]

@@ -103,6 +103,19 @@ def test_pii_model_adds_likely_spans_and_redacts(spark):
     assert clean[7] == "Call me: <PHONE> or write to <EMAIL> today, room 7" and "<PHONE>" in clean[999]
 
 
+@pytest.mark.parametrize("share", [10, 2])
+def test_pii_adds_disguised_addresses_however_common(spark, share):
+    def row(i):
+        at, dot = (" (at) ", [" (dot) ", "[dot]"][i // share % 2]) if i % share == 0 else ("@", ".")
+        return i, f"Please write to user{i}{at}mail{dot}example{dot}com today, or look for me @ home or {i % 7}[at]x, room {i}"
+
+    rows = [row(i) for i in range(600)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in found:
+        address = re.search(r"user.*?com", r.text)
+        assert [(s.kind, s.start, s.end, s.base) for s in r.pii] == [("email", *address.span(), r.doc_id % share > 0)]
+
+
 def test_pii_plan_has_no_python(spark, sf):
     model = {"prior": 0.0, "trees": [{"leaf": 1.0}], "slope": 1.0, "shift": 0.0}
     plan = pii.find(spark.read.parquet(f"{sf}/documents.parquet"), model=model)._jdf.queryExecution().executedPlan().toString()
