@@ -15,6 +15,7 @@ first language in code-point order. Without a training row every text gets ``und
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -31,6 +32,8 @@ SAMPLE = 150
 LENGTH, RUN = 64, 16
 #: Words whose emissions a worker holds, and words that go through forward-backward together.
 CACHE_WORDS, TOGETHER = 400_000, 400_000
+#: Characters of the words that a worker holds; longer ones are worked out anew in each batch. N-grams handled at a time.
+CACHE_CHARS, PART = 48, 1 << 16
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -41,17 +44,24 @@ SCHEMA = "struct<lang: string, score: double>"
 
 def slots(word: str) -> list[int]:
     """Slots of a word's lexicon, affix and n-gram features; none for a word without letters."""
-    word = word.strip(_ENDS)[:48]
+    return [s for part in parts(word) for s in part]
+
+
+def parts(word: str) -> Iterator[list[int]]:
+    """The slots of a word of any length, in lists of bounded size."""
+    word = word.strip(_ENDS)
     if not _LETTER.search(word):
-        return []
-    found = ["w" + word, *("p" + word[:n] for n in (1, 2, 3)), *("s" + word[-n:] for n in (1, 2, 3)), *("g" + word[i : i + 3] for i in range(len(word) - 2))]
-    return [crc32(f.encode("utf-8", "replace")) % SLOTS for f in found]
+        return
+    for at in range(0, len(word), PART):
+        found = ["w" + word, *("p" + word[:n] for n in (1, 2, 3)), *("s" + word[-n:] for n in (1, 2, 3))] if at == 0 else []
+        found += ["g" + word[i : i + 3] for i in range(at, min(at + PART, len(word) - 2))]
+        yield [crc32(f.encode("utf-8", "replace")) % SLOTS for f in found]
 
 
 def spread(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(slot, word's number) of every feature of the words."""
-    each = [slots(w) for w in words]
-    return np.array([s for x in each for s in x], np.int64), np.repeat(np.arange(len(words)), [len(x) for x in each])
+    each = [np.array(slots(w), np.int64) for w in words]
+    return np.concatenate([np.zeros(0, np.int64), *each]), np.repeat(np.arange(len(words)), [len(x) for x in each])
 
 
 def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
@@ -62,6 +72,18 @@ def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     return out / np.sqrt(np.maximum(n, 1))[:, None]
 
 
+def long_emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
+    """What emissions gives, part by part, so that words of any length take bounded memory."""
+    out = np.zeros((len(words), weights.shape[1]))
+    for i, word in enumerate(words):
+        n = 0
+        for part in parts(word):
+            out[i] += weights[part].sum(axis=0, dtype=np.float64)
+            n += len(part)
+        out[i] /= np.sqrt(max(n, 1))
+    return out
+
+
 def messages(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(forward, backward, scaled emission) of every word, over many texts at once.
 
@@ -185,9 +207,15 @@ class Labeller:
     def probabilities(self, texts: list[list[str]]) -> list[np.ndarray]:
         """Label probabilities of the words of each non-empty text."""
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        self.learn(set().union(*texts))
-        places = self.places
-        emission = self.held[np.array([places[w] for i in order for w in texts[i]])].astype(np.float64)
+        words = set().union(*texts)
+        long = sorted(w for w in words if len(w) > CACHE_CHARS)
+        self.learn(words.difference(long))
+        places, held = self.places, self.held
+        if long:
+            n = len(places)
+            held = np.concatenate([held[:n], long_emissions(long, self.model["weights"]).astype(np.float32)])
+            places = places | dict(zip(long, range(n, n + len(long)), strict=True))
+        emission = held[np.array([places[w] for i in order for w in texts[i]])].astype(np.float64)
         lengths = np.array([len(texts[i]) for i in order])
         p = posteriors(emission, lengths, self.model["start"], self.model["move"])
         out: list = [None] * len(texts)

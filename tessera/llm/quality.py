@@ -12,6 +12,7 @@ both classes the model's verdict is "keep" and the base rules alone decide. Equa
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -30,15 +31,22 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 #: Words whose weight a worker holds.
 CACHE_WORDS = 400_000
+#: Bytes of the longest words among them. N-grams handled at a time.
+CACHE_BYTES, PART = 64, 1 << 16
 
 SCHEMA = "struct<n_words: long, word_chars: long, n_symbols: long, n_dup_lines: long, n_repeat_words: long, base_failed: boolean, probability: double, kept: boolean>"
 
 
 def slots(word: bytes) -> list[int]:
     """Slots of a word and of its character 3- and 4-grams, with its ends marked."""
-    marked = b"<" + word[:64] + b">"
-    grams = [marked[i : i + n] for n in (3, 4) for i in range(len(marked) - n + 1)]
-    return [crc32(b"w" + word) % SLOTS, *(crc32(g) % SLOTS for g in grams)]
+    return [crc32(b"w" + word) % SLOTS, *(g for part in grams_of(word) for g in part)]
+
+
+def grams_of(word: bytes) -> Iterator[list[int]]:
+    """Slots of the n-grams of a word of any length, in lists of bounded size."""
+    marked = b"<" + word + b">"
+    for at in range(0, len(marked), PART):
+        yield [crc32(marked[i : i + n]) % SLOTS for n in (3, 4) for i in range(at, min(at + PART, len(marked) - n + 1))]
 
 
 class _Weights(dict):
@@ -49,12 +57,13 @@ class _Weights(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
-        own, *grams = slots(word)
-        w = self.weights
-        value = float(w[own]) + float(w[grams].sum()) / max(len(grams), 1)
+        w, total, n = self.weights, 0.0, 0
+        for grams in grams_of(word):
+            total, n = total + float(w[grams].sum()), n + len(grams)
+        value = float(w[crc32(b"w" + word) % SLOTS]) + total / max(n, 1)
         if len(self) >= CACHE_WORDS:
             self.clear()
-        if len(word) <= 64:
+        if len(word) <= CACHE_BYTES:
             self[word] = value
         return value
 

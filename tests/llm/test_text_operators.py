@@ -57,6 +57,27 @@ def test_language_of_odd_texts(spark, odd, nothing):
     assert language.identify(nothing, model).count() == 0
 
 
+def test_language_sees_all_of_a_long_word():
+    weights = np.random.default_rng(2).normal(size=(language.SLOTS, 3)).astype(np.float32)
+    own = language.Labeller({"names": ["a", "b", "c"], "weights": weights, "start": np.zeros(3), "move": np.zeros((3, 3))})
+    word = "7" * 60 + "日本語の文" * 30_000 + "xyz"
+    features = ["w" + word, "p7", "p77", "p777", "sz", "syz", "sxyz", *("g" + word[i : i + 3] for i in range(len(word) - 2))]
+    emission = sum(weights[language.crc32(f.encode()) % language.SLOTS].astype(float) for f in features) / np.sqrt(len(features))
+    want = np.exp(emission - emission.max())
+    assert np.allclose(own.probabilities([[word]])[0][0], want / want.sum(), atol=1e-5) and word not in own.places
+    assert np.allclose(language.emissions([word, "no"], weights)[0], emission) and language.slots("7" * 48 + "abc")
+
+
+def test_quality_sees_all_of_a_long_word():
+    word = "日本語の文".encode() * 10_000
+    marked = b"<" + word + b">"
+    weights = np.random.default_rng(2).normal(size=quality.SLOTS).astype(np.float32)
+    grams = [quality.crc32(marked[i : i + n]) % quality.SLOTS for n in (3, 4) for i in range(len(marked) - n + 1)]
+    want = weights[quality.crc32(b"w" + word) % quality.SLOTS] + weights[grams].mean(dtype=float)
+    held = quality._Weights(weights)
+    assert held[word] == pytest.approx(want, rel=1e-4) and word not in held and sorted(quality.slots(word)[1:]) == sorted(grams)
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines, seen, dup = (text or "").split("\n"), set(), 0
