@@ -1,9 +1,9 @@
 """Secret scan: fixed patterns, and sliding-window Shannon entropy per character class with an allow-list.
 
-Candidate strings are runs of token characters. A window of ``WINDOW`` characters slides over each; its counts
+Candidate strings are runs of token characters, cut at stretches on the allow-list. A window of ``WINDOW`` characters slides over each; its counts
 change by one character in and one out, so a step costs the same at any width. Windows whose entropy reaches
-the threshold of the string's character class join into a span. Strings on the allow-list, and windows without
-both a letter and a digit, give none; nor do spans inside a base span.
+the threshold of their own character class join into a span. Windows without both a letter and a digit give none;
+nor do spans inside a base span.
 
 Null text counts as empty: no spans. Equal texts give equal spans. Text of any length is scanned in one pass.
 """
@@ -28,44 +28,76 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
 WINDOW = 20
-#: Bits a character that a window must reach, by character class: of the class's log2 size, some four fifths.
-CLASSES = [("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 3.0), ("word", re.compile(r"[a-z0-9_-]+|[A-Z0-9_-]+"), 3.4), ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 3.6)]
-#: Strings that look random and are no secrets: numbers, identifiers in UUID form, published example keys, alphabets and dates.
-ALLOWED = re.compile(r"[0-9_=+/-]+|[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|.*EXAMPLE.*|.*(abcdefgh|ABCDEFGH|01234567).*|[0-9]{4}-[0-9]{2}-[0-9]{2}.*", re.DOTALL)
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Bits a character that a window must reach, by the class of its characters: of the class's log2 size, some four fifths.
+CLASSES = [("hex", (_DIGITS + "abcdef", _DIGITS + "ABCDEF"), 3.0), ("word", (_LOWER + _DIGITS + "_-", _UPPER + _DIGITS + "_-"), 3.4), ("base64", (_LOWER + _UPPER + _DIGITS + "+/_=-",), 3.6)]
+
+
+def _rising(run: str, least: int = 8) -> str:
+    """A pattern of the run's first characters, least of them or more."""
+    more = run[least:]
+    return run[:least] + "".join("(?:" + c for c in more) + ")?" * len(more)
+
+
+#: Stretches that look random and are no secrets: identifiers in UUID form, published example keys, alphabets and a leading date.
+#: No window covers one; what is left on each side of it is scanned.
+ALLOWED = re.compile("|".join([r"(?<![0-9a-f])[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}(?![0-9a-f])", r"wJalrXUtnFEMI/K7MDENG/bPxRfiCYz?EXAMPLEKEY", "EXAMPLE", *map(_rising, (_LOWER, _UPPER, _DIGITS)), r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}"]))
 
 _GAIN = [0.0, *(c * log2(c) for c in range(1, WINDOW + 1))]
 
 
+def _lanes(c: str) -> int:
+    """16 bits each: whether a character is outside the four small sets of CLASSES, a digit, a letter."""
+    outside = [c not in chars for _, sets, _ in CLASSES[:2] for chars in sets]
+    return sum(int(x) << 16 * i for i, x in enumerate([*outside, c.isdigit(), c.isalpha()]))
+
+
+_LANES = {c: _lanes(c) for c in CLASSES[2][1][0]}
+_LANE = (1 << 16) - 1
+
+
+def _least(mix: int) -> float:
+    """Bits that a window must reach, from the sums of its characters' lanes."""
+    if not mix & _LANE or not mix >> 16 & _LANE:
+        return CLASSES[0][2]
+    return CLASSES[1][2] if not mix >> 32 & _LANE or not mix >> 48 & _LANE else CLASSES[2][2]
+
+
 def entropy_spans(text: str, window: int = WINDOW) -> list[tuple[int, int, float]]:
     """(start, end, greatest entropy) of the high-entropy stretches of a text's candidate strings."""
     gain = _GAIN if window == WINDOW else [0.0, *(c * log2(c) for c in range(1, window + 1))]
-    out = []
+    out: list[tuple[int, int, float]] = []
     for m in CANDIDATE.finditer(text):
-        s, at = m[0], m.start()
-        if len(s) < window or ALLOWED.fullmatch(s):
+        begin = m.start()
+        for allowed in ALLOWED.finditer(m[0]):
+            out += _stretches(text[begin : m.start() + allowed.start()], begin, window, gain)
+            begin = m.start() + allowed.end()
+        out += _stretches(text[begin : m.end()], begin, window, gain)
+    return out
+
+
+def _stretches(s: str, at: int, window: int, gain: list[float]) -> list[tuple[int, int, float]]:
+    """The high-entropy stretches of a string of token characters that starts at a place of a text."""
+    out: list[tuple[int, int, float]] = []
+    if len(s) < window:
+        return out
+    counts: dict[str, int] = {}
+    total, mix = 0.0, 0
+    for i, c in enumerate(s):
+        if i >= window:
+            old = s[i - window]
+            n = counts[old]
+            counts[old], total, mix = n - 1, total + gain[n - 1] - gain[n], mix - _LANES[old]
+        n = counts.get(c, 0)
+        counts[c], total, mix = n + 1, total + gain[n + 1] - gain[n], mix + _LANES[c]
+        if i < window - 1:
             continue
-        least = next(bits for _, pattern, bits in CLASSES if pattern.fullmatch(s))
-        counts: dict[str, int] = {}
-        total, digits, letters, open_at, best = 0.0, 0, 0, -1, 0.0
-        for i, c in enumerate(s):
-            n = counts.get(c, 0)
-            counts[c], total = n + 1, total + gain[n + 1] - gain[n]
-            digits, letters = digits + c.isdigit(), letters + c.isalpha()
-            if i >= window:
-                old = s[i - window]
-                n = counts[old]
-                counts[old], total = n - 1, total + gain[n - 1] - gain[n]
-                digits, letters = digits - old.isdigit(), letters - old.isalpha()
-            if i >= window - 1:
-                bits = log2(window) - total / window
-                if bits >= least - 1e-9 and digits and letters:
-                    begin = i - window + 1
-                    if open_at >= 0 and begin <= out[-1][1] - at:
-                        best = max(best, bits)
-                        out[-1] = (at + open_at, at + i + 1, best)
-                    else:
-                        open_at, best = begin, bits
-                        out.append((at + begin, at + i + 1, bits))
+        bits, begin = log2(window) - total / window, at + i - window + 1
+        if bits >= _least(mix) - 1e-9 and mix >> 64 & _LANE and mix >> 80 & _LANE:
+            if out and begin <= out[-1][1]:
+                out[-1] = (out[-1][0], at + i + 1, max(out[-1][2], bits))
+            else:
+                out.append((begin, at + i + 1, bits))
     return out
 
 
