@@ -9,7 +9,8 @@ over its whole text; the text's language is the one with the greatest mean proba
 The training sample is about ``SAMPLE`` documents of each language, chosen by hash of the id.
 
 Null text and text without a letter get ``und`` and score 0. Equal texts get equal results. Equal means go to the
-first language in code-point order. Without a training row every text gets ``und``.
+first language in code-point order. Without a training row every text gets ``und``. An empty table gives an empty
+one. Other columns stay, but for one that has the result's name, which the result replaces.
 """
 
 from __future__ import annotations
@@ -36,12 +37,17 @@ CACHE_WORDS, TOGETHER = 400_000, 400_000
 CACHE_CHARS, PART = 48, 1 << 16
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
 _ENDS = ".,;:!?()[]\"'|*#$%&"
 
 SCHEMA = "struct<lang: string, score: double>"
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter; signs such as a half or a superscript are numbers."""
+    return any(m[0].isalpha() for m in _LETTER_OR_NUMBER.finditer(text))
+
+
 def slots(word: str) -> list[int]:
     """Slots of a word's lexicon, affix and n-gram features; none for a word without letters."""
     return [s for part in parts(word) for s in part]
@@ -50,7 +56,7 @@ def slots(word: str) -> list[int]:
 def parts(word: str) -> Iterator[list[int]]:
     """The slots of a word of any length, in lists of bounded size."""
     word = word.strip(_ENDS)
-    if not _LETTER.search(word):
+    if not has_letter(word):
         return
     for at in range(0, len(word), PART):
         found = ["w" + word, *("p" + word[:n] for n in (1, 2, 3)), *("s" + word[-n:] for n in (1, 2, 3))] if at == 0 else []
@@ -238,7 +244,7 @@ class Labeller:
             held.clear()
 
         for i, text in enumerate(texts):
-            if names and text and _LETTER.search(text):
+            if names and text and has_letter(text):
                 held.append((i, text.lower().split()))
                 total += len(held[-1][1])
                 if total >= TOGETHER:
