@@ -2,10 +2,12 @@
 
 A text is normalised as the model asks (a leading space mark, spaces become marks), cut at places that no
 vocabulary piece crosses, and each part is merged with a score-ordered agenda of adjacent symbol pairs.
-Every part that a worker has not met before is checked against the sentencepiece library; where the two
-differ, the library's ids stand and the difference is counted.
+The ids are the agenda's. Every part that a worker has not met before is encoded by the sentencepiece library
+too: ``n_differ`` counts the parts of a text, new to its worker, whose ids are not the library's. The library decodes the agenda's ids.
 
-Null text counts as empty; an empty text has no ids. Very long parts are merged in full but not cached.
+Null text counts as empty; an empty text has no ids. Very long parts are merged in full but not cached. Equal
+texts, repeated rows among them, get equal ids; an empty table gives an empty one. Other columns stay, but for one
+that has the result's name, which the result replaces.
 """
 
 from __future__ import annotations
@@ -97,20 +99,16 @@ class PieceCoder:
         # The library puts a mark before every text: it stands for a part's own first mark, or a line feed keeps it apart.
         asked = [p[1:].replace(MARK, " ") if p[0] == MARK else "\n" + p for p in parts]
         told = self.library.encode(asked, num_threads=1)
-        texts = self.library.decode(told, num_threads=1)
-        lead, merge = len(self.library.encode("\n")), self.merge
+        line, merge = self.library.encode("\n"), self.merge
+        ours = [merge(p) if p[0] == MARK else line + merge(p) for p in parts]
+        texts = self.library.decode(ours, num_threads=1)
         found, odd, differ = {}, {}, 0
-        for part, theirs, asked_text, text in zip(parts, told, asked, texts, strict=True):
-            if part == MARK:  # a lone mark: the library encodes an empty text as nothing
-                theirs = merge(part)
-            else:
+        for part, own, theirs, asked_text, text in zip(parts, ours, told, asked, texts, strict=True):
+            if part != MARK:  # a lone mark: the library encodes an empty text as nothing
+                differ += own != theirs
                 if text != asked_text:
                     odd[part] = " " + text if part[0] == MARK else text[1:]
-                if part[0] != MARK:
-                    theirs = theirs[lead:]
-                if merge(part) != theirs:
-                    differ += 1
-            found[part] = array("i", theirs).tobytes()
+            found[part] = array("i", own if part[0] == MARK else own[len(line) :]).tobytes()
         return found, odd, differ
 
     def encode(self, text: str) -> tuple[bytes, str, int]:
@@ -119,8 +117,8 @@ class PieceCoder:
             return b"", "", 0
         text = MARK + text.replace(" ", MARK)
         if self.parts is None:
-            ids = self.library.encode(text[1:])
-            return array("i", ids).tobytes(), self.library.decode(ids), int(self.merge(text) != ids)
+            ids = self.merge(text)
+            return array("i", ids).tobytes(), self.library.decode(ids), int(self.library.encode(text[1:].replace(MARK, " ")) != ids)
         cache, differ = self.cache, 0
         parts = self.parts.findall(text)
         if new := {p for p in parts if p not in cache}:
