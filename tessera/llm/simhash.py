@@ -10,7 +10,11 @@ pairs of blocks, so no task holds an unbounded group, and each block pair yields
 links, not all pairs. A link counts in the first table in which its two fingerprints meet.
 
 Null and empty texts have the fingerprint zero and link like any other. Repeated rows share a fingerprint
-and a component. A null id never becomes a component's id unless all its ids are null.
+and a component. A null id never becomes a component's id unless all its ids are null. An empty table gives an
+empty one. Texts of any length are read whole. Only the key and the text are read, so other columns can't clash.
+
+Small sides of joins are written before they are joined, so that Spark can split the partition of a hot key (a
+fingerprint that a third of all rows share, the root of a large component) among tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import saved
+from tessera.llm.common import fresh, saved
 
 BITS = 64
 #: Fingerprints of a table's group that are compared in one task, in expectation.
@@ -41,7 +45,35 @@ def fingerprint_of(text: bytes, width: int = 4, seed: int = 42) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+    return _majority(hashes)
+
+
+def fingerprint(text: Column, width: int = 4, seed: int = 42) -> Column:
+    """Fingerprint column (signed long) of a text column."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint_of(t.as_py() or b"", width, seed) for t in texts.cast(pa.binary())], pa.int64())
+
+    return run(text)
+
+
+#: Independent fingerprints of word pairs that find near copies, and the differing bits of five-word shingles'
+#: fingerprints up to which they count as such: shingles of a similarity of 0.8 or more differ in so many bits or fewer in 19 cases of 20.
+SEEDS, SHINGLE_BITS = 5, 14
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values with each bit spread over all others."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, as a signed long."""
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
@@ -49,12 +81,35 @@ def fingerprint_of(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprint(text: Column, width: int = 4, seed: int = 42) -> Column:
-    """Fingerprint column (signed long) of a text column."""
+def sketch_of(text: bytes) -> list[int]:
+    """A text's fingerprints of word pairs, one for each seed, then that of its five-word shingles; zeros without words."""
+    words = text.lower().split()
+    if not words:
+        return [0] * (SEEDS + 1)
+    known: dict[bytes, int] = {}
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w, 42)
+    own = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
-    @F.arrow_udf("long")
+    def shingles(width: int) -> np.ndarray:
+        width = min(width, len(own))
+        out = np.zeros(len(own) - width + 1, np.uint64)
+        for i in range(width):
+            out = _mixed(out * _STEP + own[i : i + len(out)])
+        return out
+
+    with np.errstate(over="ignore"):
+        pairs = shingles(2)
+        return [_majority(_mixed(pairs + np.uint64(k + 1) * _STEP)) for k in range(SEEDS)] + [_majority(shingles(5))]
+
+
+def sketch(text: Column) -> Column:
+    """Array column of a text's fingerprints: those that find near copies, and last the one that confirms them."""
+
+    @F.arrow_udf("array<long>")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_of(t.as_py() or b"", width, seed) for t in texts.cast(pa.binary())], pa.int64())
+        return pa.array([sketch_of(t.as_py() or b"") for t in texts.cast(pa.binary())], pa.list_(pa.int64()))
 
     return run(text)
 
@@ -66,8 +121,11 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in range(BITS) if (vectors[i] & v).bit_count() & 1) for v in range(1, n + 1)], np.uint64)
 
 
-def _forest(fps: np.ndarray, table: int, radius: int, covering: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning forest of the links whose first common table is this one."""
+def _forest(fps: np.ndarray, table: int, radius: int, covering: np.ndarray, sure: np.ndarray | None = None, bits: int = 0) -> list[tuple[int, int]]:
+    """Places of both ends of a spanning forest of the links whose first common table is this one.
+
+    With sure, other fingerprints of the same texts, these may differ in so many bits at most.
+    """
     out, left = [], np.ones(len(fps), bool)
     for root in range(len(fps)):
         if not left[root]:
@@ -80,39 +138,61 @@ def _forest(fps: np.ndarray, table: int, radius: int, covering: np.ndarray) -> l
                 break
             apart = fps[rest] ^ fps[at]
             near = np.bitwise_count(apart) <= radius
+            if sure is not None:
+                near &= np.bitwise_count(sure[rest] ^ sure[at]) <= bits
             rest, apart = rest[near], apart[near]
             if len(rest):
                 rest = rest[((apart[:, None] & covering) == 0).argmax(axis=1) == table]
                 left[rest] = False
                 queue += rest.tolist()
-                out += [(int(fps[at].view(np.int64)), int(x)) for x in fps[rest].view(np.int64)]
+                out += [(at, x) for x in rest.tolist()]
     return out
 
 
-def links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that connect all pairs of distinct fingerprints within the radius; fps has one distinct column fp."""
+def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK, bits: int | None = None) -> DataFrame:
+    """(a, b): links that connect all pairs of nodes within the radius.
+
+    nodes has distinct longs node, and an array fp of fingerprints. Two nodes are linked if they are within the radius at
+    any place of the array. With bits, the last fingerprint finds nothing: it may differ in so many bits at most.
+    """
     covering = masks(radius)
-    signed = [int(x) for x in covering.view(np.int64)]
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "key"))
-    shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = keyed.join(shared, ["table", "key"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = members.withColumn("own", own).select("table", "key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    groups = dealt.groupBy("table", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).agg(F.collect_list("fp").alias("fps"))
+    signed, tables = [int(x) for x in covering.view(np.int64)], len(covering)
+    used = F.size("fp") - (0 if bits is None else 1)
+    places = F.flatten(F.transform(F.slice("fp", F.lit(1), used), lambda f: F.array(*[f.bitwiseAND(F.lit(m)) for m in signed])))
+    keyed = nodes.select("node", F.posexplode(places).alias("table", "key"))
+    shared = saved(keyed.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    members = keyed.join(shared, ["table", "key"]).join(nodes, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    own = F.element_at("fp", (F.col("table") / tables).cast("int") + 1).alias("own")
+    member = F.struct("node", own, F.element_at("fp", -1).alias("sure"))
+    dealt = members.select("table", "key", member.alias("member"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    groups = dealt.groupBy("table", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("member").alias("of"))
 
     @F.arrow_udf("array<struct<a: long, b: long>>")
-    def forest(tables: pa.Array, groups: pa.Array) -> pa.Array:
-        out = []
-        for table, group in zip(tables.to_pylist(), groups, strict=True):
-            if len(group.values) == 2:
-                a, b = group.values.to_pylist()
-                apart = (a ^ b) & ((1 << 64) - 1)
-                out.append([{"a": a, "b": b}] if apart.bit_count() <= radius and next(i for i, m in enumerate(covering.tolist()) if not apart & m) == table else [])
-            else:
-                out.append([{"a": a, "b": b} for a, b in _forest(group.values.to_numpy(zero_copy_only=False).view(np.uint64), table, radius, covering)])
-        return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-
-    found = groups.filter(F.size("fps") > 1).select(forest("table", "fps").alias("found"))
+    def forest(table: pa.Array, groups: pa.Array) -> pa.Array:
+        offset, node, own, sure = groups.offsets.to_numpy(), *(groups.values.field(c).to_numpy().view(np.uint64) for c in ("node", "own", "sure"))
+        table, n = table.to_numpy() % tables, np.diff(offset)
+        found: dict[int, list[tuple[int, int]]] = {}
+        two = np.flatnonzero(n == 2)
+        at = offset[two]
+        apart = own[at] ^ own[at + 1]
+        near = np.bitwise_count(apart) <= radius
+        if bits is not None:
+            near &= np.bitwise_count(sure[at] ^ sure[at + 1]) <= bits
+        two, at, apart = two[near], at[near], apart[near]
+        first = ((apart[:, None] & covering) == 0).argmax(axis=1) == table[two]
+        found.update((g, [(x, x + 1)]) for g, x in zip(two[first].tolist(), at[first].tolist(), strict=True))
+        for g in np.flatnonzero(n > 2).tolist():
+            lo, hi = offset[g], offset[g + 1]
+            tree = _forest(own[lo:hi], int(table[g]), radius, covering, None if bits is None else sure[lo:hi], bits or 0)
+            found[g] = [(lo + a, lo + b) for a, b in tree]
+        sizes = np.zeros(len(n) + 1, np.int32)
+        for g, tree in found.items():
+            sizes[g + 1] = len(tree)
+        both = np.array([x for g in sorted(found) for x in found[g]], np.int64).reshape(-1, 2)
+        ends = [pa.array(node[both[:, k]].view(np.int64)) for k in (0, 1)]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.StructArray.from_arrays(ends, names=["a", "b"]))
+
+    found = groups.filter(F.size("of") > 1).select(forest("table", "of").alias("found"))
     return found.select(F.explode("found").alias("link")).select("link.a", "link.b").distinct()
 
 
@@ -128,11 +208,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds if seen[0] else 0):
         # Large star: a node sends its larger neighbours, and itself, to the least of its neighbourhood.
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        large = saved(large.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "stars")
         # Small star: a node sends its smaller neighbours, and itself, to the least of them.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = saved(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         at = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
         before, seen = seen, mark(at)
@@ -144,33 +224,48 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return at.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, least): each node's least value over its component; nodes has node and its own value least.
+
+    Only linked nodes are grouped by root; the small table of roots is written, so that the join to a large
+    component's nodes can be split.
+    """
+    roots = components(edges)
+    linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    own = saved(linked.join(nodes.select("node", "least"), "node"), "linked")
+    best = saved(own.groupBy("root").agg(F.min("least").alias("best")), "roots")
+    return nodes.select("node", "least").join(own.join(best, "root").select("node", "best"), "node", "left").select("node", F.coalesce("best", "least").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = 4, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """(key, fp, component): one row per document with its fingerprint and the least key it reaches by links."""
-    marked = saved(docs.select(F.col(key), fingerprint(docs[text], width, seed).alias("fp")), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = components(links(distinct.select("fp"), radius, block)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return marked.join(rooted.join(named, "root").select("fp", "component"), "fp").select(key, "fp", "component")
+    marked = saved(docs.select(F.col(key).alias("key"), fingerprint(docs[text], width, seed).alias("node")), "fingerprints")
+    # A null is a group's key only if the group has no other: it sorts last.
+    least = F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id")).alias("least")
+    nodes = marked.groupBy("node").agg(F.min("key").alias("least")).select("node", F.array("node").alias("fp"), least)
+    named = saved(grouped(nodes, links(nodes.select("node", "fp"), radius, block)).select("node", F.col("least.id").alias("component")), "components")
+    return marked.join(named, "node").select(F.col("key").alias(key), F.col("node").alias("fp"), "component")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4, radius: int = 4, seed: int = 42, block: int = BLOCK) -> DataFrame:
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, bits: int = SHINGLE_BITS, block: int = BLOCK) -> DataFrame:
     """docs with one row of each group of near copies: the one with the least id, null last, then the least hash.
 
-    Groups are of fingerprints, so rows that share an id, or have none, stay apart if their texts do. A row is known
-    by 128 bits of hash over its values and its nulls; of rows that are equal throughout, one stays.
+    Near copies are within the radius in one of several fingerprints of word pairs, which the masks find without a
+    miss, and within ``bits`` in that of five-word shingles. Groups are of texts, so rows that share an id, or have
+    none, stay apart if their texts do. A text's fingerprints are known by 64 bits of hash, a row by 128 bits over its
+    values and its nulls; of rows that are equal throughout, one stays.
     """
+    a, b, n = fresh(docs, "a", "b", "n")
     values = [*map(F.col, docs.columns), *[F.col(c).isNull() for c in docs.columns]]
-    hashes = [F.xxhash64(F.lit(i), *values).alias(name) for i, name in enumerate(("_a", "_b"))]
-    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), *hashes)
-    marked = saved(docs.select(row.alias("row"), fingerprint(docs[text], width, seed).alias("fp")), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("row").alias("row"))
-    roots = components(links(distinct.select("fp"), radius, block)).withColumnRenamed("node", "fp")
-    kept = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("row").alias("row")).select("row._a", "row._b")
+    hashes = [F.xxhash64(F.lit(i), *values) for i in (0, 1)]
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), hashes[0].alias("a"), hashes[1].alias("b"))
+    marked = docs.select(row.alias("row"), sketch(docs[text]).alias("fp"))
+    nodes = saved(marked.groupBy("fp").agg(F.min("row").alias("least")).select(F.xxhash64("fp").alias("node"), "fp", "least"), "fingerprints")
+    kept = grouped(nodes, links(nodes.select("node", "fp"), radius, block, bits)).select(F.col("least.a").alias(a), F.col("least.b").alias(b)).distinct()
     # The window and the join share one shuffle of the texts; the hashes are merged, not broadcast, as their number
     # grows with the input.
-    once = docs.select("*", *hashes).withColumn("_n", F.row_number().over(W.partitionBy("_a", "_b").orderBy(F.lit(0)))).filter("_n = 1")
-    return once.join(kept.hint("merge"), ["_a", "_b"], "left_semi").select(*docs.columns)
+    once = docs.select("*", hashes[0].alias(a), hashes[1].alias(b)).withColumn(n, F.row_number().over(W.partitionBy(a, b).orderBy(F.lit(0)))).filter(F.col(n) == 1)
+    return once.join(kept.hint("merge"), [a, b], "left_semi").select(*docs.columns)
 
 
 def as_hex(fp: Column) -> Column:

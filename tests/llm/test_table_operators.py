@@ -223,9 +223,47 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def brute_sketch(text):
+    whole = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & whole
+        return x ^ x >> 31
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return [0] * 6
+
+    def shingles(width):
+        out, width = [], min(width, len(words))
+        for i in range(len(words) - width + 1):
+            h = 0
+            for w in words[i : i + width]:
+                h = mixed((h * 0x9E3779B97F4A7C15 + xxhash.xxh64(w.encode(), 42).intdigest()) & whole)
+            out.append(h)
+        return out
+
+    def majority(hashes):
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    return [majority([mixed((h + (k + 1) * 0x9E3779B97F4A7C15) & whole) for h in shingles(2)]) for k in range(5)] + [majority(shingles(5))]
+
+
+def near_groups(texts):
+    """Least id of each group of near copies, by comparing all pairs of sketches."""
+    ids, values = [i for i, _ in texts], np.array([brute_sketch(t) for _, t in texts], np.uint64)
+    apart = lambda i: np.bitwise_count(values ^ values[i])
+    return grouped_by(ids, lambda i: np.flatnonzero((apart(i)[:, :5].min(axis=1) <= 4) & (apart(i)[:, 5] <= 14)))
+
+
 def components_of(fps):
     """Least id reachable over links of at most 4 bits, by comparing all pairs."""
     ids, values = [i for i, _ in fps], np.array([f for _, f in fps], np.uint64)
+    return grouped_by(ids, lambda i: np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 4))
+
+
+def grouped_by(ids, near):
     root = list(range(len(ids)))
 
     def find(x):
@@ -235,7 +273,7 @@ def components_of(fps):
         return x
 
     for i in range(len(ids)):
-        for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 4):
+        for j in near(i):
             root[find(i)] = find(int(j))
     least = {}
     for i, x in enumerate(ids):
@@ -264,7 +302,7 @@ def test_links_in_a_dense_cluster(spark, block):
                 v ^= 1 << int(bit)
             values.add(v)
     fps = sorted(v - (1 << 64) if v >> 63 else v for v in values)
-    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), block=block)).collect()}
+    roots = {r.node: r.root for r in simhash.components(simhash.links(spark.createDataFrame([(f, [f]) for f in fps], "node long, fp array<long>"), block=block)).collect()}
     want = components_of([(f, f % (1 << 64)) for f in fps])
     assert {(f, roots.get(f, f)) for f in fps} == want
 
@@ -293,8 +331,8 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     verdicts = {r.doc_id: r.kept for r in queries.op4_quality(spark, sf).collect()}
     assert {r.doc_id for r in good.collect()} == {i for i, k in verdicts.items() if k}
     unique = stages["simhash near-dedup"](spark, good, sf)
-    fps = [(r.doc_id, brute_fingerprint(r.text)) for r in good.collect()]
-    assert sorted(r.doc_id for r in unique.collect()) == sorted({c for _, c in components_of(fps)})
+    groups = near_groups([(r.doc_id, r.text) for r in good.collect()])
+    assert sorted(r.doc_id for r in unique.collect()) == sorted({c for _, c in groups}) and len(groups) > len({c for _, c in groups})
     private = {r.doc_id: r.text for r in stages["pii"](spark, unique, sf).collect()}
     for r in unique.collect():
         assert (private[r.doc_id] == r.text) == (not brute_pii(r.text)) and not brute_pii(private[r.doc_id])
@@ -304,6 +342,27 @@ def test_pipeline_stages_against_brute_force(spark, sf):
     assert all(abs(times.get(i, 0) - x) <= 0.5 for i, x in taken.items()) and mixed.columns == docs.columns
 
 
+def test_near_dedup_catches_copies_with_edits(spark):
+    rng = np.random.default_rng(12)
+    words = np.array([f"w{x}" for x in range(5_000)])
+    rows = []
+    for i in range(150):
+        text = rng.choice(words, 400)
+        rows.append((2 * i, " ".join(text)))
+        text[rng.choice(400, 6, replace=False)] = "edit"  # six of 400 words: shingles of a similarity of about 0.86
+        rows.append((2 * i + 1, " ".join(text)))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, _ in rows if i % 2 == 0} <= kept and sum(i % 2 for i in kept) < 15
+
+
+def test_simhash_names_a_null_id_only_where_no_other_is(spark, odd, nothing):
+    rows = {(r.doc_id, r.component) for r in simhash.near_duplicates(odd).collect()}
+    assert {(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)} <= rows
+    assert simhash.near_duplicates(nothing).count() == 0 and simhash.one_of_each(nothing).count() == 0
+    null = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (None, "only here")], "doc_id long, text string")
+    assert sorted(map(repr, ((r.doc_id, r.component) for r in simhash.near_duplicates(null).collect()))) == sorted(map(repr, [(None, 3), (3, 3), (None, None)]))
+
+
 def test_near_dedup_keeps_groups_that_share_or_lack_an_id(spark):
     rng = np.random.default_rng(11)
     a, b, c, d, e = (" ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(5))
