@@ -116,6 +116,94 @@ def test_pii_adds_disguised_addresses_however_common(spark, share):
         assert [(s.kind, s.start, s.end, s.base) for s in r.pii] == [("email", *address.span(), r.doc_id % share > 0)]
 
 
+def brute_added(text, model):
+    """Candidates, features and verdicts of the wider generators, in plain Python."""
+    base, out = brute_pii(text), []
+    signs = {"email": [(r" ?[(\[]at[)\]] ?", "@"), (r" ?[(\[]dot[)\]] ?", ".")], "ip": [(r" ?[(\[](?:\.|dot)[)\]] ?", ".")], "card": [(r"[ ./_-]{2,3}|[./_]", "-")], "phone": []}
+
+    def luhn(d):
+        return sum((x := int(c) * (1 + i % 2)) - 9 * (x > 9) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def side(c):
+        return 0 if not c else 1 if c.isalpha() else 2 if c in " \t\n\x0b\f\r" else 3 if c in "0123456789" else 4
+
+    for k, kind in enumerate(["email", "ip", "card", "phone"]):
+        at = 0
+        for m in re.finditer(pii.WIDE[kind], text or ""):
+            before, after, plain = text[at : m.start()][-12:], re.split(pii.WIDE[kind], text[m.end() :])[0][:12], m[0]
+            at = m.end()
+            for pattern, sign in signs[kind]:
+                plain = re.sub(pattern, sign, plain)
+            number = re.sub("[^0-9]", "", m[0])
+            if kind == "ip":
+                check = 2 if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", plain) and all(int(x) <= 255 for x in plain.split(".")) else 1
+            else:
+                check = (2 if luhn(number) else 1) if 12 <= len(number) <= 19 else 0
+            cue = re.search(r"(?i)(tel|phone|call|fax|mobile|mail|contact)[^a-z0-9]*$", before) is not None
+            row = (k, min(len(number), 20), min(len(plain) // 4, 12), min(plain.count("-"), 4), min(plain.count("."), 4), min(plain.count(" "), 4), min(plain.count("(") + plain.count(")"), 2), check, side(before[-1:]), side(after[:1]), int(cue))
+            score = model["prior"] + pii.RATE * sum(pii.value(t, row) for t in model["trees"])
+            p = 1 / (1 + np.exp(-(model["slope"] * score + model["shift"])))
+            if p >= pii.REDACT_AT and not any(a < m.end() and b > m.start() for _, a, b in base):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+DISGUISED = [
+    "write to bob (at) mail [dot] example (dot) com. Next. ip 10[.]0[.]0[.]17 or 10 (dot) 0.0.300 or 10.1.2.3, card 4111.1111.1111.1111 or 4111 - 1111 - 1111 - 1111 ok, tel (408) 555-7800x",
+    "tel: 408.555.7800 call 1-800-555-0199 then 4111/1111/1111/1112 and 2020-01-02 12.30.15, 1.2.3.4.5 at a@b or c [at] d.e", " ".join(f"({i}) 555-{i:04d}," for i in range(1500)), "12 " * 4000, "x@y " * 3000,
+]
+
+
+def test_pii_added_spans_against_brute_force(spark, sf, odd):
+    rows = [(i, f"Call: +1 ({200 + i}) 555-{1000 + i}, user{i}@mail.example.com, host 10.{i}.0.{i % 9}, card 4111-1111-1111-1111 or 4111 1111 1111 {1112 + i}, room {i}, on 2020-01-{i % 28:02d} 7:{i % 60}, 300.{i}.1.2") for i in range(200)]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame(rows + list(enumerate(DISGUISED)), "doc_id long, text string"))
+    model = pii.fit(docs)
+    added = 0
+    for r in pii.find(docs, model=model).collect():
+        got = [(s.kind, s.start, s.end) for s in r.pii if not s.base]
+        assert sorted(got) == sorted(brute_added(r.text, model)), (r.text or "")[:200]
+        assert [(s.start, pii.KINDS.index(s.kind)) for s in r.pii] == sorted((s.start, pii.KINDS.index(s.kind)) for s in r.pii)
+        added += len(got)
+    assert added >= 4
+
+
+def test_redaction_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice(list("ab é\U0001f600"), int(rng.integers(0, 400))))
+        ends = sorted({tuple(sorted(map(int, rng.integers(0, len(text) + 1, 2)))) for _ in range(int(rng.integers(0, 30)))})
+        rows.append((text, [(["ip", "card"][k % 2], a, b, True, None) for k, (a, b) in enumerate(ends) if b > a]))
+    out = spark.createDataFrame(rows, f"text string, s {spans.SPANS}").select("text", "s", pii.redacted(F.col("text"), F.col("s")).alias("t")).collect()
+    for r in out:
+        want, at = "", 0
+        for s in r.s:
+            if s.start >= at:
+                want += r.text[at : s.start] + f"<{s.kind.upper()}>"
+            at = max(at, s.end)
+        assert r.t == want + r.text[at:]
+
+
+def test_pii_time_grows_with_the_text(spark):
+    import time
+
+    model = {"prior": 0.0, "trees": [{"leaf": 5.0}], "slope": 1.0, "shift": 0.0}
+    took = []
+    for n in (100, 32_000):
+        docs = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("+1 (408) 555-"), F.lpad(i.cast("string"), 5, "0"))), " x").alias("text"))
+        began = time.time()
+        row = pii.find(docs, model=model).select(F.size("pii").alias("n"), F.length(pii.redacted(F.col("text"), F.col("pii"))).alias("l")).first()
+        took.append(time.time() - began)
+        assert row.n >= n and row.l >= 8 * n
+    assert took[1] - took[0] < 20
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a@b.co", "x", "y")], "doc_id long, text string, _base string, _wide string")
+    row = pii.find(docs).first()
+    assert (row._base, row._wide, row.pii[0].kind) == ("x", "y", "email")
+
+
 def test_pii_plan_has_no_python(spark, sf):
     model = {"prior": 0.0, "trees": [{"leaf": 1.0}], "slope": 1.0, "shift": 0.0}
     plan = pii.find(spark.read.parquet(f"{sf}/documents.parquet"), model=model)._jdf.queryExecution().executedPlan().toString()
