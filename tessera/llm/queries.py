@@ -52,8 +52,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return docs.select("doc_id", audio.summarised(F.col("text")).alias("media")).select("doc_id", "media.*")
+    return audio.summarised(documents(spark, sf_dir))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

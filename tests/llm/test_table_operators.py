@@ -261,14 +261,17 @@ def test_records_round_trip_and_revisits(spark):
 
 def test_audio_digests_against_brute_force(spark, sf, odd, nothing):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
-    seen = {}
-    for r in docs.select("text", audio.summarised(F.col("text")).alias("m")).select("text", "m.*").collect():
-        data = (r.text or "").encode()
+    docs = docs.withColumn("doc_id", F.coalesce("text", F.lit("")))  # the key tells which text a row is of
+    seen, n = {}, 0
+    for r in audio.summarised(docs).collect():
+        data = (r.doc_id or "").encode()
         full = data + b" " * (-len(data) % 192 if data else 192)
         assert (r.n_bytes, r.payload_bytes) == (len(data), len(full)) and r.payload_sha256 == hashlib.sha256(full).hexdigest()
         assert r.tail_crc32 == zlib.crc32(full[-16:]) and r.media_bytes == len(full) + 44 and r.media_sha256 == hashlib.sha256(audio.wav(full)).hexdigest()
-        assert seen.setdefault(r.text, r.feature) == r.feature
-    assert nothing.select(audio.summarised(F.col("text"))).count() == 0
+        assert seen.setdefault(r.doc_id, r.feature) == r.feature
+        n += 1
+    assert n == 211 and audio.summarised(nothing).count() == 0 and audio.summarised(odd).columns[0] == "doc_id"
+    assert sorted(map(repr, (r.doc_id for r in audio.summarised(odd).collect()))) == sorted(map(repr, (r.doc_id for r in odd.collect())))
     import wave
 
     with wave.open(io.BytesIO(audio.wav(b"\x01\x02" * 96))) as w:
@@ -295,11 +298,77 @@ def test_resampling_keeps_a_tone_and_frames_match_direct_sums():
     assert audio.segments(np.array([0, 0, 3, 1, 1, 0, 0, 0.5, 0, 0], np.float32)) == [(2, 5)]
 
 
-def test_clips_are_fixed_shape_tensors(spark, odd):
-    rows = audio.clip_table(odd).filter("key = 4 OR key = 2").collect()
+def brute_frames(payload):
+    """Log energies and power of each frame, from the definition, frame by frame."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    h, taps = np.zeros(2 * audio.TAPS * audio.DOWN + 1), audio.PHASES.shape[1]
+    y = np.zeros(len(x) * 2 // 3)
+    for m in range(len(y)):
+        at, phase = divmod(m * 3, 2)
+        for k in range(taps):
+            i = at + taps // 2 - k
+            y[m] += audio.PHASES[phase][k] * x[i] if 0 <= i < len(x) else 0.0
+    y = np.pad(y, (0, max(0, 256 - len(y))))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256)
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = 700 * (10 ** (np.linspace(mel(60.0), mel(4000), 18) / 2595) - 1)
+    rows, power = [], []
+    for at in range(0, len(y) - 255, 128):
+        f = y[at : at + 256] * window
+        spectrum = [abs(sum(f * np.exp(-2j * np.pi * b * np.arange(256) / 256))) ** 2 for b in range(129)]
+        own = []
+        for j in range(16):
+            lo, mid, hi = edges[j : j + 3]
+            own.append(sum(s * max(0, min((b * 31.25 - lo) / (mid - lo), (hi - b * 31.25) / (hi - mid))) for b, s in enumerate(spectrum)))
+        rows.append(np.log(np.array(own) + 1e-6))
+        power.append(np.log((f * f).mean() + 1e-8))
+    assert len(h) and len(rows)
+    return np.array(rows), np.array(power)
+
+
+def test_log_mel_frames_and_segments_against_brute_force(monkeypatch):
+    text = ("quiet " * 30 + "\u00ff\u00fe\U0001f600" * 60 + " and so on, " * 25).encode()[:1920]
+    for payload in (text, b" " * 192, text[:384]):
+        want, power = brute_frames(payload)
+        got, level = audio.frames_of(payload)
+        assert got.shape == want.shape and np.allclose(got, want, atol=1e-3) and np.allclose(level, power, atol=1e-5)
+        state, parts = None, []
+        for i, v in enumerate(level - level.mean()):  # hysteresis, frame by frame
+            if v > audio.KEEP:
+                state = [i, i, False] if state is None else state
+                state[1], state[2] = i + 1, state[2] or v > audio.OPEN
+            if (v <= audio.KEEP or i == len(level) - 1) and state:
+                parts += [(state[0], state[1])] if state[2] else []
+                state = None
+        assert audio.segments(level) == parts
+    whole = audio.frames_of(text * 20)
+    monkeypatch.setattr(audio, "STRETCH", 7)
+    cut = audio.frames_of(text * 20)
+    assert np.array_equal(whole[0], cut[0]) and np.array_equal(whole[1], cut[1])
+
+
+def test_features_are_read_from_stored_tensors(spark, odd):
+    import pyarrow.parquet as pq
+
+    manifest = audio.stored(odd)
+    files = [r.path.removeprefix("file:") for r in manifest.collect()]
+    own = {}
+    for path in files:
+        clips, media = pq.read_table(f"{path}-clips.parquet"), pq.read_table(f"{path}-media.parquet")
+        assert clips.schema.field("features").type == audio.TENSOR and audio.TENSOR.shape == [audio.CLIP_FRAMES, audio.MELS]
+        for i, (key, data) in enumerate(zip(media["key"].to_pylist(), media["media"].to_pylist(), strict=True)):
+            part = clips.filter(np.array(clips["row"].to_pylist()) == i)
+            mels, power = audio.frames_of(audio.samples(data))
+            values = part["features"].combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)
+            assert np.array_equal(values[: len(mels)], mels) and not values[len(mels) :].any() and part["begin_s"][0].as_py() == 0
+            assert part["end_s"][-1].as_py() == ((len(mels) - 1) * 128 + 256) / 8000
+            own.setdefault(key, set()).add(audio.feature(part))
+            seconds = sum(b - a for a, b in audio.segments(power))
+            assert f"frames={len(mels)};" in audio.feature(part) and f";active={seconds};" in audio.feature(part) and f";segments={len(audio.segments(power))};" in audio.feature(part)
+    assert {k: set(v) for k, v in own.items()} == {k: {r.feature for r in audio.summaries(manifest).collect() if r.key == k} for k in own}
+    rows = audio.clip_table(manifest).collect()
     assert all(len(r.features) == audio.CLIP_FRAMES * audio.MELS for r in rows) and sum(r.key == 2 for r in rows) == 1
-    array = audio.tensors([np.zeros((audio.CLIP_FRAMES, audio.MELS), np.float32)] * 2)
-    assert array.type.shape == [audio.CLIP_FRAMES, audio.MELS] and len(array) == 2
+    assert len(rows) == manifest.agg(F.sum("n_clips")).first()[0]
 
 
 def brute_fingerprint(text):
