@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, saved
+from tessera.llm.common import WORD, fresh, saved
 
 #: Fixed values of the mix: weights by rank of source, share of all sizes, greatest repeat.
 WEIGHTS, SHARE, REPEAT = (3, 1, 2), 1.5, 2
 #: Tokens of a block at most; a source has at least so many blocks, or one for each token.
 BLOCK, LEAST_BLOCKS = 256, 1024
-#: Ranges of document hashes, slots of a run, and cells of the unit interval.
-RANGES, RUN, CELLS = 1024, 1 << 14, 1024
+#: Documents in a range of hashes, in expectation; slots of a run; cells of the unit interval.
+RANGE, RUN, CELLS = 4096, 1 << 14, 1024
 GOLDEN, WHOLE = 2654435769, 1 << 32
 
 
@@ -33,14 +33,14 @@ def words(text: Column) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, block: int = BLOCK) -> DataFrame:
-    """(s, source, source_size, target, width, n_blocks, quota, below, total): a row per source.
+    """(s, source, source_size, n_ranges, target, width, n_blocks, quota, below, total): a row per source.
 
     A target is min(repeat * size, level * weight); the level is the greatest that any prefix of the sources, ordered
     by when they fill up, leaves for the rest. quota counts slots in millionths.
     """
     everything = W.partitionBy()
     by = W.orderBy(F.col("source").asc_nulls_last())
-    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.ceil(F.count("*") / RANGE).alias("n_ranges"))
     rows = rows.withColumn("s", F.row_number().over(by) - 1)
     rows = rows.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("s") % len(weights) + 1))
     filling = W.orderBy(F.col("source_size") * repeat / F.col("weight"), "s").rowsBetween(W.unboundedPreceding, -1)
@@ -79,12 +79,12 @@ def schedule(sources: DataFrame, repeat: int = REPEAT) -> DataFrame:
 
 def placed(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """sized with its source's s, source_size, target and width, and start, its first token's place in the shuffled source."""
-    keyed = sized.join(sources.select(F.col("source").alias("_source"), "s", "source_size", "target", "width"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    keyed = keyed.withColumn("range", F.floor(F.col("h") / (1 << 60) * RANGES).cast("int"))
+    keyed = sized.join(sources.select(F.col("source").alias("_source"), "s", "source_size", "target", "width", "n_ranges"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    keyed = keyed.withColumn("range", F.floor(F.col("h") / (1 << 60) * F.col("n_ranges")).cast("long"))
     sums = keyed.groupBy("s", "range").agg(F.sum("size").alias("n"))
     sums = sums.select("s", "range", (F.sum("n").over(W.partitionBy("s").orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     order = W.partitionBy("s", "range").orderBy("h", "key", "size").rowsBetween(W.unboundedPreceding, 0)
-    return keyed.withColumn("within", F.sum("size").over(order) - F.col("size")).join(sums, ["s", "range"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "range", "h")
+    return keyed.withColumn("within", F.sum("size").over(order) - F.col("size")).join(sums, ["s", "range"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "range", "n_ranges", "h")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple = WEIGHTS, share: float = SHARE, repeat: int = REPEAT, block: int = BLOCK) -> DataFrame:
@@ -106,15 +106,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
 
 
 def copies(docs: DataFrame, **options) -> DataFrame:
-    """docs, each row as many times as the mix takes it: taken / size, rounded."""
+    """docs, each row as many times as the mix takes it: taken / size, rounded.
+
+    Rows that share a key, or have none, share its copies: each takes an equal part of them, rounded up or down by the
+    hash of the row, so that no task needs all rows of a key.
+    """
     key = options.get("key", "doc_id")
-    chosen = mix(docs, **options).filter("taken > 0").groupBy("key").agg(F.sum(F.round(F.col("taken") / F.col("size"))).alias("times"), F.count("*").alias("n_rows"))
-    chosen = chosen.select(F.col("key").alias("_key"), F.col("times").cast("long").alias("_times")).filter("_times > 0")
-    once = docs.withColumn("_row", F.row_number().over(W.partitionBy(key).orderBy(F.xxhash64(*docs.columns))))
-    n = once.join(chosen, once[key].eqNullSafe(F.col("_key")))
-    rows = F.count("*").over(W.partitionBy(key))
-    share = F.floor(F.col("_times") / F.col("_rows")) + F.when(F.col("_row") <= F.col("_times") % F.col("_rows"), 1).otherwise(0)
-    return n.withColumn("_rows", rows).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), share))).filter("_copy > 0").select(*docs.columns)
+    name, share, copy = fresh(docs, "key", "share", "copy")
+    taken = F.coalesce(F.round(F.try_divide(F.col("taken"), F.col("size"))), F.lit(0.0))
+    chosen = mix(docs, **options).groupBy("key").agg((F.sum(taken) / F.count("*")).alias("share")).filter("share > 0")
+    chosen = saved(chosen.select(F.col("key").alias(name), F.col("share").alias(share)), "chosen")
+    part = F.xxhash64(*docs.columns).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+    times = (F.floor(share) + F.when(part < F.col(share) - F.floor(share), 1).otherwise(0)).cast("int")
+    rows = docs.join(chosen, F.col(key).eqNullSafe(F.col(name))).withColumn(copy, times).filter(F.col(copy) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
 
 
 ORACLE = """

@@ -10,6 +10,7 @@ of finished tasks lists are read, so a lost executor leaves no trace in the resu
 ``ARCHIVE_BYTES`` at most, and one record, in memory.
 
 Null html is an empty payload; a null page id stays null. Of repeated rows with one page id none revisits the other.
+An empty table gives no archive and no row. Only the page id, url and html are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -168,9 +169,12 @@ def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: st
     """Manifest (path, n_records, n_bytes) of the archives that hold a record for each page."""
     rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    again = rows.filter((F.length("payload") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(again, "digest", "left").withColumn("refers_to", F.when((F.col("page_id") > F.col("first")) & (F.length("payload") >= least), F.col("first"))).drop("first")
-    rows = rows.select("page_id", "url", "payload", "digest", "refers_to")
+    # Revisits are found among ids and digests, so that payloads are dealt by both: a payload of a third of all pages is
+    # in no one task. The small table of repeated digests is written, so that Spark can split a hot digest's ids.
+    known = rows.filter((F.length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    again = saved(known.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").drop("last"), "repeated")
+    revisits = saved(known.join(again, "digest").filter("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "revisits")
+    rows = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -54,6 +54,13 @@ def test_mix_of_odd_rows(odd, nothing):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd).collect()))
     assert mixing.mix(nothing).count() == 0 and mixing.copies(nothing).count() == 0
     assert mixing.copies(odd).columns == odd.columns
+    clash = odd.withColumn("key", F.lit(1)).withColumn("share", F.lit(2)).withColumn("copy", F.lit(3)).withColumn("times", F.lit(4))
+    assert mixing.copies(clash).columns == clash.columns and mixing.copies(clash).filter("key = 1 AND share = 2 AND copy = 3").count() >= 1
+    many = odd.filter("doc_id = 5 OR doc_id IS NULL").withColumn("doc_id", F.lit(None).cast("long"))
+    for _ in range(5):
+        many = many.unionByName(many.withColumn("text", F.concat("text", F.lit(" more"))))
+    words = lambda df: df.select(F.sum(mixing.words(F.col("text")))).first()[0]
+    assert abs(words(mixing.copies(many)) / words(many) - 1.5) < 0.3
 
 
 EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
@@ -255,6 +262,9 @@ def test_records_round_trip_and_revisits(spark):
     norm = lambda xs: sorted(repr((*x[:3], x[3] or None, x[4])) for x in xs)
     assert norm(back) == norm(want)
     assert zipwarc.round_trip(pages.limit(0)).count() == 0
+    same = spark.range(300).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit(big).alias("html"))
+    rows = zipwarc.round_trip(same.unionByName(same)).collect()
+    assert len(rows) == 600 and all((r.record_type, r.refers_to) == (("response", None) if r.page_id == 0 else ("revisit", 0)) for r in rows)
     record = zipwarc.record(4, "u", b"x\r\n\r\ny", "d", None)
     assert zipwarc.parse_record(gzip.decompress(gzip.compress(record)))["payload"] == b"x\r\n\r\ny"
 

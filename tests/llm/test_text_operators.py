@@ -108,6 +108,26 @@ def test_quality_verdicts_follow_labels(spark, sf):
     assert np.mean([r.kept == bool(r.quality) for r in rows]) > 0.95
 
 
+def test_quality_probability_against_brute_force_and_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.filter("quality IS NOT NULL")
+    model = quality.fit(docs, known.filter("crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 0"))
+    rows = docs.join(known.filter("crc32(cast(cast(doc_id AS string) AS binary)) % 4 = 0"), "doc_id").select("text", "quality", quality.judged(F.col("text"), model).alias("v")).collect()
+    rows = [r for r in rows if not r.v.base_failed]
+    good = np.mean([r.v.kept for r in rows if r.quality == 1])
+    bad = np.mean([r.v.kept for r in rows if r.quality == 0])
+    assert len(rows) > 900 and good > 0.95 and bad < 0.1, (good, bad)
+    for r in rows[:12]:  # mean over words of the word's weight and the mean of its n-grams'
+        words, total = r.text.encode().split(), 0.0
+        for w in words:
+            marked = b"<" + w + b">"
+            grams = [model["weights"][quality.crc32(marked[i : i + n]) % quality.SLOTS] for n in (3, 4) for i in range(len(marked) - n + 1)]
+            total += float(model["weights"][quality.crc32(b"w" + w) % quality.SLOTS]) + float(np.mean(grams, dtype=float))
+        p = 1 / (1 + np.exp(-(model["slope"] * (model["bias"] + total / len(words)) + model["shift"])))
+        assert r.v.probability == pytest.approx(p, abs=1e-4) and r.v.kept == (r.v.probability >= quality.KEEP_AT)
+
+
 def test_quality_of_odd_rows_and_missing_labels(odd, nothing, labels):
     assert quality.judge(odd, labels).count() == 11
     assert quality.judge(nothing, labels).count() == 0
@@ -146,6 +166,63 @@ def test_toxicity_of_documents(spark, sf, odd, nothing, labels):
     assert toxicity.detect(odd, labels.limit(0)).filter("toxicity.score > 0.01").count() == 0
 
 
+def test_toxicity_scores_against_brute_force_noisy_or(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, fold=None)
+    model = model | {"weights": model["weights"] | {"the": 1.5, "natio-": 2.0}}
+    for r in docs.select("text", toxicity.scored(F.col("text"), model).alias("t")).collect():
+        clear, best = 0.0, None
+        for m in re.finditer(r"[^.!?\n]+", r.text or ""):
+            words = set(re.findall(r"\w+", m[0].lower()))
+            own = words | {w[:5] + "-" for w in words if len(w) > 5} | {w[:7] + "-" for w in words if len(w) > 7}
+            p = 1 / (1 + np.exp(-np.clip(model["bias"] + sum(model["weights"].get(w, 0.0) for w in own), -30, 30)))
+            clear += np.log1p(-min(p, 1 - 1e-9))
+            if best is None or p > best[2] + 1e-12:
+                best = (m.start(), m.end(), p)
+        toxic = max(1 - np.exp(clear), 1e-12)
+        want = 1 / (1 + np.exp(-np.clip(model["slope"] * (np.log(toxic) - clear) + model["shift"], -50, 50)))
+        assert r.t.score == pytest.approx(want, rel=1e-6, abs=1e-9)
+        assert (best is None) == (r.t.sentence is None) and (best is None or (r.t.sentence.start, r.t.sentence.end) == best[:2])
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out AND toxic IS NOT NULL").collect()
+    hit = sum(r.predicted and r.toxic == 1 for r in rows)
+    assert hit and hit / sum(r.predicted for r in rows) > 0.9 and hit / sum(r.toxic == 1 for r in rows) > 0.7
+
+
+def test_language_of_documents_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(docs)
+    few = docs.orderBy("n_chars").limit(40).select("text", language.identified(F.col("text"), model).alias("l")).collect()
+    for r in few:
+        words = (r.text or "").lower().split()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.l.lang, r.l.score) == ("und", 0.0)
+            continue
+        emission = []
+        for w in words:
+            core = w.strip(".,;:!?()[]\"'|*#$%&")
+            own = [] if not any(c.isalpha() for c in core) else ["w" + core, *("p" + core[:n] for n in (1, 2, 3)), *("s" + core[-n:] for n in (1, 2, 3)), *("g" + core[i : i + 3] for i in range(len(core) - 2))]
+            emission.append(sum((model["weights"][language.crc32(f.encode()) % language.SLOTS].astype(float) for f in own), np.zeros(len(model["names"]))) / np.sqrt(max(len(own), 1)))
+        k, forward, backward = len(model["names"]), [], []
+        for e in emission:  # one word after the other, in logs
+            before = model["start"] if not forward else np.logaddexp.reduce(forward[-1][:, None] + model["move"], axis=0)
+            forward.append(before + e)
+        for t in range(len(words) - 1, -1, -1):
+            backward.insert(0, np.zeros(k) if not backward else np.logaddexp.reduce(model["move"] + (emission[t + 1] + backward[0])[None, :], axis=1))
+        p = np.array(forward) + np.array(backward)
+        p = np.exp(p - np.logaddexp.reduce(p, axis=1)[:, None])
+        assert r.l.lang == model["names"][int(np.round(p.mean(axis=0), 6).argmax())] and r.l.score == pytest.approx(p.mean(axis=0).max(), abs=1e-4)
+
+
+def test_letters_are_not_numbers(spark, sf):
+    model = language.fit(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = spark.createDataFrame([("\u00bd \u00b2 12 _ \u2167",), ("\u00bd a",)], "text string")
+    assert [r.l.lang == "und" for r in texts.select(language.identified(F.col("text"), model).alias("l")).collect()] == [True, False]
+
+
 def brute_secrets(t):
     t = t or ""
     found = [("assign", m.start(), m.end()) for m in re.finditer(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 6]
@@ -175,6 +252,22 @@ def test_entropy_windows_against_direct_counts():
     assert got[0][2] == pytest.approx(direct)
 
 
+def test_secrets_in_runs_of_equal_characters_and_very_long_texts(spark, nothing):
+    def entropies(s):
+        return [-sum(c / 20 * np.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19)]
+
+    key = "Zx9fQ2pLm7Vt4Kb8Wd3R"
+    for text in ("a" * 21 + "1", "A" * 40, "x" + "=" * 30, "1" * 25 + key, key + "q" * 25, "ab" * 15, "=" * 50 + key + "=" * 50):
+        spans_of = secrets.entropy_spans(text)
+        assert (len(spans_of) == 1) == (key in text), text
+        for a, b, bits in spans_of:
+            assert bits == pytest.approx(max(entropies(text[a:b])))
+    long = [("a" * 1_000_000,), (("k" * 30 + " ") * 40_000 + key,), ("token=" + "z9" * 500_000,), ((key + " ") * 50_000,)]
+    found = [r.n for r in secrets.scan(spark.createDataFrame(long, "text string")).select(F.size("secrets").alias("n")).collect()]
+    assert found == [1, 1, 1, 50_000]
+    assert secrets.scan(nothing).count() == 0 and secrets.scan(nothing).columns == [*nothing.columns, "secrets"]
+
+
 def test_allow_list_hides_only_what_it_names():
     key = "Zx9fQ2pLm7Vt4Kb8Wd3Rj6Hs"
     for text in (f"EXAMPLE_KEY={key}", f"2024-05-01/{key}", f"{key}/abcdefghijklmnopqrstuvwxyz0123456789/{key}", f"01234567{key}"):
@@ -204,6 +297,18 @@ def test_pieces_equal_the_library(spark, sf, odd, nothing):
     assert pieces.encode(nothing, queries.piece_model()).count() == 0
 
 
+def test_pieces_returns_the_agendas_ids():
+    coder = pieces.PieceCoder(open(queries.piece_model(), "rb").read())
+    text = "the house by the river, and the house"
+    other, merge = coder.ids["▁h"], coder.merge
+    coder.merge = lambda part: [other] if part == "▁house" else merge(part)
+    ids, decoded, differ = coder.encode(text)
+    assert np.frombuffer(ids, np.int32).tolist().count(other) == 2 and differ == 1 and decoded == text.replace("house", "h")
+    coder.parts, coder.merge = None, merge
+    ids, decoded, differ = coder.encode(text)
+    assert np.frombuffer(ids, np.int32).tolist() == coder.library.encode(text) and decoded == text and not differ
+
+
 def test_pieces_agenda_merges_long_parts_as_the_library():
     coder = pieces.PieceCoder(open(queries.piece_model(), "rb").read())
     rng = np.random.default_rng(5)
