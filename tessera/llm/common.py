@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +57,23 @@ def collected(df: DataFrame) -> pa.Table:
     return table
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held(token: str, make: Callable[[], Any]) -> Any:
+    """A Python worker's own copy of a model, made once. It takes the place of the one that the worker held before, as workers outlive stages."""
+    if token not in _HELD:
+        forget()
+        _HELD[token] = make()
+    return _HELD[token]
+
+
+def forget() -> None:
+    """Give back what the worker holds of other stages' models."""
+    _HELD.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import remainder
+from tessera.llm.common import held, remainder
 
 SLOTS = 1 << 16
 #: Documents of each language in the training sample, in expectation.
@@ -233,37 +233,30 @@ class Labeller:
         """(language, score) of each text."""
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
         names = self.model["names"]
-        held: list[tuple[int, list[str]]] = []
+        wait: list[tuple[int, list[str]]] = []
         total = 0
 
         def flush() -> None:
-            for (i, _), p in zip(held, self.probabilities([w for _, w in held]), strict=True):
+            for (i, _), p in zip(wait, self.probabilities([w for _, w in wait]), strict=True):
                 mean = np.round(p.mean(axis=0), 9)
                 best = int(mean.argmax())
                 out[i] = (names[best], float(min(max(mean[best], 0.0), 1.0)))
-            held.clear()
+            wait.clear()
 
         for i, text in enumerate(texts):
             if names and text and has_letter(text):
-                held.append((i, text.lower().split()))
-                total += len(held[-1][1])
+                wait.append((i, text.lower().split()))
+                total += len(wait[-1][1])
                 if total >= TOGETHER:
                     flush()
                     total = 0
-        if held:
+        if wait:
             flush()
         return out
 
 
-_LABELLERS: dict[int, Labeller] = {}
-
-
 def labeller(model: dict) -> Labeller:
-    token = crc32(model["weights"].tobytes())
-    if token not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[token] = Labeller(model)
-    return _LABELLERS[token]
+    return held(f"language {crc32(model['weights'].tobytes())}", lambda: Labeller(model))
 
 
 def identified(text: Column, model: dict) -> Column:

@@ -16,12 +16,15 @@ import re
 from array import array
 from heapq import heapify, heappop, heappush
 from operator import add
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import held
+
 MARK = "▁"
 #: Parts held in a worker's cache, and the longest part that is held.
 CACHE_PARTS, CACHE_CHARS = 700_000, 48
@@ -141,15 +144,9 @@ class PieceCoder:
         return ids, decoded[1:], differ
 
 
-_CODERS: dict[int, PieceCoder] = {}
-
-
 def coder(proto: bytes) -> PieceCoder:
     """The worker's own coder of a model."""
-    key = hash(proto)
-    if key not in _CODERS:
-        _CODERS[key] = PieceCoder(proto)
-    return _CODERS[key]
+    return held(f"pieces {crc32(proto)}", lambda: PieceCoder(proto))
 
 
 def encoded(text: Column, proto: bytes) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import collected
+from tessera.llm.common import collected, held
 
 SLOTS = 1 << 18
 #: Labelled rows of each class that the fit uses at most.
@@ -107,27 +107,21 @@ def repeated(words: list[bytes], window: int = WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edges[:-1])))
 
 
-_HELD: dict[int, _Weights] = {}
-
-
 def judged(text: Column, model: dict, keep_at: float = KEEP_AT) -> Column:
     """Column of counts, base verdict, probability of good quality and verdict."""
     weights, bias, slope, shift = model["weights"], model["bias"], model["slope"], model["shift"]
-    token = crc32(weights.tobytes())
+    token = f"quality {crc32(weights.tobytes())}"
 
     @F.arrow_udf(SCHEMA)
     def run(texts: pa.Array) -> pa.Array:
-        held = _HELD.get(token)
-        if held is None:
-            _HELD.clear()
-            held = _HELD[token] = _Weights(weights)
+        own = held(token, lambda: _Weights(weights))
         rows = []
         for t in texts.cast(pa.binary()):
             data = t.as_py() or b""
             words = data.split()
             n, chars, symbols, dup, again = counts(data, words)
             failed = n < 20 or 100 * again > 30 * n
-            raw = bias + (sum([held[w] for w in words]) / n if n else 0.0)
+            raw = bias + (sum([own[w] for w in words]) / n if n else 0.0)
             p = float(1 / (1 + np.exp(-np.clip(slope * raw + shift, -50, 50))))
             rows.append((n, chars, symbols, dup, again, failed, p, not failed and p >= keep_at))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 8

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, saved
+from tessera.llm.common import forget, fresh, saved
 
 BITS = 64
 #: Fingerprints of a table's group that are compared in one task, in expectation.
@@ -54,6 +54,7 @@ def fingerprint(text: Column, width: int = 4, seed: int = 42) -> Column:
 
     @F.arrow_udf("long")
     def run(texts: pa.Array) -> pa.Array:
+        forget()
         return pa.array([fingerprint_of(t.as_py() or b"", width, seed) for t in texts.cast(pa.binary())], pa.int64())
 
     return run(text)
@@ -109,6 +110,7 @@ def sketch(text: Column) -> Column:
 
     @F.arrow_udf("array<long>")
     def run(texts: pa.Array) -> pa.Array:
+        forget()
         return pa.array([sketch_of(t.as_py() or b"") for t in texts.cast(pa.binary())], pa.list_(pa.int64()))
 
     return run(text)
