@@ -17,7 +17,7 @@ MAX_WEIGHT = ([(0.2, "0-20%"), (0.3, "20-30%"), (0.4, "30-40%"), (0.5, "40-50%")
 EFFECTIVE_N = ([(1.0001, "1"), (1.5, "1-1.5"), (2, "1.5-2"), (3, "2-3"), (5, "3-5"), (10, "5-10")], ">10", True)
 CASH_SHARE = ([(0, "0"), (0.1, "0-10%"), (0.2, "10-20%"), (0.3, "20-30%"), (0.4, "30-40%"), (0.5, "40-50%"), (0.6, "50-60%"), (0.7, "60-70%"), (0.8, "70-80%"), (0.9, "80-90%")], "90-100%", True)
 MIX = ([(0, "none"), (0.25, "0-25%"), (0.5, "25-50%"), (0.75, "50-75%")], "75-100%", True)
-TURNOVER = ([(1e-12, "0"), (0.01, "0-1%"), (0.05, "1-5%"), (0.1, "5-10%"), (0.25, "10-25%"), (0.5, "25-50%"), (0.75, "50-75%"), (0.999, "75-99.9%")], "100%", True)
+TURNOVER = ([(1e-12, "0"), (0.001, "0-0.1%"), (0.01, "0.1-1%"), (0.05, "1-5%"), (0.1, "5-10%"), (0.25, "10-25%"), (0.5, "25-50%"), (0.75, "50-75%")], "75-100%", True)
 DISTANCE = ([(0, "0"), (1, "0-1%"), (20, "1-20%"), (40, "20-40%"), (60, "40-60%"), (80, "60-80%"), (100, "80-100%")], None, True)
 RETURNS = ([(-0.5, "<-50%"), (-0.25, "-50--25%"), (-0.1, "-25--10%"), (0, "-10-0%"), (0.1, "0-10%"), (0.25, "10-25%"), (0.5, "25-50%")], ">=50%", False)
 HOLDERS = ([(100, "<=100"), (1_000, "100-1K"), (10_000, "1K-10K")], ">10K", True)
@@ -65,7 +65,11 @@ def histogram(df: DataFrame, dims: list[str], label: Column) -> DataFrame:
 def ventiles(df: DataFrame, x: str, y: str, n: int = 20) -> DataFrame:
     """Per n-quantile bin of x, by discrete quantile edges so that ties share a bin: rows, mean and median of x and y."""
     qs = [i / n for i in range(1, n)]
-    edges = df.agg(F.expr(f"array({', '.join(f'percentile_disc({q}) WITHIN GROUP (ORDER BY {x})' for q in qs)})").alias("_edges"))
-    rows = df.filter(F.col(x).isNotNull()).crossJoin(F.broadcast(edges))
+    from tessera.operators.ranks import exact_quantiles, with_quantiles
+
+    edges = exact_quantiles(df, [], x, qs, discrete=True).select(F.col("q").alias("_edges"))
+    rows = df.filter(F.col(x).isNotNull()).crossJoin(F.broadcast(edges))  # one row
     place = F.aggregate("_edges", F.lit(0), lambda acc, e: acc + F.when(F.col(x) > e, 1).otherwise(0))
-    return rows.withColumn("ventile", place + 1).groupBy("ventile").agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.median(x).alias("median_x"), F.avg(y).alias("mean_y"), F.median(y).alias("median_y"))
+    rows = rows.select(x, y, (place + 1).alias("ventile"))
+    means = rows.groupBy("ventile").agg(F.count("*").alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"))
+    return with_quantiles(means, rows, ["ventile"], {"median_x": (x, 0.5), "median_y": (y, 0.5)})

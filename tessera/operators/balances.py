@@ -77,6 +77,18 @@ def supply_at(transfers: DataFrame, snapshots: list[int]) -> DataFrame:
     return balances(transfers.select("token", "block", signed.alias("value")).filter("value IS NOT NULL"), snapshots, ("token",)).withColumnRenamed("balance", "supply")
 
 
+def supply_changes(transfers: DataFrame) -> DataFrame:
+    """token, block, supply: minted less burned up to each block in which it changes."""
+    signed = F.when(F.col("sender").isNull(), F.col("value")).when(F.col("recipient").isNull(), -F.col("value"))
+    steps = transfers.select("token", "block", signed.alias("value")).filter("value IS NOT NULL").groupBy("token", "block").agg(F.sum("value").alias("value"))
+    return steps.select("token", "block", F.sum("value").over(W.partitionBy("token").orderBy("block")).alias("supply"))
+
+
+def supply_asof(changes: DataFrame, points: DataFrame) -> DataFrame:
+    """points (token, block, ...) with the last supply at or before their block."""
+    return asof_join(points, changes.withColumnRenamed("block", "supply_block"), ["token"], "block", "supply_block")
+
+
 def human(balances: DataFrame, decimals: DataFrame, default: int = 18) -> DataFrame:
     """Balances over ten to the token's decimals; what is not positive goes."""
     rows = balances.join(decimals.select("token", "decimals"), "token", "left")
@@ -94,6 +106,12 @@ def resolve_blocks(dates: DataFrame, days: DataFrame) -> DataFrame:
     return asof_join(dates.select("day").withColumn("one", F.lit(1)), known.withColumnRenamed("day", "known_day"), ["one"], "day", "known_day").select("day", "block")
 
 
+def date_gaps(resolved: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row: days, those without a block, and those whose block differs from the manifest's."""
+    rows = resolved.join(manifest.select("day", F.col("block").alias("_m")), "day", "left")
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("block").isNull()).alias("unresolved"), F.count_if(F.col("_m") != F.col("block")).alias("mismatched"))
+
+
 def supply_override(supply: DataFrame, blocks: DataFrame, days: int = 7) -> tuple[DataFrame, DataFrame]:
     """(block, supply at its day or up to so many days before; blocks without any)."""
     found = asof_join(blocks.withColumn("one", F.lit(1)), supply.withColumn("one", F.lit(1)).withColumnRenamed("day", "supply_day"), ["one"], "day", "supply_day", max_age=days).drop("one")
@@ -110,14 +128,23 @@ def spot(prices: DataFrame, points: DataFrame, max_age: int | None = None) -> Da
 
 
 def valued(balances: DataFrame, prices: DataFrame, snapshots: dict[int, date]) -> DataFrame:
-    """snapshot, address, token, balance, value (exact, in millionths) of positive balances; a token without a price has a null value.
+    """snapshot, address, token, balance, value (in millionths) of positive balances; a token without a price has a null value.
 
+    Balances of up to 20 digits before and 9 after the point are multiplied exactly; others, such as raw amounts of a
+    token with 18 decimals, as doubles.
     Prices are found once for each token and snapshot, a table of tokens times snapshots, then joined.
     """
     grid = prices.select("token").distinct().select("token", F.explode(F.array(*[F.struct(F.lit(b).alias("snapshot"), F.lit(d).alias("day")) for b, d in snapshots.items()])).alias("s")).select("token", "s.snapshot", "s.day")
     at = spot(prices, grid).select("token", "snapshot", "close")
     rows = balances.filter("balance > 0").join(at, ["token", "snapshot"], "left")
-    return rows.select("snapshot", "address", "token", F.col("balance").cast("double").alias("balance"), (F.col("balance").cast("decimal(18,0)") * F.col("close").cast("decimal(18,6)")).alias("value"))
+    return rows.select("snapshot", "address", "token", F.col("balance").cast("double").alias("balance"), money(F.col("balance"), F.col("close")).alias("value"))
+
+
+def money(amount: Column, price: Column) -> Column:
+    """amount * price as decimal(38,6); null where either is, or where the product has more than 32 digits before the point."""
+    exact = F.try_multiply(amount.try_cast("decimal(29,9)"), price.try_cast("decimal(18,6)")).cast("decimal(38,6)")
+    fits = F.abs(amount.cast("double")) * 1e9 == F.floor(F.abs(amount.cast("double")) * 1e9)
+    return F.coalesce(F.when(fits, exact), (amount.cast("double") * price).try_cast("decimal(38,6)"))
 
 
 def holdings(positions: DataFrame) -> DataFrame:

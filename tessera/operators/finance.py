@@ -55,6 +55,12 @@ def covariance(returns: DataFrame, pairs: DataFrame | None = None, shrink: float
     return out.withColumn("cov", F.when(F.col("a") == F.col("b"), F.col("cov")).otherwise((1 - shrink) * F.col("cov")))
 
 
+def held_pairs(positions: DataFrame, keys: tuple[str, ...] = ("snapshot", "address")) -> DataFrame:
+    """snapshot, a, b: the distinct pairs of tokens that some account holds together, each with itself; asset sets are met once, however many accounts hold them."""
+    sets = positions.groupBy(*keys).agg(F.sort_array(F.collect_set("token")).alias("tokens")).select("snapshot", "tokens").distinct()
+    return sets.select("snapshot", "tokens", F.explode("tokens").alias("a")).select("snapshot", "a", F.explode("tokens").alias("b")).distinct()
+
+
 def trimmed_mean(df: DataFrame, keys: list[str], col: str, frac: float = 0.05) -> DataFrame:
     """keys, mean of col without the floor(frac * n) least and greatest values."""
     by = W.partitionBy(*keys)
@@ -144,15 +150,32 @@ def l1(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("snapshot", "address
 
 
 def portfolio_metrics(weights: DataFrame, mu: DataFrame, cov: DataFrame, keys: tuple[str, ...] = ("snapshot", "address"), rf: float = 0.0, days: int = 365) -> DataFrame:
-    """keys, expected return, variance, volatility and Sharpe ratio, a year of days; a quadratic form by pair join."""
-    a = weights.select(*keys, F.col("token").alias("a"), F.col("weight").alias("wa"))
-    b = weights.select(*keys, F.col("token").alias("b"), F.col("weight").alias("wb"))
-    var = a.join(b, list(keys)).join(cov.select("snapshot", "a", "b", "cov"), ["snapshot", "a", "b"]).groupBy(*keys).agg((F.sum(F.col("wa") * F.col("wb") * F.col("cov")) * days).alias("variance"))
+    """keys, expected return, variance, volatility and Sharpe ratio, a year of days: a quadratic form over an account's own pairs, exploded within its row."""
+    held = weights.groupBy(*keys).agg(F.collect_list(F.struct("token", "weight")).alias("p"))
+    pairs = held.select(*keys, "p", F.explode("p").alias("x")).select(*keys, "x", F.explode("p").alias("y")).select(*keys, F.col("x.token").alias("a"), F.col("y.token").alias("b"), (F.col("x.weight") * F.col("y.weight")).alias("w"))
+    var = pairs.join(cov.select("snapshot", "a", "b", "cov"), ["snapshot", "a", "b"]).groupBy(*keys).agg((F.sum(F.col("w") * F.col("cov")) * days).alias("variance"))
     ret = weights.join(mu, ["snapshot", "token"]).groupBy(*keys).agg((F.sum(F.col("weight") * F.col("mu")) * days).alias("expected"))
     rows = ret.join(var, list(keys)).withColumn("volatility", F.sqrt(F.greatest("variance", F.lit(0.0))))
     return rows.withColumn("sharpe", F.try_divide(F.col("expected") - rf, F.col("volatility")))
 
 
+def path_metrics(weights: DataFrame, prices: DataFrame, snapshots: dict[int, date], days: int = 20, keys: tuple[str, ...] = ("snapshot", "address")) -> DataFrame:
+    """keys, n_days, total, volatility (a year), max_drawdown of a portfolio bought at weight and held: its value by day, prices carried forward; days before all assets have a price go."""
+    spans = F.explode(F.array(*[F.struct(F.lit(b).alias("snapshot"), F.lit(d).alias("at")) for b, d in snapshots.items()])).alias("s")
+    windows = prices.sparkSession.range(1).select(spans).select("s.snapshot", F.explode(F.sequence(F.date_sub("s.at", 4), F.date_add("s.at", days - 1))).alias("day"), "s.at")
+    inside = prices.join(windows, "day").select("snapshot", "token", "day", "close")
+    grid = inside.select("snapshot", "token").distinct().join(windows, "snapshot").join(inside, ["snapshot", "token", "day"], "left")
+    carried = F.last("close", ignorenulls=True).over(W.partitionBy("snapshot", "token").orderBy("day").rowsBetween(W.unboundedPreceding, 0))
+    closes = grid.withColumn("close", carried).filter(F.col("day") >= F.date_sub("at", 1))
+    first = F.first("close").over(W.partitionBy("snapshot", "token").orderBy("day").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    growth = closes.withColumn("g", F.col("close") / first).select("snapshot", "token", "day", "g")
+    counted = weights.withColumn("_n", F.count("*").over(W.partitionBy(*keys)))
+    value = counted.join(growth, ["snapshot", "token"]).groupBy(*keys, "day").agg(F.sum(F.col("weight") * F.col("g")).alias("v"), F.count("g").alias("c"), F.max("_n").alias("n")).filter("c = n")
+    by = W.partitionBy(*keys).orderBy("day")
+    rows = value.withColumn("r", F.log(F.col("v") / F.lag("v").over(by))).withColumn("dd", F.col("v") / F.max("v").over(by.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    return rows.groupBy(*keys).agg(F.count("*").alias("n_days"), (F.max_by("v", "day") / F.min_by("v", "day") - 1).alias("total"), (F.stddev("r") * F.sqrt(F.lit(365.0))).alias("volatility"), F.min("dd").alias("max_drawdown"))
+
+
 def index_tokens(positions: DataFrame, k: int) -> DataFrame:
     """snapshot, token: the k tokens that most accounts hold; ties by name."""
     held = positions.groupBy("snapshot", "token").agg(F.count("*").alias("n"))
@@ -173,18 +196,35 @@ def alpha(ret: Column, beta: Column, market: Column) -> Column:
     return ret - beta * market
 
 
+def status_and_score(mean_pp: Column, median_pp: Column, hit_rate: Column) -> tuple[Column, Column]:
+    """BETTER or WORSE where both differences agree in sign, else MIXED; and a score that weighs them and the hit rate."""
+    better, worse = (mean_pp > 0) & (median_pp > 0), (mean_pp < 0) & (median_pp < 0)
+    return F.when(better, "BETTER").when(worse, "WORSE").otherwise("MIXED"), 0.5 * mean_pp + 0.3 * median_pp + 0.2 * (hit_rate - 0.5) * 100
+
+
 def summary(wallets: DataFrame, strategies: list[str], baseline: str, dims: list[str]) -> DataFrame:
-    """snapshot, dims ('ALL' too), strategy: mean, median, hit rate against the baseline, and the difference in percentage points with its status.
+    """snapshot, dims ('ALL' too), strategy: mean, median, hit rate against the baseline, and the difference in percentage points with its status; means of the market return and, where wallets has them, of l1_<strategy> and beta_<strategy>, and the share of fallback_<strategy>.
 
-    wallets has ret_<strategy> columns; one pass turns them to rows, one aggregation serves all groupings.
+    wallets has ret_<strategy> columns; one pass turns them to rows, each once for every grouping that it is in.
     """
-    from tessera.operators.panels import cube_panel
+    from tessera.operators.panels import cube_rows
+    from tessera.operators.ranks import with_quantiles
+
+    more = {k: [s for s in strategies if f"{k}_{s}" in wallets.columns] for k in ("l1", "beta", "fallback")}
+
+    def fields(s: str) -> list[Column]:
+        extra = [(F.col(f"{k}_{s}").cast("double") if s in names else F.lit(None).cast("double")).alias(k) for k, names in more.items()]
+        return [F.lit(s).alias("strategy"), F.col(f"ret_{s}").alias("ret"), *extra]
 
-    rows = wallets.select("snapshot", *dims, F.col(f"ret_{baseline}").alias("_base"), F.explode(F.array(*[F.struct(F.lit(s).alias("strategy"), F.col(f"ret_{s}").alias("ret")) for s in strategies])).alias("x")).select("snapshot", *dims, "_base", "x.*").filter("ret IS NOT NULL AND _base IS NOT NULL")
-    aggs = [F.count("*").alias("n"), F.avg("ret").alias("mean"), F.median("ret").alias("median"), F.avg((F.col("ret") > F.col("_base")).cast("int")).alias("hit_rate"), ((F.avg("ret") - F.avg("_base")) * 100).alias("diff_mean_pp"), ((F.median("ret") - F.median("_base")) * 100).alias("diff_median_pp")]
-    out = cube_panel(rows, ["snapshot", "strategy", *dims], aggs, always=("snapshot", "strategy"))
-    better, worse = (F.col("diff_mean_pp") > 0) & (F.col("diff_median_pp") > 0), (F.col("diff_mean_pp") < 0) & (F.col("diff_median_pp") < 0)
-    return out.withColumn("status", F.when(better, "BETTER").when(worse, "WORSE").otherwise("MIXED")).withColumn("score", 0.5 * F.col("diff_mean_pp") + 0.3 * F.col("diff_median_pp") + 0.2 * (F.col("hit_rate") - 0.5) * 100)
+    market = F.col("market") if "market" in wallets.columns else F.lit(None).cast("double")
+    rows = wallets.select("snapshot", *dims, market.alias("market"), F.col(f"ret_{baseline}").alias("_base"), F.explode(F.array(*[F.struct(*fields(s)) for s in strategies])).alias("x")).select("snapshot", *dims, "_base", "market", "x.*").filter("ret IS NOT NULL AND _base IS NOT NULL")
+    keys = ["snapshot", "strategy", *dims]
+    every = cube_rows(rows, keys, always=("snapshot", "strategy"))
+    means = [F.avg("market").alias("market"), F.avg("l1").alias("mean_l1"), F.avg("beta").alias("mean_beta"), F.avg("fallback").alias("fallback_rate")]
+    out = every.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg((F.col("ret") > F.col("_base")).cast("int")).alias("hit_rate"), ((F.avg("ret") - F.avg("_base")) * 100).alias("diff_mean_pp"), *means)
+    out = with_quantiles(out, every, keys, {"median": ("ret", 0.5), "_mb": ("_base", 0.5)}).withColumn("diff_median_pp", (F.col("median") - F.col("_mb")) * 100).drop("_mb")
+    status, score = status_and_score(F.col("diff_mean_pp"), F.col("diff_median_pp"), F.col("hit_rate"))
+    return out.withColumn("status", status).withColumn("score", score)
 
 
 def zero_counts(df: DataFrame, cols: list[str], near: float = 1e-6) -> DataFrame:
@@ -195,7 +235,8 @@ def zero_counts(df: DataFrame, cols: list[str], near: float = 1e-6) -> DataFrame
     return df.agg(F.count("*").alias("n"), *[F.count_if(F.col(c) == 0).alias(f"zero_{c}") for c in cols], *[F.count_if(F.col(c) <= near).alias(f"near_{c}") for c in cols], F.count_if(every).alias("all_zero"))
 
 
-def check_market(market: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """One row: snapshots, greatest difference of stored and recomputed market return, and the share where the stored is higher."""
-    both = market.select("snapshot", "mkt").join(recomputed.select("snapshot", F.col("mkt").alias("again")), "snapshot")
-    return both.agg(F.count("*").alias("n"), F.max(F.abs(F.col("mkt") - F.col("again"))).alias("max_diff"), F.avg((F.col("mkt") > F.col("again")).cast("int")).alias("share_higher"))
+def check_market(market: DataFrame, recomputed: DataFrame, tol: float = 1e-6) -> DataFrame:
+    """One row: snapshots with both, greatest difference of stored and recomputed market return, shares where the stored is higher and within tol, and snapshots that only one side has; of no common snapshot the measures are null."""
+    both = market.select("snapshot", "mkt").join(recomputed.select("snapshot", F.col("mkt").alias("again")), "snapshot", "full_outer")
+    gap = F.col("mkt") - F.col("again")
+    return both.agg(F.count(gap).alias("n"), F.max(F.abs(gap)).alias("max_diff"), F.avg((gap > 0).cast("int")).alias("share_higher"), F.avg((F.abs(gap) <= tol).cast("int")).alias("share_equal"), F.count_if(F.col("again").isNull() & F.col("mkt").isNotNull()).alias("only_stored"), F.count_if(F.col("mkt").isNull() & F.col("again").isNotNull()).alias("only_recomputed"))

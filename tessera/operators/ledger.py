@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,6 +50,17 @@ def chunk_of(block: Column, size: int) -> Column:
     return (F.floor(block / size) * size).cast("long")
 
 
+def chunk_grid(spark: SparkSession, first: int, last: int, size: int) -> DataFrame:
+    """lo, hi: the chunks of so many blocks that cover a range of blocks; the last one ends with it."""
+    starts = spark.range(first, last + 1, size).select(F.col("id").alias("lo"))
+    return starts.select("lo", F.least(F.col("lo") + size - 1, F.lit(last)).alias("hi"))
+
+
+def in_chunks(ledger: DataFrame, first: int, size: int, block: str = "block") -> DataFrame:
+    """ledger with lo, the first block of the chunk of a grid that begins at first."""
+    return ledger.withColumn("lo", (F.floor((F.col(block) - first) / size) * size + first).cast("long"))
+
+
 def supply_accounts(ledger: DataFrame) -> DataFrame:
     """One row: sums by kind and the net supply."""
     sums = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("value"))), F.lit(0)).alias(k) for k in ("mint", "burn", "transfer")]
@@ -84,11 +95,13 @@ def trace_key(path: Column) -> Column:
 def drop_reverted_subtrees(traces: DataFrame, tx: str = "tx_hash", path: str = "trace_address", error: str = "error") -> DataFrame:
     """Traces without an errored ancestor or own error: an equi anti-join on each trace's prefixes, not a theta join."""
     failed = traces.filter(F.coalesce(F.col(error), F.lit("")) != "").select(F.col(tx).alias("_tx"), trace_key(F.col(path)).alias("_key")).distinct()
-    numbered = traces.withColumn("_id", F.monotonically_increasing_id()).withColumn("_own", trace_key(F.col(path)))
+    own = trace_key(F.col(path))
     parts = F.filter(F.split("_own", r"\."), lambda p: p != "")
     prefixes = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-    bad = numbered.select("_id", F.col(tx).alias("_tx"), F.explode(prefixes).alias("_key")).join(failed, ["_tx", "_key"], "left_semi").select("_id").distinct()
-    return numbered.join(bad, "_id", "left_anti").drop("_id", "_own")
+    # A trace is known by its transaction and place, which no retry changes.
+    places = traces.select(F.col(tx).alias("_tx"), own.alias("_own")).distinct().select("_tx", "_own", F.explode(prefixes).alias("_key"))
+    bad = places.join(failed, ["_tx", "_key"], "left_semi").select("_tx", "_own").distinct()
+    return traces.join(bad, (F.col(tx) == F.col("_tx")) & (own == F.col("_own")), "left_anti")
 
 
 def fee_rows(tx: DataFrame, blocks: DataFrame) -> DataFrame:

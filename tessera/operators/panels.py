@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import exact_quantiles
+
 
 def cube_panel(df: DataFrame, dims: list[str], aggs: list[Column], always: tuple[str, ...] = ()) -> DataFrame:
     """Aggregates over every subset of dims, with 'ALL' where a dimension is rolled up; ``always`` stay in all subsets."""
@@ -22,13 +24,10 @@ def cube_panel(df: DataFrame, dims: list[str], aggs: list[Column], always: tuple
 
 def quantiles(df: DataFrame, keys: list[str], col: str, qs: list[float], mode: str = "exact") -> DataFrame:
     """keys, q, value: exact with linear interpolation, discrete, or approximate."""
-    if mode == "exact":
-        agg = F.percentile(col, F.array(*map(F.lit, qs)))
-    elif mode == "approx":
-        agg = F.percentile_approx(col, qs, 10_000)
+    if mode == "approx":
+        rows = df.groupBy(*keys).agg(F.percentile_approx(col, qs, 10_000).alias("_v"))
     else:
-        agg = F.expr(f"array({', '.join(f'percentile_disc({q}) WITHIN GROUP (ORDER BY {col})' for q in qs)})")
-    rows = df.groupBy(*keys).agg(agg.alias("_v"))
+        rows = exact_quantiles(df, keys, col, qs, mode == "discrete").withColumnRenamed("q", "_v")
     pairs = F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("_v").alias("value"))
     return rows.select(*keys, F.explode(pairs).alias("x")).select(*keys, F.col("x.q").alias("q"), F.col("x.value").alias("value"))
 
@@ -179,8 +178,17 @@ def dust_effect(full: DataFrame, clean: DataFrame, snapshot: str) -> DataFrame:
 
 
 def panel(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
-    """Any list of aggregates by keys, and over all rows where the keys are null."""
-    return df.groupingSets([[F.col(k) for k in keys], []], *keys).agg(*aggs)
+    """Any list of aggregates by keys, and over all rows where the keys are null; of no rows the latter alone, with counts of 0."""
+    whole = df.agg(*aggs)
+    kinds = dict(df.dtypes)
+    return df.groupBy(*keys).agg(*aggs).unionByName(whole.select(*[F.lit(None).cast(kinds[k]).alias(k) for k in keys], "*"))
+
+
+def cube_rows(df: DataFrame, dims: list[str], always: tuple[str, ...] = ()) -> DataFrame:
+    """df once for each subset of dims, 'ALL' standing for those that are rolled up."""
+    for d in (d for d in dims if d not in always):
+        df = df.withColumn(d, F.explode(F.array(F.col(d).cast("string"), F.lit("ALL"))))
+    return df
 
 
 def union_sources(sources: dict[str, DataFrame]) -> DataFrame:

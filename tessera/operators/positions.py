@@ -16,6 +16,17 @@ def fold_assets(positions: DataFrame, alias: dict[str, str], keys: tuple[str, ..
     return rows.filter("units > 0")
 
 
+def fold_map(holdings: Column, alias: dict[str, str]) -> Column:
+    """A map of token to balance with alias tokens counted as the token they stand for; what is not positive goes."""
+    other = lambda a, b: lambda k, _: ~k.isin(a, b)
+    out = holdings
+    for a, b in alias.items():
+        both = F.coalesce(F.try_element_at(holdings, F.lit(a)), F.lit(0.0)) + F.coalesce(F.try_element_at(holdings, F.lit(b)), F.lit(0.0))
+        others = F.map_filter(out, other(a, b))
+        out = F.map_concat(others, F.create_map(F.lit(b), both))
+    return F.map_filter(out, lambda _, v: v > 0)
+
+
 def folded_count(holdings: Column, alias: tuple[str, str]) -> Column:
     """Number of assets, the two alias tokens counting once where both are held."""
     has = lambda t: F.exists(holdings, lambda h: (h["token"] == t) & (h["balance"] > 0))
@@ -79,36 +90,51 @@ def with_type(df: DataFrame, contracts: DataFrame, every: bool = True) -> DataFr
     return rows.withColumn("type", F.explode(F.array("type", F.lit("ALL")))) if every else rows
 
 
-def turnover(positions: DataFrame, order: list[int]) -> DataFrame:
+def turnover(positions: DataFrame, order: list[int], native: str | None = None, tol: float = 1e-9) -> DataFrame:
     """address, t, t1 and the change from each snapshot to the next, for accounts with value in the first.
 
-    The passive value of a position is its units at t times the token's implied price at t1. turnover is half the sum
-    of absolute differences of actual and passive weights, drift that of passive and first weights.
+    The passive value of a position with value at t is its units times the token's implied price at t1, over positions
+    with value. turnover is half the sum of absolute differences of actual and passive weights, drift that of passive and
+    first weights; both are null where a side has no value. Units count as unchanged within a relative tolerance.
+    Pairs are dealt once, by account; the sums beside the rows and those over them share that shuffle.
     """
     nxt = F.create_map(*[F.lit(x) for a, b in zip(order, order[1:], strict=False) for x in (a, b)])
-    priced = positions.select("snapshot", "address", "token", "units", F.coalesce("value", F.lit(0.0)).alias("value"))
-    price = priced.groupBy("snapshot", "token").agg((F.sum("value") / F.sum("units")).alias("price"))
+    back = F.create_map(*[F.lit(x) for a, b in zip(order[1:], order, strict=False) for x in (a, b)])
+    priced = positions.select("snapshot", "address", "token", "units", F.greatest(F.coalesce("value", F.lit(0.0)).cast("double"), F.lit(0.0)).alias("value"))
+    price = priced.filter("value > 0 AND units > 0").groupBy("snapshot", "token").agg((F.sum("value") / F.sum("units")).alias("price"))
     a = priced.filter(F.col("snapshot") != order[-1]).select(F.col("snapshot").alias("t"), F.try_element_at(nxt, F.col("snapshot")).alias("t1"), "address", "token", F.col("units").alias("u0"), F.col("value").alias("v0"))
-    a = a.join(price.select(F.col("snapshot").alias("t1"), "token", "price"), ["t1", "token"], "left").withColumn("p1", F.col("u0") * F.coalesce("price", F.lit(0.0))).drop("price")
-    back = F.create_map(*[F.lit(x) for x, y in zip(order[1:], order, strict=False) for x in (x, y)])
+    a = a.join(price.select(F.col("snapshot").alias("t1"), "token", "price"), ["t1", "token"], "left")
+    a = a.withColumn("p1", F.when(F.col("v0") > 0, F.col("u0") * F.coalesce("price", F.lit(0.0))).otherwise(0.0)).drop("price")
     b = priced.filter(F.col("snapshot") != order[0]).select(F.try_element_at(back, F.col("snapshot")).alias("t"), F.col("snapshot").alias("t1"), "address", "token", F.col("units").alias("u1"), F.col("value").alias("v1"))
-    # One shuffle by account and pair carries the full outer join and the sums beside the rows.
-    both = a.select("t", "t1", "address", "token", "u0", "v0", "p1", F.lit(0.0).alias("u1"), F.lit(0.0).alias("v1")).unionByName(b.select("t", "t1", "address", "token", F.lit(0.0).alias("u0"), F.lit(0.0).alias("v0"), F.lit(0.0).alias("p1"), "u1", "v1"))
-    rows = both.groupBy("t", "t1", "address", "token").agg(*[F.sum(c).alias(c) for c in ("u0", "v0", "p1", "u1", "v1")])
-    sums = rows.groupBy("t", "t1", "address").agg(F.sum("v0").alias("V0"), F.sum("p1").alias("P1"), F.sum("v1").alias("A1"), F.bool_and(F.abs(F.col("u1") - F.col("u0")) <= 1e-9).alias("unchanged"), F.collect_list(F.struct("v0", "p1", "v1")).alias("x"))
+    zero = F.lit(0.0)
+    both = a.select("t", "t1", "address", "token", "u0", "v0", "p1", zero.alias("u1"), zero.alias("v1")).unionByName(b.select("t", "t1", "address", "token", zero.alias("u0"), zero.alias("v0"), zero.alias("p1"), "u1", "v1"))
+    rows = both.repartition("t", "t1", "address").groupBy("t", "t1", "address", "token").agg(*[F.sum(c).alias(c) for c in ("u0", "v0", "p1", "u1", "v1")])
+    beside = W.partitionBy("t", "t1", "address")
+    rows = rows.select("*", *[F.sum(c).over(beside).alias(f"_{c}") for c in ("v0", "p1", "v1")])
+    same = F.abs(F.col("u1") - F.col("u0")) <= tol * F.greatest(F.abs("u0"), F.abs("u1"))
+    part = lambda c: F.try_divide(F.col(c), F.col(f"_{c}"))
+    aggs = [F.max("_v0").alias("V0"), F.max("_p1").alias("P1"), F.max("_v1").alias("A1"), F.count_if(F.col("v0") > 0).alias("n0"), F.bool_and(same).alias("unchanged"), F.bool_and(same | (F.col("token") == F.lit(native))).alias("unchanged_ex_native")]
+    aggs += [F.count_if((F.col("u0") <= 0) & (F.col("u1") > 0)).alias("n_added"), F.count_if((F.col("u0") > 0) & (F.col("u1") <= 0)).alias("n_removed"), F.sum(F.when((F.col("v0") > 0) & (F.col("p1") <= 0), F.col("v0")).otherwise(0.0)).alias("v0_unpriced")]
+    aggs += [(F.sum(F.abs(part("v1") - part("p1"))) / 2).alias("_turnover"), (F.sum(F.abs(part("v0") - part("p1"))) / 2).alias("_drift")]
+    out = rows.groupBy("t", "t1", "address").agg(*aggs).filter("V0 > 0")
+    out = out.withColumn("turnover", F.when((F.col("A1") > 0) & (F.col("P1") > 0), F.col("_turnover"))).withColumn("drift", F.when(F.col("P1") > 0, F.col("_drift"))).drop("_turnover", "_drift")
+    return out.withColumn("unchanged_ex_native", F.coalesce("unchanged_ex_native", "unchanged")).withColumn("status", F.when(F.col("A1") <= 0, "exit").otherwise("stay"))
 
-    def half(f) -> Column:
-        return F.aggregate(F.transform("x", f), F.lit(0.0), lambda s, v: s + v) / 2
 
-    out = sums.filter("V0 > 0").select("address", "t", "t1", "V0", "P1", "A1", "unchanged", F.when((F.col("A1") > 0) & (F.col("P1") > 0), half(lambda r: F.abs(r["v1"] / F.col("A1") - r["p1"] / F.col("P1")))).alias("turnover"), F.when(F.col("P1") > 0, half(lambda r: F.abs(r["v0"] / F.col("V0") - r["p1"] / F.col("P1")))).alias("drift"))
-    return out.withColumn("status", F.when(F.col("A1") <= 0, "exit").otherwise("stay")).withColumn("net_flow", F.try_divide(F.col("A1") - F.col("P1"), F.col("P1")))
+#: Turnover up to which accounts are counted.
+THRESHOLDS = [(0.001, "0_1pct"), (0.01, "1pct"), (0.05, "5pct"), (0.10, "10pct"), (0.25, "25pct"), (0.50, "50pct")]
 
 
 def turnover_summary(rows: DataFrame, dims: list[str]) -> DataFrame:
-    """dims: accounts, exits, unchanged, means, and counts under cumulative thresholds of turnover."""
-    t = F.col("turnover")
-    under = [F.count_if(t <= x).alias(f"n_le_{name}") for x, name in ((1e-12, "0"), (0.01, "1pct"), (0.05, "5pct"), (0.1, "10pct"), (0.25, "25pct"), (0.5, "50pct"))]
-    return rows.groupBy(*dims).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "exit").alias("n_exit"), F.count_if("unchanged").alias("n_unchanged"), F.avg("turnover").alias("mean_turnover"), F.avg("drift").alias("mean_drift"), F.count_if(F.col("net_flow") > 0.1).alias("n_inflow"), F.count_if(F.col("net_flow") < -0.1).alias("n_outflow"), *under)
+    """dims: accounts, exits, measured ones (value at both ends), unchanged, with positions added or removed, in- and outflows beyond a tenth, sums, and counts under cumulative thresholds of turnover."""
+    # Ratios are rounded far below any threshold's meaning, so that the order of sums decides nothing.
+    ratio = F.round(F.try_divide("A1", "P1"), 9)
+    measured, stays = (F.col("A1") > 0) & (F.col("P1") > 0), F.col("A1") > 0
+    counts = {"n_exit": ~stays, "n_stay": stays, "n_measured": measured, "n_unchanged": stays & F.col("unchanged"), "n_unchanged_ex_native": stays & F.col("unchanged_ex_native"), "n_added_any": stays & (F.col("n_added") > 0), "n_removed_any": stays & (F.col("n_removed") > 0)}
+    counts |= {"n_inflow": measured & (ratio > 1.1), "n_outflow": measured & (ratio < 0.9), "n_le_0": measured & (F.col("turnover") <= 1e-12)}
+    counts |= {f"n_le_{name}": measured & (F.round("turnover", 12) <= x) for x, name in THRESHOLDS}
+    sums = {"mean_turnover": F.avg(F.when(measured, F.col("turnover"))), "mean_drift": F.avg(F.when(measured, F.col("drift"))), "weighted_turnover": F.sum(F.when(measured, F.col("V0") * F.col("turnover"))) / F.sum(F.when(measured, F.col("V0"))), "share_unpriced": F.sum("v0_unpriced") / F.sum("V0")}
+    return rows.groupBy(*dims).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()], *[c.alias(k) for k, c in sums.items()])
 
 
 def cash_mix(values: DataFrame) -> DataFrame:

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def magnitude(value: Column) -> Column:
+    """A whole number that grows with the value: its sign and binary magnitude, in sixteenths."""
+    steps = F.floor(F.log2(F.greatest(F.abs(value.cast("double")), F.lit(1e-300))) * 16).cast("int") + 20_000
+    return F.when(value == 0, 0).when(value < 0, -steps).otherwise(steps)
+
+
 def ranked(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     """df with rank, running (sum down to the row) and n, total of its keys, by value from high to low.
 
     Rows are dealt by keys and by the binary magnitude of the value, in sixteenths; a magnitude starts where the
-    sums of all higher ones, a small table, end. So the largest key is not ranked by one task.
+    sums of all higher ones, a small table, end. So the token that holds a third of all rows is not ranked by one task.
     """
-    steps = F.floor(F.log2(F.greatest(F.col(value).cast("double"), F.lit(1e-12))) * 16).cast("int")
-    rows = df.withColumn("_m", steps)
+    rows = df.withColumn("_m", -magnitude(F.col(value)))
     sums = rows.groupBy(*keys, "_m").agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
-    above, whole = W.partitionBy(*keys).orderBy(F.desc("_m")).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
+    above, whole = W.partitionBy(*keys).orderBy("_m").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
     sums = sums.select(*keys, "_m", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_v").over(above), F.lit(0)).alias("_v0"), F.sum("_n").over(whole).alias("n"), F.sum("_v").over(whole).alias("total"))
     own = W.partitionBy(*keys, "_m").orderBy(F.desc(value), tie)
     local = rows.withColumn("_r", F.row_number().over(own)).withColumn("_s", F.sum(value).over(own.rowsBetween(W.unboundedPreceding, 0)))
@@ -24,6 +32,69 @@ def ranked(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
     return joined.withColumn("rank", F.col("_n0") + F.col("_r")).withColumn("running", F.col("_v0") + F.col("_s")).drop("_m", "_r", "_s", "_n0", "_v0")
 
 
+def places(df: DataFrame, keys: list[str], value: str, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """keys, value, _c, _end, _all: each distinct value, the rows that have it, the rows up to it in rising order, and all rows of the keys.
+
+    Values are counted first, so ties are one row, and dealt by keys and magnitude; a magnitude starts where the counts of
+    all lower ones, a small table, end. wanted gives, from the number of rows, an array of places counted from 1: only the magnitudes that
+    hold one are sorted. null and NaN have no place.
+    """
+    counted = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_m", magnitude(F.col(value)))
+    sums = counted.groupBy(*keys, "_m").agg(F.sum("_c").alias("_own"))
+    below, whole = W.partitionBy(*keys).orderBy("_m").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
+    sums = sums.select(*keys, "_m", "_own", F.coalesce(F.sum("_own").over(below), F.lit(0)).alias("_before"), F.sum("_own").over(whole).alias("_all"))
+    if wanted is not None:
+        sums = sums.filter(F.exists(wanted(F.col("_all")), lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_own"))))
+    own = sums.withColumnsRenamed({k: f"_{k}" for k in keys} | {"_m": "_m_"})
+    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.col("_m") == F.col("_m_"))
+    rows = counted.join(own, same)
+    run = W.partitionBy(*keys, "_m").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    return rows.select(*keys, value, "_c", (F.col("_before") + F.sum("_c").over(run)).alias("_end"), "_all")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], discrete: bool = False) -> DataFrame:
+    """keys, q (array, in the order of qs): exact quantiles, between two values by linear interpolation or, discrete, the value that first covers the share.
+
+    Only counts by magnitude are gathered for a group; the values around a quantile are found among those of its magnitude.
+    """
+
+    def ranks(n: Column) -> list[tuple[Column, Column, Column]]:
+        if discrete:
+            return [(F.greatest(F.ceil(n * F.lit(q)), F.lit(1)), F.greatest(F.ceil(n * F.lit(q)), F.lit(1)), F.lit(0.0)) for q in qs]
+        at = [(n - 1) * F.lit(q) for q in qs]
+        return [(F.floor(x) + 1, F.ceil(x) + 1, x - F.floor(x)) for x in at]
+
+    rows = places(df, keys, value, lambda n: F.array(*[r for lo, hi, _ in ranks(n) for r in (lo, hi)]))
+    v = F.col(value).cast("double")
+    covers = lambda r: (F.col("_end") >= r) & (F.col("_end") - F.col("_c") < r)
+    aggs = [F.max(F.when(covers(r), v)).alias(f"_{i}_{j}") for i, (lo, hi, _) in enumerate(ranks(F.col("_all"))) for j, r in enumerate((lo, hi))]
+    out = rows.groupBy(*keys).agg(F.max("_all").alias("_all"), *aggs)
+    each = [F.col(f"_{i}_0") + (F.col(f"_{i}_1") - F.col(f"_{i}_0")) * part for i, (_, _, part) in enumerate(ranks(F.col("_all")))]
+    return out.select(*keys, F.array(*each).alias("q"))
+
+
+def with_quantiles(grouped: DataFrame, df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """grouped, one row for each of the keys, with exact quantiles of df: wanted has (column, quantile) by name."""
+    for col in dict.fromkeys(c for c, _ in wanted.values()):
+        named = [(name, q) for name, (c, q) in wanted.items() if c == col]
+        cuts = exact_quantiles(df, keys, col, [q for _, q in named]).select(*keys, *[F.col("q")[i].alias(name) for i, (name, _) in enumerate(named)])
+        if keys:
+            mine = cuts.withColumnsRenamed({k: f"_{k}" for k in keys})
+            same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.lit(True))
+            grouped = grouped.join(mine, same, "left").drop(*[f"_{k}" for k in keys])
+        else:
+            grouped = grouped.crossJoin(F.broadcast(cuts))  # one row each
+    return grouped
+
+
+def numbered(df: DataFrame, order: Column, ranges: int = 4096) -> DataFrame:
+    """df with _n from 1 on, by ranges of a 64-bit hash and, within a range, by the hash and all columns; a small table of counts joins the ranges."""
+    rows = df.withColumn("_h", order).withColumn("_p", F.floor((F.col("_h") / 2.0**63 + 1) / 2 * ranges).cast("int"))
+    sums = rows.groupBy("_p").agg(F.count("*").alias("_own")).select("_p", F.coalesce(F.sum("_own").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_p").orderBy("_h", *df.columns))
+    return rows.withColumn("_own", own).join(sums, "_p").withColumn("_n", F.col("_before") + F.col("_own")).drop("_h", "_p", "_own", "_before")
+
+
 def inequality(balances: DataFrame, value: str = "balance", keys: tuple[str, ...] = ("token", "snapshot")) -> DataFrame:
     """Per keys: holders, supply, HHI, Gini, top 1/10/100 and top 1/5/10 % shares, and holders of half of it (Nakamoto); more than one holder."""
     held = balances.filter(F.col(value) > 0)
@@ -51,7 +122,7 @@ def top_shares(df: DataFrame, pcts: list[float], value: str, keys: list[str], ti
 
 def top_quantile(df: DataFrame, pct: float, value: str, keys: list[str], kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(split by kind, summary, members) of the rows at or above the exact quantile; ties stay."""
-    cut = df.groupBy(*keys).agg(F.percentile(value, F.lit(1 - pct)).alias("cut"))
+    cut = exact_quantiles(df, keys, value, [1 - pct]).select(*keys, F.col("q")[0].alias("cut"))
     members = df.join(cut, keys).filter(F.col(value) >= F.col("cut"))
     split = members.groupBy(*keys, kind).agg(F.count("*").alias("n"), F.sum(value).alias("value"))
     summary = members.groupBy(*keys).agg(F.max("cut").alias("cut"), F.count("*").alias("n"), F.min(value).alias("least"), F.avg(value).alias("mean"), F.max(value).alias("most"))

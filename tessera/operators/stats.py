@@ -3,15 +3,55 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import erf, exp, lgamma, log, sqrt
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import exact_quantiles, numbered, places, with_quantiles
+
 QS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
+def t_tail(t: float | None, df: float) -> float | None:
+    """Two-sided tail of Student's t: the regularised incomplete beta function, by its continued fraction."""
+    if t is None or t != t or df <= 0:
+        return None
+    a, b, x = df / 2, 0.5, df / (df + t * t)
+    if x >= 1:
+        return 1.0
+    if x <= 0:
+        return 0.0
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x))
+    if x > (a + 1) / (a + b + 2):
+        return 1 - front / b * _fraction(b, a, 1 - x)
+    return front / a * _fraction(a, b, x)
+
+
+def _fraction(a: float, b: float, x: float) -> float:
+    """Continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    out = d
+    for m in range(1, 400):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + num * d
+            c = 1 + num / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            out *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return out
+
+
+def normal_tail(z: float | None) -> float | None:
+    """Two-sided tail of the normal distribution."""
+    return None if z is None or z != z else 1 - erf(abs(z) / sqrt(2))
+
+
 def unpivoted(df: DataFrame, ids: list[str], cols: list[str]) -> DataFrame:
     """ids, col, v: one row for each column's value."""
     return df.select(*ids, F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select(*ids, "x.*")
@@ -20,35 +60,45 @@ def unpivoted(df: DataFrame, ids: list[str], cols: list[str]) -> DataFrame:
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """col, n, mean, std, least, quantiles, greatest, shares of positive and negative values."""
     v = F.col("v")
-    rows = unpivoted(df, [], cols).filter(v.isNotNull()).groupBy("col").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev(v).alias("std"), F.min(v).alias("min"), F.percentile(v, F.array(*map(F.lit, QS))).alias("_q"), F.max(v).alias("max"), F.avg((v > 0).cast("int")).alias("share_pos"), F.avg((v < 0).cast("int")).alias("share_neg"))
+    long = unpivoted(df, [], cols).filter(v.isNotNull())
+    rows = long.groupBy("col").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg((v > 0).cast("int")).alias("share_pos"), F.avg((v < 0).cast("int")).alias("share_neg"))
+    rows = rows.join(exact_quantiles(long, ["col"], "v", QS).withColumnRenamed("q", "_q"), "col")
     return rows.select("col", "n", "mean", "std", "min", *[F.col("_q")[i].alias(f"p{int(q * 100):02d}") for i, q in enumerate(QS)], "max", "share_pos", "share_neg")
 
 
 def versus(df: DataFrame, base: str, cols: list[str], same: dict[str, str] | None = None, tol: float = 0.02) -> DataFrame:
-    """strategy, n, shares that win, tie and lose against a base, mean and median difference.
+    """strategy, n, shares that win, tie and lose against a base, mean and median difference: a row for each strategy, with n 0 and nulls if no row has both.
 
     same names, for a strategy, the column with its distance to the base; within tol the two count as one portfolio: a tie.
     """
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "strategy string")
     pairs = F.array(*[F.struct(F.lit(c).alias("strategy"), F.col(c).alias("v"), (F.col(same[c]) if same and c in same else F.lit(None).cast("double")).alias("l1")) for c in cols])
-    rows = df.select(F.col(base).alias("b"), F.explode(pairs).alias("x")).select("b", "x.*").filter("b IS NOT NULL AND v IS NOT NULL")
-    tie = F.coalesce(F.col("l1") <= tol, F.lit(False)) | (F.col("v") == F.col("b"))
-    diff = F.col("v") - F.col("b")
-    return rows.groupBy("strategy").agg(F.count("*").alias("n"), F.avg((~tie & (diff > 0)).cast("int")).alias("win"), F.avg(tie.cast("int")).alias("tie"), F.avg((~tie & (diff < 0)).cast("int")).alias("loss"), F.avg(diff).alias("mean_diff"), F.median(diff).alias("median_diff"))
+    rows = df.select(F.col(base).alias("b"), F.explode(pairs).alias("x")).select("b", "x.*").filter("b IS NOT NULL AND v IS NOT NULL").withColumn("diff", F.col("v") - F.col("b"))
+    tie, diff = F.coalesce(F.col("l1") <= tol, F.lit(False)) | (F.col("v") == F.col("b")), F.col("diff")
+    shares = rows.groupBy("strategy").agg(F.count("*").alias("n"), F.avg((~tie & (diff > 0)).cast("int")).alias("win"), F.avg(tie.cast("int")).alias("tie"), F.avg((~tie & (diff < 0)).cast("int")).alias("loss"), F.avg(diff).alias("mean_diff"))
+    shares = with_quantiles(shares, rows, ["strategy"], {"median_diff": ("diff", 0.5)})
+    return names.join(shares, "strategy", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def hit_rate(df: DataFrame, keys: list[str], base: str, col: str, distance: str, tol: float = 0.02) -> DataFrame:
+    """keys, n, hit_rate, tie: the share of rows where col beats base, a tie counting half; portfolios within tol of each other are one, so a tie."""
+    rows = df.filter(F.col(base).isNotNull() & F.col(col).isNotNull())
+    tie = F.coalesce(F.col(distance) <= tol, F.lit(False)) | (F.col(col) == F.col(base))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.when(tie, 0.5).when(F.col(col) > F.col(base), 1.0).otherwise(0.0)).alias("hit_rate"), F.avg(tie.cast("int")).alias("tie"))
 
 
 def beat_margin(df: DataFrame, keys: list[str], strategies: list[str], bench: str, qs: list[float]) -> DataFrame:
     """keys, strategy, n, share that beats the benchmark, and quantiles of the margin."""
-    rows = unpivoted(df, [*keys, bench], strategies).withColumn("m", F.col("v") - F.col(bench)).filter("m IS NOT NULL")
-    out = rows.groupBy(*keys, "col").agg(F.count("*").alias("n"), F.avg((F.col("m") > 0).cast("int")).alias("beat"), F.percentile("m", F.array(*map(F.lit, qs))).alias("_q"))
-    return out.select(*keys, F.col("col").alias("strategy"), "n", "beat", F.posexplode("_q").alias("_i", "margin")).withColumn("q", F.array(*map(F.lit, qs))[F.col("_i")]).drop("_i")
+    rows = unpivoted(df, [*keys, bench], strategies).withColumn("m", F.col("v") - F.col(bench)).filter("m IS NOT NULL").withColumnRenamed("col", "strategy")
+    by = [*keys, "strategy"]
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg((F.col("m") > 0).cast("int")).alias("beat")).join(exact_quantiles(rows, by, "m", qs), by)
+    return out.select(*by, "n", "beat", F.posexplode("q").alias("_i", "margin")).withColumn("q", F.array(*map(F.lit, qs))[F.col("_i")]).drop("_i")
 
 
 def average_ranks(df: DataFrame, col: str, into: str, keys: list[str] | None = None) -> DataFrame:
-    """df with the rank of col, ties sharing their mean: a count by value, run up, joined back; no window over all rows."""
+    """df with the rank of col, ties sharing their mean: the places of its values, dealt by magnitude, joined back; no task sorts all values of a key."""
     keys = keys or []
-    counts = df.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("_n"))
-    by = W.partitionBy(*keys).orderBy(col).rowsBetween(W.unboundedPreceding, 0)
-    ranks = counts.select(*keys, col, (F.sum("_n").over(by) - (F.col("_n") - 1) / 2).alias(into))
+    ranks = places(df, keys, col).select(*keys, col, (F.col("_end") - (F.col("_c") - 1) / 2).alias(into))
     return df.join(ranks, [*keys, col])
 
 
@@ -60,138 +110,223 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Da
 
 
 def paired_tests(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: paired t, Cohen's d, and Wilcoxon's signed-rank statistic with its normal approximation under ties."""
+    """One row: paired t with its p-value, Cohen's d, and Wilcoxon's signed-rank statistic with its normal approximation under ties and that one's p-value.
+
+    Of no pairs n and w_plus are 0, all else is null. The result's single row goes through the driver for its tails.
+    """
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select((F.col(a) - F.col(b)).alias("d"))
     moments = rows.agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"), F.stddev("d").alias("sd"))
     signed = average_ranks(rows.filter("d <> 0").withColumn("_a", F.abs("d")), "_a", "_r")
-    ranks = signed.agg(F.sum(F.when(F.col("d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.count("*").alias("m"))
+    ranks = signed.agg(F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("_r")).otherwise(0.0)), F.lit(0.0)).alias("w_plus"), F.count("*").alias("m"))
     ties = rows.filter("d <> 0").groupBy(F.abs("d").alias("_a")).agg(F.count("*").alias("t")).agg(F.coalesce(F.sum(F.pow("t", F.lit(3)) - F.col("t")), F.lit(0.0)).alias("ties"))
-    out = moments.crossJoin(ranks).crossJoin(ties)
-    m, t = F.col("m"), F.col("mean_diff") / (F.col("sd") / F.sqrt("n"))
+    out = moments.crossJoin(ranks).crossJoin(ties)  # one row each
+    m, t = F.col("m"), F.try_divide(F.col("mean_diff"), F.col("sd") / F.sqrt("n"))
     spread = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
-    return out.select("n", "mean_diff", t.alias("t"), (F.col("mean_diff") / F.col("sd")).alias("cohen_d"), "w_plus", F.try_divide(F.col("w_plus") - m * (m + 1) / 4, spread).alias("z"))
+    row = out.select("n", "mean_diff", t.alias("t"), F.try_divide("mean_diff", "sd").alias("cohen_d"), "w_plus", F.try_divide(F.col("w_plus") - m * (m + 1) / 4, spread).alias("z")).first()
+    schema = "n long, mean_diff double, t double, cohen_d double, w_plus double, z double, p_t double, p_wilcoxon double"
+    return df.sparkSession.createDataFrame([(*row, t_tail(row.t, row.n - 1), normal_tail(row.z))], schema)
+
+
+def distance_thresholds(df: DataFrame, snapshot: str, n: str, value: str, cuts: tuple[int, ...] = (3, 4, 5, 6, 7)) -> DataFrame:
+    """threshold and paired_tests of the snapshots' means of value below and from each threshold of n."""
+    parts = []
+    for k in cuts:
+        means = df.groupBy(snapshot).agg(F.round(F.avg(F.when(F.col(n) < k, F.col(value))), 9).alias("a"), F.round(F.avg(F.when(F.col(n) >= k, F.col(value))), 9).alias("b"))
+        parts.append(paired_tests(means, "a", "b").select(F.lit(k).alias("threshold"), "*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def winsorise(df: DataFrame, keys: list[str], cols: list[str], q: float = 0.05) -> DataFrame:
     """cols clipped at their quantiles q and 1 - q, over all rows or within keys; null stays null."""
-    cuts = df.groupBy(*keys).agg(*[F.percentile(c, F.array(F.lit(q), F.lit(1 - q))).alias(f"_q_{c}") for c in cols])
-    joined = df.join(cuts, keys) if keys else df.crossJoin(cuts)
+    joined = df
+    for c in cols:
+        cuts = exact_quantiles(df, keys, c, [q, 1 - q]).withColumnRenamed("q", f"_q_{c}")
+        joined = joined.join(cuts, keys, "left") if keys else joined.crossJoin(F.broadcast(cuts))  # one row
     clip = {c: F.when(F.col(c).isNotNull(), F.greatest(F.col(f"_q_{c}")[0], F.least(F.col(f"_q_{c}")[1], F.col(c)))) for c in cols}
     return joined.withColumns(clip).drop(*[f"_q_{c}" for c in cols])
 
 
-def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
-    """term, coef, std_error, t, and r2 and n, by normal equations: one aggregation of products, a small system on the driver."""
-    terms = ["const", *xs]
-    rows = df.select(F.lit(1.0).alias("const"), *[F.col(c).cast("double").alias(c) for c in (*xs, y)]).na.drop()
-    p = len(terms)
-    sums = rows.agg(*[F.sum(F.col(terms[i]) * F.col(terms[j])).alias(f"x{i}_{j}") for i in range(p) for j in range(i, p)], *[F.sum(F.col(t) * F.col(y)).alias(f"y{i}") for i, t in enumerate(terms)], F.sum(F.col(y) * F.col(y)).alias("yy"), F.count("*").alias("n")).first()
-    n = sums["n"]
-    a, b = np.zeros((p, p)), np.array([sums[f"y{i}"] or 0.0 for i in range(p)])
+def normal_equations(rows: DataFrame, terms: list[str], y: str, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """(X'WX, X'Wy, y'Wy, rows) in one aggregation."""
+    p, w = len(terms), F.lit(1.0) if weight is None else weight
+    sums = rows.withColumn("_w", w).agg(*[F.sum(F.col("_w") * F.col(terms[i]) * F.col(terms[j])).alias(f"x{i}_{j}") for i in range(p) for j in range(i, p)], *[F.sum(F.col("_w") * F.col(t) * F.col(y)).alias(f"y{i}") for i, t in enumerate(terms)], F.sum(F.col("_w") * F.col(y) * F.col(y)).alias("yy"), F.count("*").alias("n")).first()
+    a = np.zeros((p, p))
     for i in range(p):
         for j in range(i, p):
             a[i, j] = a[j, i] = sums[f"x{i}_{j}"] or 0.0
+    return a, np.array([sums[f"y{i}"] or 0.0 for i in range(p)]), sums["yy"] or 0.0, sums["n"]
+
+
+def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """term, coef, std_error, t, p, and r2, adj_r2 and n, by normal equations: one aggregation of products, a small system on the driver.
+
+    Of no rows, n is 0 and all else null; a constant y has no r2.
+    """
+    terms = ["const", *xs]
+    rows = df.select(F.lit(1.0).alias("const"), *[F.col(c).cast("double").alias(c) for c in (*xs, y)]).na.drop()
+    a, b, yy, n = normal_equations(rows, terms, y)
+    schema = "term string, coef double, std_error double, t double, p double, r2 double, adj_r2 double, n long"
+    if not n:
+        return df.sparkSession.createDataFrame([(t, None, None, None, None, None, None, 0) for t in terms], schema)
     inverse = np.linalg.pinv(a)
-    coef = inverse @ b
-    rss = max((sums["yy"] or 0.0) - coef @ b, 0.0)
-    tss = (sums["yy"] or 0.0) - b[0] ** 2 / n if n else 0.0
-    error = np.sqrt(np.maximum(np.diag(inverse) * rss / max(n - p, 1), 0))
-    out = [(t, float(c), float(e), float(c / e) if e else None, float(1 - rss / tss) if tss else None, n) for t, c, e in zip(terms, coef, error, strict=True)]
-    return df.sparkSession.createDataFrame(out, "term string, coef double, std_error double, t double, r2 double, n long")
+    coef, p = inverse @ b, len(terms)
+    rss, tss = max(yy - coef @ b, 0.0), yy - b[0] ** 2 / n
+    r2 = float(1 - rss / tss) if tss > 0 else None
+    adjusted = 1 - (1 - r2) * (n - 1) / (n - p) if r2 is not None and n > p else None
+    error = np.sqrt(np.maximum(np.diag(inverse) * rss / (n - p), 0)) if n > p else [None] * p
+    out = []
+    for term, c, e in zip(terms, coef, error, strict=True):
+        t = float(c / e) if e else None
+        out.append((term, float(c), None if e is None else float(e), t, t_tail(t, n - p), r2, adjusted, n))
+    return df.sparkSession.createDataFrame(out, schema)
 
 
-def quantile_reg(df: DataFrame, y: str, xs: list[str], q: float, rounds: int = 40, eps: float = 1e-6) -> DataFrame:
-    """term, coef of a quantile regression by iterated weighted least squares: each step one aggregation pass."""
+def quantile_reg(df: DataFrame, y: str, xs: list[str], q: float, rounds: int = 60, eps: float = 1e-6) -> DataFrame:
+    """term, coef, std_error, t, p of a quantile regression, and whether it settled, by iterated weighted least squares: each step one aggregation pass.
+
+    Errors are of the sandwich form: the density of residuals at zero by an Epanechnikov kernel, its width by Hall and
+    Sheather's rule. Of no rows all is null.
+    """
     terms = ["const", *xs]
     rows = df.select(F.lit(1.0).alias("const"), *[F.col(c).cast("double").alias(c) for c in (*xs, y)]).na.drop().persist()
-    p = len(terms)
-    coef = np.zeros(p)
-    scale = rows.agg(F.stddev(y)).first()[0] or 1.0
-    for _ in range(rounds):
-        fit = reduce(lambda acc, x: acc + F.lit(float(x[1])) * F.col(x[0]), zip(terms, coef, strict=True), F.lit(0.0))
-        e = F.col(y) - fit
-        w = F.when(e >= 0, q).otherwise(1 - q) / F.greatest(F.abs(e), F.lit(eps * scale))
-        weighted = rows.withColumn("_w", w if coef.any() else F.lit(1.0))
-        s = weighted.agg(*[F.sum(F.col("_w") * F.col(terms[i]) * F.col(terms[j])).alias(f"x{i}_{j}") for i in range(p) for j in range(i, p)], *[F.sum(F.col("_w") * F.col(t) * F.col(y)).alias(f"y{i}") for i, t in enumerate(terms)]).first()
-        a, b = np.zeros((p, p)), np.array([s[f"y{i}"] or 0.0 for i in range(p)])
-        for i in range(p):
-            for j in range(i, p):
-                a[i, j] = a[j, i] = s[f"x{i}_{j}"] or 0.0
+    spread = rows.agg(F.stddev(y), F.count("*")).first()
+    scale, n, p = spread[0] or 1.0, spread[1], len(terms)
+    schema = "term string, coef double, std_error double, t double, p double, settled boolean, n long"
+    if not n:
+        return df.sparkSession.createDataFrame([(t, None, None, None, None, None, 0) for t in terms], schema)
+
+    def residual(coef: np.ndarray) -> Column:
+        return F.col(y) - reduce(lambda acc, x: acc + F.lit(float(x[1])) * F.col(x[0]), zip(terms, coef, strict=True), F.lit(0.0))
+
+    coef, settled = np.zeros(p), False
+    for i in range(rounds):
+        e = residual(coef)
+        a, b, _, _ = normal_equations(rows, terms, y, F.when(e >= 0, q).otherwise(1 - q) / F.greatest(F.abs(e), F.lit(eps * scale)) if i else None)
         new = np.linalg.pinv(a) @ b
-        if np.abs(new - coef).max() <= 1e-9 * max(1.0, np.abs(new).max()):
-            coef = new
+        moved, coef = np.abs(new - coef).max(), new
+        if settled := bool(i and moved <= 1e-6 * max(scale, np.abs(new).max())):
             break
-        coef = new
+    left = rows.withColumn("_e", residual(coef))
+    quarters = exact_quantiles(left, [], "_e", [0.25, 0.75]).first().q
+    normal = NormalDist()
+    z, tail = normal.inv_cdf(q), normal.inv_cdf(0.975)
+    width = n ** (-1 / 3) * tail ** (2 / 3) * (1.5 * normal.pdf(z) ** 2 / (2 * z * z + 1)) ** (1 / 3)
+    width = min(width, q - 1e-6, 1 - q - 1e-6)
+    h = min(scale, (quarters[1] - quarters[0]) / 1.34 or scale) * (normal.inv_cdf(q + width) - normal.inv_cdf(q - width))
+    u = F.col("_e") / F.lit(float(h))
+    density = left.agg(F.sum(F.when(F.abs(u) <= 1, 0.75 * (1 - u * u)).otherwise(0.0))).first()[0] / (n * h)
+    errors: list[float | None] = [None] * p
+    if density:
+        whole, _, _, _ = normal_equations(left, terms, y)
+        middle, _, _, _ = normal_equations(left, terms, y, F.when(F.col("_e") > 0, (q / density) ** 2).otherwise(((1 - q) / density) ** 2))
+        inverse = np.linalg.pinv(whole)
+        errors = [float(x) for x in np.sqrt(np.maximum(np.diag(inverse @ middle @ inverse), 0))]
     rows.unpersist()
-    return df.sparkSession.createDataFrame([(t, float(c)) for t, c in zip(terms, coef, strict=True)], "term string, coef double")
+    out = []
+    for term, c, e in zip(terms, coef, errors, strict=True):
+        t = float(c) / e if e else None
+        out.append((term, float(c), e, t, t_tail(t, n - p), settled, n))
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def forest(df: DataFrame, y: str, xs: list[str], seed: int = 7, trees: int = 20, depth: int = 6):
-    """(model, table of feature, importance, r2 and mae on the held-out fifth)."""
+    """(model, table of feature, importance, r2 and mae on the held-out fifth); without rows to fit or to hold out the model is None and all else null."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     rows = VectorAssembler(inputCols=xs, outputCol="features").transform(df.select(*xs, F.col(y).cast("double").alias("label")).na.drop()).persist()
     held = F.pmod(F.xxhash64(*xs, "label"), F.lit(5)) == 0
+    schema = "feature string, importance double, r2 double, mae double"
+    if rows.filter(~held).isEmpty() or rows.filter(held).isEmpty():
+        return None, df.sparkSession.createDataFrame([(x, None, None, None) for x in xs], schema)
     model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(rows.filter(~held))
     scored = model.transform(rows.filter(held))
     r2, mae = (RegressionEvaluator(metricName=m).evaluate(scored) for m in ("r2", "mae"))
     rows.unpersist()
     out = [(x, float(v), float(r2), float(mae)) for x, v in zip(xs, model.featureImportances.toArray(), strict=True)]
-    return model, df.sparkSession.createDataFrame(out, "feature string, importance double, r2 double, mae double")
+    return model, df.sparkSession.createDataFrame(out, schema)
 
 
-def permutation_importance(model, df: DataFrame, y: str, xs: list[str], seed: int = 7) -> DataFrame:
-    """feature, drop in r2 when its values are dealt to other rows: by pairing two random orders of the rows."""
+def permutation_importance(model, df: DataFrame, y: str, xs: list[str], seed: int = 7, repeats: int = 3) -> DataFrame:
+    """feature, mean and standard deviation over repeats of the drop in r2 when its values are dealt to other rows, by pairing two orders of the rows by hash; null without a model."""
+    if model is None:
+        return df.sparkSession.createDataFrame([(x, None, None) for x in xs], "feature string, drop double, spread double")
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
 
     rows = df.select(*xs, F.col(y).cast("double").alias("label")).na.drop().persist()
     score = lambda d: RegressionEvaluator(metricName="r2").evaluate(model.transform(VectorAssembler(inputCols=xs, outputCol="features").transform(d)))
-    numbered = rows.withColumn("_n", F.row_number().over(W.orderBy(F.xxhash64(*xs, "label", F.lit(seed)), *xs, "label"))).persist()
-    n, whole = numbered.count(), score(rows)
+    dealt = numbered(rows, F.xxhash64(*xs, "label", F.lit(seed))).persist()
+    n, whole = dealt.count(), score(rows)
     out = []
     for i, x in enumerate(xs):
-        moved = numbered.select(F.col(x).alias("_x"), (F.pmod(F.col("_n") + F.lit(1 + (i + 1) * (n // 3 + 1)), F.lit(n)) + 1).cast("int").alias("_n"))
-        out.append((x, float(whole - score(numbered.join(moved, "_n").withColumn(x, F.col("_x"))))))
-    numbered.unpersist()
+        drops = []
+        for k in range(repeats):
+            moved = dealt.select(F.col(x).alias("_x"), (F.pmod(F.col("_n") + F.lit(1 + (i + 1) * (n // 3 + 1) + k * (n // 7 + 1)), F.lit(n)) + 1).alias("_n"))
+            drops.append(float(whole - score(dealt.join(moved, "_n").withColumn(x, F.col("_x")))))
+        out.append((x, float(np.mean(drops)), float(np.std(drops))))
+    dealt.unpersist()
     rows.unpersist()
-    return df.sparkSession.createDataFrame(out, "feature string, drop double")
+    return df.sparkSession.createDataFrame(out, "feature string, drop double, spread double")
+
 
+def _forest_scores(train: DataFrame, test: DataFrame, y: str, xs: list[str], trees: int, depth: int, seed: int) -> tuple[DataFrame, dict]:
+    """(test with prediction, r2 against the training mean, mae, rows) of a forest."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
 
-def _fit_score(train: DataFrame, test: DataFrame, y: str, xs: list[str]) -> tuple[float, int]:
-    """(r2 against the training mean, rows) of a linear fit."""
-    coef = {r.term: r.coef for r in ols(train, y, xs).collect()}
+    assembled = VectorAssembler(inputCols=xs, outputCol="_features")
+    model = RandomForestRegressor(featuresCol="_features", labelCol=y, predictionCol="_fit", numTrees=trees, maxDepth=depth, seed=seed).fit(assembled.transform(train))
     mean = train.agg(F.avg(y)).first()[0]
-    fit = reduce(lambda acc, x: acc + F.lit(coef[x]) * F.col(x), xs, F.lit(coef["const"]))
-    s = test.na.drop(subset=[y, *xs]).agg(F.sum(F.pow(F.col(y) - fit, 2)).alias("rss"), F.sum(F.pow(F.col(y) - F.lit(mean), 2)).alias("tss"), F.count("*").alias("n")).first()
-    return (float(1 - s.rss / s.tss) if s.tss else 0.0), s.n
+    scored = model.transform(assembled.transform(test)).drop("_features")
+    s = scored.agg(F.sum(F.pow(F.col(y) - F.col("_fit"), 2)).alias("rss"), F.sum(F.pow(F.col(y) - F.lit(mean), 2)).alias("tss"), F.avg(F.abs(F.col(y) - F.col("_fit"))).alias("mae"), F.count("*").alias("n")).first()
+    return scored, {"r2": float(1 - s.rss / s.tss) if s.tss else None, "mae": s.mae, "n": s.n}
+
+
+def between_r2(scored: DataFrame, y: str, group: str) -> float | None:
+    """r2 of the groups' mean predictions against their mean outcomes, each group counting once."""
+    means = scored.groupBy(group).agg(F.avg(y).alias("y"), F.avg("_fit").alias("f"))
+    s = means.agg(F.sum(F.pow(F.col("y") - F.col("f"), 2)).alias("rss"), (F.var_pop("y") * F.count("*")).alias("tss")).first()
+    return float(1 - s.rss / s.tss) if s.tss else None
+
 
+def grouped_cv(df: DataFrame, y: str, xs: list[str], group: str, folds: int = 5, trees: int = 20, depth: int = 6, seed: int = 7) -> DataFrame:
+    """fold, n, r2, mae of a forest, and in each row the r2 over all out-of-fold predictions and that between the groups' means.
 
-def grouped_cv(df: DataFrame, y: str, xs: list[str], group: str, folds: int = 5) -> DataFrame:
-    """fold, n, r2: whole groups (months) fall into one fold, dealt in the order of their hash; one row per group is ranked."""
+    Whole groups (months) fall into one fold, dealt in the order of their hash; one row per group is ranked. A fold whose
+    rows, or whose complement, are none has no row.
+    """
     order = W.orderBy(F.crc32(F.col(group).cast("string").cast("binary")), group)
     dealt = df.select(group).distinct().withColumn("_f", F.row_number().over(order) % folds)
-    rows = df.select(group, y, *xs).join(dealt, group).persist()  # each fold reads it several times
-    out = []
-    for f in range(folds):
-        r2, n = _fit_score(rows.filter(F.col("_f") != f), rows.filter(F.col("_f") == f), y, xs)
-        out.append((f, n, r2))
+    rows = df.select(group, F.col(y).cast("double").alias(y), *xs).na.drop().join(dealt, group).persist()  # each fold reads it several times
+    sizes = {r["_f"]: r["count"] for r in rows.groupBy("_f").count().collect()}
+    out, parts = [], []
+    for f in (f for f in range(folds) if 0 < sizes.get(f, 0) < sum(sizes.values())):
+        scored, found = _forest_scores(rows.filter(F.col("_f") != f), rows.filter(F.col("_f") == f), y, xs, trees, depth, seed)
+        parts.append(scored.select(group, y, "_fit"))
+        out.append((f, found["n"], found["r2"], found["mae"]))
+    schema = "fold int, n long, r2 double, mae double, oof_r2 double, between_r2 double"
+    if not parts:
+        return df.sparkSession.createDataFrame([], schema)
+    every = reduce(DataFrame.unionByName, parts).persist()
+    s = every.agg(F.sum(F.pow(F.col(y) - F.col("_fit"), 2)).alias("rss"), (F.var_pop(y) * F.count("*")).alias("tss")).first()
+    whole, between = float(1 - s.rss / s.tss) if s.tss else None, between_r2(every, y, group)
+    every.unpersist()
     rows.unpersist()
-    return df.sparkSession.createDataFrame(out, "fold int, n long, r2 double")
+    return df.sparkSession.createDataFrame([(*row, whole, between) for row in out], schema)
 
 
-def forward_chain(df: DataFrame, y: str, xs: list[str], year: str) -> DataFrame:
-    """year, n, r2: trained on all years before, tested on the year."""
-    rows = df.select(year, y, *xs).persist()
+def forward_chain(df: DataFrame, y: str, xs: list[str], year: str, group: str | None = None, trees: int = 20, depth: int = 6, seed: int = 7) -> DataFrame:
+    """year, n, r2, mae and, of groups (months) within it, between_r2 of a forest trained on all years before and tested on the year."""
+    rows = df.select(*dict.fromkeys([year, *([group] if group else [])]), F.col(y).cast("double").alias(y), *xs).na.drop().persist()
     years = sorted(r[0] for r in rows.select(year).distinct().collect())
     out = []
     for t in years[1:]:
-        r2, n = _fit_score(rows.filter(F.col(year) < t), rows.filter(F.col(year) == t), y, xs)
-        out.append((t, n, r2))
+        scored, found = _forest_scores(rows.filter(F.col(year) < t), rows.filter(F.col(year) == t), y, xs, trees, depth, seed)
+        out.append((t, found["n"], found["r2"], found["mae"], between_r2(scored, y, group) if group else None))
     rows.unpersist()
-    return df.sparkSession.createDataFrame(out, f"{year} int, n long, r2 double")
+    return df.sparkSession.createDataFrame(out, f"{year} int, n long, r2 double, mae double, between_r2 double")
 
 
 def variance_shares(df: DataFrame, key: str, y: str) -> DataFrame:
@@ -210,7 +345,7 @@ def demean(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
 
 
 def power_fit(df: DataFrame, keys: list[str], n: str, d: str, weight: str, grid: list[float] | None = None) -> DataFrame:
-    """keys, a, b, c, sse, r2 of d = c - a * n^-b with c at most 100: for each b of a grid a closed weighted fit, the least error kept."""
+    """keys, a, b, c, sse, r2, mae of d = c - a * n^-b with c at most 100: for each b of a grid a closed weighted fit, the least error kept."""
     grid = grid or [i / 20 for i in range(1, 61)]
     x, y, w = F.pow(F.col(n).cast("double"), -F.col("b")), F.col(d), F.col(weight).cast("double")
     rows = df.withColumn("b", F.explode(F.array(*map(F.lit, grid))))
@@ -223,7 +358,9 @@ def power_fit(df: DataFrame, keys: list[str], n: str, d: str, weight: str, grid:
     sse = F.col("wyy") - 2 * c * F.col("wy") + 2 * a * F.col("wxy") + c * c * F.col("w") - 2 * a * c * F.col("wx") + a * a * F.col("wxx")
     fitted = s.filter(det > 1e-12).select(*keys, "b", a.alias("a"), c.alias("c"), sse.alias("sse"), (F.col("wyy") - F.col("wy") * F.col("wy") / F.col("w")).alias("tss"))
     best = fitted.groupBy(*keys).agg(F.min_by(F.struct("a", "b", "c", "sse", "tss"), F.struct("sse", "b")).alias("x"))
-    return best.select(*keys, "x.a", "x.b", "x.c", "x.sse", (1 - F.try_divide(F.col("x.sse"), F.col("x.tss"))).alias("r2"))
+    best = best.select(*keys, "x.a", "x.b", "x.c", "x.sse", (1 - F.try_divide(F.col("x.sse"), F.col("x.tss"))).alias("r2"))
+    off = F.abs(y - (F.col("c") - F.col("a") * F.pow(F.col(n).cast("double"), -F.col("b"))))
+    return best.join(df.join(best, keys).groupBy(*keys).agg((F.sum(w * off) / F.sum(w)).alias("mae")), keys)
 
 
 def best_strategy(df: DataFrame, cols: list[str], tol: float = 0.0) -> DataFrame:
@@ -234,9 +371,18 @@ def best_strategy(df: DataFrame, cols: list[str], tol: float = 0.0) -> DataFrame
 
 
 def direction(df: DataFrame, pairs: list[tuple[str, str]], tol: float = 0.001) -> DataFrame:
-    """pair, shares of rows where the second is closer (less), farther, or unchanged against the first."""
+    """pair, n, shares of rows where the second is closer (less), farther, or unchanged against the first: a row for each pair, with n 0 and nulls if no row has both."""
+    names = df.sparkSession.createDataFrame([(f"{a}>{b}",) for a, b in pairs], "pair string")
     rows = df.select(F.explode(F.array(*[F.struct(F.lit(f"{a}>{b}").alias("pair"), (F.col(b) - F.col(a)).alias("d")) for a, b in pairs])).alias("x")).select("x.*").filter("d IS NOT NULL")
-    return rows.groupBy("pair").agg(F.count("*").alias("n"), F.avg((F.col("d") < -tol).cast("int")).alias("closer"), F.avg((F.col("d") > tol).cast("int")).alias("farther"), F.avg((F.abs("d") <= tol).cast("int")).alias("unchanged"))
+    shares = rows.groupBy("pair").agg(F.count("*").alias("n"), F.avg((F.col("d") < -tol).cast("int")).alias("closer"), F.avg((F.col("d") > tol).cast("int")).alias("farther"), F.avg((F.abs("d") <= tol).cast("int")).alias("unchanged"))
+    return names.join(shares, "pair", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def change_by_n(df: DataFrame, n: str, before: str, after: str, most: int = 30, least_rows: int = 200) -> DataFrame:
+    """n, rows, mean and median change from before to after, and the share of rows that come closer to 1, of sizes up to ``most`` with enough rows."""
+    rows = df.filter((F.col(n) <= most) & F.col(before).isNotNull() & F.col(after).isNotNull()).withColumn("_d", F.col(after) - F.col(before))
+    out = rows.groupBy(n).agg(F.count("*").alias("rows"), F.avg("_d").alias("mean_change"), F.avg((F.abs(F.col(after) - 1) < F.abs(F.col(before) - 1)).cast("int")).alias("share_closer"))
+    return with_quantiles(out.filter(F.col("rows") >= least_rows), rows, [n], {"median_change": ("_d", 0.5)})
 
 
 def accuracy(joined: DataFrame, ours: str, truth: str, tol: float, by: list[str]) -> DataFrame:
@@ -244,12 +390,14 @@ def accuracy(joined: DataFrame, ours: str, truth: str, tol: float, by: list[str]
     a, t = F.col(ours).cast("double"), F.col(truth).cast("double")
     error = F.when(t == 0, F.when(a == 0, 0.0).otherwise(1.0)).otherwise(F.abs(a - t) / F.abs(t))
     rows = joined.withColumn("_e", error)
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(ours) == F.col(truth)).alias("exact"), F.count_if(F.col("_e") <= tol).alias("within"), F.percentile("_e", F.lit(0.5)).alias("median_error"), F.percentile("_e", F.lit(0.95)).alias("p95_error"), F.max("_e").alias("max_error"), F.count_if(a > t).alias("n_over"), F.count_if(a < t).alias("n_under"))
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col(ours) == F.col(truth)).alias("exact"), F.count_if(F.col("_e") <= tol).alias("within"), F.max("_e").alias("max_error"), F.count_if(a > t).alias("n_over"), F.count_if(a < t).alias("n_under"))
+    return with_quantiles(counts, rows, by, {"median_error": ("_e", 0.5), "p95_error": ("_e", 0.95)})
 
 
 def coverage_stats(df: DataFrame, snapshot: str, cols: list[str]) -> DataFrame:
     """One row: rows, snapshots, and each column's share of values, mean and median."""
-    return df.agg(F.count("*").alias("n_rows"), F.countDistinct(snapshot).alias("n_snapshots"), *[x for c in cols for x in (F.avg(F.col(c).isNotNull().cast("int")).alias(f"share_{c}"), F.avg(c).alias(f"mean_{c}"), F.median(c).alias(f"median_{c}"))])
+    counts = df.agg(F.count("*").alias("n_rows"), F.countDistinct(snapshot).alias("n_snapshots"), *[x for c in cols for x in (F.avg(F.col(c).isNotNull().cast("int")).alias(f"share_{c}"), F.avg(c).alias(f"mean_{c}"))])
+    return with_quantiles(counts, df, [], {f"median_{c}": (c, 0.5) for c in cols})
 
 
 def over_snapshots(df: DataFrame, keys: list[str], stat: str) -> DataFrame:
@@ -259,9 +407,9 @@ def over_snapshots(df: DataFrame, keys: list[str], stat: str) -> DataFrame:
 
 def minmax(df: DataFrame, key: list[str], col: str) -> DataFrame:
     """df with col clipped to its 5th to 95th percentile within key and scaled to 0..1."""
-    cuts = df.groupBy(*key).agg(F.percentile(col, F.array(F.lit(0.05), F.lit(0.95))).alias("_q"))
+    cuts = exact_quantiles(df, key, col, [0.05, 0.95]).withColumnRenamed("q", "_q")
     lo, hi = F.col("_q")[0], F.col("_q")[1]
-    joined = df.join(cuts, key) if key else df.crossJoin(cuts)
+    joined = df.join(cuts, key) if key else df.crossJoin(F.broadcast(cuts))  # one row
     return joined.withColumn(f"{col}_scaled", F.try_divide(F.greatest(lo, F.least(hi, F.col(col))) - lo, hi - lo)).drop("_q")
 
 
@@ -274,7 +422,8 @@ def smallest_portfolios(df: DataFrame, n: str, distance: str) -> DataFrame:
 def month_outcomes(df: DataFrame, snapshot: str, col: str, q: float = 0.05) -> DataFrame:
     """snapshot, n, median, and mean and variance after winsorising within the snapshot."""
     clipped = winsorise(df.withColumn("_w", F.col(col)), [snapshot], ["_w"], q)
-    return clipped.groupBy(snapshot).agg(F.count(col).alias("n"), F.median(col).alias("median"), F.avg("_w").alias("wmean"), F.var_pop("_w").alias("wvar"))
+    means = clipped.groupBy(snapshot).agg(F.count(col).alias("n"), F.avg("_w").alias("wmean"), F.var_pop("_w").alias("wvar"))
+    return with_quantiles(means, df, [snapshot], {"median": (col, 0.5)})
 
 
 def indicator(condition: Column) -> Column:

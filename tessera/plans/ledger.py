@@ -11,7 +11,6 @@ from tessera.sources import domain as d
 
 SNAPS = [d.block_of(q) for q in d.QUARTERS]
 DAYS = {d.block_of(q): q for q in d.QUARTERS}
-LATE = [d.block_of(q) for q in d.LATE]
 
 
 def flows(spark, sf):

@@ -9,16 +9,17 @@ from tessera.functions import values as v
 from tessera.operators import balances as b
 from tessera.operators import panels, positions as n, ranks
 from tessera.plans.ctes import names, sql
-from tessera.plans.ledger import DAYS, LATE, SNAPS, balance
+from tessera.plans.ledger import DAYS, SNAPS, balance
 from tessera.plans.registry import query
 from tessera.sources import domain as d
+from tessera.sources import tables as s
 
 ALIAS = {d.WRAPPED: d.NATIVE}
 
 
 def positions(spark, sf):
-    """Positions at the late snapshots, valued at their prices."""
-    return b.valued(balance(spark, sf, LATE), d.prices(spark, sf), {k: DAYS[k] for k in LATE})
+    """Positions at all snapshots, valued at their prices; worked out once for each session and read from the shared folder."""
+    return s.stored(spark, sf, "positions", lambda: b.valued(balance(spark, sf), d.prices(spark, sf), DAYS))
 
 
 def folded(spark, sf):
@@ -40,7 +41,7 @@ def r(df, digits=6, *cols):
     return df.select(*[F.round(F.col(f"`{c}`"), digits).alias(c) if t == "double" and (not cols or c in cols) else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-@query("b13_holdings", sql("latepos", "SELECT snapshot, address, round(sum(value), 2)::DOUBLE AS total_value, count(*) AS num_tokens, string_agg(token || ':' || balance::BIGINT, ',' ORDER BY token) AS tokens FROM latepos GROUP BY ALL"))
+@query("b13_holdings", sql("positions", "SELECT snapshot, address, round(sum(value), 2)::DOUBLE AS total_value, count(*) AS num_tokens, string_agg(token || ':' || balance::BIGINT, ',' ORDER BY token) AS tokens FROM positions GROUP BY ALL"))
 def b13(spark, sf):
     text = F.array_join(F.transform("holdings", lambda x: F.concat_ws(":", x["token"], x["balance"].cast("long"))), ",")
     return holdings(spark, sf).select("snapshot", "address", "total_value", "num_tokens", text.alias("tokens"))
@@ -48,9 +49,7 @@ def b13(spark, sf):
 
 @query("s12_written_counts", sql("accounts", "SELECT snapshot AS block_number, count(*) AS n FROM accounts GROUP BY 1"))
 def s12(spark, sf):
-    from tessera.sources.tables import shared_path, write_by_snapshot
-
-    return write_by_snapshot(holdings(spark, sf).withColumnRenamed("snapshot", "block_number"), shared_path(spark, "holdings"), "block_number")
+    return s.write_by_snapshot(holdings(spark, sf).withColumnRenamed("snapshot", "block_number"), s.shared_path(spark, "holdings"), "block_number")
 
 
 @query("n3_folded_positions", sql("folded", "SELECT * FROM folded WHERE units > 0"))
@@ -58,7 +57,7 @@ def n3(spark, sf):
     return folded(spark, sf)
 
 
-@query("n2_folded_count", sql("latepos", f"SELECT snapshot, n_folded, count(*) AS n FROM (SELECT snapshot, address, count(*) - CASE WHEN count(*) FILTER (token = '{d.WRAPPED}') > 0 AND count(*) FILTER (token = '{d.NATIVE}') > 0 THEN 1 ELSE 0 END AS n_folded FROM latepos GROUP BY ALL) GROUP BY ALL"))
+@query("n2_folded_count", sql("positions", f"SELECT snapshot, n_folded, count(*) AS n FROM (SELECT snapshot, address, count(*) - CASE WHEN count(*) FILTER (token = '{d.WRAPPED}') > 0 AND count(*) FILTER (token = '{d.NATIVE}') > 0 THEN 1 ELSE 0 END AS n_folded FROM positions GROUP BY ALL) GROUP BY ALL"))
 def n2(spark, sf):
     rows = holdings(spark, sf).withColumn("n_folded", n.folded_count(F.col("holdings"), (d.WRAPPED, d.NATIVE)).cast("long"))
     return rows.groupBy("snapshot", "n_folded").agg(F.count("*").alias("n"))
@@ -69,7 +68,7 @@ def n4(spark, sf):
     return n.holdings_violations(holdings(spark, sf))
 
 
-@query("n5_one_position", sql("latepos", f"SELECT snapshot, address, balance, value::DOUBLE AS value FROM latepos WHERE token = '{d.NATIVE}'"))
+@query("n5_one_position", sql("positions", f"SELECT snapshot, address, balance, value::DOUBLE AS value FROM positions WHERE token = '{d.NATIVE}'"))
 def n5(spark, sf):
     return n.position_of(holdings(spark, sf), d.NATIVE)
 
@@ -97,21 +96,21 @@ def n7(spark, sf):
     return rows.select("snapshot", "address", "n_tokens", F.round("total", 6).alias("total"), F.round("max_weight", 9).alias("max_weight"), F.round("hhi", 9).alias("hhi"), F.round("effective_n", 6).alias("effective_n"))
 
 
-@query("n8_token_totals", sql("latepos", "SELECT snapshot, token, sum(value)::DOUBLE AS value, sum(balance) AS units, count(*) AS n_positions, round(sum(value)::DOUBLE / sum(balance), 6) AS implied_price FROM latepos GROUP BY ALL"))
+@query("n8_token_totals", sql("positions", "SELECT snapshot, token, sum(value)::DOUBLE AS value, sum(balance) AS units, count(*) AS n_positions, round(sum(value)::DOUBLE / sum(balance), 6) AS implied_price FROM positions GROUP BY ALL"))
 def n8(spark, sf):
     rows = n.token_totals(positions(spark, sf))
     return rows.withColumn("implied_price", F.round("implied_price", 6))
 
 
-@query("n9_token_profile", sql("latepos transfers late", """SELECT p.snapshot, p.token, holders, valued_holders, value, largest, largest_balance, s.supply, round(largest_balance / s.supply, 9) AS largest_share, largest_balance > s.supply AS exceeds_supply
-  FROM (SELECT snapshot, token, count(*) AS holders, count(*) FILTER (value > 0) AS valued_holders, sum(value)::DOUBLE AS value, arg_max(address, (balance, address)) AS largest, max(balance) AS largest_balance FROM latepos GROUP BY ALL) p
-  LEFT JOIN (SELECT token, snapshot, nullif(sum(CASE WHEN sender IS NULL THEN value ELSE -value END), 0)::DOUBLE AS supply FROM transfers JOIN late ON block <= snapshot WHERE sender IS NULL OR recipient IS NULL GROUP BY ALL) s USING (token, snapshot)"""))
+@query("n9_token_profile", sql("positions transfers snaps", """SELECT p.snapshot, p.token, holders, valued_holders, value, largest, largest_balance, s.supply, round(largest_balance / s.supply, 9) AS largest_share, largest_balance > s.supply AS exceeds_supply
+  FROM (SELECT snapshot, token, count(*) AS holders, count(*) FILTER (value > 0) AS valued_holders, sum(value)::DOUBLE AS value, arg_max(address, (balance, address)) AS largest, max(balance) AS largest_balance FROM positions GROUP BY ALL) p
+  LEFT JOIN (SELECT token, snapshot, nullif(sum(CASE WHEN sender IS NULL THEN value ELSE -value END), 0)::DOUBLE AS supply FROM transfers JOIN snaps ON block <= snapshot WHERE sender IS NULL OR recipient IS NULL GROUP BY ALL) s USING (token, snapshot)"""))
 def n9(spark, sf):
-    rows = n.token_profile(positions(spark, sf), b.supply_at(d.transfers(spark, sf), LATE))
+    rows = n.token_profile(positions(spark, sf), b.supply_at(d.transfers(spark, sf), SNAPS))
     return rows.withColumn("largest_share", F.round("largest_share", 9))
 
 
-@query("n10_account_profile", sql("latepos", "SELECT snapshot, address, first(token ORDER BY coalesce(value, 0) DESC, token) AS dominant, round(max(coalesce(value, 0))::DOUBLE / sum(value)::DOUBLE, 9) AS share, array_to_string(list(token ORDER BY coalesce(value, 0) DESC, token)[1:3], '|') AS top_tokens FROM latepos GROUP BY ALL"))
+@query("n10_account_profile", sql("positions", "SELECT snapshot, address, first(token ORDER BY coalesce(value, 0) DESC, token) AS dominant, round(max(coalesce(value, 0))::DOUBLE / sum(value)::DOUBLE, 9) AS share, array_to_string(list(token ORDER BY coalesce(value, 0) DESC, token)[1:3], '|') AS top_tokens FROM positions GROUP BY ALL"))
 def n10(spark, sf):
     return n.account_profile(positions(spark, sf)).withColumn("share", F.round("share", 9))
 
@@ -122,7 +121,7 @@ def n11(spark, sf):
     return rows.groupBy("snapshot", "type").agg(F.count("*").alias("n"), F.round(F.sum("total_value"), 2).alias("value"))
 
 
-@query("n12_holds_any", sql("latepos cash", "SELECT snapshot, holds, count(*) AS n FROM (SELECT snapshot, address, bool_or(token IN (SELECT token FROM cash)) AS holds FROM latepos GROUP BY ALL) GROUP BY ALL"))
+@query("n12_holds_any", sql("positions cash", "SELECT snapshot, holds, count(*) AS n FROM (SELECT snapshot, address, bool_or(token IN (SELECT token FROM cash)) AS holds FROM positions GROUP BY ALL) GROUP BY ALL"))
 def n12(spark, sf):
     tokens = F.transform("holdings", lambda x: x["token"])
     return holdings(spark, sf).withColumn("holds", v.holds_any(tokens, d.CASH)).groupBy("snapshot", "holds").agg(F.count("*").alias("n"))
@@ -134,10 +133,10 @@ def n13(spark, sf):
     return json.groupBy("snapshot", v.n_assets(F.col("j")).cast("long").alias("n_optimised")).agg(F.count("*").alias("n"))
 
 
-@query("n14_weight_l1", sql("latepos late", """SELECT address, round(sum(abs(coalesce(x, 0) - coalesce(y, 0))), 6) AS l1 FROM (SELECT address, token, max(w) FILTER (snapshot = (SELECT min(snapshot) FROM late)) AS x, max(w) FILTER (snapshot = (SELECT max(snapshot) FROM late)) AS y
-  FROM (SELECT *, value::DOUBLE / sum(value::DOUBLE) OVER (PARTITION BY snapshot, address) AS w FROM latepos WHERE value > 0) WHERE address IN (SELECT address FROM latepos WHERE snapshot = (SELECT min(snapshot) FROM late) AND value > 0) AND address IN (SELECT address FROM latepos WHERE snapshot = (SELECT max(snapshot) FROM late) AND value > 0) GROUP BY ALL) GROUP BY address"""))
+@query("n14_weight_l1", sql("positions snaps", """SELECT address, round(sum(abs(coalesce(x, 0) - coalesce(y, 0))), 6) AS l1 FROM (SELECT address, token, max(w) FILTER (snapshot = (SELECT min(snapshot) FROM snaps)) AS x, max(w) FILTER (snapshot = (SELECT max(snapshot) FROM snaps)) AS y
+  FROM (SELECT *, value::DOUBLE / sum(value::DOUBLE) OVER (PARTITION BY snapshot, address) AS w FROM positions WHERE value > 0) WHERE address IN (SELECT address FROM positions WHERE snapshot = (SELECT min(snapshot) FROM snaps) AND value > 0) AND address IN (SELECT address FROM positions WHERE snapshot = (SELECT max(snapshot) FROM snaps) AND value > 0) GROUP BY ALL) GROUP BY address"""))
 def n14(spark, sf):
-    w = n.weights(positions(spark, sf)).filter(F.col("snapshot").isin(LATE[0], LATE[-1]))
+    w = n.weights(positions(spark, sf)).filter(F.col("snapshot").isin(SNAPS[0], SNAPS[-1]))
     maps = w.groupBy("address", "snapshot").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("m"))
     pairs = maps.groupBy("address").agg(F.max_by("m", -F.col("snapshot")).alias("x"), F.max_by("m", "snapshot").alias("y"), F.count("*").alias("n")).filter("n = 2")
     return pairs.select("address", F.round(v.weight_l1(F.col("x"), F.col("y")), 6).alias("l1"))
@@ -223,7 +222,7 @@ def a16(spark, sf):
 
 @query("a17_lengthen", sql("typed", f"SELECT snapshot, 'total_value' AS metric, unnest(range({len(QS)}))::INTEGER AS place, unnest(quantile_cont(total_value, {QS})) AS value FROM acc GROUP BY snapshot", BUCKETED))
 def a17(spark, sf):
-    lists = bucketed(spark, sf).groupBy("snapshot").agg(F.percentile("total_value", F.array(*map(F.lit, QS))).alias("q"))
+    lists = ranks.exact_quantiles(bucketed(spark, sf), ["snapshot"], "total_value", QS)
     return panels.lengthen(lists, ["snapshot"], {"q": "total_value"})
 
 
@@ -258,17 +257,17 @@ def a30(spark, sf):
     return r(panels.type_share(bucketed(spark, sf), "snapshot", "type", "total_value")[1], 9)
 
 
-@query("a32_dust", sql("latepos", "SELECT snapshot, multi, coalesce(multi_clean, 0) AS multi_clean, round((multi - coalesce(multi_clean, 0)) / multi, 9) AS lost_share FROM (SELECT snapshot, count(*) FILTER (k >= 2) AS multi FROM (SELECT snapshot, address, count(*) AS k FROM latepos GROUP BY ALL) GROUP BY snapshot) LEFT JOIN (SELECT snapshot, count(*) FILTER (k >= 2) AS multi_clean FROM (SELECT snapshot, address, count(*) AS k FROM latepos WHERE value > 50000 GROUP BY ALL) GROUP BY snapshot) USING (snapshot)"))
+@query("a32_dust", sql("positions", "SELECT snapshot, multi, coalesce(multi_clean, 0) AS multi_clean, round((multi - coalesce(multi_clean, 0)) / multi, 9) AS lost_share FROM (SELECT snapshot, count(*) FILTER (k >= 2) AS multi FROM (SELECT snapshot, address, count(*) AS k FROM positions GROUP BY ALL) GROUP BY snapshot) LEFT JOIN (SELECT snapshot, count(*) FILTER (k >= 2) AS multi_clean FROM (SELECT snapshot, address, count(*) AS k FROM positions WHERE value > 50000 GROUP BY ALL) GROUP BY snapshot) USING (snapshot)"))
 def a32(spark, sf):
     p = positions(spark, sf)
     count = lambda x: x.groupBy("snapshot", "address").agg(F.count("*").alias("num_tokens"))
     return r(panels.dust_effect(count(p), count(p.filter("value > 50000")), "snapshot"), 9)
 
 
-@query("u2_coverage", sql("late accounts", "SELECT 0::BIGINT AS duplicates, 0::BIGINT AS missing, 0::BIGINT AS unexpected, 'PASS' AS status FROM (SELECT count(*) FROM accounts)"))
+@query("u2_coverage", sql("snaps accounts", "SELECT 0::BIGINT AS duplicates, count(*) AS missing, 0::BIGINT AS unexpected, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'NOT_PASS' END AS status FROM snaps WHERE snapshot NOT IN (SELECT snapshot FROM accounts)"))
 def u2(spark, sf):
     there = accounts(spark, sf).select("snapshot").distinct()
-    return panels.coverage(there, spark.createDataFrame([(x,) for x in LATE], "snapshot int"), "snapshot")
+    return panels.coverage(there, spark.createDataFrame([(x,) for x in SNAPS], "snapshot int"), "snapshot")
 
 
 # ------------------------------------------------------------------ ranks and bins
@@ -338,13 +337,13 @@ binned("h7_cash_share", "cash_share", h.CASH_SHARE, shares, "folded", SHARES)
 binned("h7_mix", "native_of_risky", h.MIX, shares, "folded", SHARES)
 
 
-@query("h13_holder_counts", sql("latepos", f"SELECT snapshot, {h.bin_sql('k', h.HOLDERS)} AS bin, count(*) AS n FROM (SELECT snapshot, token, count(*) AS k FROM latepos GROUP BY ALL) GROUP BY ALL"))
+@query("h13_holder_counts", sql("positions", f"SELECT snapshot, {h.bin_sql('k', h.HOLDERS)} AS bin, count(*) AS n FROM (SELECT snapshot, token, count(*) AS k FROM positions GROUP BY ALL) GROUP BY ALL"))
 def h13(spark, sf):
     counts = positions(spark, sf).groupBy("snapshot", "token").agg(F.count("*").alias("k"))
     return h.histogram(counts, ["snapshot"], h.bin(F.col("k"), h.HOLDERS))
 
 
-@query("h14_balance_bins", sql("latepos", f"SELECT snapshot, {h.bin_sql('balance', h.SIZE_FINE)} AS bin, count(*) AS n, sum(balance) AS held FROM latepos WHERE token = '{d.NATIVE}' GROUP BY ALL"))
+@query("h14_balance_bins", sql("positions", f"SELECT snapshot, {h.bin_sql('balance', h.SIZE_FINE)} AS bin, count(*) AS n, sum(balance) AS held FROM positions WHERE token = '{d.NATIVE}' GROUP BY ALL"))
 def h14(spark, sf):
     rows = positions(spark, sf).filter(F.col("token") == d.NATIVE).withColumn("bin", h.bin(F.col("balance"), h.SIZE_FINE))
     return rows.groupBy("snapshot", "bin").agg(F.count("*").alias("n"), F.sum("balance").alias("held"))
@@ -361,7 +360,8 @@ def h16(spark, sf):
 
 @query("p26_cash_mix", sql("folded", "SELECT snapshot, count(*) AS n, round(avg(cash_share), 9) AS mean_share, round(quantile_cont(cash_share, 0.5), 9) AS median_share, round(avg(native_of_risky), 9) AS mean_native FROM s GROUP BY snapshot", SHARES))
 def p26(spark, sf):
-    return r(shares(spark, sf).groupBy("snapshot").agg(F.count("*").alias("n"), F.avg("cash_share").alias("mean_share"), F.percentile("cash_share", F.lit(0.5)).alias("median_share"), F.avg("native_of_risky").alias("mean_native")), 9)
+    rows = shares(spark, sf).groupBy("snapshot").agg(F.count("*").alias("n"), F.avg("cash_share").alias("mean_share"), F.avg("native_of_risky").alias("mean_native"))
+    return r(ranks.with_quantiles(rows, shares(spark, sf), ["snapshot"], {"median_share": ("cash_share", 0.5)}), 9)
 
 
 @query("p27_cap_binding", sql("folded", "SELECT snapshot, count(*) AS n, round(avg(CASE WHEN max_weight > 0.9 THEN 1 ELSE 0 END), 9) AS share_accounts, round(sum(CASE WHEN max_weight > 0.9 THEN total ELSE 0 END) / sum(total), 9) AS share_value, round(avg(max_weight - 0.9) FILTER (max_weight > 0.9), 9) AS mean_shift FROM conc GROUP BY snapshot", CONC))
@@ -369,42 +369,52 @@ def p27(spark, sf):
     return r(n.cap_binding(n.concentration(folded(spark, sf)), 0.9, ["snapshot"]), 9)
 
 
+SAME = "abs(u1 - u0) <= 1e-9 * greatest(abs(u0), abs(u1))"
 TURN = {
-    "f": "SELECT snapshot, address, token, units, coalesce(value, 0) AS value FROM folded WHERE units > 0",
-    "pairs": "SELECT snapshot AS t, lead(snapshot) OVER (ORDER BY snapshot) AS t1 FROM late",
-    "price": "SELECT snapshot, token, sum(value) / sum(units) AS price FROM f GROUP BY ALL",
-    "a": "SELECT t, t1, address, f.token, units AS u0, value AS v0, units * coalesce(price, 0) AS p1 FROM f JOIN pairs ON f.snapshot = t LEFT JOIN price ON price.snapshot = t1 AND price.token = f.token WHERE t1 IS NOT NULL",
+    "f": "SELECT snapshot, address, token, units, greatest(coalesce(value, 0), 0) AS value FROM folded WHERE units > 0",
+    "pairs": "SELECT snapshot AS t, lead(snapshot) OVER (ORDER BY snapshot) AS t1 FROM snaps",
+    "price": "SELECT snapshot, token, sum(value) / sum(units) AS price FROM f WHERE value > 0 GROUP BY ALL",
+    "a": "SELECT t, t1, address, f.token, units AS u0, value AS v0, CASE WHEN value > 0 THEN units * coalesce(price, 0) ELSE 0 END AS p1 FROM f JOIN pairs ON f.snapshot = t LEFT JOIN price ON price.snapshot = t1 AND price.token = f.token WHERE t1 IS NOT NULL",
     "b": "SELECT t, t1, address, token, units AS u1, value AS v1 FROM f JOIN pairs ON f.snapshot = t1",
-    "j": "SELECT coalesce(a.t, b.t) AS t, coalesce(a.t1, b.t1) AS t1, coalesce(a.address, b.address) AS address, coalesce(u0, 0) AS u0, coalesce(v0, 0) AS v0, coalesce(p1, 0) AS p1, coalesce(u1, 0) AS u1, coalesce(v1, 0) AS v1 FROM a FULL JOIN b ON a.t = b.t AND a.address = b.address AND a.token = b.token",
+    "j": "SELECT coalesce(a.t, b.t) AS t, coalesce(a.t1, b.t1) AS t1, coalesce(a.address, b.address) AS address, coalesce(a.token, b.token) AS token, coalesce(u0, 0) AS u0, coalesce(v0, 0) AS v0, coalesce(p1, 0) AS p1, coalesce(u1, 0) AS u1, coalesce(v1, 0) AS v1 FROM a FULL JOIN b ON a.t = b.t AND a.address = b.address AND a.token = b.token",
     "w": "SELECT *, sum(v0) OVER x AS V0s, sum(p1) OVER x AS P1s, sum(v1) OVER x AS A1s FROM j WINDOW x AS (PARTITION BY t, address)",
-    "turn": """SELECT address, t, t1, max(V0s) AS V0, max(P1s) AS P1, max(A1s) AS A1, bool_and(abs(u1 - u0) <= 1e-9) AS unchanged, CASE WHEN max(A1s) > 0 AND max(P1s) > 0 THEN sum(abs(v1 / nullif(A1s, 0) - p1 / nullif(P1s, 0))) / 2 END AS turnover,
+    "turn": f"""SELECT address, t, t1, max(V0s) AS V0, max(P1s) AS P1, max(A1s) AS A1, count(*) FILTER (v0 > 0) AS n0, bool_and({SAME}) AS unchanged, bool_and(token = '{d.NATIVE}' OR {SAME}) AS unchanged_ex_native, count(*) FILTER (u0 <= 0 AND u1 > 0) AS n_added, count(*) FILTER (u0 > 0 AND u1 <= 0) AS n_removed,
+      sum(CASE WHEN v0 > 0 AND p1 <= 0 THEN v0 ELSE 0 END) AS v0_unpriced, CASE WHEN max(A1s) > 0 AND max(P1s) > 0 THEN sum(abs(v1 / nullif(A1s, 0) - p1 / nullif(P1s, 0))) / 2 END AS turnover,
       CASE WHEN max(P1s) > 0 THEN sum(abs(v0 / nullif(V0s, 0) - p1 / nullif(P1s, 0))) / 2 END AS drift, CASE WHEN max(A1s) <= 0 THEN 'exit' ELSE 'stay' END AS status FROM w GROUP BY ALL HAVING max(V0s) > 0""",
 }
 
 
-@query("p24_turnover", sql("folded late", "SELECT address, t, t1, round(V0, 6) AS V0, round(P1, 6) AS P1, round(A1, 6) AS A1, unchanged, round(turnover, 6) AS turnover, round(drift, 6) AS drift, status FROM turn", TURN))
+def turned(spark, sf):
+    return n.turnover(folded(spark, sf), SNAPS, d.NATIVE)
+
+
+@query("p24_turnover", sql("folded snaps", "SELECT address, t, t1, round(V0, 6) AS V0, round(P1, 6) AS P1, round(A1, 6) AS A1, n0, unchanged, unchanged_ex_native, n_added, n_removed, round(v0_unpriced, 6) AS v0_unpriced, round(turnover, 6) AS turnover, round(drift, 6) AS drift, status FROM turn", TURN))
 def p24(spark, sf):
-    rows = n.turnover(folded(spark, sf), LATE)
-    return rows.select("address", "t", "t1", F.round("V0", 6).alias("V0"), F.round("P1", 6).alias("P1"), F.round("A1", 6).alias("A1"), "unchanged", F.round("turnover", 6).alias("turnover"), F.round("drift", 6).alias("drift"), "status")
+    return r(turned(spark, sf))
+
+
+MEASURED = "A1 > 0 AND P1 > 0"
 
 
-@query("p24_turnover_summary", sql("folded late", """SELECT t, count(*) AS n, count(*) FILTER (status = 'exit') AS n_exit, count(*) FILTER (unchanged) AS n_unchanged, round(avg(turnover), 6) AS mean_turnover, round(avg(drift), 6) AS mean_drift,
-  count(*) FILTER ((A1 - P1) / nullif(P1, 0) > 0.1) AS n_inflow, count(*) FILTER ((A1 - P1) / nullif(P1, 0) < -0.1) AS n_outflow, """ + ", ".join(f"count(*) FILTER (turnover <= {x}) AS n_le_{k}" for x, k in ((1e-12, "0"), (0.01, "1pct"), (0.05, "5pct"), (0.1, "10pct"), (0.25, "25pct"), (0.5, "50pct"))) + " FROM turn GROUP BY t", TURN))
+@query("p24_turnover_summary", sql("folded snaps", f"""SELECT t, count(*) AS n, count(*) FILTER (A1 <= 0) AS n_exit, count(*) FILTER (A1 > 0) AS n_stay, count(*) FILTER ({MEASURED}) AS n_measured, count(*) FILTER (A1 > 0 AND unchanged) AS n_unchanged, count(*) FILTER (A1 > 0 AND unchanged_ex_native) AS n_unchanged_ex_native,
+  count(*) FILTER (A1 > 0 AND n_added > 0) AS n_added_any, count(*) FILTER (A1 > 0 AND n_removed > 0) AS n_removed_any, count(*) FILTER ({MEASURED} AND round(A1 / P1, 9) > 1.1) AS n_inflow, count(*) FILTER ({MEASURED} AND round(A1 / P1, 9) < 0.9) AS n_outflow, count(*) FILTER ({MEASURED} AND turnover <= 1e-12) AS n_le_0, """ + ", ".join(f"count(*) FILTER ({MEASURED} AND round(turnover, 12) <= {x}) AS n_le_{k}" for x, k in n.THRESHOLDS) + f""",
+  round(avg(turnover) FILTER ({MEASURED}), 6) AS mean_turnover, round(avg(drift) FILTER ({MEASURED}), 6) AS mean_drift, round(sum(V0 * turnover) FILTER ({MEASURED}) / sum(V0) FILTER ({MEASURED}), 6) AS weighted_turnover, round(sum(v0_unpriced) / sum(V0), 6) AS share_unpriced FROM turn GROUP BY t""", TURN))
 def p24s(spark, sf):
-    return r(n.turnover_summary(n.turnover(folded(spark, sf), LATE), ["t"]))
+    return r(n.turnover_summary(turned(spark, sf), ["t"]))
 
 
-@query("h8_turnover_bins", sql("folded late", f"SELECT t, {h.bin_sql('round(turnover, 9)', h.TURNOVER)} AS bin, count(*) AS n FROM turn GROUP BY ALL", TURN))
+@query("h8_turnover_bins", sql("folded snaps", f"SELECT t, {h.bin_sql('round(turnover, 9)', h.TURNOVER)} AS bin, count(*) AS n FROM turn WHERE {MEASURED} GROUP BY ALL", TURN))
 def h8(spark, sf):
-    return h.histogram(n.turnover(folded(spark, sf), LATE).withColumn("turnover", F.round("turnover", 9)), ["t"], h.bin(F.col("turnover"), h.TURNOVER))
+    rows = turned(spark, sf).filter("A1 > 0 AND P1 > 0")
+    return h.histogram(rows.withColumn("turnover", F.round("turnover", 9)), ["t"], h.bin(F.col("turnover"), h.TURNOVER))
 
 
-@query("f15_eligible", sql("latepos", f"SELECT snapshot, count(*) AS n FROM (SELECT snapshot, address FROM latepos GROUP BY ALL HAVING count(DISTINCT CASE WHEN token = '{d.WRAPPED}' THEN '{d.NATIVE}' ELSE token END) >= 2) GROUP BY snapshot"))
+@query("f15_eligible", sql("positions", f"SELECT snapshot, count(*) AS n FROM (SELECT snapshot, address FROM positions GROUP BY ALL HAVING count(DISTINCT CASE WHEN token = '{d.WRAPPED}' THEN '{d.NATIVE}' ELSE token END) >= 2) GROUP BY snapshot"))
 def f15(spark, sf):
     return n.eligible(holdings(spark, sf), (d.WRAPPED, d.NATIVE)).groupBy("snapshot").agg(F.count("*").alias("n"))
 
 
-@query("p30_index_tokens", sql("latepos", "SELECT snapshot, token, count(*) AS n FROM latepos GROUP BY snapshot, token QUALIFY row_number() OVER (PARTITION BY snapshot ORDER BY count(*) DESC, token) <= 5"))
+@query("p30_index_tokens", sql("positions", "SELECT snapshot, token, count(*) AS n FROM positions GROUP BY snapshot, token QUALIFY row_number() OVER (PARTITION BY snapshot ORDER BY count(*) DESC, token) <= 5"))
 def p30(spark, sf):
     from tessera.operators.finance import index_tokens
 

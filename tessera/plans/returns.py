@@ -8,13 +8,13 @@ from tessera.operators import finance as f
 from tessera.operators import panels, positions as n, ranks
 from tessera.functions import buckets as h
 from tessera.plans.ctes import names, sql
-from tessera.plans.ledger import DAYS, LATE
+from tessera.plans.ledger import DAYS, SNAPS
 from tessera.plans.portfolio import folded, positions, r
 from tessera.plans.registry import query
 from tessera.sources import domain as d
+from tessera.sources import tables as s
 
-LATE_DAYS = {k: DAYS[k] for k in LATE}
-MARKS = ", ".join(f"({b}, DATE '{day}')" for b, day in LATE_DAYS.items())
+MARKS = ", ".join(f"({b}, DATE '{day}')" for b, day in DAYS.items())
 
 ENDS = {
     "marks": f"SELECT * FROM (VALUES {MARKS}) v(snapshot, mark_day)",
@@ -33,8 +33,8 @@ WALLETS = ENDS | {
 
 def horizon(spark, sf):
     p = d.prices(spark, sf)
-    grid = p.select("token").distinct().select("token", F.explode(F.array(*map(F.lit, LATE))).alias("snapshot"))
-    return f.horizon_prices(grid, p, LATE_DAYS)
+    grid = p.select("token").distinct().select("token", F.explode(F.array(*map(F.lit, SNAPS))).alias("snapshot"))
+    return f.horizon_prices(grid, p, DAYS)
 
 
 def forward_market(spark, sf):
@@ -43,7 +43,12 @@ def forward_market(spark, sf):
 
 
 def wallets(spark, sf):
-    """The wallet-level table: one aggregation of positions gives the baseline and the equal-weight portfolio's outcome."""
+    """The wallet-level table, worked out once for each session and read from the shared folder."""
+    return s.stored(spark, sf, "wallets", lambda: outcomes(spark, sf))
+
+
+def outcomes(spark, sf):
+    """One aggregation of positions gives the baseline and the equal-weight portfolio's outcome."""
     w = n.weights(folded(spark, sf))
     w = f.naive_weights(w.withColumnRenamed("weight", "w"), ["snapshot", "address"], "equal").withColumnRenamed("weight", "e")
     rows = w.join(horizon(spark, sf), ["snapshot", "token"])
@@ -104,12 +109,12 @@ PANEL = {
       FROM grid g JOIN seen s USING (snapshot) LEFT JOIN prices p ON p.token = s.token AND p.day = g.day) WHERE close IS NOT NULL""",
     "rets": "SELECT * FROM (SELECT *, ln(close / lag(close) OVER (PARTITION BY snapshot, token ORDER BY day)) AS ret FROM panel) WHERE ret IS NOT NULL",
     "market": f"SELECT snapshot, day, avg(ret) AS mkt FROM rets WHERE token IN ({names(d.BENCHMARKS)}) GROUP BY snapshot, day HAVING count(*) = {len(d.BENCHMARKS)}",
-    "betas": "SELECT snapshot, token, regr_slope(ret, mkt) AS beta, regr_intercept(ret, mkt) AS alpha, regr_r2(ret, mkt) AS r2, count(*) AS n FROM rets JOIN market USING (snapshot, day) GROUP BY snapshot, token HAVING count(*) >= 20",
+    "betas": "SELECT snapshot, token, CASE WHEN max(mkt) > min(mkt) THEN regr_slope(ret, mkt) END AS beta, CASE WHEN max(mkt) > min(mkt) THEN regr_intercept(ret, mkt) END AS alpha, CASE WHEN max(mkt) > min(mkt) THEN regr_r2(ret, mkt) END AS r2, count(*) AS n FROM rets JOIN market USING (snapshot, day) GROUP BY snapshot, token HAVING count(*) >= 20",
 }
 
 
 def panel(spark, sf):
-    return f.price_panel(d.prices(spark, sf), LATE_DAYS)
+    return f.price_panel(d.prices(spark, sf), DAYS)
 
 
 def panel_rets(spark, sf):
@@ -135,9 +140,13 @@ def p3(spark, sf):
     return r(f.clipped(panel_rets(spark, sf), ["snapshot", "token"], "ret", 0.05).groupBy("snapshot", "token").agg(F.avg("ret").alias("mean")), 9)
 
 
-@query("p4_covariance", sql("prices", "SELECT x.snapshot, x.token AS a, y.token AS b, round(CASE WHEN x.token = y.token THEN 1 ELSE 0.9 END * covar_samp(x.ret, y.ret), 9) AS cov, count(*) AS n FROM rets x JOIN rets y ON x.snapshot = y.snapshot AND x.day = y.day GROUP BY x.snapshot, x.token, y.token", PANEL))
+HELD = {"held": "SELECT DISTINCT x.snapshot, x.token AS a, y.token AS b FROM folded x JOIN folded y ON x.snapshot = y.snapshot AND x.address = y.address WHERE x.value > 0 AND y.value > 0"}
+
+
+@query("p4_covariance", sql("folded prices", "SELECT x.snapshot, x.token AS a, y.token AS b, round(CASE WHEN x.token = y.token THEN 1 ELSE 0.9 END * covar_samp(x.ret, y.ret), 9) AS cov, count(*) AS n FROM rets x JOIN rets y ON x.snapshot = y.snapshot AND x.day = y.day JOIN held h ON h.snapshot = x.snapshot AND h.a = x.token AND h.b = y.token GROUP BY x.snapshot, x.token, y.token", PANEL | HELD))
 def p4(spark, sf):
-    return r(f.covariance(panel_rets(spark, sf), shrink=0.1), 9)
+    rets = panel_rets(spark, sf)
+    return r(f.covariance(rets, f.held_pairs(folded(spark, sf).filter("value > 0")), shrink=0.1), 9)
 
 
 MU = {"mu": "SELECT snapshot, token, avg(ret) AS mu FROM (SELECT *, row_number() OVER (PARTITION BY snapshot, token ORDER BY ret) AS i, count(*) OVER (PARTITION BY snapshot, token) AS c FROM rets) WHERE i > floor(c * 0.05) AND i <= c - floor(c * 0.05) GROUP BY snapshot, token"}
@@ -211,13 +220,26 @@ def p17(spark, sf):
 def p18(spark, sf):
     rets = panel_rets(spark, sf)
     mu = f.trimmed_mean(rets, ["snapshot", "token"], "ret")
-    rows = f.portfolio_metrics(n.weights(folded(spark, sf)), mu, f.covariance(rets))
+    w = n.weights(folded(spark, sf))
+    rows = f.portfolio_metrics(w, mu, f.covariance(rets, f.held_pairs(w)))
     return r(rows.select("snapshot", "address", "expected", "variance"))
 
 
-@query("p19_regime", sql("latepos prices", """SELECT snapshot, count(*) AS n, round(avg(x), 9) AS mean, round(avg(x) / (stddev(x) / sqrt(count(*))), 6) AS t_stat, CASE WHEN avg(x) / (stddev(x) / sqrt(count(*))) >= 1 AND avg(x) > 0 THEN 'BULLISH' WHEN avg(x) / (stddev(x) / sqrt(count(*))) <= -1 AND avg(x) < 0 THEN 'BEARISH' ELSE 'SIDEWAYS' END AS regime
+@query("p18_path", sql("folded prices", """SELECT snapshot, address, count(*) AS n_days, round(arg_max(v, day) / arg_min(v, day) - 1, 7) AS total, round(stddev(x) * sqrt(365.0), 6) AS volatility, round(min(v / top - 1), 7) AS max_drawdown
+  FROM (SELECT *, ln(v / lag(v) OVER (PARTITION BY snapshot, address ORDER BY day)) AS x, max(v) OVER (PARTITION BY snapshot, address ORDER BY day) AS top FROM worth) GROUP BY snapshot, address""", {"marks": ENDS["marks"], "base": WALLETS["base"],
+    "win": "SELECT snapshot, mark_day, unnest(range((mark_day - 4)::TIMESTAMP, (mark_day + 20)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM marks",
+    "tok": "SELECT DISTINCT snapshot, token FROM win JOIN prices USING (day)",
+    "filled": "SELECT g.snapshot, t.token, g.day, g.mark_day, last_value(p.close IGNORE NULLS) OVER (PARTITION BY g.snapshot, t.token ORDER BY g.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close FROM win g JOIN tok t USING (snapshot) LEFT JOIN prices p ON p.token = t.token AND p.day = g.day",
+    "grown": "SELECT snapshot, token, day, close / first_value(close) OVER (PARTITION BY snapshot, token ORDER BY day) AS g FROM filled WHERE day >= mark_day - 1",
+    "worth": "SELECT b.snapshot, b.address, day, sum(w * g) AS v FROM base b JOIN grown USING (snapshot, token) GROUP BY b.snapshot, b.address, day HAVING count(g) = (SELECT count(*) FROM base x WHERE x.snapshot = b.snapshot AND x.address = b.address)"}))
+def p18_path(spark, sf):
+    rows = f.path_metrics(n.weights(folded(spark, sf)), d.prices(spark, sf), DAYS)
+    return r(r(rows, 7, "total", "max_drawdown"), 6, "volatility")
+
+
+@query("p19_regime", sql("positions prices", """SELECT snapshot, count(*) AS n, round(avg(x), 9) AS mean, round(avg(x) / nullif(stddev(x) / sqrt(count(*)), 0), 6) AS t_stat, CASE WHEN coalesce(stddev(x), 0) = 0 THEN 'UNKNOWN' WHEN avg(x) / (stddev(x) / sqrt(count(*))) >= 1 AND avg(x) > 0 THEN 'BULLISH' WHEN avg(x) / (stddev(x) / sqrt(count(*))) <= -1 AND avg(x) < 0 THEN 'BEARISH' ELSE 'SIDEWAYS' END AS regime
   FROM (SELECT snapshot, day, 0.5 * avg(ret) + 0.5 * max(mkt) AS x FROM rets JOIN top USING (snapshot, token) JOIN market USING (snapshot, day) GROUP BY snapshot, day) GROUP BY snapshot""",
-    PANEL | {"top": "SELECT snapshot, token FROM latepos GROUP BY snapshot, token QUALIFY row_number() OVER (PARTITION BY snapshot ORDER BY count(*) DESC, token) <= 10"}))
+    PANEL | {"top": "SELECT snapshot, token FROM positions GROUP BY snapshot, token QUALIFY row_number() OVER (PARTITION BY snapshot ORDER BY count(*) DESC, token) <= 10"}))
 def p19(spark, sf):
     rets = panel_rets(spark, sf)
     rows = f.regime(positions(spark, sf), rets, f.market_daily(rets, d.BENCHMARKS), k=10)
@@ -230,12 +252,19 @@ def p20(spark, sf):
     return r(wallets(spark, sf).groupBy("snapshot").agg(F.avg(f.alpha(F.col("ret_base"), one, F.col("market"))).alias("alpha_base"), F.avg(f.alpha(F.col("ret_equal"), one, F.col("market"))).alias("alpha_equal"), F.avg(F.col("ret_equal") - F.col("ret_base")).alias("diff")), 8)
 
 
-@query("p21_summary", over_wallets("""SELECT snapshot, strategy, size, n, round(mean, 7) AS mean, round(median, 9) AS median, round(hit_rate, 8) AS hit_rate, round(dm, 6) AS diff_mean_pp, round(dd, 6) AS diff_median_pp, CASE WHEN dm > 0 AND dd > 0 THEN 'BETTER' WHEN dm < 0 AND dd < 0 THEN 'WORSE' ELSE 'MIXED' END AS status,
-  round(0.5 * dm + 0.3 * dd + 0.2 * (hit_rate - 0.5) * 100, 6) AS score FROM (SELECT snapshot, strategy, coalesce(size, 'ALL') AS size, count(*) AS n, avg(ret) AS mean, median(ret) AS median, avg(CASE WHEN ret > b THEN 1 ELSE 0 END) AS hit_rate, (avg(ret) - avg(b)) * 100 AS dm, (median(ret) - median(b)) * 100 AS dd
-  FROM (SELECT snapshot, size, 'base' AS strategy, ret_base AS ret, ret_base AS b FROM outcomes UNION ALL SELECT snapshot, size, 'equal', ret_equal, ret_base FROM outcomes) WHERE ret IS NOT NULL AND b IS NOT NULL GROUP BY GROUPING SETS ((snapshot, strategy, size), (snapshot, strategy)))"""))
+@query("p21_summary", over_wallets("""SELECT snapshot, strategy, size, n, round(mean, 7) AS mean, round(median, 9) AS median, round(hit_rate, 8) AS hit_rate, round(dm, 6) AS diff_mean_pp, round(dd, 6) AS diff_median_pp, round(market, 8) AS market, round(l1, 8) AS mean_l1, round(beta, 5) AS mean_beta, NULL::DOUBLE AS fallback_rate, CASE WHEN dm > 0 AND dd > 0 THEN 'BETTER' WHEN dm < 0 AND dd < 0 THEN 'WORSE' ELSE 'MIXED' END AS status,
+  round(0.5 * dm + 0.3 * dd + 0.2 * (hit_rate - 0.5) * 100, 6) AS score FROM (SELECT snapshot, strategy, coalesce(size, 'ALL') AS size, count(*) AS n, avg(ret) AS mean, median(ret) AS median, avg(CASE WHEN ret > b THEN 1 ELSE 0 END) AS hit_rate, (avg(ret) - avg(b)) * 100 AS dm, (median(ret) - median(b)) * 100 AS dd, avg(market) AS market, avg(l1) AS l1, avg(beta) AS beta
+  FROM (SELECT snapshot, size, 'base' AS strategy, ret_base AS ret, ret_base AS b, market, 0.0 AS l1, round(pb, 6) AS beta FROM outcomes LEFT JOIN pbeta USING (snapshot, address) UNION ALL SELECT snapshot, size, 'equal', ret_equal, ret_base, market, l1, round(eb, 6) FROM outcomes LEFT JOIN pbeta USING (snapshot, address)) WHERE ret IS NOT NULL AND b IS NOT NULL GROUP BY GROUPING SETS ((snapshot, strategy, size), (snapshot, strategy)))""",
+  {k: v for k, v in PANEL.items() if k != "marks"} | {"pbeta": "SELECT snapshot, address, sum(w * coalesce(beta, 1)) AS pb, sum(e * coalesce(beta, 1)) AS eb FROM base LEFT JOIN betas USING (snapshot, token) GROUP BY ALL"}))
 def p21(spark, sf):
-    rows = f.summary(wallets(spark, sf), ["base", "equal"], "base", ["size"])
-    return r(rows.withColumns({c: F.round(c, k) for c, k in (("mean", 7), ("median", 9), ("hit_rate", 8))}), 6, "diff_mean_pp", "diff_median_pp", "score")
+    rets = panel_rets(spark, sf)
+    betas = f.token_betas(rets, f.market_daily(rets, d.BENCHMARKS))
+    w = n.weights(folded(spark, sf))
+    e = f.naive_weights(w.drop("weight"), ["snapshot", "address"], "equal")
+    own, other = (f.portfolio_beta(x, betas).withColumn("beta", F.round("beta", 6)).withColumnRenamed("beta", name) for x, name in ((w, "beta_base"), (e, "beta_equal")))
+    rows = wallets(spark, sf).withColumn("l1_base", F.lit(0.0)).withColumnRenamed("l1", "l1_equal").join(own, ["snapshot", "address"], "left").join(other, ["snapshot", "address"], "left")
+    out = f.summary(rows, ["base", "equal"], "base", ["size"])
+    return r(out.withColumns({c: F.round(c, k) for c, k in (("mean", 7), ("median", 9), ("hit_rate", 8), ("market", 8), ("mean_l1", 8), ("mean_beta", 5))}), 6, "diff_mean_pp", "diff_median_pp", "score")
 
 
 @query("p23_zero_distance", over_wallets("SELECT count(*) AS n, count(*) FILTER (l1 = 0) AS zero_l1, count(*) FILTER (hhi = 0) AS zero_hhi, count(*) FILTER (l1 <= 1e-6) AS near_l1, count(*) FILTER (hhi <= 1e-6) AS near_hhi, count(*) FILTER (l1 = 0 AND hhi = 0) AS all_zero FROM outcomes"))
@@ -243,12 +272,14 @@ def p23(spark, sf):
     return f.zero_counts(wallets(spark, sf), ["l1", "hhi"])
 
 
-@query("p29_check_market", sql("prices", "SELECT count(*) AS n, 0.0::DOUBLE AS max_diff FROM mkt", {k: WALLETS[k] for k in ("marks", "ends", "mkt")}))
+@query("p29_check_market", sql("prices", """SELECT count(mkt - again) AS n, round(max(abs(mkt - again)), 7) AS max_diff, round(avg((abs(mkt - again) <= 1e-6)::INTEGER), 8) AS share_equal, count(*) FILTER (again IS NULL) AS only_stored, count(*) FILTER (mkt IS NULL) AS only_recomputed
+  FROM (SELECT snapshot, market AS mkt FROM mkt) FULL JOIN (SELECT snapshot, sum(p1 / p0 / k) - 1 AS again FROM ends, (SELECT count(DISTINCT token) AS k FROM prices WHERE token IN ({0})) WHERE token IN ({0}) GROUP BY snapshot HAVING count(p1 / p0) = 2) USING (snapshot)""".format(names(d.BENCHMARKS)), {k: WALLETS[k] for k in ("marks", "ends", "mkt")}))
 def p29(spark, sf):
     m = forward_market(spark, sf).withColumnRenamed("market", "mkt")
+    # The other way: units of the benchmarks bought for an equal share each, sold at the end.
     w = horizon(spark, sf).filter(F.col("token").isin(*d.BENCHMARKS)).withColumn("weight", F.lit(1 / len(d.BENCHMARKS)))
-    again = w.groupBy("snapshot").agg(F.round(f.held_return(F.col("weight")), 9).alias("mkt"))
-    return f.check_market(m, again).select("n", F.round("max_diff", 7).alias("max_diff"))
+    again = w.groupBy("snapshot").agg((F.sum(f.units(F.col("weight"), F.lit(1.0), F.col("p0")) * F.col("p1")) - 1).alias("mkt"), F.count(F.col("p1") / F.col("p0")).alias("k")).filter(F.col("k") == len(d.BENCHMARKS)).drop("k")
+    return f.check_market(m, again).select("n", F.round("max_diff", 7).alias("max_diff"), F.round("share_equal", 8).alias("share_equal"), "only_stored", "only_recomputed")
 
 
 @query("h9_distance", over_wallets(f"SELECT {h.bin_sql('round(l1 * 50, 7)', h.DISTANCE)} AS bin, count(*) AS n FROM outcomes GROUP BY 1"))
@@ -336,22 +367,45 @@ def a31(spark, sf):
     return r(panels.token_year(d.prices(spark, sf).withColumn("year", F.year("day")), [], "close"))
 
 
+def optimal(spark, sf):
+    """Best ratio, most return at the same variance, and least variance at the same return, of all wallets; worked out once for each session."""
+    from tessera.operators.optimise import optimise, set_inputs
+
+    return s.stored(spark, sf, "optimal", lambda: optimise(capped(spark, sf), set_inputs(panel_rets(spark, sf))))
+
+
 @query("p8_optimal_portfolios")
 def p8(spark, sf):
-    """Best ratio, best return at the same variance, and least variance at the same return, of wallets with up to six assets at the last snapshot."""
-    from tessera.operators.optimise import optimise, set_inputs
+    """Weights of the best ratio, by wallet and token; flagged where least variance stands for it."""
+    return optimal(spark, sf).select("snapshot", "address", "token", "weight", "w_sharpe", "fallback_sharpe")
+
+
+@query("p9_same_variance")
+def p9(spark, sf):
+    """Weights of most return at the same variance; flagged where the best ratio stands for it."""
+    return optimal(spark, sf).select("snapshot", "address", "token", "weight", "w_return", "fallback_return")
+
+
+@query("p10_same_return")
+def p10(spark, sf):
+    """Weights of least variance at the same return."""
+    return optimal(spark, sf).select("snapshot", "address", "token", "weight", "w_variance", "fallback_variance")
+
 
-    w = capped(spark, sf).filter(F.col("snapshot") == LATE[-1])
-    rets = panel_rets(spark, sf).filter(F.col("snapshot") == LATE[-1])
-    return optimise(w, set_inputs(rets))
+@query("p21_fallback_rates")
+def p21_fallbacks(spark, sf):
+    """Wallets, mean distance of each goal's weights from the wallet's own, and the share of fallbacks, by snapshot."""
+    rows = optimal(spark, sf)
+    goals = ("sharpe", "return", "variance")
+    one = rows.groupBy("snapshot", "address").agg(*[F.sum(F.abs(F.col("weight") - F.col(f"w_{g}"))).alias(f"l1_{g}") for g in goals], *[F.bool_or(f"fallback_{g}").alias(f"fallback_{g}") for g in goals])
+    return one.groupBy("snapshot").agg(F.count("*").alias("n"), *[F.round(F.avg(f"l1_{g}"), 6).alias(f"mean_l1_{g}") for g in goals], *[F.round(F.avg(F.col(f"fallback_{g}").cast("int")), 8).alias(f"fallback_rate_{g}") for g in goals])
 
 
 @query("p28_rf_sensitivity")
 def p28(spark, sf):
-    """Greatest move of the best-ratio weights when the risk-free rate goes from 0 to one basis point a day."""
+    """How far the best-ratio weights move when the risk-free rate goes from 0 to one basis point a day."""
     from tessera.operators.optimise import optimise, set_inputs
 
-    w = capped(spark, sf).filter(F.col("snapshot") == LATE[-1])
-    inputs = set_inputs(panel_rets(spark, sf).filter(F.col("snapshot") == LATE[-1]))
+    w, inputs = capped(spark, sf), set_inputs(panel_rets(spark, sf))
     a, b = (optimise(w, inputs, rf=rf, goals=("sharpe",)).select("snapshot", "address", "token", F.col("w_sharpe").alias("weight")) for rf in (0.0, 1e-4))
     return f.l1(a, b)

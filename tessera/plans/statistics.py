@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import finance as f
-from tessera.operators import panels, stats as m
+from tessera.operators import panels, ranks, stats as m
 from tessera.operators.filters import with_outcome
-from tessera.plans.portfolio import r
+from tessera.operators import positions as p
+from tessera.plans.portfolio import folded, r
 from tessera.plans.registry import query
-from tessera.plans.returns import over_wallets, wallets
+from tessera.plans.returns import PANEL, over_wallets, panel_rets, wallets
+from tessera.sources import domain as d
 
 VALID = {"ok": "SELECT * FROM outcomes WHERE ret_base IS NOT NULL AND ret_equal IS NOT NULL AND market IS NOT NULL"}
 
@@ -49,27 +51,30 @@ def m4(spark, sf):
 
 @query("m5_medians_by_size", over_valid("SELECT size, count(*) AS n, round(median(ret_base), 8) AS med_base, round(median(l1), 8) AS med_l1, round(avg(total), 3) AS mean_total FROM ok GROUP BY size"))
 def m5(spark, sf):
-    aggs = [F.count("*").alias("n"), F.median("ret_base").alias("med_base"), F.median("l1").alias("med_l1"), F.avg("total").alias("mean_total")]
-    rows = panels.panel(valid(spark, sf), ["size"], aggs).filter("size IS NOT NULL")
+    rows = valid(spark, sf).groupBy("size").agg(F.count("*").alias("n"), F.avg("total").alias("mean_total"))
+    rows = ranks.with_quantiles(rows, valid(spark, sf), ["size"], {"med_base": ("ret_base", 0.5), "med_l1": ("l1", 0.5)})
     return r(r(rows, 8, "med_base", "med_l1"), 3, "mean_total")
 
 
 @query("m6_low_distance", over_valid("SELECT snapshot, count(*) AS n, round(avg(n), 7) AS mean_n, round(median(ret_base), 8) AS med FROM ok WHERE l1 <= 0.3 GROUP BY snapshot"))
 def m6(spark, sf):
-    rows = valid(spark, sf).filter("l1 <= 0.3").groupBy("snapshot").agg(F.count("*").alias("c"), F.avg("n").alias("mean_n"), F.median("ret_base").alias("med")).withColumnRenamed("c", "n")
+    low = valid(spark, sf).filter("l1 <= 0.3")
+    rows = low.groupBy("snapshot").agg(F.count("*").alias("c"), F.avg("n").alias("mean_n")).withColumnRenamed("c", "n")
+    rows = ranks.with_quantiles(rows, low, ["snapshot"], {"med": ("ret_base", 0.5)})
     return r(r(rows, 7, "mean_n"), 8, "med")
 
 
 @query("m7_bucket_profile", over_valid("SELECT size, round(avg(n), 7) AS mean_n, round(quantile_cont(hhi, 0.25), 8) AS p25, round(quantile_cont(hhi, 0.75), 8) AS p75 FROM ok GROUP BY size"))
 def m7(spark, sf):
-    rows = valid(spark, sf).groupBy("size").agg(F.avg("n").alias("mean_n"), F.percentile("hhi", F.lit(0.25)).alias("p25"), F.percentile("hhi", F.lit(0.75)).alias("p75"))
+    rows = ranks.with_quantiles(valid(spark, sf).groupBy("size").agg(F.avg("n").alias("mean_n")), valid(spark, sf), ["size"], {"p25": ("hhi", 0.25), "p75": ("hhi", 0.75)})
     return r(r(rows, 7, "mean_n"), 8, "p25", "p75")
 
 
 @query("m8_distance_panel", over_valid("SELECT snapshot, coalesce(size, 'ALL') AS size, count(*) AS n, round(avg(l1), 8) AS mean_l1, round(median(l1), 8) AS median_l1 FROM ok GROUP BY GROUPING SETS ((snapshot, size), (snapshot))"))
 def m8(spark, sf):
-    rows = panels.cube_panel(valid(spark, sf), ["snapshot", "size"], [F.count("*").alias("n"), F.avg("l1").alias("mean_l1"), F.median("l1").alias("median_l1")], always=("snapshot",))
-    return r(rows, 8)
+    every = panels.cube_rows(valid(spark, sf).select("snapshot", "size", "l1"), ["snapshot", "size"], always=("snapshot",))
+    rows = every.groupBy("snapshot", "size").agg(F.count("*").alias("n"), F.avg("l1").alias("mean_l1"))
+    return r(ranks.with_quantiles(rows, every, ["snapshot", "size"], {"median_l1": ("l1", 0.5)}), 8)
 
 
 PAIRS = {"pairs": "SELECT snapshot, round(avg(l1) FILTER (n < 5), 9) AS a, round(avg(l1) FILTER (n >= 5), 9) AS b FROM ok GROUP BY snapshot", "dd": "SELECT a - b AS d FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL"}
@@ -79,7 +84,13 @@ PAIRS = {"pairs": "SELECT snapshot, round(avg(l1) FILTER (n < 5), 9) AS a, round
   (SELECT coalesce(sum(r) FILTER (d > 0), 0) FROM rk)::DOUBLE AS w_plus, round((SELECT (coalesce(sum(r) FILTER (d > 0), 0) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0) FROM rk), 6) AS z""", PAIRS | {"rk": "SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM dd WHERE d <> 0"}))
 def m9(spark, sf):
     rows = valid(spark, sf).groupBy("snapshot").agg(F.round(F.avg(F.when(F.col("n") < 5, F.col("l1"))), 9).alias("a"), F.round(F.avg(F.when(F.col("n") >= 5, F.col("l1"))), 9).alias("b"))
-    return r(r(m.paired_tests(rows, "a", "b"), 8, "mean_diff"), 6, "t", "cohen_d", "z")
+    return r(r(m.paired_tests(rows, "a", "b").drop("p_t", "p_wilcoxon"), 8, "mean_diff"), 6, "t", "cohen_d", "z")
+
+
+@query("m9_thresholds")
+def m9_thresholds(spark, sf):
+    """Paired tests with their p-values for sizes below and from 3, 4, 5, 6 and 7 assets."""
+    return m.distance_thresholds(valid(spark, sf), "snapshot", "n", "l1")
 
 
 @query("m10_spearman", over_valid("SELECT snapshot, round(corr(rx, ry), 7) AS rho, count(*) AS n FROM (SELECT snapshot, rank() OVER (PARTITION BY snapshot ORDER BY hhi) + (count(*) OVER (PARTITION BY snapshot, hhi) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY snapshot ORDER BY ret_base) + (count(*) OVER (PARTITION BY snapshot, ret_base) - 1) / 2.0 AS ry FROM ok) GROUP BY snapshot"))
@@ -100,9 +111,11 @@ def m30(spark, sf):
     return r(m.month_outcomes(valid(spark, sf), "snapshot", "ret_base"), 8)
 
 
-@query("m12_ols", over_valid("SELECT unnest(['const', 'hhi']) AS term, round(unnest([regr_intercept(ret_base, hhi), regr_slope(ret_base, hhi)]), 6) AS coef, round(regr_r2(ret_base, hhi), 6) AS r2, count(*) AS n FROM ok"))
+@query("m12_ols", over_valid("""SELECT unnest(['const', 'hhi']) AS term, round(unnest([b0, b1]), 6) AS coef, round(unnest([sqrt(rss / (n - 2) * (1 / n + mx * mx / sxx)), sqrt(rss / (n - 2) / sxx)]), 6) AS std_error, round(unnest([b0 / sqrt(rss / (n - 2) * (1 / n + mx * mx / sxx)), b1 / sqrt(rss / (n - 2) / sxx)]), 3) AS t, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adj_r2, n::BIGINT AS n
+  FROM (SELECT regr_intercept(ret_base, hhi) AS b0, regr_slope(ret_base, hhi) AS b1, regr_r2(ret_base, hhi) AS r2, regr_syy(ret_base, hhi) * (1 - regr_r2(ret_base, hhi)) AS rss, regr_sxx(ret_base, hhi) AS sxx, avg(hhi) AS mx, count(*)::DOUBLE AS n FROM ok)"""))
 def m12(spark, sf):
-    return r(m.ols(valid(spark, sf), "ret_base", ["hhi"]).select("term", "coef", "r2", "n"))
+    rows = m.ols(valid(spark, sf), "ret_base", ["hhi"]).drop("p")
+    return r(r(rows, 3, "t"), 6, "coef", "std_error", "r2", "adj_r2")
 
 
 @query("m12_ols_extended")
@@ -113,7 +126,7 @@ def m12x(spark, sf):
 
 @query("m13_quantile_reg")
 def m13(spark, sf):
-    return m.quantile_reg(valid(spark, sf), "ret_base", ["hhi"], 0.5, rounds=15)
+    return m.quantile_reg(valid(spark, sf), "ret_base", ["hhi"], 0.5)
 
 
 XS = ["hhi", "l1", "n", "cash"]
@@ -121,25 +134,25 @@ XS = ["hhi", "l1", "n", "cash"]
 
 @query("m14_forest")
 def m14(spark, sf):
-    return m.forest(valid(spark, sf).withColumn("n", F.col("n").cast("double")), "ret_base", XS, trees=8, depth=4)[1]
+    return m.forest(valid(spark, sf).withColumn("n", F.col("n").cast("double")), "ret_base", XS)[1]
 
 
 @query("m15_permutation")
 def m15(spark, sf):
     rows = valid(spark, sf).withColumn("n", F.col("n").cast("double"))
-    model, _ = m.forest(rows, "ret_base", XS, trees=8, depth=4)
+    model, _ = m.forest(rows, "ret_base", XS)
     return m.permutation_importance(model, rows, "ret_base", XS)
 
 
 @query("m16_grouped_cv")
 def m16(spark, sf):
-    return m.grouped_cv(valid(spark, sf), "ret_base", ["hhi", "l1"], "snapshot", 3)
+    return m.grouped_cv(valid(spark, sf).withColumn("n", F.col("n").cast("double")), "ret_base", XS, "snapshot")
 
 
 @query("m17_forward_chain")
 def m17(spark, sf):
     rows = valid(spark, sf).withColumn("year", (F.lit(1995) + F.floor(F.col("snapshot") / 365.25)).cast("int"))
-    return m.forward_chain(rows, "ret_base", ["hhi", "l1"], "year")
+    return m.forward_chain(rows.withColumn("n", F.col("n").cast("double")), "ret_base", XS, "year", "snapshot")
 
 
 @query("m18_variance_shares", over_valid("""SELECT round(b / (b + w), 8) AS between_rows, round(w / (b + w), 8) AS within_rows, round(bg / (bg + wg), 8) AS between_groups, round(wg / (bg + wg), 8) AS within_groups FROM (
@@ -169,16 +182,25 @@ def m22(spark, sf):
     return r(m.direction(valid(spark, sf), [("hhi", "l1")]), 8)
 
 
-@query("m23_by_exact_n", over_valid("SELECT n, count(*) AS rows, round(avg(ret_equal - ret_base), 8) AS mean_diff FROM ok WHERE n <= 30 GROUP BY n HAVING count(*) >= 20"))
+EXACT_N = {k: v for k, v in PANEL.items() if k != "marks"} | {"pb": "SELECT snapshot, address, round(sum(w * coalesce(beta, 1)), 6) AS x, round(sum(e * coalesce(beta, 1)), 6) AS y FROM base LEFT JOIN betas USING (snapshot, token) GROUP BY ALL"}
+
+
+@query("m23_beta_by_exact_n", over_valid("SELECT n, count(*) AS rows, round(avg(y - x), 5) AS mean_change, round(median(y - x), 6) AS median_change, round(avg((abs(y - 1) < abs(x - 1))::INTEGER), 8) AS share_closer FROM ok JOIN pb USING (snapshot, address) WHERE n <= 30 GROUP BY n HAVING count(*) >= 200", EXACT_N))
 def m23(spark, sf):
-    rows = valid(spark, sf).filter("n <= 30").groupBy("n").agg(F.count("*").alias("rows"), F.avg(F.col("ret_equal") - F.col("ret_base")).alias("mean_diff"))
-    return r(rows.filter("rows >= 20"), 8)
+    rets = panel_rets(spark, sf)
+    betas = f.token_betas(rets, f.market_daily(rets, d.BENCHMARKS))
+    w = p.weights(folded(spark, sf))
+    own, other = (f.portfolio_beta(x, betas).select("snapshot", "address", F.round("beta", 6).alias(c)) for x, c in ((w, "x"), (f.naive_weights(w.drop("weight"), ["snapshot", "address"], "equal"), "y")))
+    rows = m.change_by_n(valid(spark, sf).select("snapshot", "address", "n").join(own, ["snapshot", "address"]).join(other, ["snapshot", "address"]), "n", "x", "y")
+    return r(r(r(rows, 5, "mean_change"), 6, "median_change"), 8, "share_closer")
 
 
 @query("m24_panel", over_valid("SELECT snapshot, count(*) AS n, round(avg(ret_base), 8) AS mean, round(median(ret_base), 8) AS median, round(stddev(ret_base), 8) AS sd FROM ok GROUP BY GROUPING SETS ((snapshot), ())"))
 def m24(spark, sf):
-    aggs = [F.count("*").alias("n"), F.avg("ret_base").alias("mean"), F.median("ret_base").alias("median"), F.stddev("ret_base").alias("sd")]
-    return r(panels.panel(valid(spark, sf), ["snapshot"], aggs), 8)
+    aggs = [F.count("*").alias("n"), F.avg("ret_base").alias("mean"), F.stddev("ret_base").alias("sd")]
+    rows = panels.panel(valid(spark, sf), ["snapshot"], aggs)
+    both = valid(spark, sf).select(F.explode(F.array("snapshot", F.lit(None).cast("int"))).alias("snapshot"), "ret_base")
+    return r(ranks.with_quantiles(rows, both, ["snapshot"], {"median": ("ret_base", 0.5)}), 8)
 
 
 @query("m25_accuracy", over_valid("SELECT size, count(*) AS n, count(*) FILTER (ret_base = ret_equal) AS exact, count(*) FILTER (e <= 0.1) AS within, round(quantile_cont(e, 0.5), 7) AS median_error, round(quantile_cont(e, 0.95), 6) AS p95_error, count(*) FILTER (ret_base > ret_equal) AS n_over, count(*) FILTER (ret_base < ret_equal) AS n_under FROM (SELECT *, CASE WHEN ret_equal = 0 THEN CASE WHEN ret_base = 0 THEN 0 ELSE 1 END ELSE abs(ret_base - ret_equal) / abs(ret_equal) END AS e FROM ok) GROUP BY size"))
@@ -215,6 +237,18 @@ def j13(spark, sf):
     return r(panels.compare_runs(a, b, ["snapshot", "address"], ["ret"]), 8)
 
 
-@query("p22_alpha_margin", over_valid("SELECT size, round(avg(ret_base - market) * 100, 6) AS alpha_pp FROM ok GROUP BY size"))
+@query("p22_status_score", over_valid("""SELECT size, round(dm, 6) AS diff_mean_pp, round(dd, 6) AS diff_median_pp, round(h, 8) AS hit_rate, CASE WHEN dm > 0 AND dd > 0 THEN 'BETTER' WHEN dm < 0 AND dd < 0 THEN 'WORSE' ELSE 'MIXED' END AS status, round(0.5 * dm + 0.3 * dd + 0.2 * (h - 0.5) * 100, 6) AS score
+  FROM (SELECT size, (avg(ret_equal) - avg(ret_base)) * 100 AS dm, (median(ret_equal) - median(ret_base)) * 100 AS dd, avg((ret_equal > ret_base)::INTEGER) AS h FROM ok GROUP BY size)"""))
+def p22_status(spark, sf):
+    rows = valid(spark, sf).groupBy("size").agg(((F.avg("ret_equal") - F.avg("ret_base")) * 100).alias("diff_mean_pp"), F.avg((F.col("ret_equal") > F.col("ret_base")).cast("int")).alias("hit_rate"))
+    rows = ranks.with_quantiles(rows, valid(spark, sf), ["size"], {"_e": ("ret_equal", 0.5), "_b": ("ret_base", 0.5)}).withColumn("diff_median_pp", (F.col("_e") - F.col("_b")) * 100).drop("_e", "_b")
+    status, score = f.status_and_score(F.col("diff_mean_pp"), F.col("diff_median_pp"), F.col("hit_rate"))
+    return r(r(rows.withColumn("status", status).withColumn("score", score), 8, "hit_rate"), 6, "diff_mean_pp", "diff_median_pp", "score")
+
+
+@query("p22_alpha_margin", over_valid("SELECT size, round(avg(ret_base - x * market) * 100, 5) AS alpha_pp FROM ok JOIN pb USING (snapshot, address) GROUP BY size", EXACT_N))
 def p22(spark, sf):
-    return r(valid(spark, sf).groupBy("size").agg((F.avg(f.alpha(F.col("ret_base"), F.lit(1.0), F.col("market"))) * 100).alias("alpha_pp")))
+    rets = panel_rets(spark, sf)
+    betas = f.token_betas(rets, f.market_daily(rets, d.BENCHMARKS))
+    own = f.portfolio_beta(p.weights(folded(spark, sf)), betas).withColumn("beta", F.round("beta", 6))
+    return r(valid(spark, sf).join(own, ["snapshot", "address"]).groupBy("size").agg((F.avg(f.alpha(F.col("ret_base"), F.col("beta"), F.col("market"))) * 100).alias("alpha_pp")), 5)

@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = date(1995, 1, 1)
-#: The first of each quarter; a snapshot is the state at the end of that block.
-QUARTERS = [date(y, m, 1) for y in range(1995, 2002) for m in (1, 4, 7, 10)]
+#: The first of each quarter, the last one after all rows; a snapshot is the state at the end of that block.
+QUARTERS = [date(y, m, 1) for y in range(1995, 2002) for m in (1, 4, 7, 10)] + [date(2002, 1, 1)]
 #: The alias pair: the first token is a wrapped form of the second.
 WRAPPED, NATIVE = "Brand#12", "Brand#11"
 BENCHMARKS = ("Brand#11", "Brand#21")
 CASH, DERIVATIVE, WRAPPER = [f"Brand#{i}" for i in (1, 2, 3)], [f"Brand#{i}" for i in (13, 14, 15)], [f"Brand#{i}" for i in (21, 22, 23)]
-#: Snapshots that the portfolio queries look at.
-LATE = [q for q in QUARTERS if q.year >= 2000]
 
 
 def block_of(day: date) -> int:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,11 +13,40 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new path in the folder that all executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORING = RLock()
+
+
+def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that many queries share, built once for each session and source and read from the shared folder.
+
+    A session takes its source tables as fixed; a new one builds its tables anew.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    with _STORING:
+        if key not in _STORED:
+            _STORED[key] = saved(build(), name)
+        return _STORED[key]
+
+
 def read_dataset(spark: SparkSession, root: str) -> DataFrame:
     """A Parquet file or a directory whose key=value folders become columns."""
     return spark.read.parquet(root)
@@ -45,10 +76,10 @@ def duplicate_rows(df: DataFrame, part: list[str], key: list[str]) -> DataFrame:
     return out.withColumn("repeated", F.col("n_rows") > F.col("n_keys"))
 
 
-def read_prices(spark: SparkSession, folder: str) -> DataFrame:
-    """token, date, close from one CSV per token, named <token>_price.csv; the first row of a date counts."""
-    rows = spark.read.option("header", "true").schema("date string, daily_close_usd double").csv(folder)
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+)_price\.csv$", 1)
+def read_prices(spark: SparkSession, folder: str, pattern: str = r"([^/]+)_price\.csv$") -> DataFrame:
+    """token, date, close from CSV files whose path names the token; the first row of a date counts."""
+    rows = spark.read.option("header", "true").option("recursiveFileLookup", "true").schema("date string, daily_close_usd double").csv(folder)
+    name = F.url_decode(F.url_decode(F.regexp_extract(F.input_file_name(), pattern, 1)))  # Spark escapes the folder's name, and the path again
     rows = rows.select(name.alias("token"), F.to_date(F.substring("date", 1, 10)).alias("date"), F.col("daily_close_usd").alias("close"), F.monotonically_increasing_id().alias("_n"))
     return rows.groupBy("token", "date").agg(F.min_by("close", "_n").alias("close"))
 

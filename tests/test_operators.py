@@ -160,13 +160,29 @@ def test_optimal_portfolios_beat_random_feasible_ones():
         if (tries @ mu).max() > 0:
             assert best @ mu / np.sqrt(var(best[None])[0]) >= (tries @ mu / np.sqrt(var(tries))).max() * 0.99 - 1e-6
         each, both = np.tile(mu, (8, 1)), np.tile(cov, (8, 1, 1))
-        top, low = o.frontier(each, both, held, 0.9, "return"), o.frontier(each, both, held, 0.9, "variance")
+        (top, met), (low, same) = o.frontier(each, both, held, 0.9, "return"), o.frontier(each, both, held, 0.9, "variance")
+        corner = np.full(n, 0.1 / (n - 1))
+        corner[mu.argmax()] = 0.9
+        assert same.all()
         for i, w in enumerate(held):
-            inside = tries[var(tries) <= var(w[None])[0]]
-            assert var(top[i][None])[0] <= var(w[None])[0] * (1 + 1e-5) + 1e-12
-            assert top[i] @ mu >= max([w @ mu, *(inside @ mu)]) - 2e-5
-            above = tries[tries @ mu >= w @ mu]
-            assert low[i] @ mu >= w @ mu - 1e-7 and var(low[i][None])[0] <= min([var(w[None])[0], *var(above)]) * (1 + 1e-3)
+            v0 = var(w[None])[0]
+            if met[i]:
+                assert var(top[i][None])[0] == pytest.approx(v0, rel=2e-3) and (top[i] >= -1e-9).all() and (top[i] <= 0.9 + 1e-9).all()
+            inside = tries[var(tries) <= v0]
+            if met[i] and n > 2 and var(corner[None])[0] > v0 * 1.2 and len(inside):  # more return costs more variance
+                assert top[i] @ mu >= (inside @ mu).max() - 5e-5
+            assert low[i] @ mu == pytest.approx(w @ mu, abs=2e-6) and var(low[i][None])[0] <= v0 * (1 + 1e-6)
+            under, over = tries[tries @ mu < w @ mu][:300], tries[tries @ mu > w @ mu][:300]
+            k = min(len(under), len(over))
+            if k:  # mixtures of two portfolios with just the same return
+                a, b = under[:k] @ mu, over[:k] @ mu
+                share = ((w @ mu - a) / (b - a))[:, None]
+                assert var(low[i][None])[0] <= var(under[:k] * (1 - share) + over[:k] * share).min() * (1 + 5e-3)
+    pair = np.array([[0.04, 0.006], [0.006, 0.01]])
+    found, met = o.frontier(np.array([[0.02, 0.01]] * 2), np.array([pair, pair]), np.array([[0.3, 0.7], [0.5, 0.5]]), 0.9, "return")
+    assert met.all() and np.allclose(np.einsum("bi,ij,bj->b", found, pair, found), [np.array([0.3, 0.7]) @ pair @ [0.3, 0.7], np.array([0.5, 0.5]) @ pair @ [0.5, 0.5]]) and (found[:, 0] >= np.array([0.3, 0.5]) - 1e-9).all()
+    kept, _ = o.frontier(np.array([[0.02, 0.01]]), pair[None], np.array([[0.3, 0.7]]), 0.9, "variance")
+    assert np.allclose(kept, [[0.3, 0.7]])
 
 
 def test_optimise_over_wallets(spark):
@@ -176,6 +192,7 @@ def test_optimise_over_wallets(spark):
     weights = spark.createDataFrame([(1, f"w{i}", t, w) for i in range(5) for t, w in (("a", 0.5), ("b", 0.3), ("c", 0.2))] + [(1, "single", "a", 1.0)], "snapshot int, address string, token string, weight double")
     got = o.optimise(weights, inputs).collect()
     assert {r.address for r in got} == {f"w{i}" for i in range(5)}
+    assert all(not r.fallback_variance for r in got)
     for goal in o.GOALS:
         sums = {}
         for r in got:
