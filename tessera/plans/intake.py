@@ -53,11 +53,11 @@ def s6(spark, sf):
     return files.groupBy(part.alias("part")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
 
 
-@query("s8_price_files", sql("prices", "SELECT token, day AS date, close FROM prices"))
+@query("s8_price_files", sql("prices", "SELECT token, day AS date, round(close, 4) AS close FROM prices"))
 def s8(spark, sf):
     root = s.shared_path(spark, "prices")
     d.prices(spark, sf).select("token", F.date_format("day", "yyyy-MM-dd 00:00:00").alias("date"), F.col("close").alias("daily_close_usd")).write.partitionBy("token").option("header", "true").csv(root)
-    return s.read_prices(spark, root, r"token=([^/]+)/")
+    return s.read_prices(spark, root, r"token=([^/]+)/").withColumn("close", F.round("close", 4))
 
 
 @query("s9_address_lines", f"SELECT '0x' || {hexed_sql('c_custkey', 40)} AS address, 'x;0X' || upper({hexed_sql('c_custkey', 40)}) || ', ' || c_name AS line FROM customer")

@@ -77,10 +77,10 @@ def j9(spark, sf):
     return sums.join(counts, ["address", "block"]).groupBy("block").agg(F.sum("n").alias("n"), F.sum("balance").cast("double").alias("balance"))
 
 
-@query("j10_asof", sql("prices", "SELECT o_orderkey, (SELECT arg_max(close, day) FROM prices p WHERE p.token = 'Brand#' || (o_custkey % 25 + 1) AND p.day <= o_orderdate::DATE) AS close FROM orders"))
+@query("j10_asof", sql("prices", "SELECT o_orderkey, (SELECT round(arg_max(close, day), 4) FROM prices p WHERE p.token = 'Brand#' || (o_custkey % 25 + 1) AND p.day <= o_orderdate::DATE) AS close FROM orders"))
 def j10(spark, sf):
     asked = d.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("Brand#"), F.col("o_custkey") % 25 + 1).alias("token"), F.to_date("o_orderdate").alias("day"))
-    return b.spot(d.prices(spark, sf), asked).select("o_orderkey", "close")
+    return b.spot(d.prices(spark, sf), asked).select("o_orderkey", F.round("close", 4).alias("close"))
 
 
 @query("j11_using", "SELECT o_orderstatus, count(*) AS n, sum(l_quantity) AS gas FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus")
@@ -177,10 +177,10 @@ def g15(spark, sf):
     return g.curated(listed, part.filter("p_size > 49").select(F.col("p_brand").alias("token")))
 
 
-@query("j10_nearest_after", sql("prices", "SELECT o_orderkey, (SELECT arg_min(close, day) FROM prices p WHERE p.token = 'Brand#11' AND p.day >= o_orderdate::DATE AND p.day <= o_orderdate::DATE + 10) AS close FROM orders"))
+@query("j10_nearest_after", sql("prices", "SELECT o_orderkey, (SELECT round(arg_min(close, day), 4) FROM prices p WHERE p.token = 'Brand#11' AND p.day >= o_orderdate::DATE AND p.day <= o_orderdate::DATE + 10) AS close FROM orders"))
 def j10_after(spark, sf):
     asked = d.table(spark, sf, "orders").select("o_orderkey", F.lit("Brand#11").alias("token"), F.to_date("o_orderdate").alias("day"))
-    return asof.asof_join(asked, d.prices(spark, sf).withColumnRenamed("day", "price_day"), ["token"], "day", "price_day", 10, forward=True).select("o_orderkey", "close")
+    return asof.asof_join(asked, d.prices(spark, sf).withColumnRenamed("day", "price_day"), ["token"], "day", "price_day", 10, forward=True).select("o_orderkey", F.round("close", 4).alias("close"))
 
 
 @query("u2_snapshot_gaps", sql("snaps transfers", "SELECT 0::BIGINT AS duplicates, (SELECT count(*) FROM snaps WHERE snapshot NOT IN (SELECT block FROM transfers)) AS missing, (SELECT count(DISTINCT block) FROM transfers WHERE block NOT IN (SELECT snapshot FROM snaps) AND block % 100 = 0) AS unexpected, 'NOT_PASS' AS status"))

@@ -186,9 +186,9 @@ def a5(spark, sf):
 QS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
 
-@query("a6_exact_quantiles", sql("typed", f"SELECT snapshot, unnest({QS}) AS q, unnest(quantile_cont(total_value, {QS})) AS value FROM acc GROUP BY snapshot", BUCKETED))
+@query("a6_exact_quantiles", sql("typed", f"SELECT snapshot, unnest({QS}) AS q, round(unnest(quantile_cont(total_value, {QS})), 4) AS value FROM acc GROUP BY snapshot", BUCKETED))
 def a6(spark, sf):
-    return panels.quantiles(bucketed(spark, sf), ["snapshot"], "total_value", QS)
+    return r(panels.quantiles(bucketed(spark, sf), ["snapshot"], "total_value", QS), 4, "value")
 
 
 @query("a7_discrete_quantiles", sql("typed", f"SELECT snapshot, unnest({QS}) AS q, unnest(quantile_disc(total_value, {QS})) AS value FROM acc GROUP BY snapshot", BUCKETED))
@@ -220,10 +220,10 @@ def a16(spark, sf):
     return r(panels.widen(counts, ["snapshot"], "size", SIZES))
 
 
-@query("a17_lengthen", sql("typed", f"SELECT snapshot, 'total_value' AS metric, unnest(range({len(QS)}))::INTEGER AS place, unnest(quantile_cont(total_value, {QS})) AS value FROM acc GROUP BY snapshot", BUCKETED))
+@query("a17_lengthen", sql("typed", f"SELECT snapshot, 'total_value' AS metric, unnest(range({len(QS)}))::INTEGER AS place, round(unnest(quantile_cont(total_value, {QS})), 4) AS value FROM acc GROUP BY snapshot", BUCKETED))
 def a17(spark, sf):
     lists = ranks.exact_quantiles(bucketed(spark, sf), ["snapshot"], "total_value", QS)
-    return panels.lengthen(lists, ["snapshot"], {"q": "total_value"})
+    return r(panels.lengthen(lists, ["snapshot"], {"q": "total_value"}), 4, "value")
 
 
 @query("a18_crosstab", sql("typed", "SELECT type, size, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM acc GROUP BY type, size", BUCKETED))
@@ -388,9 +388,9 @@ def turned(spark, sf):
     return n.turnover(folded(spark, sf), SNAPS, d.NATIVE)
 
 
-@query("p24_turnover", sql("folded snaps", "SELECT address, t, t1, round(V0, 6) AS V0, round(P1, 6) AS P1, round(A1, 6) AS A1, n0, unchanged, unchanged_ex_native, n_added, n_removed, round(v0_unpriced, 6) AS v0_unpriced, round(turnover, 6) AS turnover, round(drift, 6) AS drift, status FROM turn", TURN))
+@query("p24_turnover", sql("folded snaps", "SELECT address, t, t1, round(V0, 3) AS V0, round(P1, 3) AS P1, round(A1, 3) AS A1, n0, unchanged, unchanged_ex_native, n_added, n_removed, round(v0_unpriced, 3) AS v0_unpriced, round(turnover, 6) AS turnover, round(drift, 6) AS drift, status FROM turn", TURN))
 def p24(spark, sf):
-    return r(turned(spark, sf))
+    return r(r(turned(spark, sf), 3, "V0", "P1", "A1", "v0_unpriced"), 6, "turnover", "drift")
 
 
 MEASURED = "A1 > 0 AND P1 > 0"
