@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, language, mixing, pieces, pii, quality, secrets, simhash, spans, toxicity, zipwarc
+from tessera.llm import audio, divergence, language, mixing, pieces, pii, quality, secrets, simhash, spans, toxicity, zipwarc
 from tessera.llm.common import documents, remainder
 
 
@@ -72,5 +72,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_mixing, op3_pii, op4_quality, op5_toxicity, op6_warc, op7_audio, op8_secrets, op9_sentencepiece, op10_simhash)}
-ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_warc": zipwarc.ORACLE}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_mixing, op3_pii, op4_quality, op5_toxicity, op6_warc, op7_audio, op8_secrets, op9_sentencepiece, op10_simhash, op11_divergence)}
+ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_warc": zipwarc.ORACLE, "op11_divergence": divergence.ORACLE}
