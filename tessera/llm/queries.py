@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import audio, divergence, language, mixing, negatives, pieces, pii, quality, secrets, simhash, spans, toxicity, zipwarc
+from tessera.llm import audio, contexttree, divergence, language, mixing, negatives, pieces, pii, quality, secrets, simhash, spans, toxicity, zipwarc
 from tessera.llm.common import documents, remainder
 
 
@@ -76,9 +76,15 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held = F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False))
+    return contexttree.score(docs, ~held).select("doc_id", held.alias("held_out"), "lm.*")
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_mixing, op3_pii, op4_quality, op5_toxicity, op6_warc, op7_audio, op8_secrets, op9_sentencepiece, op10_simhash, op11_divergence, op13_negatives)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_mixing, op3_pii, op4_quality, op5_toxicity, op6_warc, op7_audio, op8_secrets, op9_sentencepiece, op10_simhash, op11_divergence, op12_context_tree, op13_negatives)}
 ORACLE: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op6_warc": zipwarc.ORACLE, "op11_divergence": divergence.ORACLE, "op13_negatives": negatives.ORACLE}
