@@ -139,7 +139,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     kept = saved(kept, "kept")
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total")).withColumn("blocks", F.ceil(F.col("v") / BLOCK))
     dealt = kept.join(sizes.select("lang", "blocks"), "lang").withColumn("block", F.pmod(F.xxhash64("term"), "blocks"))
-    dealt = dealt.withColumn("id", F.row_number().over(W.partitionBy("lang", "block").orderBy("term")) - 1)
+    dealt = dealt.repartition("lang", "block").withColumn("id", F.row_number().over(W.partitionBy("lang", "block").orderBy("term")) - 1)
     entries = saved(counts.filter("term IS NOT NULL").drop("docs").join(dealt, ["lang", "term"]), "entries")
 
     groups = counts.filter("term IS NULL").select("lang", "source").join(sizes, "lang", "left").join(entries.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left")
