@@ -5,7 +5,10 @@ change by one character in and one out, so a step costs the same at any width. W
 the threshold of their own character class join into a span. Windows without both a letter and a digit give none;
 nor do spans inside a base span.
 
-Null text counts as empty: no spans. Equal texts give equal spans. Text of any length is scanned in one pass.
+Null text counts as empty: no spans. Equal texts and repeated rows give equal spans, in order of start; spans that start
+together are in the order of KINDS, entropy last. Text of any length is scanned in one pass, and base and added spans are
+compared in one sweep. An empty table gives an empty one. Other columns stay, but for one that has the result's name, which
+the result replaces.
 """
 
 from __future__ import annotations
@@ -110,8 +113,11 @@ def find(text: str) -> list[dict]:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     spans = [{"kind": k, "start": a, "end": b, "base": True, "score": None} for k, a, b in found]
+    bases, i, reach = sorted((x, y) for _, x, y in found), 0, -1  # reach: the furthest end of base spans that begin no later
     for a, b, bits in entropy_spans(text):
-        if not any(x <= a and b <= y for _, x, y in found):
+        while i < len(bases) and bases[i][0] <= a:
+            reach, i = max(reach, bases[i][1]), i + 1
+        if b > reach:
             spans.append({"kind": ADDED, "start": a, "end": b, "base": False, "score": round(bits, 6)})
     order = [*KINDS, ADDED]
     return sorted(spans, key=lambda s: (s["start"], order.index(s["kind"]), s["end"]))
