@@ -22,6 +22,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import held, remainder
@@ -29,6 +30,8 @@ from tessera.llm.common import held, remainder
 SLOTS = 1 << 16
 #: Documents of each language in the training sample, in expectation.
 SAMPLE = 150
+#: Characters of a language's training sample at most: documents that would exceed it are left out of the fit, not of scoring.
+CHARS = 1 << 22
 #: Length of training sequences and of the runs that are spliced into them.
 LENGTH, RUN = 64, 16
 #: Words whose emissions a worker holds, and words that go through forward-backward together.
@@ -171,7 +174,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text", lang: str = "
         rows = rows.filter(F.coalesce(remainder(F.col("key"), fold[0]), F.lit(-1)) != fold[1])
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     place = F.xxhash64("key", F.lit(11)).bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
-    table = rows.join(F.broadcast(counts), "lang").filter(place * F.col("n") < sample).select("lang", "text", place.alias("h")).toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
+    few = rows.join(F.broadcast(counts), "lang").filter(place * F.col("n") < sample).select("lang", "text", place.alias("h"))
+    total = F.sum(F.length("text")).over(W.partitionBy("lang").orderBy("h", "text").rowsBetween(W.unboundedPreceding, 0))
+    table = few.withColumn("total", total).filter(F.col("total") <= CHARS).drop("total").toArrow().sort_by([("h", "ascending"), ("text", "ascending")])
     texts, langs = table["text"].to_pylist(), table["lang"].to_pylist()
     names = sorted(set(langs))
     if not names:

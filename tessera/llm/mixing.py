@@ -8,7 +8,9 @@ A source's stream is laid out with sums over hash ranges of its documents, and s
 slots, so no step needs all rows of a source in one task. One row per source is the only single-task table.
 
 Null text has no words and is never taken. A null source is a source of its own, last in order. Repeated rows
-are placed apart and may be taken unlike often; the result as a whole is the same at each run.
+are placed apart and may be taken unlike often; the result as a whole is the same at each run. Ties of a document's hash are
+broken by key and size. An empty table gives an empty one. ``mix`` reads key, text and source alone; ``copies`` keeps every
+column, whatever its name.
 """
 
 from __future__ import annotations

@@ -6,7 +6,13 @@ bounded sample of labelled rows (``SAMPLE`` of each class, chosen by hash of the
 curve on the fifth of them that the fit leaves out, and compared with a fixed threshold.
 
 Null and empty texts have no words: all counts are 0, base_failed is true and kept false. Without labels of
-both classes the model's verdict is "keep" and the base rules alone decide. Equal texts get equal results.
+both classes the model's verdict is "keep" and the base rules alone decide. Equal texts and repeated rows get equal
+results; a probability equal to the threshold keeps. Windows are compared by 64 bits of hash over the numbers of their words,
+so n_repeat_words is exact but for a collision of those. An empty table gives an empty one. Other columns stay, but for one
+that has the result's name, which the result replaces.
+
+In a fit an id counts once for each label that it has: where rows share it, by the text that sorts first. Texts of more than
+``LONGEST`` characters take no part in a fit; they are scored whole.
 """
 
 from __future__ import annotations
@@ -25,6 +31,8 @@ from tessera.llm.common import collected, held
 SLOTS = 1 << 18
 #: Labelled rows of each class that the fit uses at most.
 SAMPLE = 1500
+#: Characters of a text that may take part in a fit.
+LONGEST = 1 << 20
 #: A text stays if its calibrated probability of good quality is at least this.
 KEEP_AT = 0.5
 WINDOW = 8
@@ -148,10 +156,11 @@ def features(texts: pa.Array) -> pa.Array:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(text, y, h): at most ``sample`` labelled rows of each class, the first by hash of the id; the ids are few, so they are broadcast."""
+    """(text, y, h): at most ``sample`` labelled ids of each class, the first by hash, one row for each; the ids are few, so they are broadcast."""
     hashed = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key), F.lit(7)).alias("h")).distinct()
     few = hashed.filter("y = 0").orderBy("h", "_key").limit(sample).unionByName(hashed.filter("y = 1").orderBy("h", "_key").limit(sample))
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(few), "_key").select("text", "y", "h")
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).filter(F.length("text") <= LONGEST).join(F.broadcast(few), "_key")
+    return rows.groupBy("_key", "y", "h").agg(F.min("text").alias("text")).select("text", "y", "h")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> dict:

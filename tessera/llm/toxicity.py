@@ -7,7 +7,10 @@ enough of them hold (``LEAST_DOCS`` and ``LEAST_SHARE``), and an L1 penalty, so
 are calibrated by a logistic curve on the fifth of the sample that the fit leaves out.
 
 Null, empty and wordless texts have no sentence and the score of one without known words. Without labels of
-both classes all scores are 0. Equal texts get equal scores. Ties among sentences go to the first.
+both classes all scores are 0. Equal texts and repeated rows get equal scores. Ties among sentences go to the first. In a fit
+an id counts once for each label, by the text that sorts first, and texts of more than ``quality.LONGEST`` characters take no
+part; they are scored whole. An empty table gives an empty one. Other columns stay, but for one that has the result's name,
+which the result replaces.
 """
 
 from __future__ import annotations
