@@ -62,7 +62,7 @@ def fingerprint(text: Column, width: int = 4, seed: int = 42) -> Column:
 
 #: Independent fingerprints of word pairs that find near copies, and the differing bits of five-word shingles'
 #: fingerprints up to which they count as such: shingles of a similarity of 0.8 or more differ in so many bits or fewer in 19 cases of 20.
-SEEDS, SHINGLE_BITS = 5, 14
+SEEDS, SHINGLE_BITS = 8, 14
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
