@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from tessera.llm.common import fresh, saved
+from tessera.llm.common import forget, fresh, saved
 
 #: Context bytes; at least 3, at most 7.
 DEPTH = 5
 #: Context bytes of the nodes that are broadcast.
 TOP = 2
 #: Bytes of a batch's texts, and of the part of it that is coded at a time; bytes of text to a shard.
-BATCH, PART, SHARD = 32 << 20, 8 << 20, 48 << 20
+BATCH, PART, SHARD = 32 << 20, 2 << 20, 48 << 20
 END, LAST = 255, b" "
 RUNS, WORDS = 0, 1
 
@@ -111,7 +111,7 @@ class Batch:
         found, counts = np.unique(codes[np.cumsum(inside[:-1]) > 0], return_counts=True)
         self.runs.append((found, counts.astype(np.int64) if trains else np.zeros(len(found), np.int64)))
         self.parts[trains], self.waiting[trains] = [], 0
-        if sum(len(k) for k, _ in self.runs) > PART // 2:
+        if sum(len(k) for k, _ in self.runs) > BATCH // 16:
             self.runs = [added(*map(list, zip(*self.runs, strict=True)))]
 
     def asks(self, shards: int) -> Iterator[tuple[int, int, bytes, bytes]]:
@@ -141,6 +141,7 @@ def asking(names: list[str], depth: int, shards: int, schema: pa.Schema) -> Call
     """Rows of documents with the number of their batch, and each batch's asks. names: of the text, of whether it trains, and of the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         batch, n, task = Batch(depth), 0, 0
         for rows in batches:
             text, trains, part = (rows.column(rows.schema.get_field_index(c)) for c in names)
@@ -364,6 +365,8 @@ def scoring(text: str, into: str, depth: int, tokens: int, distinct: int) -> Cal
                 own = np.where(every[at] == found, price[at], 0.0)[coded.indices.to_numpy()]  # runs over a gap are no text's
                 scores += np.add.reduceat(np.append(own, 0.0), np.stack([begins, ends], axis=1).ravel())[::2].tolist()
                 part, waiting = [], 0
+        del known, every, price, texts
+        forget()
         size, n, seen, total, base = zip(*rows, strict=True)
         bits = [-s / log10(2) / (b + 1) for s, b in zip(scores, size, strict=True)]
         struct = pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(total, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64())], names=["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
