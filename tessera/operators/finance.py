@@ -74,18 +74,22 @@ def shrink_mean(df: DataFrame, set_key: list[str], lam: float = 0.5) -> DataFram
 
 
 def capped_weights(df: DataFrame, key: list[str], cap: float = 0.9) -> DataFrame:
-    """df with weight: the share of value, capped with the excess shared pro rata.
+    """df with weight: the share of value, capped, the excess shared pro rata by those below the cap until none is above it.
 
-    With a cap above one half at most one weight can exceed it: that one becomes the cap, the others scale by
-    (1 - cap) / (1 - largest); where the others sum to nothing, all weigh the same.
+    Shares are sorted once, largest first. With the first k at the cap, the rest scale by (1 - k cap) / (1 - their sum);
+    a share is capped if, with all larger ones capped, it would still be above. Where caps do not sum to 1, or all that is
+    not capped sums to nothing, all weigh the same.
     """
     by = W.partitionBy(*key)
-    share = F.col("value") / F.sum("value").over(by)
-    rows = df.withColumn("_w", share).withColumn("_m", F.max("_w").over(by)).withColumn("_n", F.count("*").over(by))
-    rest = 1 - F.col("_m")
-    capped = F.when(F.col("_w") == F.col("_m"), cap).otherwise(F.col("_w") * F.try_divide(F.lit(1 - cap), rest))
-    weight = F.when(F.col("_m") <= cap, F.col("_w")).when(rest <= 1e-18, 1 / F.col("_n")).otherwise(capped)
-    return rows.withColumn("weight", weight).drop("_w", "_m", "_n")
+    first = by.orderBy(F.desc("_w")).rowsBetween(W.unboundedPreceding, -1)
+    rows = df.withColumn("_w", F.col("value") / F.sum("value").over(by)).withColumn("_before", F.coalesce(F.sum("_w").over(first), F.lit(0.0))).withColumn("_k", F.row_number().over(by.orderBy(F.desc("_w"))) - 1).withColumn("_n", F.count("*").over(by))
+    scale = F.try_divide(1 - F.col("_k") * cap, 1 - F.col("_before"))
+    rows = rows.withColumn("_over", (F.col("_w") * scale > cap * (1 + 1e-12)) & (F.col("_before") < 1 - 1e-18))
+    rows = rows.withColumn("_over", F.coalesce("_over", F.lit(False)))
+    rows = rows.withColumn("_c", F.count_if("_over").over(by)).withColumn("_s", F.sum(F.when(F.col("_over"), F.col("_w")).otherwise(0.0)).over(by))
+    same = (F.col("_n") * cap <= 1 + 1e-12) | (F.col("_c") > 0) & (1 - F.col("_s") <= 1e-18)
+    weight = F.when(same, 1 / F.col("_n")).when(F.col("_over"), cap).when(F.col("_c") > 0, F.col("_w") * F.try_divide(1 - F.col("_c") * cap, 1 - F.col("_s"))).otherwise(F.col("_w"))
+    return rows.withColumn("weight", weight).drop("_w", "_before", "_k", "_n", "_over", "_c", "_s")
 
 
 def naive_weights(df: DataFrame, key: list[str], kind: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-made fixtures for what SQL on the given tables cannot state."""
 
+import itertools
 from datetime import date
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import values as v
-from tessera.operators import asof, balances as b, filters, finance, ledger as l, optimise as o, panels, ranks, stats
+from tessera.operators import asof, balances as b, filters, finance, frontier, ledger as l, optimise as o, panels, ranks, stats
 from tessera.operators import attribution as g
 from tessera.sources import tables as s
 
@@ -147,45 +148,142 @@ def old_rows(spark):
     return spark.createDataFrame([(1,), (2,)], "log_index int")
 
 
-def test_optimal_portfolios_beat_random_feasible_ones():
-    rng = np.random.default_rng(6)
-    for n in (2, 3, 6):
-        x = rng.normal(0.001, 0.03, (60, n)) * rng.uniform(0.5, 2, n)
-        mu, cov = x.mean(axis=0), o.ledoit_wolf(x)
-        held = o.project(rng.dirichlet(np.ones(n), 8), 0.9)
-        tries = o.project(rng.dirichlet(np.ones(n) * 0.7, 3000), 0.9)
-        var = lambda w: np.einsum("ij,jk,ik->i", w, cov, w)
-        best = o.best_ratio(mu[None], cov[None], 0.9, 0.0)[0]
-        assert best.sum() == pytest.approx(1) and (best <= 0.9 + 1e-9).all() and (best >= 0).all()
-        if (tries @ mu).max() > 0:
-            assert best @ mu / np.sqrt(var(best[None])[0]) >= (tries @ mu / np.sqrt(var(tries))).max() * 0.99 - 1e-6
-        each, both = np.tile(mu, (8, 1)), np.tile(cov, (8, 1, 1))
-        (top, met), (low, same) = o.frontier(each, both, held, 0.9, "return"), o.frontier(each, both, held, 0.9, "variance")
-        corner = np.full(n, 0.1 / (n - 1))
-        corner[mu.argmax()] = 0.9
-        assert same.all()
-        for i, w in enumerate(held):
-            v0 = var(w[None])[0]
-            if met[i]:
-                assert var(top[i][None])[0] == pytest.approx(v0, rel=2e-3) and (top[i] >= -1e-9).all() and (top[i] <= 0.9 + 1e-9).all()
-            inside = tries[var(tries) <= v0]
-            if met[i] and n > 2 and var(corner[None])[0] > v0 * 1.2 and len(inside):  # more return costs more variance
-                assert top[i] @ mu >= (inside @ mu).max() - 5e-5
-            assert low[i] @ mu == pytest.approx(w @ mu, abs=2e-6) and var(low[i][None])[0] <= v0 * (1 + 1e-6)
-            under, over = tries[tries @ mu < w @ mu][:300], tries[tries @ mu > w @ mu][:300]
-            k = min(len(under), len(over))
-            if k:  # mixtures of two portfolios with just the same return
-                a, b = under[:k] @ mu, over[:k] @ mu
-                share = ((w @ mu - a) / (b - a))[:, None]
-                assert var(low[i][None])[0] <= var(under[:k] * (1 - share) + over[:k] * share).min() * (1 + 5e-3)
-    pair = np.array([[0.04, 0.006], [0.006, 0.01]])
-    found, met = o.frontier(np.array([[0.02, 0.01]] * 2), np.array([pair, pair]), np.array([[0.3, 0.7], [0.5, 0.5]]), 0.9, "return")
-    assert met.all() and np.allclose(np.einsum("bi,ij,bj->b", found, pair, found), [np.array([0.3, 0.7]) @ pair @ [0.3, 0.7], np.array([0.5, 0.5]) @ pair @ [0.5, 0.5]]) and (found[:, 0] >= np.array([0.3, 0.5]) - 1e-9).all()
-    kept, _ = o.frontier(np.array([[0.02, 0.01]]), pair[None], np.array([[0.3, 0.7]]), 0.9, "variance")
-    assert np.allclose(kept, [[0.3, 0.7]])
-
-
-def test_optimise_over_wallets(spark):
+def feasible(rng, n, cap, k):
+    """Random portfolios within the cap: capped shares of Dirichlet draws, what is cut off dealt to the room that others have."""
+    w = np.minimum(rng.dirichlet(np.ones(n) * 0.7, k), cap)
+    room = cap - w
+    return w + room / np.maximum(room.sum(axis=1, keepdims=True), 1e-12) * (1 - w.sum(axis=1, keepdims=True))
+
+
+def best_by_enumeration(q, m, cap, goal, at):
+    """The best portfolio for a goal, over all ways to hold assets at 0, at the cap or free: each way has closed forms."""
+    n, top, found = len(m), min(cap, 1.0), (-np.inf, None)
+
+    def look(w, found):
+        if w is None or (w < -1e-9).any() or (w > top + 1e-9).any() or abs(w.sum() - 1) > 1e-9:
+            return found
+        if goal == "variance" and abs(w @ m - at) > 1e-9 or goal == "return" and abs(w @ q @ w - at) > 1e-9:
+            return found
+        worth = {"variance": -w @ q @ w, "return": w @ m, "sharpe": w @ m / np.sqrt(w @ q @ w)}[goal]
+        return max(found, (worth, w), key=lambda x: x[0])
+
+    for state in itertools.product((0, 1, 2), repeat=n):
+        free = [i for i in range(n) if state[i] == 2]
+        w = np.array([top if s == 1 else 0.0 for s in state])
+        k = len(free)
+        if not k:
+            found = look(w, found)
+            continue
+        # Stationary points are a + x b, for the multiplier x of the return.
+        system = np.zeros((k + 1, k + 1))
+        system[:k, :k], system[:k, k], system[k, :k] = q[np.ix_(free, free)], -1, 1
+        a = np.linalg.solve(system, np.append(-q[free] @ w, 1 - w.sum()))[:k]
+        b = np.linalg.solve(system, np.append(m[free], 0))[:k]
+        base, move = w.copy(), np.zeros(n)
+        base[free], move[free] = a, b
+        xs = [0.0]
+        if goal == "variance" and abs(move @ m) > 1e-15:
+            xs = [(at - base @ m) / (move @ m)]
+        elif goal == "return":
+            xs = [float(x.real) for x in np.roots([move @ q @ move, 2 * base @ q @ move, base @ q @ base - at]) if abs(x.imag) < 1e-9]
+        elif goal == "sharpe":
+            r0, r1, v0, v1, v2 = base @ m, move @ m, base @ q @ base, base @ q @ move, move @ q @ move
+            xs += [(r1 * v0 - r0 * v1) / (r0 * v2 - r1 * v1)] if abs(r0 * v2 - r1 * v1) > 1e-18 else []
+        for x in xs:
+            found = look(base + x * move, found)
+        if k == 2 and goal == "return":  # an edge
+            i, j = free
+            first, step = w.copy(), np.zeros(n)
+            first[i], step[i], step[j] = 1 - w.sum(), -1, 1
+            for t in np.roots([step @ q @ step, 2 * first @ q @ step, first @ q @ first - at]):
+                found = look(first + t.real * step, found) if abs(t.imag) < 1e-9 else found
+    return found
+
+
+@pytest.mark.parametrize("cap", [1.0, 0.9, 0.5, 0.4, 0.3])
+@pytest.mark.parametrize("n", [2, 3, 4, 5])
+def test_frontier_against_enumerated_active_sets(n, cap):
+    if n * cap <= 1:
+        assert np.allclose(frontier.trace(np.ones((1, n)), np.eye(n)[None], cap).weights, 1 / n)
+        return
+    rng = np.random.default_rng(n)
+    x = rng.normal(0.001, 0.03, (60, n)) * rng.uniform(0.5, 2, n)
+    mu, cov = x.mean(axis=0) * 100, o.ledoit_wolf(x) * 1000
+    lines = frontier.trace(mu[None], cov[None], cap)
+    held, of = feasible(rng, n, cap, 12), np.zeros(12, int)
+    var = lambda w: np.einsum("ij,jk,ik->i", w, cov, w)
+    top, met = frontier.most_return(lines, of, var(held), cov[None], mu[None], cap)
+    low, same = frontier.least_variance(lines, of, held @ mu)
+    assert met.all() and same.all() and np.allclose(var(top), var(held), atol=1e-9) and np.allclose(low @ mu, held @ mu, atol=1e-9)
+    for w in (top, low):
+        assert (w > -1e-9).all() and (w < cap + 1e-9).all() and np.allclose(w.sum(axis=1), 1)
+    for i, w in enumerate(held):
+        assert top[i] @ mu == pytest.approx(best_by_enumeration(cov, mu, cap, "return", w @ cov @ w)[0], abs=1e-7)
+        assert -var(low[i][None])[0] == pytest.approx(best_by_enumeration(cov, mu, cap, "variance", w @ mu)[0], abs=1e-7)
+    best, flagged = frontier.best_ratio(lines, 0.0)
+    if not flagged[0]:
+        assert best[0] @ mu / np.sqrt(var(best)[0]) == pytest.approx(best_by_enumeration(cov, mu, cap, "sharpe", 0)[0], abs=1e-7)
+
+
+@pytest.mark.parametrize("n,cap", [(8, 0.9), (20, 0.9), (20, 0.3), (12, 1.0), (12, 0.25), (8, 0.5)])
+def test_frontier_portfolios_are_stationary(n, cap):
+    rng = np.random.default_rng(n)
+    x = rng.normal(0.001, 0.03, (20, 60, n)) * rng.uniform(0.5, 2, (20, 1, n)) + rng.normal(0, 0.01, (20, 60, 1))
+    mu, cov = x.mean(axis=1), np.stack([o.ledoit_wolf(y) for y in x])
+    mu[0, 3] = mu[0, 2]  # equal means
+    lines = frontier.trace(mu, cov, cap)
+    for k in range(20):
+        q, m = cov[k] / np.diag(cov[k]).max(), mu[k] / np.abs(mu[k]).max()
+        assert lines.least[k] < lines.count[k] and lines.variances[k].min() == pytest.approx(lines.variances[k, lines.least[k]])
+        for j in range(lines.count[k] - 1):
+            w = lines.weights[k, j : j + 2].mean(axis=0)
+            free, pull = (w > 1e-9) & (w < cap - 1e-9), q @ w
+            if free.sum() < 2 or np.ptp(m[free]) < 1e-9:
+                continue
+            fit = np.stack([m, np.ones(n)], axis=1)
+            x, nu = np.linalg.lstsq(fit[free], pull[free], rcond=None)[0]
+            left = (pull - x * m - nu) / max(1, abs(x))
+            assert np.abs(left[free]).max() < 1e-6 and left[w <= 1e-9].min(initial=0) > -1e-6 and left[w >= cap - 1e-9].max(initial=0) < 1e-6
+
+
+def test_a_target_that_no_portfolio_has_is_not_met():
+    pair, mu = np.array([[0.04, 0.006], [0.006, 0.01]]), np.array([0.02, 0.01])
+    lines, of = frontier.trace(mu[None], pair[None], 0.9), np.zeros(3, int)
+    assert frontier.most_return(lines, of, np.array([1.0, 1e-6, 0.02]), pair[None], mu[None], 0.9)[1].tolist() == [False, False, True]
+    w, met = frontier.least_variance(lines, of, np.array([0.5, -0.5, 0.015]))
+    assert met.tolist() == [False, False, True] and np.allclose(w[0], lines.weights[0, lines.least[0]]) and np.allclose(w[2], [0.5, 0.5])
+    losing, flagged = frontier.best_ratio(frontier.trace(-mu[None], pair[None], 0.9), 0.0)
+    assert flagged[0] and np.allclose(losing[0], lines.weights[0, lines.least[0]])
+
+
+def capped_by_rounds(values, cap):
+    """The rule as stated: whoever is above the cap gets it, the excess goes pro rata to the others, again and again."""
+    w = np.array(values) / sum(values)
+    for _ in range(5000):
+        over = w > cap
+        if not over.any():
+            break
+        excess = (w[over] - cap).sum()
+        w[over] = cap
+        if w[~over].sum() <= 1e-18:
+            return np.full(len(w), 1 / len(w))
+        w[~over] += w[~over] / w[~over].sum() * excess
+    return np.minimum(w, cap) / np.minimum(w, cap).sum()
+
+
+@pytest.mark.parametrize("cap", [1.0, 0.9, 0.5, 0.4, 0.3, 0.25, 0.2, 0.1])
+def test_capped_weights_against_rounds(spark, cap):
+    rng = np.random.default_rng(3)
+    sets = [[45, 40, 15], [98, 1, 1], [5], [1, 1], [7, 7, 7, 7, 7], [100, 100, 1, 1, 1], *(rng.pareto(0.5, int(rng.integers(2, 12))).tolist() for _ in range(40))]
+    df = spark.createDataFrame([(i, k, float(x)) for i, own in enumerate(sets) for k, x in enumerate(own)], "a int, k int, value double")
+    got = {}
+    for r in finance.capped_weights(df, ["a"], cap).collect():
+        got[r.a, r.k] = r.weight
+    for i, own in enumerate(sets):
+        assert np.allclose([got[i, k] for k in range(len(own))], capped_by_rounds(own, cap), atol=1e-7), (cap, own)
+
+
+def test_optimise_over_wallets(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rets = [(1, date.fromordinal(730000 + k), t, float(rng.normal(0.001 * (i + 1), 0.02))) for k in range(60) for i, t in enumerate("abc")]
     inputs = o.set_inputs(spark.createDataFrame(rets, "snapshot int, day date, token string, ret double"))
@@ -198,6 +296,9 @@ def test_optimise_over_wallets(spark):
         for r in got:
             sums[r.address] = sums.get(r.address, 0) + r[f"w_{goal}"]
         assert all(x == pytest.approx(1) for x in sums.values())
+    monkeypatch.setattr(o, "GROUP", 2)  # a set that many hold is dealt to several groups
+    again = {(r.address, r.token): r for r in o.optimise(weights, inputs).collect()}
+    assert len(again) == len(got) and all(again[r.address, r.token][f"w_{goal}"] == pytest.approx(r[f"w_{goal}"]) for r in got for goal in o.GOALS)
     assert finance.l1(weights, weights).agg(F.max("l1")).first()[0] == 0
 
 
