@@ -224,13 +224,55 @@ def summary(wallets: DataFrame, strategies: list[str], baseline: str, dims: list
     rows = wallets.select("snapshot", *dims, market.alias("market"), F.col(f"ret_{baseline}").alias("_base"), F.explode(F.array(*[F.struct(*fields(s)) for s in strategies])).alias("x")).select("snapshot", *dims, "_base", "market", "x.*").filter("ret IS NOT NULL AND _base IS NOT NULL")
     keys = ["snapshot", "strategy", *dims]
     every = cube_rows(rows, keys, always=("snapshot", "strategy"))
-    means = [F.avg("market").alias("market"), F.avg("l1").alias("mean_l1"), F.avg("beta").alias("mean_beta"), F.avg("fallback").alias("fallback_rate")]
+    means = [F.max("market").alias("market"), F.avg("l1").alias("mean_l1"), F.avg("beta").alias("mean_beta"), F.avg("fallback").alias("fallback_rate")]
     out = every.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.avg((F.col("ret") > F.col("_base")).cast("int")).alias("hit_rate"), ((F.avg("ret") - F.avg("_base")) * 100).alias("diff_mean_pp"), *means)
     out = with_quantiles(out, every, keys, {"median": ("ret", 0.5), "_mb": ("_base", 0.5)}).withColumn("diff_median_pp", (F.col("median") - F.col("_mb")) * 100).drop("_mb")
     status, score = status_and_score(F.col("diff_mean_pp"), F.col("diff_median_pp"), F.col("hit_rate"))
     return out.withColumn("status", status).withColumn("score", score)
 
 
+def strategy_outcomes(weights: DataFrame, horizon: DataFrame, betas: DataFrame, strategies: list[str], keys: tuple[str, ...] = ("snapshot", "address")) -> DataFrame:
+    """keys, total, and of each strategy ret_, l1_ (distance from the current weights), beta_ and, where weights has the column, fallback_: one aggregation of positions.
+
+    weights has a row per position with value, weight and w_<strategy>; a strategy with a missing weight or price has no
+    return, and one with a missing weight no distance or beta. A token without beta counts as 1.
+    """
+    rows = weights.join(horizon, ["token", "snapshot"]).join(betas.select("snapshot", "token", F.col("beta").alias("_b")), ["snapshot", "token"], "left")
+    aggs = [F.sum("value").alias("total")]
+    for s in strategies:
+        w = F.col(f"w_{s}")
+        whole = F.count_if(w.isNull()) == 0
+        aggs += [held_return(w).alias(f"ret_{s}"), F.when(whole, F.sum(F.abs(F.col("weight") - w))).alias(f"l1_{s}"), F.when(whole, F.sum(w * F.coalesce("_b", F.lit(1.0)))).alias(f"beta_{s}")]
+        if f"fallback_{s}" in weights.columns:
+            aggs.append(F.coalesce(F.bool_or(f"fallback_{s}"), F.lit(False)).alias(f"fallback_{s}"))
+    return rows.groupBy(*keys).agg(*aggs)
+
+
+def block_summary(wallets: DataFrame, strategies: list[str], baseline: str, dims: list[str], digits: int = 9) -> DataFrame:
+    """snapshot, dims, strategy: rows with a return, means and medians of return, distance, beta, baseline and market, the hit rate against the baseline, and the share of fallbacks.
+
+    wallets has ret_, and may have l1_, beta_ and fallback_, of each strategy, the baseline's own among them. Baseline and
+    market figures are of all rows of the group, as is the share of fallbacks. The baseline has no hit rate and no distance.
+    Ratios are rounded far below their meaning first, so that the order of sums decides no comparison.
+    """
+    from tessera.operators.ranks import with_quantiles
+
+    there = set(wallets.columns)
+    of = lambda k, s: (F.round(f"{k}_{s}", digits) if f"{k}_{s}" in there else F.lit(None).cast("double")).alias(k)
+
+    def fields(s: str) -> Column:
+        flag = F.col(f"fallback_{s}").cast("double") if f"fallback_{s}" in there else F.lit(None).cast("double")
+        far = F.lit(None).cast("double").alias("l1") if s == baseline else of("l1", s)
+        return F.struct(F.lit(s).alias("strategy"), of("ret", s), far, of("beta", s), flag.alias("fallback"))
+
+    rows = wallets.select("snapshot", *dims, F.round("market", digits).alias("market"), F.round(f"ret_{baseline}", digits).alias("base"), F.explode(F.array(*map(fields, strategies))).alias("x")).select("snapshot", *dims, "market", "base", "x.*")
+    keys = ["snapshot", *dims, "strategy"]
+    hit = F.when((F.col("strategy") != baseline) & F.col("ret").isNotNull() & F.col("base").isNotNull(), (F.col("ret") > F.col("base")).cast("int"))
+    means = {"strategy_mean": "ret", "l1_mean": "l1", "beta_mean": "beta", "baseline_mean": "base", "market_mean": "market", "fallback_rate": "fallback"}
+    out = rows.groupBy(*keys).agg(F.count("ret").alias("n"), F.avg(hit).alias("hit_rate"), *[F.avg(c).alias(name) for name, c in means.items()])
+    return with_quantiles(out, rows, keys, {"strategy_median": ("ret", 0.5), "l1_median": ("l1", 0.5), "beta_median": ("beta", 0.5), "baseline_median": ("base", 0.5), "market_median": ("market", 0.5)})
+
+
 def zero_counts(df: DataFrame, cols: list[str], near: float = 1e-6) -> DataFrame:
     """One row: for each distance, how many are exactly and nearly zero, and how many rows have all zero."""
     every = F.lit(True)

@@ -91,7 +91,7 @@ def with_type(df: DataFrame, contracts: DataFrame, every: bool = True) -> DataFr
 
 
 def turnover(positions: DataFrame, order: list[int], native: str | None = None, tol: float = 1e-9) -> DataFrame:
-    """address, t, t1 and the change from each snapshot to the next, for accounts with value in the first.
+    """address, t, t1 and the change from each snapshot to the next, for accounts with value in either: status is entry, stay or exit.
 
     The passive value of a position with value at t is its units times the token's implied price at t1, over positions
     with value. turnover is half the sum of absolute differences of actual and passive weights, drift that of passive and
@@ -116,9 +116,9 @@ def turnover(positions: DataFrame, order: list[int], native: str | None = None,
     aggs = [F.max("_v0").alias("V0"), F.max("_p1").alias("P1"), F.max("_v1").alias("A1"), F.count_if(F.col("v0") > 0).alias("n0"), F.bool_and(same).alias("unchanged"), F.bool_and(same | (F.col("token") == F.lit(native))).alias("unchanged_ex_native")]
     aggs += [F.count_if((F.col("u0") <= 0) & (F.col("u1") > 0)).alias("n_added"), F.count_if((F.col("u0") > 0) & (F.col("u1") <= 0)).alias("n_removed"), F.sum(F.when((F.col("v0") > 0) & (F.col("p1") <= 0), F.col("v0")).otherwise(0.0)).alias("v0_unpriced")]
     aggs += [(F.sum(F.abs(part("v1") - part("p1"))) / 2).alias("_turnover"), (F.sum(F.abs(part("v0") - part("p1"))) / 2).alias("_drift")]
-    out = rows.groupBy("t", "t1", "address").agg(*aggs).filter("V0 > 0")
+    out = rows.groupBy("t", "t1", "address").agg(*aggs).filter("V0 > 0 OR A1 > 0")
     out = out.withColumn("turnover", F.when((F.col("A1") > 0) & (F.col("P1") > 0), F.col("_turnover"))).withColumn("drift", F.when(F.col("P1") > 0, F.col("_drift"))).drop("_turnover", "_drift")
-    return out.withColumn("unchanged_ex_native", F.coalesce("unchanged_ex_native", "unchanged")).withColumn("status", F.when(F.col("A1") <= 0, "exit").otherwise("stay"))
+    return out.withColumn("unchanged_ex_native", F.coalesce("unchanged_ex_native", "unchanged")).withColumn("status", F.when(F.col("V0") <= 0, "entry").when(F.col("A1") <= 0, "exit").otherwise("stay"))
 
 
 #: Turnover up to which accounts are counted.
@@ -126,15 +126,22 @@ THRESHOLDS = [(0.001, "0_1pct"), (0.01, "1pct"), (0.05, "5pct"), (0.10, "10pct")
 
 
 def turnover_summary(rows: DataFrame, dims: list[str]) -> DataFrame:
-    """dims: accounts, exits, measured ones (value at both ends), unchanged, with positions added or removed, in- and outflows beyond a tenth, sums, and counts under cumulative thresholds of turnover."""
+    """dims: accounts with value in the first snapshot, exits, measured ones (value at both ends), unchanged, with positions added or removed, in- and outflows beyond a tenth, sums, and counts under cumulative thresholds of turnover; beside them, accounts that enter and their value."""
     # Ratios are rounded far below any threshold's meaning, so that the order of sums decides nothing.
     ratio = F.round(F.try_divide("A1", "P1"), 9)
-    measured, stays = (F.col("A1") > 0) & (F.col("P1") > 0), F.col("A1") > 0
-    counts = {"n_exit": ~stays, "n_stay": stays, "n_measured": measured, "n_unchanged": stays & F.col("unchanged"), "n_unchanged_ex_native": stays & F.col("unchanged_ex_native"), "n_added_any": stays & (F.col("n_added") > 0), "n_removed_any": stays & (F.col("n_removed") > 0)}
+    first = F.col("V0") > 0
+    measured, stays, enters = first & (F.col("A1") > 0) & (F.col("P1") > 0), first & (F.col("A1") > 0), ~first & (F.col("A1") > 0)
+    counts = {"n": first, "n_entry": enters, "n_exit": first & ~stays, "n_stay": stays, "n_measured": measured, "n_unchanged": stays & F.col("unchanged"), "n_unchanged_ex_native": stays & F.col("unchanged_ex_native"), "n_added_any": stays & (F.col("n_added") > 0), "n_removed_any": stays & (F.col("n_removed") > 0)}
     counts |= {"n_inflow": measured & (ratio > 1.1), "n_outflow": measured & (ratio < 0.9), "n_le_0": measured & (F.col("turnover") <= 1e-12)}
     counts |= {f"n_le_{name}": measured & (F.round("turnover", 12) <= x) for x, name in THRESHOLDS}
-    sums = {"mean_turnover": F.avg(F.when(measured, F.col("turnover"))), "mean_drift": F.avg(F.when(measured, F.col("drift"))), "weighted_turnover": F.sum(F.when(measured, F.col("V0") * F.col("turnover"))) / F.sum(F.when(measured, F.col("V0"))), "share_unpriced": F.sum("v0_unpriced") / F.sum("V0")}
-    return rows.groupBy(*dims).agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()], *[c.alias(k) for k, c in sums.items()])
+    sums = {"mean_turnover": F.avg(F.when(measured, F.col("turnover"))), "mean_drift": F.avg(F.when(measured, F.col("drift"))), "weighted_turnover": F.try_divide(F.sum(F.when(measured, F.col("V0") * F.col("turnover"))), F.sum(F.when(measured, F.col("V0")))), "share_unpriced": F.try_divide(F.sum("v0_unpriced"), F.sum("V0"))}
+    sums["value_entry"] = F.sum(F.when(enters, F.col("A1")).otherwise(0.0))
+    return rows.groupBy(*dims).agg(*[F.count_if(c).alias(k) for k, c in counts.items()], *[c.alias(k) for k, c in sums.items()])
+
+
+def entries(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """dims: accounts of a turnover table that had no value in the first snapshot and have some in the next, and that value; wealth bins of it go by the next snapshot."""
+    return rows.filter("V0 <= 0 AND A1 > 0").groupBy(*dims).agg(F.count("*").alias("n_entries"), F.sum("A1").alias("value_entries"))
 
 
 def cash_mix(values: DataFrame) -> DataFrame:

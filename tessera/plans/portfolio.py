@@ -133,10 +133,13 @@ def n13(spark, sf):
     return json.groupBy("snapshot", v.n_assets(F.col("j")).cast("long").alias("n_optimised")).agg(F.count("*").alias("n"))
 
 
-@query("n14_weight_l1", sql("positions snaps", """SELECT address, round(sum(abs(coalesce(x, 0) - coalesce(y, 0))), 6) AS l1 FROM (SELECT address, token, max(w) FILTER (snapshot = (SELECT min(snapshot) FROM snaps)) AS x, max(w) FILTER (snapshot = (SELECT max(snapshot) FROM snaps)) AS y
-  FROM (SELECT *, value::DOUBLE / sum(value::DOUBLE) OVER (PARTITION BY snapshot, address) AS w FROM positions WHERE value > 0) WHERE address IN (SELECT address FROM positions WHERE snapshot = (SELECT min(snapshot) FROM snaps) AND value > 0) AND address IN (SELECT address FROM positions WHERE snapshot = (SELECT max(snapshot) FROM snaps) AND value > 0) GROUP BY ALL) GROUP BY address"""))
+N14 = SNAPS[10], SNAPS[14]
+
+
+@query("n14_weight_l1", sql("positions", f"""SELECT address, round(sum(abs(coalesce(x, 0) - coalesce(y, 0))), 6) AS l1 FROM (SELECT address, token, max(w) FILTER (snapshot = {N14[0]}) AS x, max(w) FILTER (snapshot = {N14[1]}) AS y
+  FROM (SELECT *, value::DOUBLE / sum(value::DOUBLE) OVER (PARTITION BY snapshot, address) AS w FROM positions WHERE value > 0) WHERE address IN (SELECT address FROM positions WHERE snapshot = {N14[0]} AND value > 0) AND address IN (SELECT address FROM positions WHERE snapshot = {N14[1]} AND value > 0) GROUP BY ALL) GROUP BY address"""))
 def n14(spark, sf):
-    w = n.weights(positions(spark, sf)).filter(F.col("snapshot").isin(SNAPS[0], SNAPS[-1]))
+    w = n.weights(positions(spark, sf)).filter(F.col("snapshot").isin(*N14))
     maps = w.groupBy("address", "snapshot").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("m"))
     pairs = maps.groupBy("address").agg(F.max_by("m", -F.col("snapshot")).alias("x"), F.max_by("m", "snapshot").alias("y"), F.count("*").alias("n")).filter("n = 2")
     return pairs.select("address", F.round(v.weight_l1(F.col("x"), F.col("y")), 6).alias("l1"))
@@ -264,10 +267,12 @@ def a32(spark, sf):
     return r(panels.dust_effect(count(p), count(p.filter("value > 50000")), "snapshot"), 9)
 
 
-@query("u2_coverage", sql("snaps accounts", "SELECT 0::BIGINT AS duplicates, count(*) AS missing, 0::BIGINT AS unexpected, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'NOT_PASS' END AS status FROM snaps WHERE snapshot NOT IN (SELECT snapshot FROM accounts)"))
+@query("u2_coverage", sql("snaps typed", "SELECT *, CASE WHEN duplicates + missing + unexpected = 0 THEN 'PASS' ELSE 'NOT_PASS' END AS status FROM (SELECT (SELECT count(*) FROM (SELECT snapshot FROM there GROUP BY 1 HAVING count(*) > 1)) AS duplicates, (SELECT count(*) FROM snaps WHERE snapshot NOT IN (SELECT snapshot FROM there)) AS missing, (SELECT count(DISTINCT snapshot) FROM there WHERE snapshot NOT IN (SELECT snapshot FROM snaps)) AS unexpected)", {"there": "SELECT DISTINCT snapshot, 1 AS run FROM typed WHERE type = 'EOA' UNION ALL SELECT DISTINCT snapshot, 2 FROM typed WHERE type = 'CA' AND total_value > 3000000 UNION ALL SELECT max(snapshot) + 1, 3 FROM accounts"}))
 def u2(spark, sf):
-    there = accounts(spark, sf).select("snapshot").distinct()
-    return panels.coverage(there, spark.createDataFrame([(x,) for x in SNAPS], "snapshot int"), "snapshot")
+    # Two runs: one has every snapshot of EOA accounts, the other those of large CA accounts and one that none asked for.
+    rows = accounts(spark, sf)
+    runs = rows.filter("type = 'EOA'").select("snapshot").distinct().unionByName(rows.filter("type = 'CA' AND total_value > 3000000").select("snapshot").distinct()).unionByName(rows.agg((F.max("snapshot") + 1).alias("snapshot")))
+    return panels.coverage(runs, spark.createDataFrame([(x,) for x in SNAPS], "snapshot int"), "snapshot")
 
 
 # ------------------------------------------------------------------ ranks and bins
@@ -378,9 +383,10 @@ TURN = {
     "b": "SELECT t, t1, address, token, units AS u1, value AS v1 FROM f JOIN pairs ON f.snapshot = t1",
     "j": "SELECT coalesce(a.t, b.t) AS t, coalesce(a.t1, b.t1) AS t1, coalesce(a.address, b.address) AS address, coalesce(a.token, b.token) AS token, coalesce(u0, 0) AS u0, coalesce(v0, 0) AS v0, coalesce(p1, 0) AS p1, coalesce(u1, 0) AS u1, coalesce(v1, 0) AS v1 FROM a FULL JOIN b ON a.t = b.t AND a.address = b.address AND a.token = b.token",
     "w": "SELECT *, sum(v0) OVER x AS V0s, sum(p1) OVER x AS P1s, sum(v1) OVER x AS A1s FROM j WINDOW x AS (PARTITION BY t, address)",
-    "turn": f"""SELECT address, t, t1, max(V0s) AS V0, max(P1s) AS P1, max(A1s) AS A1, count(*) FILTER (v0 > 0) AS n0, bool_and({SAME}) AS unchanged, bool_and(token = '{d.NATIVE}' OR {SAME}) AS unchanged_ex_native, count(*) FILTER (u0 <= 0 AND u1 > 0) AS n_added, count(*) FILTER (u0 > 0 AND u1 <= 0) AS n_removed,
+    "every": f"""SELECT address, t, t1, max(V0s) AS V0, max(P1s) AS P1, max(A1s) AS A1, count(*) FILTER (v0 > 0) AS n0, bool_and({SAME}) AS unchanged, bool_and(token = '{d.NATIVE}' OR {SAME}) AS unchanged_ex_native, count(*) FILTER (u0 <= 0 AND u1 > 0) AS n_added, count(*) FILTER (u0 > 0 AND u1 <= 0) AS n_removed,
       sum(CASE WHEN v0 > 0 AND p1 <= 0 THEN v0 ELSE 0 END) AS v0_unpriced, CASE WHEN max(A1s) > 0 AND max(P1s) > 0 THEN sum(abs(v1 / nullif(A1s, 0) - p1 / nullif(P1s, 0))) / 2 END AS turnover,
-      CASE WHEN max(P1s) > 0 THEN sum(abs(v0 / nullif(V0s, 0) - p1 / nullif(P1s, 0))) / 2 END AS drift, CASE WHEN max(A1s) <= 0 THEN 'exit' ELSE 'stay' END AS status FROM w GROUP BY ALL HAVING max(V0s) > 0""",
+      CASE WHEN max(P1s) > 0 THEN sum(abs(v0 / nullif(V0s, 0) - p1 / nullif(P1s, 0))) / 2 END AS drift, CASE WHEN max(V0s) <= 0 THEN 'entry' WHEN max(A1s) <= 0 THEN 'exit' ELSE 'stay' END AS status FROM w GROUP BY ALL HAVING max(V0s) > 0 OR max(A1s) > 0""",
+    "turn": "SELECT * FROM every WHERE V0 > 0",
 }
 
 
@@ -388,7 +394,7 @@ def turned(spark, sf):
     return n.turnover(folded(spark, sf), SNAPS, d.NATIVE)
 
 
-@query("p24_turnover", sql("folded snaps", "SELECT address, t, t1, round(V0, 3) AS V0, round(P1, 3) AS P1, round(A1, 3) AS A1, n0, unchanged, unchanged_ex_native, n_added, n_removed, round(v0_unpriced, 3) AS v0_unpriced, round(turnover, 6) AS turnover, round(drift, 6) AS drift, status FROM turn", TURN))
+@query("p24_turnover", sql("folded snaps", "SELECT address, t, t1, round(V0, 3) AS V0, round(P1, 3) AS P1, round(A1, 3) AS A1, n0, unchanged, unchanged_ex_native, n_added, n_removed, round(v0_unpriced, 3) AS v0_unpriced, round(turnover, 6) AS turnover, round(drift, 6) AS drift, status FROM every", TURN))
 def p24(spark, sf):
     return r(r(turned(spark, sf), 3, "V0", "P1", "A1", "v0_unpriced"), 6, "turnover", "drift")
 
@@ -396,11 +402,18 @@ def p24(spark, sf):
 MEASURED = "A1 > 0 AND P1 > 0"
 
 
-@query("p24_turnover_summary", sql("folded snaps", f"""SELECT t, count(*) AS n, count(*) FILTER (A1 <= 0) AS n_exit, count(*) FILTER (A1 > 0) AS n_stay, count(*) FILTER ({MEASURED}) AS n_measured, count(*) FILTER (A1 > 0 AND unchanged) AS n_unchanged, count(*) FILTER (A1 > 0 AND unchanged_ex_native) AS n_unchanged_ex_native,
-  count(*) FILTER (A1 > 0 AND n_added > 0) AS n_added_any, count(*) FILTER (A1 > 0 AND n_removed > 0) AS n_removed_any, count(*) FILTER ({MEASURED} AND round(A1 / P1, 9) > 1.1) AS n_inflow, count(*) FILTER ({MEASURED} AND round(A1 / P1, 9) < 0.9) AS n_outflow, count(*) FILTER ({MEASURED} AND turnover <= 1e-12) AS n_le_0, """ + ", ".join(f"count(*) FILTER ({MEASURED} AND round(turnover, 12) <= {x}) AS n_le_{k}" for x, k in n.THRESHOLDS) + f""",
-  round(avg(turnover) FILTER ({MEASURED}), 6) AS mean_turnover, round(avg(drift) FILTER ({MEASURED}), 6) AS mean_drift, round(sum(V0 * turnover) FILTER ({MEASURED}) / sum(V0) FILTER ({MEASURED}), 6) AS weighted_turnover, round(sum(v0_unpriced) / sum(V0), 6) AS share_unpriced FROM turn GROUP BY t""", TURN))
+@query("p24_entries", sql("folded snaps contracts", f"""SELECT t, type, wealth, count(*) AS n_entries, round(sum(A1), 2) AS value_entries FROM
+  (SELECT t, A1, unnest([CASE WHEN c.address IS NULL THEN 'EOA' ELSE 'CA' END, 'ALL']) AS type, {h.bin_sql('A1', h.WEALTH)} AS wealth FROM every LEFT JOIN contracts c USING (address) WHERE V0 <= 0 AND A1 > 0) GROUP BY ALL""", TURN))
+def p24_entries(spark, sf):
+    return r(n.entries(n.with_type(turned(spark, sf), d.contracts(spark, sf)).withColumn("wealth", h.bin(F.col("A1"), h.WEALTH)), ["t", "type", "wealth"]), 2)
+
+
+@query("p24_turnover_summary", sql("folded snaps", f"""SELECT t, count(*) FILTER (V0 > 0) AS n, count(*) FILTER (V0 <= 0) AS n_entry, round(coalesce(sum(A1) FILTER (V0 <= 0), 0), 2) AS value_entry, count(*) FILTER (V0 > 0 AND A1 <= 0) AS n_exit, count(*) FILTER (V0 > 0 AND A1 > 0) AS n_stay, count(*) FILTER ({MEASURED}) AS n_measured, count(*) FILTER (V0 > 0 AND A1 > 0 AND unchanged) AS n_unchanged, count(*) FILTER (V0 > 0 AND A1 > 0 AND unchanged_ex_native) AS n_unchanged_ex_native,
+  count(*) FILTER (V0 > 0 AND A1 > 0 AND n_added > 0) AS n_added_any, count(*) FILTER (V0 > 0 AND A1 > 0 AND n_removed > 0) AS n_removed_any, count(*) FILTER ({MEASURED} AND round(A1 / P1, 9) > 1.1) AS n_inflow, count(*) FILTER ({MEASURED} AND round(A1 / P1, 9) < 0.9) AS n_outflow, count(*) FILTER ({MEASURED} AND turnover <= 1e-12) AS n_le_0, """ + ", ".join(f"count(*) FILTER ({MEASURED} AND round(turnover, 12) <= {x}) AS n_le_{k}" for x, k in n.THRESHOLDS) + f""",
+  round(avg(turnover) FILTER ({MEASURED}), 6) AS mean_turnover, round(avg(drift) FILTER ({MEASURED}), 6) AS mean_drift, round(sum(V0 * turnover) FILTER ({MEASURED}) / nullif(sum(V0) FILTER ({MEASURED}), 0), 6) AS weighted_turnover, round(sum(v0_unpriced) / nullif(sum(V0), 0), 6) AS share_unpriced FROM every GROUP BY t""", TURN))
 def p24s(spark, sf):
-    return r(n.turnover_summary(turned(spark, sf), ["t"]))
+    rows = r(n.turnover_summary(turned(spark, sf), ["t"]), 2, "value_entry")
+    return r(rows, 6, *[c for c in rows.columns if c != "value_entry"])
 
 
 @query("h8_turnover_bins", sql("folded snaps", f"SELECT t, {h.bin_sql('round(turnover, 9)', h.TURNOVER)} AS bin, count(*) AS n FROM turn WHERE {MEASURED} GROUP BY ALL", TURN))

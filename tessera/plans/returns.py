@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import finance as f
-from tessera.operators import panels, positions as n, ranks
+from tessera.operators import balances as b, panels, positions as n, ranks
 from tessera.functions import buckets as h
 from tessera.plans.ctes import names, sql
 from tessera.plans.ledger import DAYS, SNAPS
@@ -253,7 +253,7 @@ def p20(spark, sf):
 
 
 @query("p21_summary", over_wallets("""SELECT snapshot, strategy, size, n, round(mean, 7) AS mean, round(median, 9) AS median, round(hit_rate, 8) AS hit_rate, round(dm, 6) AS diff_mean_pp, round(dd, 6) AS diff_median_pp, round(market, 8) AS market, round(l1, 8) AS mean_l1, round(beta, 5) AS mean_beta, NULL::DOUBLE AS fallback_rate, CASE WHEN dm > 0 AND dd > 0 THEN 'BETTER' WHEN dm < 0 AND dd < 0 THEN 'WORSE' ELSE 'MIXED' END AS status,
-  round(0.5 * dm + 0.3 * dd + 0.2 * (hit_rate - 0.5) * 100, 6) AS score FROM (SELECT snapshot, strategy, coalesce(size, 'ALL') AS size, count(*) AS n, avg(ret) AS mean, median(ret) AS median, avg(CASE WHEN ret > b THEN 1 ELSE 0 END) AS hit_rate, (avg(ret) - avg(b)) * 100 AS dm, (median(ret) - median(b)) * 100 AS dd, avg(market) AS market, avg(l1) AS l1, avg(beta) AS beta
+  round(0.5 * dm + 0.3 * dd + 0.2 * (hit_rate - 0.5) * 100, 6) AS score FROM (SELECT snapshot, strategy, coalesce(size, 'ALL') AS size, count(*) AS n, avg(ret) AS mean, median(ret) AS median, avg(CASE WHEN ret > b THEN 1 ELSE 0 END) AS hit_rate, (avg(ret) - avg(b)) * 100 AS dm, (median(ret) - median(b)) * 100 AS dd, max(market) AS market, avg(l1) AS l1, avg(beta) AS beta
   FROM (SELECT snapshot, size, 'base' AS strategy, ret_base AS ret, ret_base AS b, market, 0.0 AS l1, round(pb, 6) AS beta FROM outcomes LEFT JOIN pbeta USING (snapshot, address) UNION ALL SELECT snapshot, size, 'equal', ret_equal, ret_base, market, l1, round(eb, 6) FROM outcomes LEFT JOIN pbeta USING (snapshot, address)) WHERE ret IS NOT NULL AND b IS NOT NULL GROUP BY GROUPING SETS ((snapshot, strategy, size), (snapshot, strategy)))""",
   {k: v for k, v in PANEL.items() if k != "marks"} | {"pbeta": "SELECT snapshot, address, sum(w * coalesce(beta, 1)) AS pb, sum(e * coalesce(beta, 1)) AS eb FROM base LEFT JOIN betas USING (snapshot, token) GROUP BY ALL"}))
 def p21(spark, sf):
@@ -267,6 +267,50 @@ def p21(spark, sf):
     return r(out.withColumns({c: F.round(c, k) for c, k in (("mean", 7), ("median", 9), ("hit_rate", 8), ("market", 8), ("mean_l1", 8), ("mean_beta", 5))}), 6, "diff_mean_pp", "diff_median_pp", "score")
 
 
+BY_WEALTH = {k: v for k, v in PANEL.items() if k != "marks"} | {
+    "mx": CAPPED["m"], "capped": CAPPED["capped"].replace("FROM m", "FROM mx"),
+    "supplies": "SELECT token, snapshot, sum(CASE WHEN sender IS NULL THEN value ELSE -value END)::DOUBLE AS supply FROM transfers JOIN snaps ON block <= snapshot WHERE sender IS NULL OR recipient IS NULL GROUP BY ALL HAVING sum(CASE WHEN sender IS NULL THEN value ELSE -value END) <> 0",
+    "caps": "SELECT snapshot, token, CASE WHEN supply > 0 AND p0 > 0 THEN supply * p0 END AS cap FROM supplies JOIN ends USING (snapshot, token)",
+    "strat": """SELECT b.snapshot, b.address, b.token, b.value, weight AS w, e, p1 / p0 AS g, coalesce(beta, 1) AS beta, CASE WHEN count(cap) OVER x = count(*) OVER x THEN cap / sum(cap) OVER x END AS mc FROM base b JOIN capped USING (snapshot, address, token) LEFT JOIN ends USING (snapshot, token) LEFT JOIN betas USING (snapshot, token) LEFT JOIN caps USING (snapshot, token) WINDOW x AS (PARTITION BY b.snapshot, b.address)""",
+    "acc": """SELECT snapshot, address, sum(value) AS total, sum(w * beta) AS b0, sum(e * beta) AS b1, CASE WHEN count(mc) = count(*) THEN sum(mc * beta) END AS b2, sum(abs(w - e)) AS l1, CASE WHEN count(mc) = count(*) THEN sum(abs(w - mc)) END AS l2,
+      CASE WHEN count(g) = count(*) THEN sum(w * g) - 1 END AS r0, CASE WHEN count(g) = count(*) THEN sum(e * g) - 1 END AS r1, CASE WHEN count(g) = count(*) AND count(mc) = count(*) THEN sum(mc * g) - 1 END AS r2 FROM strat GROUP BY ALL HAVING count(*) >= 2""",
+    "long": f"""SELECT snapshot, {h.bin_sql('total', h.BACKTEST_WEALTH, 'UNKNOWN')} AS wealth, round(r0, 9) AS base, market, unnest(['base', 'equal', 'mcap']) AS strategy, unnest([round(r0, 9), round(r1, 9), round(r2, 9)]) AS ret, unnest([NULL, round(l1, 9), round(l2, 9)]) AS l1, unnest([round(b0, 9), round(b1, 9), round(b2, 9)]) AS beta FROM acc LEFT JOIN mkt USING (snapshot)""",
+}
+
+
+def strategies(spark, sf, optimised):
+    """Outcomes of the current, equal and market-cap weights and, if optimised, of the three goals, with wealth bin and market return."""
+    keys = ["snapshot", "address"]
+    rows = folded(spark, sf).filter("value > 0").withColumn("value", F.col("value").cast("double"))
+    capped_rows = f.naive_weights(f.capped_weights(rows, keys).withColumnRenamed("weight", "w_base"), keys, "equal").withColumnRenamed("weight", "w_equal")
+    prices0 = horizon(spark, sf)
+    caps = b.supply_at(d.transfers(spark, sf), SNAPS).join(prices0, ["snapshot", "token"]).select("snapshot", "token", b.market_cap(F.col("supply").cast("double"), F.col("p0")).alias("cap"))
+    every = f.naive_weights(capped_rows.join(caps, ["snapshot", "token"], "left"), keys, "cap").withColumnRenamed("weight", "w_mcap").withColumn("weight", F.col("w_base"))
+    names_ = ["base", "equal", "mcap"]
+    if optimised:
+        best = optimal(spark, sf).select(*keys, "token", *[c for g in ("return", "variance", "sharpe") for c in (f"w_{g}", f"fallback_{g}")])
+        every, names_ = every.join(best, [*keys, "token"]).drop("fallback_sharpe"), ["base", "return", "variance", "sharpe", "equal", "mcap"]
+    rets = panel_rets(spark, sf)
+    out = f.strategy_outcomes(every.select(*keys, "token", "value", "weight", *[f"w_{x}" for x in names_], *[c for c in every.columns if c.startswith("fallback_")]), prices0, f.token_betas(rets, f.market_daily(rets, d.BENCHMARKS)), names_)
+    two = every.groupBy(*keys).agg(F.count("*").alias("n")).filter("n >= 2").drop("n")
+    out = out.join(two, keys, "left_semi").join(forward_market(spark, sf), "snapshot", "left")
+    return out.withColumn("wealth", h.bin(F.col("total"), h.BACKTEST_WEALTH, "UNKNOWN")), names_
+
+
+@query("p21_wealth", sql("folded prices transfers snaps", """SELECT snapshot, wealth, strategy, count(ret) AS n, round(avg(CASE WHEN strategy <> 'base' AND ret IS NOT NULL AND base IS NOT NULL THEN (ret > base)::INTEGER END), 8) AS hit_rate, round(avg(ret), 7) AS strategy_mean, round(avg(l1), 7) AS l1_mean, round(avg(beta), 5) AS beta_mean, round(avg(base), 7) AS baseline_mean, round(max(market), 7) AS market_mean, NULL::DOUBLE AS fallback_rate,
+  round(median(ret), 7) AS strategy_median, round(median(l1), 7) AS l1_median, round(median(beta), 5) AS beta_median, round(median(base), 7) AS baseline_median, round(max(market), 7) AS market_median FROM long GROUP BY snapshot, wealth, strategy""", WALLETS | BY_WEALTH))
+def p21_wealth(spark, sf):
+    rows, names_ = strategies(spark, sf, False)
+    return r(r(f.block_summary(rows, names_, "base", ["wealth"]), 5, "beta_mean", "beta_median"), 7, *[f"{x}_{y}" for x in ("strategy", "l1", "baseline", "market") for y in ("mean", "median")])
+
+
+@query("p21_strategies")
+def p21_strategies(spark, sf):
+    """All six strategies by wealth, the optimised ones with their share of fallbacks."""
+    rows, names_ = strategies(spark, sf, True)
+    return r(f.block_summary(rows, names_, "base", ["wealth"]))
+
+
 @query("p23_zero_distance", over_wallets("SELECT count(*) AS n, count(*) FILTER (l1 = 0) AS zero_l1, count(*) FILTER (hhi = 0) AS zero_hhi, count(*) FILTER (l1 <= 1e-6) AS near_l1, count(*) FILTER (hhi <= 1e-6) AS near_hhi, count(*) FILTER (l1 = 0 AND hhi = 0) AS all_zero FROM outcomes"))
 def p23(spark, sf):
     return f.zero_counts(wallets(spark, sf), ["l1", "hhi"])

@@ -81,10 +81,10 @@ def f13(spark, sf):
     return rows.groupBy("address").agg(F.count("*").alias("n"))
 
 
-@query("f16_name_candidates", "SELECT p_partkey AS token FROM part WHERE (regexp_matches(p_type, '(?i)^eco|ring$') OR regexp_matches(p_name, '(?i)^eco|ring$')) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
+@query("f16_name_candidates", "SELECT p_partkey AS token FROM part WHERE (regexp_matches(p_type, '(?i)^eco|ring$') OR regexp_matches(p_name, '(?i)^eco|ring$')) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 45)")
 def f16(spark, sf):
     parts = d.table(spark, sf, "part").select(F.col("p_partkey").alias("token"), F.col("p_type").alias("symbol"), F.col("p_name").alias("name"))
-    reviewed = d.table(spark, sf, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("token"))
+    reviewed = d.table(spark, sf, "lineitem").filter("l_returnflag = 'A' AND l_quantity >= 45").select(F.col("l_partkey").alias("token"))
     return fl.name_candidates(parts, reviewed, ["^eco", "ring$"]).select("token")
 
 
