@@ -403,5 +403,5 @@ def score(docs: DataFrame, trains: Column, text: str = "text", into: str = "lm",
 
     reply = asked.applyInArrow(lambda rows: answers(depth, above.value)(rows), "batch long, kind int, keys binary, values binary")
     whole = table.filter("kind IS NULL").select("batch", *own)
-    out = whole.groupBy("batch").cogroup(reply.groupBy("batch")).applyInArrow(scoring(key, "lm", depth, tokens, distinct), StructType([*planned.fields[1 : len(own) + 1], StructField("lm", SCHEMA)]))
+    out = whole.groupBy("batch").cogroup(reply.groupBy("batch")).applyInArrow(scoring(key, "lm", depth, tokens, distinct), StructType([*whole.schema.fields[1:], StructField("lm", SCHEMA)]))
     return out.toDF(*kept.columns, into)

@@ -548,6 +548,32 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd, nothing, labels, tmp_path)
             docs = stage(spark, docs, folder)
             assert docs.columns == rows.columns
             docs.count()
-    odd.drop("ids").write.parquet(f"{folder}/documents.parquet")
+    # Names of the last stage's and of inner columns: kept, never replaced.
+    names = ["ids", "decoded", "n_tokens", "ids_sha256", "decoded_sha256", "verdict", "spans", "pieces", "_verdict", "_spans", "_pieces"]
+    own = odd.withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in names})
+    own.write.parquet(f"{folder}/documents.parquet")
     out = corpus_pipeline.run(spark, folder)
-    assert {"ids", "decoded", "n_tokens"} <= set(out.columns) and out.count() >= 1
+    added = ["_ids", "_decoded", "_n_tokens", "_ids_sha256", "_decoded_sha256"]
+    found = out.collect()
+    assert out.columns == [*own.columns, *added] and found
+    assert all(r[c] == f"{c}{'-' if r.doc_id is None else r.doc_id}" for r in found for c in names)
+    assert all(r._n_tokens == len(r._ids) and r._decoded == (r.text or "") for r in found)
+
+
+def test_near_dedup_recall_from_a_similarity_of_four_fifths(spark):
+    rng = np.random.default_rng(14)
+    words = np.array([f"w{x}" for x in range(5_000)])
+    rows, similar = [], []
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    for i in range(400):
+        text = rng.choice(words, 400)
+        rows.append((2 * i, " ".join(text)))
+        other = text.copy()
+        other[rng.choice(400, 8, replace=False)] = [f"edit{i}x{k}" for k in range(8)]
+        a, b = shingles(list(text)), shingles(list(other))
+        similar.append(len(a & b) / len(a | b))
+        rows.append((2 * i + 1, " ".join(other)))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    close = [i for i, x in enumerate(similar) if 0.8 <= x <= 0.85]
+    assert len(close) > 100 and {2 * i for i in range(400)} <= kept
+    assert sum(2 * i + 1 not in kept for i in close) >= 0.9 * len(close)

@@ -315,3 +315,44 @@ def test_pieces_agenda_merges_long_parts_as_the_library():
     for n in (1, 5, 60, 700):
         part = "".join(rng.choice(list("etaoinshrdlu"), n))
         assert coder.merge("▁" + part) == coder.library.encode(part)
+
+
+def test_results_stand_beside_columns_of_any_name(odd, nothing, labels):
+    more = odd.withColumns({c: F.lit(c) for c in ("_key", "y", "h", "at", "value", "bags", "score", "p", "kept", "base", "pii", "language")})
+    plain = lambda df: sorted(map(repr, df.select(*more.columns).collect()))
+    for run, name in ((lambda d: quality.judge(d, labels), "quality_verdict"), (lambda d: toxicity.detect(d, labels), "toxicity"), (secrets.scan, "secrets")):
+        found = run(more)
+        assert found.columns == [*more.columns, name] and plain(found) == plain(more)
+        again = run(more.withColumn(name, F.lit("gone")))  # the result takes the place of a column of its name
+        assert sorted(again.columns) == sorted(found.columns) and again.schema[name].dataType == found.schema[name].dataType
+        assert sorted(map(repr, again.select(name).collect())) == sorted(map(repr, found.select(name).collect()))
+        assert run(nothing).count() == 0
+
+
+def test_a_label_counts_once_for_each_id(spark):
+    docs = spark.createDataFrame([(1, "b " * 30)] * 50 + [(1, "a " * 30), (2, "c"), (3, None), (4, "d" * 2_000_000)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 0)], "doc_id long, quality int")
+    assert sorted((r.text[:2], r.y) for r in quality.labelled(docs, known, "quality", 10).collect()) == [("a ", 1), ("c", 0)]
+
+
+def test_secret_spans_are_compared_in_one_sweep():
+    import time
+
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+    def text(n):
+        return " ".join(f"token={''.join(rng.choice(letters[:8], 7))} {''.join(rng.permutation(letters)[:28])}" for _ in range(n))
+
+    def took(t):
+        began = time.perf_counter()
+        found = secrets.find(t)
+        return time.perf_counter() - began, found
+
+    small, large = text(1000), text(8000)
+    base = min(took(small)[0] for _ in range(3))
+    seconds, found = min((took(large) for _ in range(3)), key=lambda x: x[0])
+    assert sum(x["base"] for x in found) == 8000 and sum(not x["base"] for x in found) > 7000
+    assert seconds < 16 * base  # eight times the spans: in proportion, not as the square
+    inside = "password=Zx9fQ2pLm7Vt4Kb8Wd3Rj6HsYq token=abcdef"
+    assert [x["kind"] for x in secrets.find(inside)] == ["assign", "assign"]
