@@ -1,31 +1,36 @@
-"""As-of and nearest joins, without a range join: both sides in one stream by key and time, carried forward."""
+"""As-of and nearest joins, without a range join: the times asked for and the known ones in one stream by key, in segments."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.segments import last_values
+
 
-def asof_join(left: DataFrame, right: DataFrame, on: list[str], ltime: str, rtime: str, max_age: int | None = None, forward: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, on: list[str], ltime: str, rtime: str, max_age: int | None = None, forward: bool = False, width: int | None = None) -> DataFrame:
     """left with the columns of the last right row at or before its time, with equal keys; null if there is none.
 
     max_age bounds the gap (days for dates); forward takes the first row at or after instead. Several right rows
-    of one key and time must not be.
+    of one key and time must not be. Each key and time that left has is answered once, in time ranges, then joined to
+    left's rows; left rows with a null key or time find nothing.
     """
     carried = [c for c in right.columns if c not in on]
     kept = [c for c in left.columns if c not in on]
-    a = left.select(*on, F.col(ltime).alias("_t"), F.lit(1).alias("_side"), F.struct(*kept).alias("_left"), F.lit(None).cast(right.select(F.struct(*carried)).schema[0].dataType).alias("_right"))
-    b = right.select(*on, F.col(rtime).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*kept)).schema[0].dataType).alias("_left"), F.struct(*carried).alias("_right"))
-    order = (F.col("_t").desc(), F.col("_side")) if forward else (F.col("_t"), F.col("_side"))
-    by = W.partitionBy(*on).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    rows = a.unionByName(b).withColumn("_found", F.last("_right", ignorenulls=True).over(by)).filter("_side = 1")
-    found = F.col("_found")
+    keys = [f"_on{i}" for i in range(len(on))]
+    asked = left.select(*[F.col(k).alias(n) for k, n in zip(on, keys, strict=True)], F.col(ltime).alias("_t")).dropna().distinct()
+    known = right.select(*[F.col(k).alias(n) for k, n in zip(on, keys, strict=True)], F.col(rtime).alias("_t"), F.struct(*carried).alias("_f")).dropna(subset=[*keys, "_t"])
+    found = last_values(asked, known, keys, "_t", "_f", forward, width)
     if max_age is not None:
-        gap = F.datediff("_t", found[rtime]) if dict(right.dtypes)[rtime] in ("date", "timestamp") else F.col("_t") - found[rtime]
-        found = F.when(F.abs(gap) <= max_age, found)
+        at = F.col("_f")[rtime]
+        gap = F.datediff("_t", at) if dict(right.dtypes)[rtime] in ("date", "timestamp") else F.col("_t") - at
+        found = found.withColumn("_f", F.when(F.abs(gap) <= max_age, F.col("_f")))
+    same = reduce(lambda c, p: c & (F.col(p[0]) == F.col(p[1])), zip(on, keys, strict=True), F.col(ltime) == F.col("_t"))
+    rows = left.join(found.filter("_f IS NOT NULL"), same, "left")
     renamed = [F.col("_f")[c].alias(c if c not in kept else f"right_{c}") for c in carried]
-    return rows.withColumn("_f", found).select(*on, *[F.col("_left")[c].alias(c) for c in kept], *renamed)
+    return rows.select(*on, *kept, *renamed)
 
 
 def nearest_join(left: DataFrame, right: DataFrame, on: list[str], ltime: str, rtime: str, max_days: int) -> DataFrame:

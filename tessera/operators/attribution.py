@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.balances import balances_at
+
 
 def tag_flags(summary: DataFrame) -> DataFrame:
     """Addresses with in_tags, has_category, has_concept and has_any from their tag columns."""
@@ -97,9 +99,10 @@ def flip_flag(status: DataFrame, verdicts: DataFrame, flag: str = "is_erc_20") -
 
 def check_balances(flows: DataFrame, truth: DataFrame, tol: float) -> DataFrame:
     """token: rows, exact and within tolerance, and PASS if all are, of ledger balances against a truth table (token, address, block, balance)."""
-    steps = flows.select("token", "address", "block", "value").join(truth.select("token", "address").distinct(), ["token", "address"], "left_semi")
-    rows = truth.select("token", "address", F.col("block").alias("at"), F.col("balance").alias("truth"))
-    both = rows.join(steps, ["token", "address"], "left").groupBy("token", "address", "at", "truth").agg(F.coalesce(F.sum(F.when(F.col("block") <= F.col("at"), F.col("value"))), F.lit(0)).alias("ours"))
+    keys = ["token", "address", "block"]
+    asked = truth.select(*keys, F.col("balance").alias("truth")).distinct()
+    ours = balances_at(flows.select("token", "address", "block", "value"), asked.select(*keys).distinct(), ("token", "address"))
+    both = asked.join(ours.withColumnRenamed("balance", "ours"), keys)
     near = F.abs(F.col("ours") - F.col("truth")) <= tol
     out = both.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("ours") == F.col("truth")).alias("exact"), F.count_if(near).alias("within"))
     return out.withColumn("status", F.when(F.col("within") == F.col("n"), "PASS").otherwise("NOT_PASS"))

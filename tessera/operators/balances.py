@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.asof import asof_join
+from tessera.operators.segments import running_sums
 
 LIMB = 18
 
@@ -62,13 +63,22 @@ def exact_sums(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return twice.select(*keys, F.concat(F.when(F.col("_neg"), "-").otherwise(""), bare).alias("balance"))
 
 
-def balances_at(flows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """address, block, balance for arbitrary pairs: the running sum just before each pair in one stream by address; zero if none."""
-    steps = flows.groupBy("address", "block").agg(F.sum("value").alias("value"))
-    a = pairs.select("address", "block", F.lit(None).cast(steps.schema["value"].dataType).alias("value"), F.lit(1).alias("side"))
-    rows = steps.withColumn("side", F.lit(0)).join(pairs.select("address").distinct(), "address", "left_semi").unionByName(a)
-    by = W.partitionBy("address").orderBy("block", "side").rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("balance", F.coalesce(F.sum("value").over(by), F.lit(0))).filter("side = 1").select("address", "block", "balance")
+def balances_at(flows: DataFrame, pairs: DataFrame, keys: tuple[str, ...] = ("address",), values: dict[str, str] | None = None, width: int | None = None) -> DataFrame:
+    """pairs' keys and block, balance: the sum of the key's flows up to each block; zero if none.
+
+    Flows and pairs are one stream by key and block, summed in time ranges, so that no pair meets a flow and an address with a
+    third of all flows is many tasks. values names several sums of flow columns; a repeated pair is answered once and comes
+    back as often as it stands.
+    """
+    values = {"balance": "value"} if values is None else values
+    steps = flows.groupBy(*keys, "block").agg(*[F.sum(c).alias(name) for name, c in values.items()])
+    asked = pairs.groupBy(*keys, "block").agg(F.count("*").alias("_times"))
+    none = {name: F.lit(None).cast(steps.schema[name].dataType) for name in values}
+    points = asked.select(*keys, "block", *[c.alias(name) for name, c in none.items()], F.lit(1).alias("_side"), "_times")
+    rows = steps.withColumns({"_side": F.lit(0), "_times": F.lit(None).cast("long")}).join(pairs.select(*keys).distinct(), list(keys), "left_semi").unionByName(points)
+    found = running_sums(rows, list(keys), "block", list(values), "_side", width).filter("_side = 1")
+    out = found.select(*keys, "block", *[F.coalesce(name, F.lit(0)).alias(name) for name in values], "_times")
+    return out.withColumn("_times", F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int")))).drop("_times")
 
 
 def supply_at(transfers: DataFrame, snapshots: list[int]) -> DataFrame:
@@ -81,7 +91,7 @@ def supply_changes(transfers: DataFrame) -> DataFrame:
     """token, block, supply: minted less burned up to each block in which it changes."""
     signed = F.when(F.col("sender").isNull(), F.col("value")).when(F.col("recipient").isNull(), -F.col("value"))
     steps = transfers.select("token", "block", signed.alias("value")).filter("value IS NOT NULL").groupBy("token", "block").agg(F.sum("value").alias("value"))
-    return steps.select("token", "block", F.sum("value").over(W.partitionBy("token").orderBy("block")).alias("supply"))
+    return running_sums(steps.withColumnRenamed("value", "supply"), ["token"], "block", ["supply"])
 
 
 def supply_asof(changes: DataFrame, points: DataFrame) -> DataFrame:

@@ -74,9 +74,8 @@ def j8(spark, sf):
 def j9(spark, sf):
     # The range condition as running sums in one stream by address: no pair of a query and a flow is made.
     pairs = d.table(spark, sf, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("address"), d.block(F.to_date("o_orderdate")).alias("block")).distinct()
-    sums = b.balances_at(flows(spark, sf), pairs)
-    counts = b.balances_at(flows(spark, sf).withColumn("value", F.lit(1).cast("long")), pairs).withColumnRenamed("balance", "n")
-    return sums.join(counts, ["address", "block"]).groupBy("block").agg(F.sum("n").alias("n"), F.sum("balance").cast("double").alias("balance"))
+    sums = b.balances_at(flows(spark, sf).withColumn("one", F.lit(1).cast("long")), pairs, values={"balance": "value", "n": "one"})
+    return sums.groupBy("block").agg(F.sum("n").alias("n"), F.sum("balance").cast("double").alias("balance"))
 
 
 @query("j10_asof", sql("prices", "SELECT o_orderkey, (SELECT arg_max(close, day) FROM prices p WHERE p.token = 'Brand#' || (o_custkey % 25 + 1) AND p.day <= o_orderdate::DATE) AS close FROM orders"))
@@ -179,7 +178,7 @@ def g15(spark, sf):
     return g.curated(listed, part.filter("p_size > 49").select(F.col("p_brand").alias("token")))
 
 
-@query("j10_nearest_after", sql("prices", "SELECT o_orderkey, (SELECT round(arg_min(close, day), 4) FROM prices p WHERE p.token = 'Brand#11' AND p.day >= o_orderdate::DATE AND p.day <= o_orderdate::DATE + 10) AS close FROM orders"))
+@query("j10_nearest_after", sql("prices", "SELECT o_orderkey, (SELECT arg_min(close, day) FROM prices p WHERE p.token = 'Brand#11' AND p.day >= o_orderdate::DATE AND p.day <= o_orderdate::DATE + 10) AS close FROM orders"))
 def j10_after(spark, sf):
     asked = d.table(spark, sf, "orders").select("o_orderkey", F.lit("Brand#11").alias("token"), F.to_date("o_orderdate").alias("day"))
     return asof.asof_join(asked, d.prices(spark, sf).withColumnRenamed("day", "price_day"), ["token"], "day", "price_day", 10, forward=True).select("o_orderkey", "close")

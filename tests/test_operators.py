@@ -339,3 +339,51 @@ def test_the_rest_stands_without_the_corpus_operators():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any(n.startswith(("tessera.llm", "corpus_pipeline")) for n in names)
+
+
+def test_segments_equal_plain_windows(spark):
+    rng = np.random.default_rng(17)
+    hot = [("hot", int(x), int(v)) for x, v in zip(rng.integers(0, 5000, 4000), rng.integers(-50, 50, 4000), strict=True)]
+    cold = [(f"k{i % 40}", int(x), int(v)) for i, (x, v) in enumerate(zip(rng.integers(0, 5000, 400), rng.integers(-50, 50, 400), strict=True))]
+    flows = spark.createDataFrame(hot + cold, "address string, block int, value long")
+    asked = sorted({(k, int(x)) for k in ("hot", "k1", "k2", "none") for x in rng.integers(-10, 5200, 60)})
+    pairs = spark.createDataFrame([*asked, *asked[:5]], "address string, block int")
+    for width in (7, 1000, 1 << 15):
+        got = rows(b.balances_at(flows, pairs, width=width))
+        assert got == sorted(((k, x, sum(v for a, t, v in hot + cold if a == k and t <= x)) for k, x in [*asked, *asked[:5]]), key=repr)
+        both = b.balances_at(flows.withColumn("one", F.lit(1)), pairs, values={"balance": "value", "n": "one"}, width=width)
+        assert {(r.address, r.block): r.n for r in both.collect()} == {(k, x): sum(a == k and t <= x for a, t, _ in hot + cold) for k, x in asked}
+    known = {(a, t): i for i, (a, t, _) in enumerate(hot[:900] + cold)}
+    right = spark.createDataFrame([(a, t, i) for (a, t), i in known.items()], "address string, t int, v int")
+    left = spark.createDataFrame([(*x, i) for i, x in enumerate([*asked, *asked[:9], (None, 5), ("hot", None)])], "address string, block int, id int")
+    for width in (3, 500, 1 << 15):
+        for forward in (False, True):
+            for age in (None, 4):
+                got = {r.id: (r.t, r.v) for r in asof.asof_join(left, right, ["address"], "block", "t", age, forward, width).collect()}
+                assert len(got) == len(asked) + 11 and got[len(asked) + 9] == got[len(asked) + 10] == (None, None)
+                for i, (k, x) in enumerate([*asked, *asked[:9]]):
+                    times = [t for a, t in known if a == k and (t >= x if forward else t <= x)]
+                    t = (min(times) if forward else max(times)) if times else None
+                    t = None if t is None or age is not None and abs(t - x) > age else t
+                    assert got[i] == (t, None if t is None else known[k, t])
+
+
+def test_a_hot_key_is_many_tasks(spark):
+    """One address with 10 million flows: no task of the scan holds more than its ranges."""
+    flows = spark.range(10_000_000).select(F.lit("hot").alias("address"), F.col("id").cast("int").alias("block"), F.lit(1).cast("long").alias("value"))
+    pairs = spark.createDataFrame([("hot", 9_999_999), ("hot", 31), ("cold", 5)], "address string, block int")
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        found = b.balances_at(flows, pairs)
+        assert {(r.address, r.block): r.balance for r in found.collect()} == {("hot", 9_999_999): 10_000_000, ("hot", 31): 32, ("cold", 5): 0}
+        from tessera.operators.segments import time_range
+
+        ranges = flows.groupBy("address", time_range(F.col("block"), "int").alias("r")).count()
+        assert ranges.agg(F.max("count")).first()[0] <= 1 << 15 and ranges.count() > 300
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(address" in plan and all("_range" in line for line in plan.splitlines() if "Window [" in line and "last(" not in line and "sum(value" in line)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
