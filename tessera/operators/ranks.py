@@ -16,40 +16,62 @@ def magnitude(value: Column) -> Column:
     return F.when(value == 0, 0).when(value < 0, -steps).otherwise(steps)
 
 
-def ranked(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """df with rank, running (sum down to the row) and n, total of its keys, by value from high to low.
+#: Distinct values of a range that one task sorts, about; ranges that hold more are cut again.
+CROWDED = 1 << 17
 
-    Rows are dealt by keys and by the binary magnitude of the value, in sixteenths; a magnitude starts where the
-    sums of all higher ones, a small table, end. So the token that holds a third of all rows is not ranked by one task.
+
+def places(df: DataFrame, keys: list[str], value: str, wanted: Callable[[Column], Column] | None = None, sums: bool = False, levels: int = 1, crowded: int | None = None) -> DataFrame:
+    """keys, value, _c, _end, _all: each distinct value, the rows that have it, the rows up to it in rising order, and all rows of the keys; with sums also _vend and _vall, the same of the rows' values.
+
+    Values are counted first, so ties are one row however many have them, and dealt by keys and magnitude; a magnitude starts
+    where the counts of all lower ones, a small table, end. A magnitude with too many distinct values is cut into equal parts
+    between its least and greatest, and with more levels such a part again: so a column that lies between 0.99 and 1 is many tasks too.
+    wanted gives, from the number of rows, an array of places counted from 1: only ranges that hold one are cut and sorted.
+    null and NaN have no place.
     """
-    rows = df.withColumn("_m", -magnitude(F.col(value)))
-    sums = rows.groupBy(*keys, "_m").agg(F.count("*").alias("_n"), F.sum(value).alias("_v"))
-    above, whole = W.partitionBy(*keys).orderBy("_m").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
-    sums = sums.select(*keys, "_m", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_v").over(above), F.lit(0)).alias("_v0"), F.sum("_n").over(whole).alias("n"), F.sum("_v").over(whole).alias("total"))
-    own = W.partitionBy(*keys, "_m").orderBy(F.desc(value), tie)
-    local = rows.withColumn("_r", F.row_number().over(own)).withColumn("_s", F.sum(value).over(own.rowsBetween(W.unboundedPreceding, 0)))
-    joined = local.join(sums, [*keys, "_m"])
-    return joined.withColumn("rank", F.col("_n0") + F.col("_r")).withColumn("running", F.col("_v0") + F.col("_s")).drop("_m", "_r", "_s", "_n0", "_v0")
-
-
-def places(df: DataFrame, keys: list[str], value: str, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
-    """keys, value, _c, _end, _all: each distinct value, the rows that have it, the rows up to it in rising order, and all rows of the keys.
-
-    Values are counted first, so ties are one row, and dealt by keys and magnitude; a magnitude starts where the counts of
-    all lower ones, a small table, end. wanted gives, from the number of rows, an array of places counted from 1: only the magnitudes that
-    hold one are sorted. null and NaN have no place.
+    crowded = CROWDED if crowded is None else crowded
+    v, worth = F.col(value).cast("double"), F.col(value) * F.col("_c")
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(v)).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_m0", magnitude(F.col(value)))
+    cuts = ["_m0"]
+    for level in range(levels + 1):
+        aggs = [F.sum("_c").alias("_own"), F.count("*").alias("_k"), F.min(v).alias("_lo"), F.max(v).alias("_hi"), *([F.sum(worth).alias("_vown")] if sums else [])]
+        carry = [F.first(c).alias(f"_0{c}") for c in ("_before", "_all", *(("_vbefore", "_vall") if sums else ()))] if level else []
+        parts = rows.groupBy(*keys, *cuts).agg(*aggs, *carry)
+        group = W.partitionBy(*keys, *cuts[:-1])
+        below = group.orderBy(cuts[-1]).rowsBetween(W.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("_own").over(below), F.lit(0))
+        picked = [(F.col("_0_before") + start if level else start).alias("_before"), (F.col("_0_all") if level else F.sum("_own").over(group)).alias("_all")]
+        if sums:
+            heap = F.coalesce(F.sum("_vown").over(below), F.lit(0))
+            picked += [(F.col("_0_vbefore") + heap if level else heap).alias("_vbefore"), (F.col("_0_vall") if level else F.sum("_vown").over(group)).alias("_vall")]
+        parts = parts.select(*keys, *cuts, "_own", "_k", "_lo", "_hi", *picked)
+        if wanted is not None:
+            parts = parts.filter(F.exists(wanted(F.col("_all")), lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_own"))))
+        own = parts.withColumnsRenamed({k: f"_k_{k}" for k in keys} | {c: f"_k_{c}" for c in cuts})
+        same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"_k_{k}")), [*keys, *cuts], F.lit(True))
+        rows = rows.select(*keys, value, "_c", *cuts).join(own, same).drop(*[f"_k_{k}" for k in (*keys, *cuts)])
+        if level < levels:
+            pieces = F.when(F.col("_k") > crowded, F.ceil(F.col("_k") / crowded) * 8).otherwise(1)
+            part = F.floor(F.try_divide(v - F.col("_lo"), F.col("_hi") - F.col("_lo")) * pieces)
+            rows = rows.withColumn(f"_m{level + 1}", F.coalesce(F.greatest(F.lit(0), F.least(pieces - 1, part)), F.lit(0)))
+            cuts = [*cuts, f"_m{level + 1}"]
+    run = W.partitionBy(*keys, *cuts).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    more = [(F.col("_vbefore") + F.sum(worth).over(run)).alias("_vend"), "_vall"] if sums else []
+    return rows.select(*keys, value, "_c", (F.col("_before") + F.sum("_c").over(run)).alias("_end"), "_all", *more)
+
+
+def runs(df: DataFrame, keys: list[str], value: str, **options) -> DataFrame:
+    """keys, value, c, above, running, n, total: each distinct value with the rows that have it, the rows and the sum of values greater than it, and those of the keys.
+
+    From high to low the rows of a value take the ranks above + 1 to above + c. A token whose million holders own the same is one row.
     """
-    counted = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys, value).agg(F.count("*").alias("_c")).withColumn("_m", magnitude(F.col(value)))
-    sums = counted.groupBy(*keys, "_m").agg(F.sum("_c").alias("_own"))
-    below, whole = W.partitionBy(*keys).orderBy("_m").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
-    sums = sums.select(*keys, "_m", "_own", F.coalesce(F.sum("_own").over(below), F.lit(0)).alias("_before"), F.sum("_own").over(whole).alias("_all"))
-    if wanted is not None:
-        sums = sums.filter(F.exists(wanted(F.col("_all")), lambda r: (r > F.col("_before")) & (r <= F.col("_before") + F.col("_own"))))
-    own = sums.withColumnsRenamed({k: f"_{k}" for k in keys} | {"_m": "_m_"})
-    same = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"_{k}")), keys, F.col("_m") == F.col("_m_"))
-    rows = counted.join(own, same)
-    run = W.partitionBy(*keys, "_m").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return rows.select(*keys, value, "_c", (F.col("_before") + F.sum("_c").over(run)).alias("_end"), "_all")
+    r = places(df, keys, value, sums=True, **options)
+    return r.select(*keys, value, F.col("_c").alias("c"), (F.col("_all") - F.col("_end")).alias("above"), (F.col("_vall") - F.col("_vend")).alias("running"), F.col("_all").alias("n"), F.col("_vall").alias("total"))
+
+
+def within(k: Column) -> Column:
+    """How many rows of a run are among the first k ranks."""
+    return F.greatest(F.lit(0), F.least(F.col("c"), k - F.col("above")))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], discrete: bool = False) -> DataFrame:
@@ -95,29 +117,32 @@ def numbered(df: DataFrame, order: Column, ranges: int = 4096) -> DataFrame:
     return rows.withColumn("_own", own).join(sums, "_p").withColumn("_n", F.col("_before") + F.col("_own")).drop("_h", "_p", "_own", "_before")
 
 
-def inequality(balances: DataFrame, value: str = "balance", keys: tuple[str, ...] = ("token", "snapshot")) -> DataFrame:
-    """Per keys: holders, supply, HHI, Gini, top 1/10/100 and top 1/5/10 % shares, and holders of half of it (Nakamoto); more than one holder."""
-    held = balances.filter(F.col(value) > 0)
-    r = ranked(held, list(keys), value, "address")
-    v, n, total, rank = F.col(value).cast("double"), F.col("n"), F.col("total").cast("double"), F.col("rank")
+def inequality(balances: DataFrame, value: str = "balance", keys: tuple[str, ...] = ("token", "snapshot"), **options) -> DataFrame:
+    """Per keys: holders, supply, HHI, Gini, top 1/10/100 and top 1/5/10 % shares, and holders of half of it (Nakamoto); more than one holder.
+
+    All in closed form over runs of equal balances.
+    """
+    r = runs(balances.filter(F.col(value) > 0), list(keys), value, **options)
+    v, n, total, c, above = F.col(value).cast("double"), F.col("n"), F.col("total").cast("double"), F.col("c"), F.col("above")
 
     def top(k: Column) -> Column:
-        return F.sum(F.when(rank <= k, v).otherwise(0.0)) / F.max(total)
+        return F.sum(v * within(k)) / F.max(total)
 
     tops = [top(F.lit(k)).alias(f"top{k}") for k in (1, 10, 100)] + [top(F.greatest(F.lit(1), F.ceil(n * p / 100))).alias(f"top{p}pct") for p in (1, 5, 10)]
-    # Ranks go down, so a row's ascending rank is n + 1 - rank.
-    gini = 2 * F.sum((n + 1 - rank) * v) / (F.max(n) * F.max(total)) - (F.max(n) + 1) / F.max(n)
-    half = F.min(F.when(F.col("running").cast("double") >= 0.5 * total, rank)).alias("nakamoto")
-    out = r.groupBy(*keys).agg(F.max(n).alias("holders"), F.max("total").alias("supply"), F.sum(F.pow(v / total, 2)).alias("hhi"), gini.alias("gini"), *tops, half)
+    # Ranks go down, so a row's ascending rank is n + 1 - rank; a run's ranks sum to c * above + c (c + 1) / 2.
+    gini = 2 * F.sum((c * (n + 1 - above) - c * (c + 1) / 2) * v) / (F.max(n) * F.max(total)) - (F.max(n) + 1) / F.max(n)
+    # The first rank of a run whose running sum reaches half: so many of its values are missing before it.
+    short = F.greatest(F.lit(1.0), F.ceil(F.round((0.5 * total - F.col("running").cast("double")) / v, 9)))
+    half = F.min(F.when(F.col("running").cast("double") + c * v >= 0.5 * total, (above + short).cast("long"))).alias("nakamoto")
+    out = r.groupBy(*keys).agg(F.max(n).alias("holders"), F.max("total").alias("supply"), F.sum(c * F.pow(v / total, 2)).alias("hhi"), gini.alias("gini"), *tops, half)
     return out.filter("holders > 1")
 
 
-def top_shares(df: DataFrame, pcts: list[float], value: str, keys: list[str], tie: str = "address", floor: float | None = None) -> DataFrame:
+def top_shares(df: DataFrame, pcts: list[float], value: str, keys: list[str], floor: float | None = None, **options) -> DataFrame:
     """keys, n, and the value share of the k = max(1, ceil(p * n)) largest rows, for rows above a floor."""
-    rows = df.filter(F.col(value) > (0 if floor is None else floor))
-    r = ranked(rows, keys, value, tie)
+    r = runs(df.filter(F.col(value) > (0 if floor is None else floor)), keys, value, **options)
     k = {p: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))) for p in pcts}
-    return r.groupBy(*keys).agg(F.max("n").alias("n"), F.max("total").alias("total"), *[(F.sum(F.when(F.col("rank") <= k[p], F.col(value)).otherwise(0)) / F.max("total")).alias(f"top_{p:g}".replace(".", "_")) for p in pcts])
+    return r.groupBy(*keys).agg(F.max("n").alias("n"), F.max("total").alias("total"), *[(F.sum(F.col(value) * within(k[p])) / F.max("total")).alias(f"top_{p:g}".replace(".", "_")) for p in pcts])
 
 
 def top_quantile(df: DataFrame, pct: float, value: str, keys: list[str], kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -142,9 +167,12 @@ def top_n(df: DataFrame, by: list[Column], n: int, keys: tuple[str, ...] = ()) -
 
 
 def top_with_share(df: DataFrame, keys: list[str], value: str, tie: str, n: int) -> DataFrame:
-    """The n largest rows of each key with rank, share and running share."""
-    r = ranked(df, keys, value, tie).filter(F.col("rank") <= n)
-    return r.withColumn("share", F.col(value) / F.col("total")).withColumn("cum_share", F.col("running") / F.col("total")).drop("running", "total", "n")
+    """The n largest rows of each key with rank, share and running share; only the first n rows of a task's rows are shuffled."""
+    by = W.partitionBy(*keys).orderBy(F.desc(value), tie)
+    first = df.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= n).withColumn("_run", F.sum(value).over(by.rowsBetween(W.unboundedPreceding, 0)))
+    total = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
+    rows = first.join(total, keys).withColumn("share", F.col(value) / F.col("_total")).withColumn("cum_share", F.col("_run") / F.col("_total"))
+    return rows.drop("_run", "_total")
 
 
 def last_n(df: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:

@@ -90,16 +90,56 @@ def test_asof_and_nearest(spark):
     assert near[("a", date(2020, 1, 1))] == 1 and near[("a", date(2020, 2, 9))] is None
 
 
-def test_ranked_equals_a_sort(spark):
+def test_runs_equal_a_sort(spark):
     rng = np.random.default_rng(4)
-    data = [(int(i % 3), f"a{i}", int(rng.choice([1, 1, 2, 5, 40, 1000, 10**6]) * rng.integers(1, 4))) for i in range(600)]
+    data = [(int(i % 3) or None, f"a{i}", int(rng.choice([1, 1, 2, 5, 40, 1000, 10**6]) * rng.integers(1, 4))) for i in range(600)]
     df = spark.createDataFrame(data, "k int, address string, x long")
-    got = {(r.k, r.address): (r.rank, r.running, r.n, r.total) for r in ranks.ranked(df, ["k"], "x", "address").collect()}
-    for k in range(3):
-        own, run = sorted((-x, a) for q, a, x in data if q == k), 0
-        for i, (x, a) in enumerate(own):
-            run -= x
-            assert got[(k, a)] == (i + 1, run, len(own), -sum(y for y, _ in own))
+    for options in ({}, {"crowded": 2}, {"crowded": 1, "levels": 2}, {"levels": 0}):
+        got = {(r.k, r.x): (r.c, r.above, r.running, r.n, r.total) for r in ranks.runs(df, ["k"], "x", **options).collect()}
+        for k in (None, 1, 2):
+            own = [x for q, _, x in data if q == k]
+            assert {x: v for (q, x), v in got.items() if q == k} == {x: (own.count(x), sum(y > x for y in own), sum(y for y in own if y > x), len(own), sum(own)) for x in own}
+        shares = {r.k: (r.n, r["top_0_1"]) for r in ranks.top_shares(df, [0.1], "x", ["k"], **options).collect()}
+        for k in (None, 1, 2):
+            own = sorted((x for q, _, x in data if q == k), reverse=True)
+            assert shares[k] == (len(own), pytest.approx(sum(own[: -(-len(own) // 10)]) / sum(own)))
+
+
+def plain_inequality(own):
+    own = sorted(map(float, own))
+    n, total = len(own), sum(own)
+    down = own[::-1]
+    gini = 2 * sum((i + 1) * x for i, x in enumerate(own)) / (n * total) - (n + 1) / n
+    half = next(i + 1 for i in range(n) if sum(down[: i + 1]) >= 0.5 * total)
+    return n, total, sum((x / total) ** 2 for x in own), gini, sum(down[:10]) / total, sum(down[: max(1, -(-n * 5 // 100))]) / total, half
+
+
+def test_inequality_of_runs(spark):
+    rng = np.random.default_rng(9)
+    sets = {"same": [7] * 500, "two": [1, 3], "ties": [int(x) for x in rng.choice([1, 2, 2, 50, 10**9], 400)], "apart": [int(x) for x in rng.integers(1, 10**12, 300)], "half": [5, 5, 5, 5], "one": [9]}
+    df = spark.createDataFrame([(t, 1, f"a{i}", x) for t, own in sets.items() for i, x in enumerate(own)], "token string, snapshot int, address string, balance long")
+    for options in ({}, {"crowded": 3}):
+        got = {r.token: r for r in ranks.inequality(df, **options).collect()}
+        assert set(got) == set(sets) - {"one"}
+        for t, r in got.items():
+            assert (r.holders, r.supply, r.hhi, r.gini, r.top10, r.top5pct, r.nakamoto) == pytest.approx(plain_inequality(sets[t]))
+
+
+def test_a_million_equal_holders_are_one_row(spark):
+    df = spark.range(1_000_000).select(F.lit("t").alias("token"), F.lit(1).alias("snapshot"), F.col("id").alias("address"), F.lit(5).cast("long").alias("balance"))
+    r = ranks.inequality(df).first()
+    assert (r.holders, r.nakamoto, r.gini, r.top100) == (1_000_000, 500_000, pytest.approx(0, abs=1e-9), pytest.approx(1e-4))
+    assert ranks.runs(df, ["token"], "balance").count() == 1
+
+
+def test_crowded_columns_are_cut_again(spark):
+    """Two million distinct values between 0.99 and 1, most of them near 1: quantiles and ranks by many tasks of bounded size."""
+    n = 2_000_000
+    df = spark.range(n).select((1 - 0.01 * F.pow(F.col("id") / n, F.lit(4))).alias("v"))
+    q = ranks.exact_quantiles(df, [], "v", [0.0, 0.25, 0.5, 1.0]).first().q
+    assert q == pytest.approx([1 - 0.01 * ((1 - p) * (n - 1) / n) ** 4 for p in (0.0, 0.25, 0.5, 1.0)], abs=1e-9)
+    placed = ranks.places(df.sample(0.2, 3), [], "v", levels=2, crowded=10_000)
+    assert len(set(placed.agg(F.sum("_c"), F.max("_end"), F.max("_all")).first())) == 1
 
 
 def test_sources_round_trip(spark, tmp_path):
