@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import values as v
@@ -13,6 +14,7 @@ from tessera.plans.ctes import sql
 from tessera.plans.ledger import SNAPS, doubled, flows
 from tessera.plans.registry import query
 from tessera.sources import domain as d
+from tessera.sources import states
 from tessera.sources import tables as s
 
 
@@ -78,13 +80,41 @@ def s11(spark, sf):
     return l.genesis_rows(alloc).select("recipient", F.col("value").cast("double").alias("value"), "block")
 
 
-@query("s13_bucketed_write", sql("flows", "SELECT address, count(*) AS n, sum(value)::DOUBLE AS net, true AS in_order, 1::BIGINT AS n_buckets FROM flows GROUP BY address"))
-def s13(spark, sf):
+@query("s6_range_scan", sql("flows", "SELECT token, count(*) AS n, sum(value)::DOUBLE AS net, min(block) AS first_block, max(block) AS last_block FROM flows WHERE block BETWEEN 900 AND 1300 GROUP BY token"))
+def s6_scan(spark, sf):
+    root = s.shared_path(spark, "ranged")
+    index = states.write_ranged(flows(spark, sf), root, "block", 16)
+    rows = states.scan_range(spark, root, index, "block", 900, 1300)
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("net"), F.min("block").alias("first_block"), F.max("block").alias("last_block"))
+
+
+@query("s13_bucketed_write", sql("flows", "SELECT address, count(*) AS n, sum(value)::DOUBLE AS net, bool_and(block >= first_block) AS in_order, count(DISTINCT address) AS n_buckets FROM (SELECT *, min(block) OVER (PARTITION BY address) AS first_block FROM flows) GROUP BY address"))
+def s13_write(spark, sf):
     root = s.shared_path(spark, "buckets")
     s.write_bucketed(flows(spark, sf).withColumn("log_index", F.lit(0)), root, 16)
-    back = spark.read.parquet(root).withColumn("bucket", F.col("bucket").cast("int"))
-    right = F.bool_and(F.pmod(F.xxhash64("address"), F.lit(16)) == F.col("bucket"))
-    return back.groupBy("address").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("net"), right.alias("in_order"), F.countDistinct("bucket").alias("n_buckets"))
+    rows = spark.read.parquet(root).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    # A row's place in its file against the row of its address before it there.
+    before = F.lag("block").over(W.partitionBy("address", "file").orderBy("place"))
+    rows = rows.withColumn("ok", F.coalesce(F.col("block") >= before, F.lit(True)))
+    return rows.groupBy("address").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("net"), F.bool_and("ok").alias("in_order"), F.countDistinct("bucket").alias("n_buckets"))
+
+
+@query("s13_bucketed_join", sql("flows", "SELECT f.address, c_mktsegment AS segment, count(*) AS n, sum(value)::DOUBLE AS net, min(block) AS first_block FROM flows f JOIN customer ON f.address = 'C' || c_custkey GROUP BY ALL"))
+def s13(spark, sf):
+    table = states.write_clustered(flows(spark, sf), "address", ("block",), 16)
+    wallets = d.table(spark, sf, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("address"), F.col("c_mktsegment").alias("segment"))
+    return spark.table(table).join(wallets, "address").groupBy("address", "segment").agg(F.count("*").alias("n"), F.sum("value").cast("double").alias("net"), F.min("block").alias("first_block"))
+
+
+@query("b1_incremental", sql("balances", "SELECT token, address, snapshot, balance::DOUBLE AS balance FROM balances"))
+def b1_incremental(spark, sf):
+    """Balances built in three steps, each from the last stored snapshot and the files with later blocks."""
+    root = s.shared_path(spark, "states")
+    index = states.write_ranged(flows(spark, sf), f"{root}/ledger", "block", 16)
+    store = states.States(spark, root, "ledger")
+    for k in (10, 20, len(SNAPS)):
+        store.advance(f"{root}/ledger", index, SNAPS[:k])
+    return store.state(SNAPS).withColumn("balance", F.col("balance").cast("double"))
 
 
 @query("s15_manifest_upsert", "SELECT o_orderkey AS block_number, o_orderstatus AS source_tag, o_custkey AS rows FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'F', -o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0")

@@ -31,20 +31,28 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], tuple[list[str], DataFrame]] = {}
 _STORING = RLock()
 
 
-def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def stored(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], grows: str = "lineitem") -> DataFrame:
     """A table that many queries share, built once for each session and source and read from the shared folder.
 
-    A session takes its source tables as fixed; a new one builds its tables anew.
+    It is built anew once the source's ledger has other files than it was built from. Files that are written over in place
+    under their old names are not noticed: drop_stored() then forgets what was built.
     """
-    key = (spark.sparkContext.applicationId, source, name)
+    key, files = (spark.sparkContext.applicationId, source, name), sorted(spark.read.parquet(f"{source}/{grows}.parquet").inputFiles())
     with _STORING:
-        if key not in _STORED:
-            _STORED[key] = saved(build(), name)
-        return _STORED[key]
+        if key not in _STORED or _STORED[key][0] != files:
+            _STORED[key] = files, saved(build(), name)
+        return _STORED[key][1]
+
+
+def drop_stored(source: str | None = None) -> None:
+    """Forget the shared tables of a source, or of all; they are built again when next asked for."""
+    with _STORING:
+        for key in [k for k in _STORED if source is None or k[1] == source]:
+            del _STORED[key]
 
 
 def read_dataset(spark: SparkSession, root: str) -> DataFrame:
