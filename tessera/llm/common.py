@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -69,9 +70,12 @@ def held(token: str, make: Callable[[], Any]) -> Any:
 
 
 def forget() -> None:
-    """Give back what the worker holds of other stages' models."""
+    """Give back what the worker holds of other stages' models, to the system too where its allocator can."""
+    had = bool(_HELD)
     _HELD.clear()
     pa.default_memory_pool().release_unused()
+    if had and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
