@@ -184,6 +184,41 @@ def panel(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(*aggs).unionByName(whole.select(*[F.lit(None).cast(kinds[k]).alias(k) for k in keys], "*"))
 
 
+#: Accuracy of sketches: a quantile's rank is off by about 2.3 / K^0.9 of the rows at most, a distinct count by about 1.04 / 2^(LG_K / 2).
+KLL_K, HLL_LG_K = 800, 14
+
+
+def sketch_partials(df: DataFrame, dims: list[str], values: list[str], distinct: list[str], k: int = KLL_K, lg_k: int = HLL_LG_K) -> DataFrame:
+    """dims, n, and a quantile sketch of each value and a distinct-count sketch of each of distinct, at the finest grain: what any coarser cell is merged from.
+
+    A cell's sketches are of bounded size, however many rows it has, so the table can be stored and new rows' partials appended.
+    A dimension's null is a group of its own; null values are in no sketch.
+    """
+    kll = [F.kll_sketch_agg_double(F.col(v).cast("double"), k).alias(f"kll_{v}") for v in values]
+    hll = [F.hll_sketch_agg(F.col(c).cast("string"), lg_k).alias(f"hll_{c}") for c in distinct]
+    return df.groupBy(*dims).agg(F.count("*").alias("n"), *kll, *hll)
+
+
+def sketch_cube(partials: DataFrame, dims: list[str], always: tuple[str, ...] = ()) -> DataFrame:
+    """The partials' counts and sketches merged over every subset of dims, 'ALL' where a dimension is rolled up; no row of the data is read."""
+    kll = [F.kll_merge_agg_double(c).alias(c) for c in partials.columns if c.startswith("kll_")]
+    hll = [F.hll_union_agg(c).alias(c) for c in partials.columns if c.startswith("hll_")]
+    return cube_panel(partials, dims, [F.sum("n").alias("n"), *kll, *hll], always)
+
+
+def sketch_values(cells: DataFrame, qs: list[float]) -> DataFrame:
+    """Cells with each sketch read off: q_<value>, an array of quantiles in the order of qs (null without values), and d_<column>, a distinct count."""
+    drop = [c for c in cells.columns if c.startswith(("kll_", "hll_"))]
+    read = []
+    for c in drop:
+        if c.startswith("kll_"):
+            some = F.kll_sketch_get_n_double(c) > 0
+            read.append(F.when(some, F.array(*[F.kll_sketch_get_quantile_double(c, F.lit(q)) for q in qs])).alias(f"q_{c[4:]}"))
+        else:
+            read.append(F.hll_sketch_estimate(c).alias(f"d_{c[4:]}"))
+    return cells.select("*", *read).drop(*drop)
+
+
 def cube_rows(df: DataFrame, dims: list[str], always: tuple[str, ...] = ()) -> DataFrame:
     """df once for each subset of dims, 'ALL' standing for those that are rolled up."""
     for d in (d for d in dims if d not in always):

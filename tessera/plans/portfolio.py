@@ -199,6 +199,15 @@ def a7(spark, sf):
     return panels.quantiles(bucketed(spark, sf), ["snapshot"], "total_value", QS, "discrete")
 
 
+@query("a8_sketch_cube")
+def a8_cube(spark, sf):
+    """Quartiles of value and number of addresses of every cell of the cube, from stored partial sketches alone."""
+    dims = ["snapshot", "type", "wealth", "size"]
+    partials = s.saved(panels.sketch_partials(bucketed(spark, sf), dims, ["total_value"], ["address"]), "sketches")
+    out = panels.sketch_values(panels.sketch_cube(partials, dims, always=("snapshot",)), [0.25, 0.5, 0.75])
+    return out.select(*dims, "n", *[F.col("q_total_value")[i].alias(c) for i, c in enumerate(("p25", "p50", "p75"))], F.col("d_address").alias("addresses"))
+
+
 @query("a8_approx_quantiles")
 def a8(spark, sf):
     return panels.quantiles(bucketed(spark, sf), ["snapshot"], "total_value", [i / 10 for i in range(1, 10)], "approx")

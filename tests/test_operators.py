@@ -427,3 +427,27 @@ def test_a_hot_key_is_many_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_sketch_cube_against_exact_cells(spark):
+    rng = np.random.default_rng(23)
+    data = [(int(i % 2), ["a", "b", "c", None][int(rng.integers(0, 4))], ["x", "y"][int(i % 7 == 0)], float(v), f"w{int(rng.integers(0, 9000))}") for i, v in enumerate(rng.lognormal(3, 2, 30_000))]
+    df = spark.createDataFrame([*data, (0, "a", "z", None, None)], "snapshot int, kind string, side string, v double, address string").repartition(6)
+    dims, qs = ["snapshot", "kind", "side"], [0.05, 0.25, 0.5, 0.75, 0.95]
+    partials = panels.sketch_partials(df, dims, ["v"], ["address"])
+    # Partials of parts of the data, put together, serve as well as those of the whole.
+    halves = [panels.sketch_partials(df.filter(F.hash("address", "v") % 2 == i), dims, ["v"], ["address"]) for i in (0, 1, -1)]
+    exact = panels.cube_panel(df, dims, [F.count("*").alias("n"), F.collect_list("v").alias("vs"), F.countDistinct("address").alias("d")], always=("snapshot",))
+    want = {(r.snapshot, r.kind, r.side): r for r in exact.collect()}
+    for source in (partials, halves[0].unionByName(halves[1]).unionByName(halves[2])):
+        got = {(r.snapshot, r.kind, r.side): r for r in panels.sketch_values(panels.sketch_cube(source, dims, always=("snapshot",)), qs).collect()}
+        assert set(got) == set(want) and len(got) > 20
+        for cell, r in got.items():
+            own = np.sort(want[cell].vs)
+            assert r.n == want[cell].n and abs(r.d_address - want[cell].d) <= max(2, 0.04 * want[cell].d)
+            if not len(own):
+                assert r.q_v is None
+                continue
+            for q, v in zip(qs, r.q_v, strict=True):
+                low, high = np.searchsorted(own, v, "left") / len(own), np.searchsorted(own, v, "right") / len(own)
+                assert low - 0.012 - 1 / len(own) <= q <= high + 0.012 + 1 / len(own)
