@@ -20,6 +20,13 @@ MIX = ([(0, "none"), (0.25, "0-25%"), (0.5, "25-50%"), (0.75, "50-75%")], "75-10
 TURNOVER = ([(1e-12, "0"), (0.001, "0-0.1%"), (0.01, "0.1-1%"), (0.05, "1-5%"), (0.1, "5-10%"), (0.25, "10-25%"), (0.5, "25-50%"), (0.75, "50-75%")], "75-100%", True)
 DISTANCE = ([(0, "0"), (1, "0-1%"), (20, "1-20%"), (40, "20-40%"), (60, "40-60%"), (80, "60-80%"), (100, "80-100%")], None, True)
 RETURNS = ([(-0.5, "<-50%"), (-0.25, "-50--25%"), (-0.1, "-25--10%"), (0, "-10-0%"), (0.1, "0-10%"), (0.25, "10-25%"), (0.5, "25-50%")], ">=50%", False)
+ASSETS = ([(0, "0"), (1, "1"), (5, "2–5"), (10, "5–10"), (20, "10–20"), (50, "20–50"), (100, "50–100")], ">100", True)
+TOKENS = ([(2, "1-2"), (5, "3-5"), (10, "6-10"), (20, "11-20"), (50, "21-50")], "50+", True)
+WEI = ([(1, "0 (emptied)"), (10**15, "<0.001 ETH (dust)"), (10**17, "0.001 - 0.1 ETH"), (10**18, "0.1 - 1 ETH"), (1e19, "1 - 10 ETH"), (1e20, "10 - 100 ETH"), (1e22, "100 - 10k ETH")], ">= 10k ETH (whale)", False)
+POSITION_USD = ([(1, "<$1"), (5, "$1-5"), (10, "$5-10"), (20, "$10-20"), (50, "$20-50"), (100, "$50-100"), (1_000, "$100-1k"), (10_000, "$1k-10k")], ">$10k", False)
+POSITION_UNITS = ([(0.001, "<0.001"), (0.01, "0.001-0.01"), (0.1, "0.01-0.1"), (1, "0.1-1"), (10, "1-10")], ">10", False)
+POSITION_SHARE = ([(0.05, "<5%"), (0.10, "5-10%"), (0.25, "10-25%"), (0.50, "25-50%"), (0.75, "50-75%"), (0.95, "75-95%")], ">=95%", False)
+GAS_USD = (5, 10, 20, 50, 100)
 HOLDERS = ([(100, "<=100"), (1_000, "100-1K"), (10_000, "1K-10K")], ">10K", True)
 
 
@@ -62,6 +69,11 @@ def histogram(df: DataFrame, dims: list[str], label: Column) -> DataFrame:
     return df.withColumn("bin", label).groupBy(*dims, "bin").agg(F.count("*").alias("n"))
 
 
+def below_thresholds(df: DataFrame, dims: list[str], value: Column, thresholds: tuple = GAS_USD) -> DataFrame:
+    """dims, n and, for each threshold, the rows whose value is below it: positions that a fee of so much would eat up."""
+    return df.groupBy(*dims).agg(F.count("*").alias("n"), *[F.count_if(value < t).alias(f"n_below_{t}") for t in thresholds])
+
+
 def ventiles(df: DataFrame, x: str, y: str, n: int = 20) -> DataFrame:
     """Per n-quantile bin of x, by discrete quantile edges so that ties share a bin: rows, mean and median of x and y."""
     qs = [i / n for i in range(1, n)]

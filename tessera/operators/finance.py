@@ -281,6 +281,18 @@ def zero_counts(df: DataFrame, cols: list[str], near: float = 1e-6) -> DataFrame
     return df.agg(F.count("*").alias("n"), *[F.count_if(F.col(c) == 0).alias(f"zero_{c}") for c in cols], *[F.count_if(F.col(c) <= near).alias(f"near_{c}") for c in cols], F.count_if(every).alias("all_zero"))
 
 
+def benchmark_check(wallets: DataFrame, benchmark: DataFrame, strategies: list[str]) -> DataFrame:
+    """One row: snapshots, the greatest spread of the stored market return within one, snapshots without a benchmark return, the share of the others in which the benchmark beats the market, and, for each strategy, the median over snapshots of the share of its wallets that beat the benchmark.
+
+    benchmark has snapshot and bench. Comparisons are on values rounded to 12 digits.
+    """
+    rows = wallets.join(benchmark, "snapshot", "left")
+    beat = lambda s: F.avg((F.round(f"ret_{s}", 12) > F.round("bench", 12)).cast("int")).alias(f"_{s}")
+    per = rows.groupBy("snapshot").agg((F.max("market") - F.min("market")).alias("_spread"), F.first("bench").alias("_bench"), F.max("market").alias("_market"), *map(beat, strategies))
+    wins = F.avg((F.round("_bench", 12) > F.round("_market", 12)).cast("int"))
+    return per.agg(F.count("*").alias("n"), F.max("_spread").alias("max_spread"), F.count_if(F.col("_bench").isNull()).alias("missing"), wins.alias("share_beats_market"), *[F.median(f"_{s}").alias(f"median_beat_{s}") for s in strategies])
+
+
 def check_market(market: DataFrame, recomputed: DataFrame, tol: float = 1e-6) -> DataFrame:
     """One row: snapshots with both, greatest difference of stored and recomputed market return, shares where the stored is higher and within tol, and snapshots that only one side has; of no common snapshot the measures are null."""
     both = market.select("snapshot", "mkt").join(recomputed.select("snapshot", F.col("mkt").alias("again")), "snapshot", "full_outer")

@@ -102,6 +102,15 @@ def average_ranks(df: DataFrame, col: str, into: str, keys: list[str] | None = N
     return df.join(ranks, [*keys, col])
 
 
+def least_correlation(df: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """keys, n and the least correlation of any two of the columns, over the rows of each key; null where no pair has one."""
+    pairs = [F.corr(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    # A column that does not vary has no correlation.
+    found = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.nanvl(c, F.lit(None).cast("double")).alias(f"_c{i}") for i, c in enumerate(pairs)])
+    names = [f"_c{i}" for i in range(len(pairs))]
+    return found.withColumn("least", F.array_min(F.array(*names))).drop(*names)
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
     """Rank correlation of two columns over the rows that have both."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())

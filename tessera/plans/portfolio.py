@@ -337,6 +337,8 @@ binned("h2_wealth_below", "total_value", h.WEALTH_BELOW, accounts, "typed", {"ac
 binned("h3_backtest_wealth", "total_value", h.BACKTEST_WEALTH, accounts, "typed", {"acc": "SELECT * FROM typed"}, "UNKNOWN")
 binned("h4_size", "num_tokens", h.SIZE, accounts, "typed", {"acc": "SELECT * FROM typed"})
 binned("h5_size_fine", "num_tokens", h.SIZE_FINE, accounts, "typed", {"acc": "SELECT * FROM typed"})
+binned("h5_assets", "num_tokens", h.ASSETS, accounts, "typed", {"acc": "SELECT * FROM typed"})
+binned("h5_tokens", "num_tokens", h.TOKENS, accounts, "typed", {"acc": "SELECT * FROM typed"})
 ROUNDED = {"conc": CONC["conc"], "c": "SELECT snapshot, round(max_weight, 9) AS max_weight, round(1 / hhi, 6) AS effective_n FROM conc"}
 binned("h6_max_weight", "max_weight", h.MAX_WEIGHT, n7, "folded", ROUNDED)
 binned("h6_effective_n", "effective_n", h.EFFECTIVE_N, n7, "folded", ROUNDED)
@@ -363,6 +365,31 @@ def h14(spark, sf):
     return rows.groupBy("snapshot", "bin").agg(F.count("*").alias("n"), F.sum("balance").alias("held"))
 
 
+#: Positions of the native token beside the account's value: the given units and prices are large, so parts of them fill the bins.
+NATIVE_SQL = {"nat": f"SELECT snapshot, round(value::DOUBLE / 100000, 6) AS usd, round(balance / 100, 6) AS units, round(value::DOUBLE / nullif(total_value, 0), 9) AS share, round(balance * balance, 0) * 1e16 AS wei FROM positions JOIN accounts USING (snapshot, address) WHERE token = '{d.NATIVE}'"}
+
+
+def native_positions(spark, sf):
+    rows = positions(spark, sf).filter(F.col("token") == d.NATIVE).join(accounts(spark, sf).select("snapshot", "address", "total_value"), ["snapshot", "address"])
+    return rows.select("snapshot", F.round(F.col("value").cast("double") / 100_000, 6).alias("usd"), F.round(F.col("balance") / 100, 6).alias("units"), F.round(F.try_divide(F.col("value").cast("double"), F.col("total_value")), 9).alias("share"), (F.round(F.col("balance") * F.col("balance"), 0) * 1e16).alias("wei"))
+
+
+binned("h14_position_usd", "usd", h.POSITION_USD, native_positions, "positions accounts", NATIVE_SQL)
+binned("h14_position_units", "units", h.POSITION_UNITS, native_positions, "positions accounts", NATIVE_SQL)
+binned("h14_position_share", "share", h.POSITION_SHARE, native_positions, "positions accounts", NATIVE_SQL)
+
+
+@query("h14_wei_held", sql("positions accounts", f"SELECT snapshot, {h.bin_sql('wei', h.WEI)} AS bin, count(*) AS n, sum(wei) AS held FROM nat GROUP BY ALL", NATIVE_SQL))
+def h14_wei(spark, sf):
+    rows = native_positions(spark, sf).withColumn("bin", h.bin(F.col("wei"), h.WEI))
+    return rows.groupBy("snapshot", "bin").agg(F.count("*").alias("n"), F.sum("wei").alias("held"))
+
+
+@query("h14_gas_thresholds", sql("positions accounts", "SELECT snapshot, count(*) AS n, " + ", ".join(f"count(*) FILTER (usd < {t}) AS n_below_{t}" for t in h.GAS_USD) + " FROM nat GROUP BY snapshot", NATIVE_SQL))
+def h14_gas(spark, sf):
+    return h.below_thresholds(native_positions(spark, sf), ["snapshot"], F.col("usd"))
+
+
 @query("h16_first_match", sql("typed", "SELECT CASE WHEN type = 'CA' THEN 'contract' WHEN num_tokens >= 10 THEN 'wide' WHEN total_value > 1e6 THEN 'rich' ELSE 'other' END AS bin, count(*) AS n FROM typed GROUP BY 1"))
 def h16(spark, sf):
     label = h.first_match([("contract", F.col("type") == "CA"), ("wide", F.col("num_tokens") >= 10), ("rich", F.col("total_value") > 1e6)], "other")

@@ -279,22 +279,27 @@ BY_WEALTH = {k: v for k, v in PANEL.items() if k != "marks"} | {
 
 
 def strategies(spark, sf, optimised):
-    """Outcomes of the current, equal and market-cap weights and, if optimised, of the three goals, with wealth bin and market return."""
+    """(wallet outcomes, worked out once for each session; names) of the current, equal and market-cap weights and, if optimised, of the three goals."""
+    names_ = ["base", "return", "variance", "sharpe", "equal", "mcap"] if optimised else ["base", "equal", "mcap"]
+    return s.stored(spark, sf, "optimised" if optimised else "naive", lambda: strategy_rows(spark, sf, names_)), names_
+
+
+def strategy_rows(spark, sf, names_):
+    """Outcomes of the strategies, with wealth bin and market return."""
     keys = ["snapshot", "address"]
     rows = folded(spark, sf).filter("value > 0").withColumn("value", F.col("value").cast("double"))
     capped_rows = f.naive_weights(f.capped_weights(rows, keys).withColumnRenamed("weight", "w_base"), keys, "equal").withColumnRenamed("weight", "w_equal")
     prices0 = horizon(spark, sf)
     caps = b.supply_at(d.transfers(spark, sf), SNAPS).join(prices0, ["snapshot", "token"]).select("snapshot", "token", b.market_cap(F.col("supply").cast("double"), F.col("p0")).alias("cap"))
     every = f.naive_weights(capped_rows.join(caps, ["snapshot", "token"], "left"), keys, "cap").withColumnRenamed("weight", "w_mcap").withColumn("weight", F.col("w_base"))
-    names_ = ["base", "equal", "mcap"]
-    if optimised:
+    if "sharpe" in names_:
         best = optimal(spark, sf).select(*keys, "token", *[c for g in ("return", "variance", "sharpe") for c in (f"w_{g}", f"fallback_{g}")])
-        every, names_ = every.join(best, [*keys, "token"]).drop("fallback_sharpe"), ["base", "return", "variance", "sharpe", "equal", "mcap"]
+        every = every.join(best, [*keys, "token"]).drop("fallback_sharpe")
     rets = panel_rets(spark, sf)
     out = f.strategy_outcomes(every.select(*keys, "token", "value", "weight", *[f"w_{x}" for x in names_], *[c for c in every.columns if c.startswith("fallback_")]), prices0, f.token_betas(rets, f.market_daily(rets, d.BENCHMARKS)), names_)
     two = every.groupBy(*keys).agg(F.count("*").alias("n")).filter("n >= 2").drop("n")
     out = out.join(two, keys, "left_semi").join(forward_market(spark, sf), "snapshot", "left")
-    return out.withColumn("wealth", h.bin(F.col("total"), h.BACKTEST_WEALTH, "UNKNOWN")), names_
+    return out.withColumn("wealth", h.bin(F.col("total"), h.BACKTEST_WEALTH, "UNKNOWN"))
 
 
 @query("p21_wealth", sql("folded prices transfers snaps", """SELECT snapshot, wealth, strategy, count(ret) AS n, round(avg(CASE WHEN strategy <> 'base' AND ret IS NOT NULL AND base IS NOT NULL THEN (ret > base)::INTEGER END), 8) AS hit_rate, round(avg(ret), 7) AS strategy_mean, round(avg(l1), 7) AS l1_mean, round(avg(beta), 5) AS beta_mean, round(avg(base), 7) AS baseline_mean, round(max(market), 7) AS market_mean, NULL::DOUBLE AS fallback_rate,
@@ -326,6 +331,13 @@ def p29(spark, sf):
     return f.check_market(m, again).select("n", F.round("max_diff", 7).alias("max_diff"), F.round("share_equal", 8).alias("share_equal"), "only_stored", "only_recomputed")
 
 
+@query("p29_benchmark", over_wallets(f"""SELECT count(*) AS n, max(spread) AS max_spread, count(*) FILTER (bench IS NULL) AS missing, round(avg((round(bench, 12) > round(market, 12))::INTEGER), 8) AS share_beats_market, round(median(b), 8) AS median_beat_base, round(median(e), 8) AS median_beat_equal
+  FROM (SELECT snapshot, max(market) - min(market) AS spread, max(market) AS market, max(bench) AS bench, avg((round(ret_base, 12) > round(bench, 12))::INTEGER) AS b, avg((round(ret_equal, 12) > round(bench, 12))::INTEGER) AS e FROM outcomes LEFT JOIN (SELECT snapshot, p1 / p0 - 1 AS bench FROM ends WHERE token = '{d.NATIVE}') USING (snapshot) GROUP BY snapshot)"""))
+def p29_benchmark(spark, sf):
+    native = horizon(spark, sf).filter(F.col("token") == d.NATIVE).select("snapshot", (F.col("p1") / F.col("p0") - 1).alias("bench"))
+    return r(f.benchmark_check(wallets(spark, sf), native, ["base", "equal"]), 8)
+
+
 @query("h9_distance", over_wallets(f"SELECT {h.bin_sql('round(l1 * 50, 7)', h.DISTANCE)} AS bin, count(*) AS n FROM outcomes GROUP BY 1"))
 def h9(spark, sf):
     return h.histogram(wallets(spark, sf), [], h.bin(F.round(F.col("l1") * 50, 7), h.DISTANCE))

@@ -220,6 +220,11 @@ def m27(spark, sf):
     return r(m.over_snapshots(per, ["size"], "x"), 8)
 
 
+@query("m27_least_correlation", over_valid("SELECT snapshot, count(*) AS n, round(least(" + ", ".join(f"CASE WHEN max({a}) > min({a}) AND max({b}) > min({b}) THEN corr({a}, {b}) END" for a, b in (("hhi", "l1"), ("hhi", "ret_base"), ("hhi", "ret_equal"), ("l1", "ret_base"), ("l1", "ret_equal"), ("ret_base", "ret_equal"))) + "), 7) AS least FROM ok GROUP BY snapshot"))
+def m27_correlation(spark, sf):
+    return r(m.least_correlation(valid(spark, sf), ["hhi", "l1", "ret_base", "ret_equal"], ["snapshot"]), 7)
+
+
 @query("m28_minmax", over_valid("SELECT snapshot, round(avg((greatest(lo, least(hi, hhi)) - lo) / (hi - lo)), 8) AS mean FROM ok JOIN (SELECT snapshot, quantile_cont(hhi, 0.05) AS lo, quantile_cont(hhi, 0.95) AS hi FROM ok GROUP BY snapshot) USING (snapshot) GROUP BY snapshot"))
 def m28(spark, sf):
     return r(m.minmax(valid(spark, sf), ["snapshot"], "hhi").groupBy("snapshot").agg(F.avg("hhi_scaled").alias("mean")), 8)
