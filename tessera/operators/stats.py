@@ -190,8 +190,103 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(out, schema)
 
 
-def quantile_reg(df: DataFrame, y: str, xs: list[str], q: float, rounds: int = 60, eps: float = 1e-6) -> DataFrame:
-    """term, coef, std_error, t, p of a quantile regression, and whether it settled, by iterated weighted least squares: each step one aggregation pass.
+#: Rows of a quantile regression that the driver solves at a time.
+BAND = 20_000
+
+
+def vertex(x: np.ndarray, y: np.ndarray, w: np.ndarray, q: float, pull: np.ndarray) -> np.ndarray | None:
+    """The coefficients b that minimise sum w rho_q(y - x b) + pull b, by exchanging one of the rows that the fit passes through at a time; None if there is no least value."""
+    n, p = x.shape
+    if n < p:
+        return None
+    y = y + 1e-11 * (np.abs(y).max() or 1.0) * np.random.default_rng(0).random(n)  # no two rows tie
+    start = np.linalg.lstsq(x * w[:, None] ** 0.5, y * w**0.5, rcond=None)[0]
+    basis: list[int] = []
+    rest = np.zeros((0, p))
+    for i in np.argsort(np.abs(y - x @ start), kind="stable"):
+        if np.linalg.matrix_rank(np.vstack([rest, x[i]])) > len(basis):
+            basis, rest = [*basis, int(i)], np.vstack([rest, x[i]])
+            if len(basis) == p:
+                break
+    if len(basis) < p:
+        return None
+    for _ in range(50 * p + 20 * int(np.sqrt(n)) + 200):
+        inverse = np.linalg.inv(x[basis])
+        b = inverse @ y[basis]
+        r = y - x @ b
+        r[basis] = 0
+        u = inverse.T @ (pull - (w * np.where(r > 0, q, np.where(r < 0, q - 1, 0))) @ x)
+        over, under = u - q * w[basis], (q - 1) * w[basis] - u
+        worst = int(np.argmax(np.maximum(over, under)))
+        if max(over[worst], under[worst]) <= 1e-9 * w.sum():
+            return b
+        step = -inverse[:, worst] if over[worst] >= under[worst] else inverse[:, worst]
+        slope, along = -max(over[worst], under[worst]), x @ step
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where((np.abs(along) > 1e-14) & (r * along > 0), r / along, np.inf)
+        order = np.argsort(t, kind="stable")[: int(np.isfinite(t).sum())]
+        passed = np.flatnonzero(slope + np.cumsum(w[order] * np.abs(along[order])) >= 0)
+        if not len(passed):
+            return None
+        basis[worst] = int(order[passed[0]])
+    return None
+
+
+def quantile_coefficients(rows: DataFrame, terms: list[str], y: str, q: float, n: int, band: int = BAND) -> tuple[np.ndarray, bool, int]:
+    """(coefficients, whether they are the optimum, passes over the rows) of a quantile regression over n rows.
+
+    A sample is solved; rows far from its fit keep their side and count as sums alone, those in a band about it are solved
+    anew, and the fit stands once every far row is on the side that it was given. A band of more than ``band`` rows is
+    solved on a sample of them first, which narrows it.
+    """
+
+    def fitted(b: np.ndarray) -> Column:
+        return F.col(y) - reduce(lambda acc, t: acc + F.lit(float(t[1])) * F.col(t[0]), zip(terms, b, strict=True), F.lit(0.0))
+
+    def taken(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        table = df.select(*terms, y).toArrow()
+        return np.column_stack([table[t].to_numpy() for t in terms]), table[y].to_numpy()
+
+    hashed = F.xxhash64(*terms, y, F.lit(13))
+    few = rows if n <= band else rows.filter(F.abs(hashed % (1 << 30)) < int(band * 0.8 / n * (1 << 30)))
+    x, v = taken(few)
+    none = np.zeros(len(terms))
+    b, passes = vertex(x, v, np.ones(len(v)), q, none), 1
+    if b is None:
+        return (np.linalg.pinv(x) @ v if len(v) else none), False, passes
+    if n <= band:
+        return b, True, passes
+    share = max(4 * np.sqrt(len(terms) / len(v)), 0.25 * band / n)
+    for _ in range(12):
+        half = float(np.quantile(np.abs(v - x @ b), min(share, 1.0)))
+        e = fitted(b)
+        inside = F.abs(e) <= half
+        sides = rows.agg(F.count_if(inside).alias("m"), *[F.sum(F.when(e > half, F.col(t)).otherwise(0.0)).alias(f"a{i}") for i, t in enumerate(terms)], *[F.sum(F.when(e < -half, F.col(t)).otherwise(0.0)).alias(f"b{i}") for i, t in enumerate(terms)]).first()
+        k = range(len(terms))
+        pull = -q * np.array([sides[f"a{i}"] for i in k]) + (1 - q) * np.array([sides[f"b{i}"] for i in k])
+        whole = sides.m <= band
+        near = rows.filter(inside) if whole else rows.filter(inside & (F.abs(hashed % (1 << 30)) < int(band * 0.8 / sides.m * (1 << 30))))
+        xs, vs = taken(near)
+        passes += 2
+        # pull is the gradient of the far rows' share of the loss; the solver wants it as a linear term.
+        new = vertex(xs, vs, np.full(len(vs), 1.0 if whole else sides.m / max(len(vs), 1)), q, pull)
+        if new is None:
+            share *= 3
+            continue
+        if not whole:
+            x, v, b, share = xs, vs, new, max(8 * np.sqrt(len(terms) / len(vs)) , 0.25 * band / sides.m)
+            continue
+        after = fitted(new)
+        wrong = rows.agg(F.count_if((e > half) & (after < 0) | (e < -half) & (after > 0))).first()[0]
+        passes += 1
+        if not wrong:
+            return new, True, passes
+        b, share = new, share * 2
+    return b, False, passes
+
+
+def quantile_reg(df: DataFrame, y: str, xs: list[str], q: float, band: int = BAND) -> DataFrame:
+    """term, coef, std_error, t, p of a quantile regression at its exact optimum, and whether that was reached (settled).
 
     Errors are of the sandwich form: the density of residuals at zero by an Epanechnikov kernel, its width by Hall and
     Sheather's rule. Of no rows all is null.
@@ -207,14 +302,7 @@ def quantile_reg(df: DataFrame, y: str, xs: list[str], q: float, rounds: int = 6
     def residual(coef: np.ndarray) -> Column:
         return F.col(y) - reduce(lambda acc, x: acc + F.lit(float(x[1])) * F.col(x[0]), zip(terms, coef, strict=True), F.lit(0.0))
 
-    coef, settled = np.zeros(p), False
-    for i in range(rounds):
-        e = residual(coef)
-        a, b, _, _ = normal_equations(rows, terms, y, F.when(e >= 0, q).otherwise(1 - q) / F.greatest(F.abs(e), F.lit(eps * scale)) if i else None)
-        new = np.linalg.pinv(a) @ b
-        moved, coef = np.abs(new - coef).max(), new
-        if settled := bool(i and moved <= 1e-6 * max(scale, np.abs(new).max())):
-            break
+    coef, settled, _ = quantile_coefficients(rows, terms, y, q, n, band)
     left = rows.withColumn("_e", residual(coef))
     quarters = exact_quantiles(left, [], "_e", [0.25, 0.75]).first().q
     normal = NormalDist()

@@ -451,3 +451,22 @@ def test_sketch_cube_against_exact_cells(spark):
             for q, v in zip(qs, r.q_v, strict=True):
                 low, high = np.searchsorted(own, v, "left") / len(own), np.searchsorted(own, v, "right") / len(own)
                 assert low - 0.012 - 1 / len(own) <= q <= high + 0.012 + 1 / len(own)
+
+
+def test_quantile_regression_reaches_the_vertex(spark):
+    rng = np.random.default_rng(29)
+    for trial in range(120):  # against all fits through as many rows as there are terms
+        p, n, q = int(rng.integers(1, 4)), int(rng.integers(4, 13)), float(rng.choice([0.1, 0.25, 0.5, 0.9]))
+        x = np.column_stack([np.ones(n), *rng.normal(size=(p - 1, n))])
+        y, w = rng.normal(size=n) if trial % 2 else np.round(rng.normal(size=n)), rng.choice([1.0, 2.0, 3.0], n)
+        loss = lambda b: (w * np.where(y >= x @ b, q * (y - x @ b), (q - 1) * (y - x @ b))).sum()  # noqa: B023, E731
+        assert loss(stats.vertex(x, y, w, q, np.zeros(p))) <= min(loss(np.linalg.solve(x[list(c)], y[list(c)])) for c in itertools.combinations(range(n), p)) + 1e-8
+    n = 60_000
+    x = np.column_stack([np.ones(n), rng.normal(size=n), rng.integers(0, 3, n)])
+    y = x @ [1, 2, -1] + rng.standard_t(2, n) * (1 + x[:, 2])
+    df = spark.createDataFrame(np.column_stack([x, y]).tolist(), "const double, a double, b double, y double").repartition(4).cache()
+    for q in (0.5, 0.9):
+        want = stats.vertex(x, y, np.ones(n), q, np.zeros(3))
+        for band in (100_000, 6_000, 800):  # all rows, a band of them, and a band that is sampled first
+            found, settled, passes = stats.quantile_coefficients(df, ["const", "a", "b"], "y", q, n, band)
+            assert settled and found == pytest.approx(want, abs=1e-7) and passes <= {100_000: 1, 6_000: 8, 800: 40}[band]
