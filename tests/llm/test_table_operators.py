@@ -400,7 +400,7 @@ def brute_sketch(text):
 
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
-        return [0] * 6
+        return [0] * (simhash.SEEDS + 1)
 
     def shingles(width):
         out, width = [], min(width, len(words))
@@ -414,14 +414,14 @@ def brute_sketch(text):
     def majority(hashes):
         return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
-    return [majority([mixed((h + (k + 1) * 0x9E3779B97F4A7C15) & whole) for h in shingles(2)]) for k in range(5)] + [majority(shingles(5))]
+    return [majority([mixed((h + (k + 1) * 0x9E3779B97F4A7C15) & whole) for h in shingles(2)]) for k in range(simhash.SEEDS)] + [majority(shingles(5))]
 
 
 def near_groups(texts):
     """Least id of each group of near copies, by comparing all pairs of sketches."""
     ids, values = [i for i, _ in texts], np.array([brute_sketch(t) for _, t in texts], np.uint64)
     apart = lambda i: np.bitwise_count(values ^ values[i])
-    return grouped_by(ids, lambda i: np.flatnonzero((apart(i)[:, :5].min(axis=1) <= 4) & (apart(i)[:, 5] <= 14)))
+    return grouped_by(ids, lambda i: np.flatnonzero((apart(i)[:, :-1].min(axis=1) <= 4) & (apart(i)[:, -1] <= 14)))
 
 
 def components_of(fps):
