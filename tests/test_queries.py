@@ -196,3 +196,35 @@ def test_joins_and_reverts_by_hand(spark):
     traces = [("t", "", None), ("t", "0", "out of gas"), ("t", "0,1", None), ("t", "0", "out of gas"), ("t", "1", None), ("t", "10", None), ("u", "0,1", None), ("v", "", "bad"), ("v", "3,4", None)]
     df = spark.createDataFrame(traces, "tx_hash string, trace_address string, error string").repartition(3)
     assert sorted((r.tx_hash, r.trace_address) for r in ledger.drop_reverted_subtrees(df).collect()) == [("t", ""), ("t", "1"), ("t", "10"), ("u", "0,1")]
+
+
+def test_accounts_are_not_dealt_again(spark):
+    """Positions come dealt by address, and tables of tokens are known to be small: what goes by account shuffles nothing."""
+    from tessera.operators import finance, positions
+    from tessera.plans import portfolio, returns
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    w = positions.weights(portfolio.folded(spark, SF))
+    for df in (w, positions.turnover(portfolio.folded(spark, SF), portfolio.SNAPS), finance.path_metrics(w, portfolio.d.prices(spark, SF), portfolio.DAYS), returns.outcomes(spark, SF).drop("market"), QUERIES["p16_portfolio_beta"](spark, SF), QUERIES["p18_metrics"](spark, SF)):
+        text = plan(df)
+        assert "Exchange hashpartitioning" not in text and "SortMergeJoin" not in text
+    assert "Exchange" not in plan(QUERIES["p13_forward_returns"](spark, SF))
+    assert "hashpartitioning(address" not in plan(QUERIES["m23_beta_by_exact_n"](spark, LARGER)) and "SortMergeJoin" not in plan(QUERIES["m28_minmax"](spark, LARGER))
+
+
+def test_quantiles_count_magnitudes_first(spark):
+    """Only values of the magnitudes that hold a quantile are dealt; nulls, NaN, null keys, ties and negative values are as before."""
+    import numpy as np
+
+    from tessera.operators import ranks
+
+    rng = np.random.default_rng(3)
+    values = {"a": np.round(rng.normal(size=3000), 2), "b": rng.exponential(size=7) - 1, None: np.zeros(40)}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r.q for r in ranks.exact_quantiles(df, ["k"], "v", [0.0, 0.05, 0.5, 0.95, 1.0]).collect()}
+    assert {k: np.round(q, 12).tolist() for k, q in got.items()} == {k: np.round(np.quantile(v, [0.0, 0.05, 0.5, 0.95, 1.0]), 12).tolist() for k, v in values.items()}
+    dealt = ranks.places(df, ["k"], "v", lambda n: ranks.F.array(n)).groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in dealt}["a"] < 200
