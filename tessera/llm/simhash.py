@@ -19,6 +19,8 @@ fingerprint that a third of all rows share, the root of a large component) among
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -31,6 +33,8 @@ from tessera.llm.common import forget, fresh, saved
 BITS = 64
 #: Fingerprints of a table's group that are compared in one task, in expectation.
 BLOCK = 1024
+#: Tables of each place, from one to below another, that are searched within blocks before all are.
+STARTS = ((0, 1), (1, 7))
 
 
 def fingerprint_of(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -123,16 +127,23 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in range(BITS) if (vectors[i] & v).bit_count() & 1) for v in range(1, n + 1)], np.uint64)
 
 
-def _forest(fps: np.ndarray, table: int, radius: int, covering: np.ndarray, sure: np.ndarray | None = None, bits: int = 0) -> list[tuple[int, int]]:
+def _forest(fps: np.ndarray, table: int, radius: int, covering: np.ndarray, sure: np.ndarray | None = None, bits: int = 0, roots: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Places of both ends of a spanning forest of the links whose first common table is this one.
 
-    With sure, other fingerprints of the same texts, these may differ in so many bits at most.
+    With sure, other fingerprints of the same texts, these may differ in so many bits at most. With roots, those of one
+    root are linked already: no link of theirs is returned.
     """
     out, left = [], np.ones(len(fps), bool)
+
+    def reached(x: int) -> list[int]:
+        same = np.array([x]) if roots is None else np.flatnonzero(left & (roots == roots[x]))
+        left[same] = False
+        return same.tolist()
+
     for root in range(len(fps)):
         if not left[root]:
             continue
-        left[root], queue = False, [root]
+        queue = reached(root)
         while queue:
             at = queue.pop()
             rest = np.flatnonzero(left)
@@ -144,10 +155,10 @@ def _forest(fps: np.ndarray, table: int, radius: int, covering: np.ndarray, sure
                 near &= np.bitwise_count(sure[rest] ^ sure[at]) <= bits
             rest, apart = rest[near], apart[near]
             if len(rest):
-                rest = rest[((apart[:, None] & covering) == 0).argmax(axis=1) == table]
-                left[rest] = False
-                queue += rest.tolist()
-                out += [(at, x) for x in rest.tolist()]
+                for x in rest[((apart[:, None] & covering) == 0).argmax(axis=1) == table].tolist():
+                    if left[x]:
+                        queue += reached(x)
+                        out.append((at, x))
     return out
 
 
@@ -156,28 +167,47 @@ def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK, bits: int | Non
 
     nodes has distinct longs node, and an array fp of fingerprints. Two nodes are linked if they are within the radius at
     any place of the array. With bits, the last fingerprint finds nothing: it may differ in so many bits at most.
+
+    The first tables of each place are searched within their blocks alone: one, which gives fewer links than it has rows, then a
+    few for what is not yet connected. All tables and pairs of blocks give links of what is left, one for each two parts, so that
+    the links of a dense group grow about as its size.
     """
+    found, known = [], nodes.withColumn("root", F.col("node"))
+    for start in STARTS:
+        found.append(saved(_links(known, radius, block, bits, start), "links"))
+        roots = components(reduce(DataFrame.unionByName, found)).select("node", F.col("root").alias("to"))
+        known = saved(nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("to", "node").alias("root")), "known")
+    return reduce(DataFrame.unionByName, [*found, _links(known, radius, block, bits, None)])
+
+
+def _links(nodes: DataFrame, radius: int, block: int, bits: int | None, start: tuple[int, int] | None) -> DataFrame:
+    """(a, b): links of nodes (node, fp, root) that connect what has different roots, one for each two roots; with start only those of the tables from one to below another of each place, within a block."""
     covering = masks(radius)
     signed, tables = [int(x) for x in covering.view(np.int64)], len(covering)
     used = F.size("fp") - (0 if bits is None else 1)
     places = F.flatten(F.transform(F.slice("fp", F.lit(1), used), lambda f: F.array(*[f.bitwiseAND(F.lit(m)) for m in signed])))
-    keyed = nodes.select("node", F.posexplode(places).alias("table", "key"))
-    shared = saved(keyed.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    keyed = nodes.select("node", "root", F.posexplode(places).alias("table", "key"))
+    keyed = keyed.filter((F.col("table") % tables >= start[0]) & (F.col("table") % tables < start[1])) if start else keyed
+    # A group that is one part already has nothing to give, however large it is.
+    shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    shared, keyed = saved(shared.select("table", "key", "n"), "shared"), keyed.drop("root")
     members = keyed.join(shared, ["table", "key"]).join(nodes, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.element_at("fp", (F.col("table") / tables).cast("int") + 1).alias("own")
-    member = F.struct("node", own, F.element_at("fp", -1).alias("sure"))
-    dealt = members.select("table", "key", member.alias("member"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    member = F.struct("node", own, F.element_at("fp", -1).alias("sure"), "root")
+    place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    others = F.array(place) if start else F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = members.select("table", "key", member.alias("member"), place.alias("block"), F.explode(others).alias("other"))
     groups = dealt.groupBy("table", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("member").alias("of"))
 
-    @F.arrow_udf("array<struct<a: long, b: long>>")
+    @F.arrow_udf("array<struct<a: long, b: long, c: long, d: long>>")
     def forest(table: pa.Array, groups: pa.Array) -> pa.Array:
-        offset, node, own, sure = groups.offsets.to_numpy(), *(groups.values.field(c).to_numpy().view(np.uint64) for c in ("node", "own", "sure"))
+        offset, node, own, sure, root = groups.offsets.to_numpy(), *(groups.values.field(c).to_numpy().view(np.uint64) for c in ("node", "own", "sure", "root"))
         table, n = table.to_numpy() % tables, np.diff(offset)
         found: dict[int, list[tuple[int, int]]] = {}
         two = np.flatnonzero(n == 2)
         at = offset[two]
         apart = own[at] ^ own[at + 1]
-        near = np.bitwise_count(apart) <= radius
+        near = (np.bitwise_count(apart) <= radius) & (root[at] != root[at + 1])
         if bits is not None:
             near &= np.bitwise_count(sure[at] ^ sure[at + 1]) <= bits
         two, at, apart = two[near], at[near], apart[near]
@@ -185,17 +215,18 @@ def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK, bits: int | Non
         found.update((g, [(x, x + 1)]) for g, x in zip(two[first].tolist(), at[first].tolist(), strict=True))
         for g in np.flatnonzero(n > 2).tolist():
             lo, hi = offset[g], offset[g + 1]
-            tree = _forest(own[lo:hi], int(table[g]), radius, covering, None if bits is None else sure[lo:hi], bits or 0)
+            tree = _forest(own[lo:hi], int(table[g]), radius, covering, None if bits is None else sure[lo:hi], bits or 0, root[lo:hi])
             found[g] = [(lo + a, lo + b) for a, b in tree]
         sizes = np.zeros(len(n) + 1, np.int32)
         for g, tree in found.items():
             sizes[g + 1] = len(tree)
         both = np.array([x for g in sorted(found) for x in found[g]], np.int64).reshape(-1, 2)
-        ends = [pa.array(node[both[:, k]].view(np.int64)) for k in (0, 1)]
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.StructArray.from_arrays(ends, names=["a", "b"]))
+        ends = [pa.array(of[both[:, k]].view(np.int64)) for of in (node, root) for k in (0, 1)]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.StructArray.from_arrays(ends, names=["a", "b", "c", "d"]))
 
     found = groups.filter(F.size("of") > 1).select(forest("table", "of").alias("found"))
-    return found.select(F.explode("found").alias("link")).select("link.a", "link.b").distinct()
+    link = found.select(F.explode("found").alias("x")).select("x.*").groupBy(F.least("c", "d"), F.greatest("c", "d")).agg(F.min(F.struct("a", "b")).alias("link"))
+    return link.select("link.a", "link.b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

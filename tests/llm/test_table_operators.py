@@ -577,3 +577,17 @@ def test_near_dedup_recall_from_a_similarity_of_four_fifths(spark):
     close = [i for i, x in enumerate(similar) if 0.8 <= x <= 0.85]
     assert len(close) > 100 and {2 * i for i in range(400)} <= kept
     assert sum(2 * i + 1 not in kept for i in close) >= 0.9 * len(close)
+
+
+def test_links_of_a_dense_cluster_grow_as_its_size(spark):
+    """A group of near copies that lies in many blocks and tables gives few links for each fingerprint, and is connected."""
+    rng = np.random.default_rng(15)
+    base, values = int(rng.integers(0, 1 << 62)), set()
+    while len(values) < 600:
+        values.add(base ^ sum(1 << int(i) for i in rng.choice(63, 2, replace=False)))
+    nodes = spark.createDataFrame([(i, [v]) for i, v in enumerate(sorted(values))], "node long, fp array<long>")
+    for block in (128, 1024):
+        edges = simhash.links(nodes, 4, block)
+        assert edges.count() < 4 * len(values)
+        roots = {r.node: r.root for r in simhash.components(edges).collect()}
+        assert set(roots.values()) == {0} and len(roots) + 1 >= len(values)
