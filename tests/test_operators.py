@@ -470,3 +470,16 @@ def test_quantile_regression_reaches_the_vertex(spark):
         for band in (100_000, 6_000, 800):  # all rows, a band of them, and a band that is sampled first
             found, settled, passes = stats.quantile_coefficients(df, ["const", "a", "b"], "y", q, n, band)
             assert settled and found == pytest.approx(want, abs=1e-7) and passes <= {100_000: 1, 6_000: 8, 800: 40}[band]
+
+
+def test_optimise_ships_no_covariance(spark):
+    """What is shuffled and written on the way to optimal portfolios is wallets and returns: no frontier, and no series on a set's row; two rates come from one pass."""
+    rng = np.random.default_rng(9)
+    rets = [(1, date.fromordinal(730000 + k), t, float(rng.normal(0.001 * (i + 1), 0.02))) for k in range(60) for i, t in enumerate("abc")]
+    inputs = o.set_inputs(spark.createDataFrame(rets, "snapshot int, day date, token string, ret double"))
+    weights = spark.createDataFrame([(1, f"w{i}", t, w) for i in range(5) for t, w in (("a", 0.5), ("b", 0.3), ("c", 0.2))], "snapshot int, address string, token string, weight double")
+    both = o.optimise(weights, inputs, goals=("sharpe",), other_rf=1e-4)
+    text = both._jdf.queryExecution().executedPlan().toString()
+    assert "corners" not in text and "cov#" not in text and text.count("FlatMapCoGroupsInPandas") == 1
+    again = {(r.address, r.token): r.w_sharpe for r in o.optimise(weights, inputs, rf=1e-4, goals=("sharpe",)).collect()}
+    assert all(again[r.address, r.token] == pytest.approx(r.w_other) for r in both.collect()) and len(again) == 15
