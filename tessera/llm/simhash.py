@@ -6,7 +6,7 @@ differing bits pose r equations in r+1 unknowns, so some v masks all of them: ev
 meets in some table, with no chance of a miss.
 
 Tables are grouped by (table, masked value). A group of more than ``block`` fingerprints is dealt into
-pairs of blocks, so no task holds an unbounded group, and each block pair yields a spanning forest of its
+blocks and then pairs of them, so no comparison holds an unbounded group, and each yields a spanning forest of its
 links, not all pairs. A link counts in the first table in which its two fingerprints meet.
 
 Null and empty texts have the fingerprint zero and link like any other. Repeated rows share a fingerprint
@@ -19,7 +19,7 @@ fingerprint that a third of all rows share, the root of a large component) among
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ from tessera.llm.common import forget, fresh, saved
 BITS = 64
 #: Fingerprints of a table's group that are compared in one task, in expectation.
 BLOCK = 1024
-#: Tables of each place, from one to below another, that are searched within blocks before all are.
-STARTS = ((0, 1), (1, 7))
+#: Keys that a task deals out, about.
+KEYS = 1 << 21
 
 
 def fingerprint_of(text: bytes, width: int = 4, seed: int = 42) -> int:
@@ -128,10 +128,10 @@ def masks(radius: int) -> np.ndarray:
 
 
 def _forest(fps: np.ndarray, table: int, radius: int, covering: np.ndarray, sure: np.ndarray | None = None, bits: int = 0, roots: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Places of both ends of a spanning forest of the links whose first common table is this one.
+    """Trees of the links whose first common table is this one, as stars: the place of a tree's first member, and of each member that it reaches.
 
     With sure, other fingerprints of the same texts, these may differ in so many bits at most. With roots, those of one
-    root are linked already: no link of theirs is returned.
+    root are linked already: they are not named again.
     """
     out, left = [], np.ones(len(fps), bool)
 
@@ -158,51 +158,61 @@ def _forest(fps: np.ndarray, table: int, radius: int, covering: np.ndarray, sure
                 for x in rest[((apart[:, None] & covering) == 0).argmax(axis=1) == table].tolist():
                     if left[x]:
                         queue += reached(x)
-                        out.append((at, x))
+                        out.append((root, x))
     return out
 
 
 def links(nodes: DataFrame, radius: int = 4, block: int = BLOCK, bits: int | None = None) -> DataFrame:
-    """(a, b): links that connect all pairs of nodes within the radius.
+    """(a, b): pairs that connect what links connect; all nodes within the radius are linked.
 
     nodes has distinct longs node, and an array fp of fingerprints. Two nodes are linked if they are within the radius at
     any place of the array. With bits, the last fingerprint finds nothing: it may differ in so many bits at most.
 
-    The first tables of each place are searched within their blocks alone: one, which gives fewer links than it has rows, then a
-    few for what is not yet connected. All tables and pairs of blocks give links of what is left, one for each two parts, so that
-    the links of a dense group grow about as its size.
+    All tables are searched within their groups' blocks first. Groups of several blocks that are not one part by then are
+    searched between these: pairs are of parts. A task's pairs are one for each node that it links, so that those of a dense
+    group grow about as its size. Keys are dealt once, with their nodes alone; the fingerprints are joined to what shares a key.
     """
-    found, known = [], nodes.withColumn("root", F.col("node"))
-    for start in STARTS:
-        found.append(saved(_links(known, radius, block, bits, start), "links"))
-        roots = components(reduce(DataFrame.unionByName, found)).select("node", F.col("root").alias("to"))
-        known = saved(nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("to", "node").alias("root")), "known")
-    return reduce(DataFrame.unionByName, [*found, _links(known, radius, block, bits, None)])
-
-
-def _links(nodes: DataFrame, radius: int, block: int, bits: int | None, start: tuple[int, int] | None) -> DataFrame:
-    """(a, b): links of nodes (node, fp, root) that connect what has different roots, one for each two roots; with start only those of the tables from one to below another of each place, within a block."""
     covering = masks(radius)
-    signed, tables = [int(x) for x in covering.view(np.int64)], len(covering)
-    used = F.size("fp") - (0 if bits is None else 1)
-    places = F.flatten(F.transform(F.slice("fp", F.lit(1), used), lambda f: F.array(*[f.bitwiseAND(F.lit(m)) for m in signed])))
-    keyed = nodes.select("node", "root", F.posexplode(places).alias("table", "key"))
-    keyed = keyed.filter((F.col("table") % tables >= start[0]) & (F.col("table") % tables < start[1])) if start else keyed
+    n, size = nodes.agg(F.count("*"), F.max(F.size("fp"))).first()
+    places, tables = (size or 1) - (0 if bits is None else 1), len(covering)
+    span = 1 << (places * tables - 1).bit_length()
+    keys = F.flatten(F.transform(F.slice("fp", 1, places), lambda f, i: F.array(*[F.xxhash64(f.bitwiseAND(F.lit(m))).bitwiseAND(F.lit(-span)).bitwiseOR((i * tables + t).cast("long")) for t, m in enumerate(covering.view(np.int64).tolist())])))
+    # The low bits of a key are its table. Texts whose keys' hashes clash are told apart when they are compared.
+    keyed = nodes.repartition(1 + n * places * tables // KEYS).select("node", F.explode(keys).alias("key"))
+    members = saved(keyed.withColumn("n", F.count("*").over(W.partitionBy("key"))).filter("n > 1"), "members")
+
+    def dealt(members: DataFrame, known: DataFrame, others: Callable[[Column, Column], Column]) -> DataFrame:
+        """(key, i, j, of): the members of each two blocks of a key, or of one."""
+        table, blocks = F.col("key").bitwiseAND(F.lit(span - 1)), F.ceil(F.col("n") / block).cast("int")
+        own, place = F.element_at("fp", (table / tables).cast("int") + 1), F.pmod(F.xxhash64("node"), blocks).cast("int")
+        member = F.struct("node", own.alias("own"), F.element_at("fp", -1).alias("sure"), "root")
+        rows = members.join(known, "node").select("key", member.alias("member"), place.alias("block"), F.explode(others(place, blocks)).alias("other"))
+        groups = rows.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("member").alias("of"))
+        return groups.select((table % tables).cast("int").alias("table"), "of").filter(F.size("of") > 1)
+
+    alone = nodes.withColumn("root", F.col("node"))
+    found = saved(_parted(dealt(members, alone, lambda place, _: F.array(place)), radius, covering, bits), "links")
+    if (many := members.filter(F.col("n") > block)).isEmpty():
+        return found
+    stars = components(found)
+    known = saved(nodes.join(stars.withColumnRenamed("root", "to"), "node", "left").select("node", "fp", F.coalesce("to", "node").alias("root")), "known")
     # A group that is one part already has nothing to give, however large it is.
-    shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    shared, keyed = saved(shared.select("table", "key", "n"), "shared"), keyed.drop("root")
-    members = keyed.join(shared, ["table", "key"]).join(nodes, "node").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = F.element_at("fp", (F.col("table") / tables).cast("int") + 1).alias("own")
-    member = F.struct("node", own, F.element_at("fp", -1).alias("sure"), "root")
-    place = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    others = F.array(place) if start else F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = members.select("table", "key", member.alias("member"), place.alias("block"), F.explode(others).alias("other"))
-    groups = dealt.groupBy("table", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list("member").alias("of"))
-
-    @F.arrow_udf("array<struct<a: long, b: long, c: long, d: long>>")
-    def forest(table: pa.Array, groups: pa.Array) -> pa.Array:
-        offset, node, own, sure, root = groups.offsets.to_numpy(), *(groups.values.field(c).to_numpy().view(np.uint64) for c in ("node", "own", "sure", "root"))
-        table, n = table.to_numpy() % tables, np.diff(offset)
+    apart = many.join(known.select("node", "root"), "node").groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    many = many.join(saved(apart.select("key"), "keys"), "key")
+    between = _parted(dealt(many, known, lambda place, blocks: F.filter(F.sequence(F.lit(0), blocks - 1), lambda x: x != place)), radius, covering, bits)
+    return stars.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(between)
+
+
+def _parted(groups: DataFrame, radius: int, covering: np.ndarray, bits: int | None) -> DataFrame:
+    """(a, b): roots of groups' members (node, own, sure, root) that links of the groups' tables connect: the least of those that a task connects, and each other."""
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in merged(batch["table"], batch["of"])], names=["a", "b"])
+
+    def merged(table: pa.Array, groups: pa.Array) -> tuple[list[int], list[int]]:
+        offset, own, sure = groups.offsets.to_numpy(), *(groups.values.field(c).to_numpy().view(np.uint64) for c in ("own", "sure"))
+        root, table, n = groups.values.field("root").to_numpy(), table.to_numpy(), np.diff(offset)
         found: dict[int, list[tuple[int, int]]] = {}
         two = np.flatnonzero(n == 2)
         at = offset[two]
@@ -214,31 +224,42 @@ def _links(nodes: DataFrame, radius: int, block: int, bits: int | None, start: t
         first = ((apart[:, None] & covering) == 0).argmax(axis=1) == table[two]
         found.update((g, [(x, x + 1)]) for g, x in zip(two[first].tolist(), at[first].tolist(), strict=True))
         for g in np.flatnonzero(n > 2).tolist():
-            lo, hi = offset[g], offset[g + 1]
-            tree = _forest(own[lo:hi], int(table[g]), radius, covering, None if bits is None else sure[lo:hi], bits or 0, root[lo:hi])
-            found[g] = [(lo + a, lo + b) for a, b in tree]
-        sizes = np.zeros(len(n) + 1, np.int32)
-        for g, tree in found.items():
-            sizes[g + 1] = len(tree)
-        both = np.array([x for g in sorted(found) for x in found[g]], np.int64).reshape(-1, 2)
-        ends = [pa.array(of[both[:, k]].view(np.int64)) for of in (node, root) for k in (0, 1)]
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.StructArray.from_arrays(ends, names=["a", "b", "c", "d"]))
+            by = offset[g] + np.argsort(root[offset[g] : offset[g + 1]])
+            if root[by[0]] < root[by[-1]]:
+                tree = _forest(own[by], int(table[g]), radius, covering, None if bits is None else sure[by], bits or 0, root[by])
+                found[g] = [(by[a], by[x]) for a, x in tree]
+        up: dict[int, int] = {}
+
+        def least(x: int) -> int:
+            while (above := up.setdefault(x, x)) != x:
+                up[x] = up[above]
+                x = up[x]
+            return x
 
-    found = groups.filter(F.size("of") > 1).select(forest("table", "of").alias("found"))
-    link = found.select(F.explode("found").alias("x")).select("x.*").groupBy(F.least("c", "d"), F.greatest("c", "d")).agg(F.min(F.struct("a", "b")).alias("link"))
-    return link.select("link.a", "link.b")
+        both = np.array([x for tree in found.values() for x in tree], np.int64).reshape(-1, 2)
+        for x, y in root[both].tolist():
+            lo, hi = sorted((least(x), least(y)))
+            up[hi] = lo
+        pairs = [(y, x) for x in up if (y := least(x)) != x]
+        return [a for a, _ in pairs], [b for _, b in pairs]
+
+    return groups.mapInArrow(forest, "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches, by alternating large and small stars."""
 
-    def mark(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        return row.n, row.s
+    def settled(df: DataFrame) -> bool:
+        """Each larger end has one smaller end, which is no larger end itself."""
+        ends = df.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("n")), F.struct(F.col("b").alias("x"), F.lit(0).alias("n")))).alias("e")).select("e.x", "e.n")
+        return ends.groupBy("x").agg(F.sum("n").alias("larger"), F.min("n").alias("least")).filter("larger > 1 OR (larger = 1 AND least = 0)").isEmpty()
 
     at = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    seen = mark(at)
-    for _ in range(rounds if seen[0] else 0):
+    for k in range(rounds):
+        if settled(at):
+            break
+        if k == rounds - 1:
+            raise RuntimeError("components did not settle")
         # Large star: a node sends its larger neighbours, and itself, to the least of its neighbourhood.
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
@@ -248,12 +269,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = saved(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         at = saved(small.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
-        before, seen = seen, mark(at)
-        if seen == before:
-            break
-    else:
-        if seen[0]:
-            raise RuntimeError("components did not settle")
     return at.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -591,3 +591,15 @@ def test_links_of_a_dense_cluster_grow_as_its_size(spark):
         assert edges.count() < 4 * len(values)
         roots = {r.node: r.root for r in simhash.components(edges).collect()}
         assert set(roots.values()) == {0} and len(roots) + 1 >= len(values)
+
+
+@pytest.mark.parametrize("block", [16, 1024])
+def test_links_are_found_in_few_passes(spark, monkeypatch, block):
+    """Groups of one block need no components on the way, and larger ones once; keys are dealt once."""
+    rng, written, save = np.random.default_rng(21), [], simhash.saved
+    monkeypatch.setattr(simhash, "saved", lambda df, name: written.append(name) or save(df, name))
+    values = {(1 << 40) ^ sum(1 << int(i) for i in rng.choice(63, 2, replace=False)) for _ in range(200)}
+    edges = simhash.links(spark.createDataFrame([(i, [v]) for i, v in enumerate(sorted(values))], "node long, fp array<long>"), 4, block)
+    assert written.count("members") == 1 and written.count("links") == 1 and written.count("known") == (block == 16)
+    assert block == 16 or len(written) == 2
+    assert {r.root for r in simhash.components(edges).collect()} == {0}
