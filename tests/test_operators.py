@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import values as v
-from tessera.operators import asof, balances as b, filters, finance, frontier, ledger as l, optimise as o, panels, ranks, stats
+from tessera.operators import asof, balances as b, filters, finance, frontier, ledger as l, optimise as o, panels, positions, ranks, stats
 from tessera.operators import attribution as g
 from tessera.sources import tables as s
 
@@ -502,3 +502,14 @@ def test_runs_dealt_by_a_part_of_the_key_are_not_dealt_again(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "SortMergeJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_values_in_millionths_fold_as_decimals_do(spark):
+    amounts = ["5", "7", "9007199254740993", "0.5", "123456789012345678901", "3.123456789", "4503599627370495", "0.0000000004", "1000000"]
+    rows = spark.createDataFrame([(t, f"C{i}", 1, a) for i, a in enumerate(amounts) for t in "abcd"], "token string, address string, snapshot int, balance string").withColumn("balance", F.col("balance").cast("decimal(38,10)"))
+    at = spark.createDataFrame([("a", 1, 1234.567891), ("b", 1, 0.000001), ("c", 1, 9.9e14)], "token string, snapshot int, close double")
+    parts = b.priced_in_parts(rows, at)
+    assert parts.filter("millionths IS NOT NULL AND value IS NOT NULL").isEmpty()
+    assert {"C0", "C1", "C8"} <= {r.address for r in parts.filter("token = 'a' AND millionths IS NOT NULL").collect()}  # these make no decimal
+    want, got = (sorted(map(tuple, positions.fold_assets(p, {"b": "a", "d": "c"}).select("address", "token", "units", "value").collect()), key=str) for p in (b.priced(rows, at), parts))
+    assert got == want and len(got) == 2 * len(amounts)
