@@ -1,7 +1,7 @@
 """Hand-made fixtures for what SQL on the given tables cannot state."""
 
 import itertools
-from datetime import date
+from datetime import date, datetime
 
 import numpy as np
 import pytest
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import values as v
 from tessera.operators import asof, balances as b, filters, finance, frontier, ledger as l, optimise as o, panels, positions, ranks, stats
 from tessera.operators import attribution as g
-from tessera.sources import tables as s
+from tessera.sources import domain, tables as s
 
 
 def rows(df):
@@ -513,3 +513,15 @@ def test_values_in_millionths_fold_as_decimals_do(spark):
     assert {"C0", "C1", "C8"} <= {r.address for r in parts.filter("token = 'a' AND millionths IS NOT NULL").collect()}  # these make no decimal
     want, got = (sorted(map(tuple, positions.fold_assets(p, {"b": "a", "d": "c"}).select("address", "token", "units", "value").collect()), key=str) for p in (b.priced(rows, at), parts))
     assert got == want and len(got) == 2 * len(amounts)
+
+
+def test_closes_compare_by_all_columns_only_the_last_orders_lines(spark, tmp_path):
+    fields = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    day = datetime(1995, 3, 1)
+    lines = [(9, 1, 1, 1, 2.0, 10.0, 0.0, 0.0, "N", "O", day), (9, 1, 1, 2, 2.0, 12.0, 0.0, 0.0, "N", "O", day), (9, 1, 1, 2, 2.0, 14.0, 0.0, 0.0, "N", "O", day), (5, 1, 1, 7, 1.0, 99.0, 0.0, 0.0, "N", "O", day), (None, 2, 1, 1, 1.0, 3.0, 0.0, 0.0, "N", "O", day), (None, 2, 1, 2, 1.0, 4.0, 0.0, 0.0, "N", "O", day), (3, 3, 1, 1, 1.0, 8.0, 0.0, 0.0, "N", "O", None)]
+    spark.createDataFrame(lines, fields).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    found = domain.closes(spark, str(tmp_path))
+    assert rows(found) == sorted([("a", day.date(), 7.0), ("b", day.date(), 4.0), (None, None, 8.0)], key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "SortMergeJoin" not in plan  # the sort sees the last orders' lines alone
