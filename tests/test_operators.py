@@ -525,3 +525,72 @@ def test_closes_compare_by_all_columns_only_the_last_orders_lines(spark, tmp_pat
     assert rows(found) == sorted([("a", day.date(), 7.0), ("b", day.date(), 4.0), (None, None, 8.0)], key=repr)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan and "SortMergeJoin" not in plan  # the sort sees the last orders' lines alone
+
+
+def test_sets_of_one_size_share_their_sums(monkeypatch):
+    """Sets' estimates are those of each set alone, with gaps, too few days and eigenvalues at their floor; and neither they nor a frontier's steps solve anything for each set."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0.001, 0.03, (60, 7)) + rng.normal(0, 0.01, (60, 1))
+    x[3:8, 2], x[10:40, 4], x[:, 5] = np.nan, np.nan, x[:, 0] * 1e-5
+    sets = np.array([[0, 1, 3], [0, 2, 3], [1, 4, 6], [0, 5, 6], [1, 2, 6], [0, 1, 5]])
+    want = [o.estimates(x[:, s], 45, 0.5) for s in sets]
+    for many in (1024, 4):  # all tokens' products at once, and those of a few sets
+        monkeypatch.setattr(o, "TOKENS", many)
+        known, mu, cov = o.set_estimates(x, sets, 45, 0.5)
+        assert known.tolist() == [e is not None for e in want] == [True, True, False, True, True, True]
+        assert np.allclose(mu, [e[0] for e in want if e], atol=1e-15) and np.allclose(cov, [e[1] for e in want if e], atol=1e-14)
+    y = rng.normal(0.001, 0.03, (60, 12))
+    monkeypatch.setattr(np.linalg, "solve", None)
+    monkeypatch.setattr(np.linalg, "eigh", None)
+    known, mu, cov = o.set_estimates(y, np.array([rng.choice(12, 6, replace=False) for _ in range(40)]), 45, 0.5)
+    whole = frontier.trace(mu, cov, 0.9)
+    half, part = frontier.trace(mu, cov, 0.9, np.full(40, np.inf)), frontier.trace(mu, cov, 0.9, mu.mean(axis=1))
+    assert known.all() and (half.count == whole.least + 1).all() and (half.least == whole.least).all() and (part.count <= whole.count).all()
+    for k in range(40):
+        for lines in (half, part):
+            assert np.allclose(lines.weights[k, : lines.count[k]], whole.weights[k, : lines.count[k]], atol=1e-12)
+        assert part.returns[k, part.count[k] - 1] <= max(mu[k].mean(), part.returns[k, part.least[k]])
+        assert frontier.best_ratio(half, 0.0)[0][k] == pytest.approx(frontier.best_ratio(whole, 0.0)[0][k])
+    own = np.arange(40)
+    assert np.allclose(frontier.least_variance(part, own, mu.mean(axis=1))[0], frontier.least_variance(whole, own, mu.mean(axis=1))[0], atol=1e-10)
+
+
+def test_pivots_keep_to_the_covariances(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0.001, 0.03, (30, 60, 25)) * rng.uniform(0.2, 3, (30, 1, 25))
+    mu, cov = x.mean(axis=1), np.stack([o.ledoit_wolf(y) for y in x])
+    far = frontier.trace(mu, cov, 0.4)
+    monkeypatch.setattr(frontier, "RENEW", 1)  # tableaus made anew at each step
+    near = frontier.trace(mu, cov, 0.4)
+    assert (far.count == near.count).all() and np.allclose(far.weights, near.weights, atol=1e-9)
+
+
+def test_rows_of_wallets_are_made_where_their_portfolios_are(spark):
+    """Capped shares, distances, moves and outcomes of wallets are those that follow from their positions."""
+    rng = np.random.default_rng(12)
+    tokens = "abcdef"
+    rets = [(1, date.fromordinal(730000 + k), t, float(rng.normal(0.001 * (i + 1), 0.02))) for k in range(60) for i, t in enumerate(tokens)]
+    inputs = o.set_inputs(spark.createDataFrame(rets, "snapshot int, day date, token string, ret double"))
+    more = spark.createDataFrame([(t, 1.0 + 0.1 * i if t != "f" else None, 0.5 * i if t != "b" else None, 10.0 * (i + 1) if t != "c" else None) for i, t in enumerate(tokens)], "token string, growth double, beta double, capital double")
+    values = [(1, f"w{i}", t, float(rng.pareto(0.4) + 0.01)) for i in range(40) for t in rng.choice(list(tokens), int(rng.integers(1, 7)), replace=False)]
+    values = spark.createDataFrame(values + [(2, "unknown", t, 1.0) for t in "ab"] + [(1, "priceless", t, 1.0) for t in "az"], "snapshot int, address string, token string, value double")
+    every = values.groupBy("snapshot", "address").agg(F.count("*").alias("n")).filter("n > 1 AND snapshot = 1 AND address <> 'priceless'").count()
+    for cap in (0.9, 0.4):
+        rows = {(r.address, r.token): r for r in o.optimise(values, inputs, cap).collect()}
+        want = {(r.address, r.token): r.weight for r in finance.capped_weights(values, ["snapshot", "address"], cap).collect()}
+        assert len({a for a, _ in rows}) == every and all(r.weight == pytest.approx(want[k], abs=1e-12) for k, r in rows.items())
+    rows = o.optimise(values, inputs, other_rf=1e-3).persist()
+    gap = lambda a, b: F.sum(F.abs(F.col(a) - F.col(b)))
+    want = {r.address: r for r in rows.groupBy("address").agg(*[gap("weight", f"w_{g}").alias(f"l1_{g}") for g in o.GOALS], gap("w_sharpe", "w_other").alias("l1")).collect()}
+    far, moved = o.optimise(values, inputs, kind="distances").collect(), o.optimise(values, inputs, goals=("sharpe",), other_rf=1e-3, kind="moves").collect()
+    assert len(far) == len(moved) == every
+    assert all(r[f"l1_{g}"] == pytest.approx(want[r.address][f"l1_{g}"], abs=1e-9) for r in far for g in o.GOALS) and all(r.l1 == pytest.approx(want[r.address].l1, abs=1e-9) for r in moved)
+    got = {r.address: r for r in o.optimise(values, inputs.join(more, "token", "left"), kind="outcomes").collect()}
+    joined = rows.join(values, ["snapshot", "address", "token"]).withColumnsRenamed({"weight": "w_base"}).withColumn("weight", F.col("w_base")).join(more, "token").withColumnRenamed("capital", "cap")
+    joined = finance.naive_weights(finance.naive_weights(joined, ["address"], "equal").withColumnRenamed("weight", "w_equal"), ["address"], "cap").withColumnRenamed("weight", "w_mcap").withColumn("weight", F.col("w_base"))
+    names = ["base", *o.GOALS, "equal", "mcap"]
+    ends = more.select(F.lit(1).alias("snapshot"), "token", F.lit(1.0).alias("p0"), F.col("growth").alias("p1"))
+    for r in finance.strategy_outcomes(joined, ends, more.withColumn("snapshot", F.lit(1)), names).collect():
+        for c in ("total", *(f"{k}_{x}" for k in ("ret", "l1", "beta") for x in names)):
+            assert got[r.address][c] == (None if r[c] is None else pytest.approx(r[c], abs=1e-9)), (r.address, c)
+    rows.unpersist()
