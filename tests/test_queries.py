@@ -228,3 +228,18 @@ def test_quantiles_count_magnitudes_first(spark):
     assert {k: np.round(q, 12).tolist() for k, q in got.items()} == {k: np.round(np.quantile(v, [0.0, 0.05, 0.5, 0.95, 1.0]), 12).tolist() for k, v in values.items()}
     dealt = ranks.places(df, ["k"], "v", lambda n: ranks.F.array(n)).groupBy("k").count().collect()
     assert {r.k: r["count"] for r in dealt}["a"] < 200
+
+
+def test_strategies_deal_wallets_at_most_once(spark):
+    """Wallets' figures are made where their positions or portfolios are: no query of strategies shuffles positions, or wallets by address after they are solved."""
+    import re
+
+    from tessera.plans import returns
+
+    dealt = lambda df: re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())
+    for rows in (returns.strategy_rows(spark, SF, ["base", "equal", "mcap"]), returns.strategy_rows(spark, SF, ["base", "return", "variance", "sharpe", "equal", "mcap"]), returns.p21_fallbacks(spark, SF), returns.p28(spark, SF), returns.p9(spark, SF)):
+        keys = [re.sub(r"#\d+", "", k) for k in dealt(rows)]
+        assert not [k for k in keys if "address" in k or "token" in k and "snapshot, token" not in k], keys
+        assert keys.count("snapshot, part") in (0, 2)
+    keys = [re.sub(r"#\d+", "", k) for k in dealt(returns.strategy_rows(spark, SF, ["base", "equal", "mcap"]))]
+    assert not [k for k in keys if "token" in k], keys
